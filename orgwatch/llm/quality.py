@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,7 @@ from pyspark.sql import types as T
 from .common import WORD
 
 _WORD = re.compile(WORD)
-_SYMBOL = re.compile(r"[#*$%&|<>]")
-_BOUNDS = re.compile(r"[.!?]")
+_SYMBOLS = "#*$%&|<>"
 
 FEATURES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -33,6 +33,16 @@ FEATURES = T.StructType(
 )
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """For each code point 1 (symbol) + 2 (letter) + 4 (upper case) + 8 (exclamation mark) + 16 (ends a sentence)."""
+    every = "".join(map(chr, range(0x110000)))
+    out = 2 * np.fromiter(map(str.isalpha, every), np.uint8, len(every)) + 4 * np.fromiter(map(str.isupper, every), np.uint8, len(every))
+    for chars, bit in ((_SYMBOLS, 1), ("!", 8), (".!?", 16)):
+        out[[ord(c) for c in chars]] += bit
+    return out.astype(np.uint8)
+
+
 def _repeated(words: list[str]) -> int:
     """Words that lie in a 3-word window which the text has twice or more."""
     n = len(words)
@@ -58,11 +68,11 @@ def features_of(text: str | None) -> tuple[int, ...]:
         return (0,) * len(FEATURES)
     words = _WORD.findall(text)
     lines = [x for x in text.split("\n") if _WORD.search(x)]
-    upper = sum(1 for c in text if c.isupper())
-    letters = sum(map(str.isalpha, text))
+    kinds = np.bincount(_kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)], minlength=32)
+    symbols, letters, upper, bangs, stops = (int(kinds[[k for k in range(32) if k >> bit & 1]].sum()) for bit in range(5))
     return (
-        len(words), sum(map(len, words)), len(_SYMBOL.findall(text)), len(lines) - len(set(lines)), _repeated(words),
-        len(lines), letters, upper, len(set(words)), text.count("!"), len(_BOUNDS.findall(text)),
+        len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), _repeated(words),
+        len(lines), letters, upper, len(set(words)), bangs, stops,
     )
 
 
@@ -72,24 +82,28 @@ def text_features(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([features_of(t) for t in batch], columns=FEATURES.names, dtype="int64")
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
-
-
 def rules(f: str = "_f") -> dict[str, Column]:
-    """The labelling functions over the feature struct ``f``; -1 bad, 1 good, 0 abstain."""
+    """The labelling functions over the feature struct ``f``: -1 bad, 1 good, 0 abstain.
+
+    A detector of one kind of junk votes bad or abstains: that it finds nothing says little about the other kinds.
+    Only ``prose`` and ``sentences`` vote good.
+    """
     c = lambda n: F.col(f"{f}.{n}")
-    n = F.greatest(c("n_words"), F.lit(1))
-    few = c("n_words") < 20
+    n, letters = F.greatest(c("n_words"), F.lit(1)), F.greatest(c("n_letters"), F.lit(1))
+    long = c("n_words") >= 20
+    variety = c("n_distinct") / F.least(n, F.lit(400))
+    bad = lambda when: F.when(when, F.lit(-1)).otherwise(F.lit(0))
+    prose = long & (c("n_symbols") <= 0.05 * n) & c("word_chars").between(3 * n, 6.6 * n) & (variety >= 0.4)
     return {
-        "symbols": _vote(c("n_symbols") > 0.15 * n, c("n_symbols") <= 0.02 * n),
-        "repeats": _vote(c("n_repeat_words") > 0.35 * n, ~few & (c("n_repeat_words") <= 0.1 * n)),
-        "lines": _vote(c("n_dup_lines") > 0.3 * F.greatest(c("n_lines"), F.lit(1)), (c("n_lines") > 1) & (c("n_dup_lines") == 0)),
-        "capitals": _vote(c("n_upper") > 0.5 * F.greatest(c("n_letters"), F.lit(1)), ~few & (c("n_upper") < 0.15 * c("n_letters"))),
-        "bangs": _vote(c("n_bangs") > 0.2 * n, ~few & (c("n_bangs") <= 0.02 * n)),
-        "variety": _vote(~few & (c("n_distinct") < 0.25 * F.least(n, F.lit(400))), ~few & (c("n_distinct") >= 0.5 * F.least(n, F.lit(400)))),
-        "sentences": _vote(~few & (c("n_stops") * 120 < n), ~few & (c("n_stops").between(n / 40, n / 3))),
-        "word_length": _vote((c("word_chars") > 11 * n) | (c("word_chars") < 2 * n), c("word_chars").between(3.5 * n, 6.5 * n)),
+        "symbols": bad(c("n_symbols") > 0.15 * n),
+        "word_length": bad((c("word_chars") > 6.8 * n) | (c("word_chars") < 2.5 * n)),
+        "repeats": bad(c("n_repeat_words") > 0.35 * n),
+        "lines": bad(c("n_dup_lines") > 0.3 * F.greatest(c("n_lines"), F.lit(1))),
+        "variety": bad(long & (variety < 0.25)),
+        "capitals": bad(long & (c("n_upper") > 0.5 * letters)),
+        "bangs": bad(c("n_bangs") > 0.2 * n),
+        "prose": F.when(prose & (c("n_upper") < 0.3 * letters), F.lit(1)).otherwise(F.lit(0)),
+        "sentences": F.when(c("n_stops").between(n / 60, n / 3), F.lit(1)).when(long & (c("n_stops") * 200 < n), F.lit(-1)).otherwise(F.lit(0)),
     }
 
 
