@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from .common import table
 from .mixing import mix_plan, mix_totals
 from .packing import pack
+from .pii import pseudonymize
 from .quality import score_quality
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_totals(mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
@@ -29,6 +34,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op7_quality_rules": op7_quality_rules,
