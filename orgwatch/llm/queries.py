@@ -8,10 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .langid import fit, predict
 from .mixing import mix_plan, mix_totals
 from .packing import pack
 from .pii import pseudonymize
 from .quality import score_quality
+from .secrets import findings_by_version, scan_versions
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = fit(docs.where("not held_out"))
+    return predict(docs.drop("lang"), model)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +42,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return findings_by_version(docs, scan_versions(docs)).select("doc_id", "summary.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_secret_scans": op8_secret_scans,
 }
 
 #: DuckDB SQL for the operators that SQL can express; the others are tested against brute force in tests/llm.
