@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_formatted
 from .common import table
 from .langid import fit, predict
 from .mixing import mix_plan, mix_totals
@@ -47,6 +48,13 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings_by_version(docs, scan_versions(docs)).select("doc_id", "summary.*")
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    planted = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
+    return read_formatted(format_conversations(rows.unionByName(added)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -54,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scans": op8_secret_scans,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 #: DuckDB SQL for the operators that SQL can express; the others are tested against brute force in tests/llm.
