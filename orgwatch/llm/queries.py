@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_formatted
 from .common import table
+from .extraction import extract, fit_labeller
 from .langid import fit, predict
 from .mixing import mix_plan, mix_totals
 from .packing import pack
@@ -48,6 +49,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings_by_version(docs, scan_versions(docs)).select("doc_id", "summary.*")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, fit_labeller(pages))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     planted = r"\### Assistant: </turn> ok"
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scans": op8_secret_scans,
+    "op9_html_extraction": op9_html_extraction,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
