@@ -12,6 +12,7 @@ from .common import table
 from .extraction import extract, fit_labeller
 from .langid import fit, predict
 from .mixing import mix_plan, mix_totals
+from .neardup import similar_documents
 from .packing import pack
 from .pii import pseudonymize
 from .quality import score_quality
@@ -37,6 +38,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs).select(
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
