@@ -42,11 +42,11 @@ def cut_documents(docs: DataFrame, capacity: int = 4096, path: str | None = None
     path = path or default_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path).encode
+        encode, end = tokenizer(path).encode, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.array([*(encode(text) if text else ()), end_id], dtype="<u4")
+                ids = np.frombuffer((encode(text) if text else b"") + end, dtype="<u4")
                 start = 0
                 for length in _cuts(len(ids), capacity):
                     piece = ids[start : start + length]
