@@ -62,8 +62,14 @@ def _uniform(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def mix_slots(sources: DataFrame, seed: int, block_words: int, shard_slots: int, cap: float, cells: int = 1024) -> DataFrame:
-    """(_sid, _shard, _slot, _block) for every slot of the mix. ``sources``: the rows of ``source_targets``."""
+def mix_slots(sources: DataFrame, seed: int, block_words: int, shard_slots: int, cap: float, slots_a_task: int = 100_000, cells: int = 1024) -> DataFrame:
+    """(_sid, _shard, _slot, _block) for every slot of the mix. ``sources``: the rows of ``source_targets``.
+
+    The counts are few and small, the slots they stand for many: the counts are dealt to as many tasks as the slots
+    need, which adaptive execution would merge into one by their size.
+    """
+    words = sources.agg(F.sum("target")).first()[0] or 0.0
+    tasks = max(8, -(-int(words / block_words) // slots_a_task))
     blocks = F.ceil(F.col("source_size") / block_words)
     slots = F.when(F.col("source_size") > 0, F.col("target") * blocks / F.col("source_size")).otherwise(0.0)
     everything = Window.partitionBy(F.lit(0))
@@ -87,7 +93,7 @@ def mix_slots(sources: DataFrame, seed: int, block_words: int, shard_slots: int,
     counts = running_start(counts.withColumn("_run", F.floor(F.col("_shard") / 4096)), ["_sid"], "_run", [F.col("_shard")], F.col("_n"), "_first")
     counts = counts.join(planned.select("_sid", "_blocks"), "_sid")
     most = F.least(F.col("_first") + F.col("_n"), F.floor(F.col("_blocks") * F.lit(float(cap))))
-    counts = counts.withColumn("_end", most).where("_first < _end").repartition("_sid", "_shard")
+    counts = counts.withColumn("_end", most).where("_first < _end").repartition(tasks, "_sid", "_shard")
     slot = counts.select("_sid", "_shard", "_blocks", F.explode(F.sequence(F.col("_first"), F.col("_end") - 1)).alias("_slot"))
     turn = F.floor(F.col("_slot") / F.col("_blocks"))
     return slot.select("_sid", "_shard", "_slot", permuted(F.col("_slot") % F.col("_blocks"), F.col("_blocks"), [F.lit(seed), F.col("_sid"), turn]).alias("_block"))
