@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BITS = 13
 WIDTH = 1 << BITS
 
@@ -165,5 +167,5 @@ def predict(docs: DataFrame, model: Centroids, text: str = "text", block: int =
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     rest = [c for c in docs.columns if c not in (text, "lang_pred", "score", "rejected")]
-    made = docs.withColumn("_p", nearest(F.col(text)))
-    return made.select(*rest, "_p.lang_pred", "_p.score", "_p.rejected")
+    p = fresh(docs, "_p")
+    return docs.withColumn(p, nearest(F.col(text))).select(*rest, f"{p}.lang_pred", f"{p}.score", f"{p}.rejected")

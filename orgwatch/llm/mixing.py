@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut_lineage, fresh
+from .common import WORD, cut_lineage
 from .offsets import running_start
 
 
@@ -143,18 +143,18 @@ def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
     not take is left out; a document without words is never taken. Each copy of a repeated row has its own part in the
     mix.
     """
-    key, nth, body = fresh(docs, "_key"), fresh(docs, "_nth"), F.col("text")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", "text"))
-    plan = mix_plan(keyed.select("doc_id", "source", "text", key), keys=(key,), **parameters).where("times > 0")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")  # so that no name of a column clashes with ours
+    keyed = docs.select(own, "doc_id", "source", "text").withColumn("_key", F.xxhash64("doc_id", "source", "text"))
+    plan = mix_plan(keyed, keys=("_key",), **parameters).where("times > 0")
     taken = plan.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     parts = F.array_sort(F.collect_list(F.struct("from_word", "words")))
-    taken = taken.groupBy(key, "_sid", "start", "_turn").agg(parts.alias("_parts"), F.sum("words").alias("_n"), F.first("size").alias("_size"))
+    taken = taken.groupBy("_key", "_sid", "start", "_turn").agg(parts.alias("_parts"), F.sum("words").alias("_n"), F.first("size").alias("_size"))
     # Repeated rows: the n-th row of the plan with a key goes to the n-th row of the documents with it.
-    taken = taken.withColumn(nth, F.dense_rank().over(Window.partitionBy(key).orderBy("_sid", "start")))
-    numbered = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
-    joined = numbered.join(taken, [key, nth])
+    taken = taken.withColumn("_nth", F.dense_rank().over(Window.partitionBy("_key").orderBy("_sid", "start")))
+    numbered = keyed.select("_doc", "_key", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1))).alias("_nth"))
+    joined, body = numbered.join(taken, ["_key", "_nth"]), F.col("_doc.text")
     words = F.regexp_extract_all(body, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     cut = lambda w: F.flatten(F.transform("_parts", lambda p: F.slice(w, (p["from_word"] + 1).cast("int"), p["words"].cast("int"))))
     some = F.array_join(F.flatten(F.transform(F.array(words), cut)), "")  # a lambda over one item: the words are found once
     text = F.when(F.col("_n") == F.col("_size"), body).otherwise(some)
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD
+from .common import WORD, fresh
 
 _WORD = re.compile(WORD)
 _SYMBOLS = "#*$%&|<>"
@@ -145,22 +145,23 @@ def score_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5, m
     second pass attaches each document's posterior as a constant expression over its votes (log-odds are sums of one
     term a rule), so nothing is joined or shuffled.
     """
-    voted = docs.withColumn("_f", text_features(F.col(text)))
-    votes = {k: v.cast("int") for k, v in rules().items()}
-    seen = voted.select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).count().orderBy(*votes).collect()  # at most 3 ** rules
+    f, v = fresh(docs, "_f"), fresh(docs, "_v")
+    voted = docs.withColumn(f, text_features(F.col(text)))
+    votes = {k: vote.cast("int") for k, vote in rules(f).items()}
+    seen = voted.select(*[vote.alias(k) for k, vote in votes.items()]).groupBy(*votes).agg(F.count("*").alias("_count")).orderBy(*votes).collect()  # at most 3 ** rules
     patterns = np.array([[r[k] for k in votes] for r in seen], dtype=int).reshape(len(seen), len(votes))
-    share, table = estimate(patterns, np.array([r["count"] for r in seen], dtype=float))
+    share, table = estimate(patterns, np.array([r["_count"] for r in seen], dtype=float))
     weight = np.log(table[1]) - np.log(table[0])
     odds = F.lit(float(np.log(share) - np.log(1 - share)))
     for i, k in enumerate(votes):
-        v = F.col(f"_v.{k}")
-        odds = odds + F.when(v == -1, float(weight[i, 0])).when(v == 0, float(weight[i, 1])).otherwise(float(weight[i, 2]))
-    n = F.col("_f.n_words")
-    base_failed = (n < min_words) | (100 * F.col("_f.n_repeat_words") > repeat_percent * n)
+        cast = F.col(f"{v}.{k}")
+        odds = odds + F.when(cast == -1, float(weight[i, 0])).when(cast == 0, float(weight[i, 1])).otherwise(float(weight[i, 2]))
+    n = F.col(f"{f}.n_words")
+    base_failed = (n < min_words) | (100 * F.col(f"{f}.n_repeat_words") > repeat_percent * n)
     taken = [x for x in docs.columns if x not in {*FEATURES.names[:5], "votes", "quality_posterior", "base_failed", "kept"}]
-    scored = voted.withColumn("_v", F.struct(*[v.alias(k) for k, v in votes.items()]))
+    scored = voted.withColumn(v, F.struct(*[vote.alias(k) for k, vote in votes.items()]))
     scored = scored.withColumn("quality_posterior", 1 / (1 + F.exp(-odds))).withColumn("base_failed", base_failed)
     return scored.select(
-        *taken, *[F.col(f"_f.{x}").alias(x) for x in FEATURES.names[:5]], F.col("_v").alias("votes"), "quality_posterior",
+        *taken, *[F.col(f"{f}.{x}").alias(x) for x in FEATURES.names[:5]], F.col(v).alias("votes"), "quality_posterior",
         "base_failed", (~F.col("base_failed") & (F.col("quality_posterior") >= threshold)).alias("kept"),
     )
