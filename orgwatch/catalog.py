@@ -11,7 +11,7 @@ from . import demo as V
 from .functions import dates as D
 from .functions import text as T
 from .functions import urls as U
-from .operators import dedup, joins, stats, topk, views, writes
+from .operators import dedup, extract, joins, match, model_io, stats, topk, views, writes
 from .operators import predicates as P
 from .plans import cleaning
 from .streaming import health
@@ -365,3 +365,96 @@ _add(
 )
 _add("k4_admit", lambda s, d: health.admit(V.fetches(s, d).select("source_id", "ts", "fetch_id"), "source_id", "ts", 20, 3600))
 _add("k6_pending", lambda s, d: health.pending(V.pages(s, d), V.pages(s, d).where("page_id % 3 = 0"), "page_id").select("page_id"), "SELECT page_id FROM v_page WHERE page_id % 3 <> 0")
+
+# Extraction, matching, model exchange. ----------------------------------------------------------------------------
+
+_html = V.pages
+_add("x5_article_details", lambda s, d: extract.article_details(_html(s, d)).select("url", "title", "summary", "published"))
+_add("x3_extract_articles", lambda s, d: extract.extract_articles(_html(s, d)).withColumn("contents", F.to_json("contents")))
+_add("x4_snippet_fallback", lambda s, d: extract.with_snippet_fallback(extract.extract_articles(_html(s, d)).where("length(url) % 2 = 0").dropDuplicates(["url"]), V.events(s, d).select(F.col("source_url").alias("url"), "title", "summary")).select("url", "title", "confidence"))
+_add("x6_news_endpoints", lambda s, d: extract.news_endpoints(_html(s, d).select("url", "html"), ["newsroom"]))
+_add("x7_feed_articles", lambda s, d: extract.feed_articles(_html(s, d).select("url", F.lit("html").alias("source_type"), F.col("html").alias("text"))))
+_add("x8_article_link_count", lambda s, d: extract.article_link_count(_html(s, d)))
+_add("x10_locate_news_page", lambda s, d: extract.locate_news_page(extract.news_endpoints(_html(s, d).select("url", "html")), extract.article_link_count(_html(s, d))))
+_add("x13_extract_names", lambda s, d: extract.extract_names(_docs(s, d).withColumn("text", F.regexp_replace("text", r"\.\s", " University, ")), "doc_id", "text"))
+_add(
+    "x14_context_body", lambda s, d: _docs(s, d).select("doc_id", cleaning.context_body(F.col("text"), 600).alias("body")),
+)
+_entities = lambda s, d: match.entity_identity(V.orgs(s, d)).withColumn("badge", F.length("slug") % 2 == 0)
+_hits = lambda s, d: V.events(s, d).select(F.col("organization_id").alias("entity_id"), F.col("id").alias("pos"), F.col("source_url").alias("url"), "title", F.col("summary").alias("snippet"))
+_scored = lambda s, d: match.score_candidates(_hits(s, d).join(_entities(s, d), "entity_id"))
+_add("m5_score_candidates", lambda s, d: _scored(s, d).select("entity_id", "pos", "pre_score"))
+_pages_scored = lambda s, d: match.score_identity(_scored(s, d).withColumn("page_url", F.col("url")).withColumn("page_text", F.concat_ws(" ", "title", "snippet")).withColumn("context", F.array(F.lit("the"), F.lit("de"))))
+_add("m6_score_identity", lambda s, d: _pages_scored(s, d).select("entity_id", "pos", "identity_score", "host_matches", "context_matches"))
+_add("m7_accept_candidates", lambda s, d: match.accept_candidates(_pages_scored(s, d).withColumn("registered", F.lit(False))).select("entity_id", "pos", "confidence"))
+_add("t10_best_candidate", lambda s, d: topk.select_best_candidate(match.accept_candidates(_pages_scored(s, d).withColumn("registered", F.lit(True)), 0, 0)))
+_add("m10_domain_candidates", lambda s, d: match.domain_candidates(_entities(s, d)))
+_q = "CASE WHEN regexp_matches(name, '[\\x{4E00}-\\x{9FFF}]') THEN [name || ' 新闻', name || ' 动态'] ELSE [name || ' news', name || ' announcement'] END"
+_add(
+    "m11_search_queries", lambda s, d: match.search_queries(V.orgs(s, d)),
+    f"""SELECT entity_id, CAST(i - 1 AS INTEGER) AS pos, q[i] AS query FROM (SELECT entity_id, {_q} || CASE WHEN website_url IS NOT NULL THEN ['site:' || {_wh}] ELSE [] END AS q FROM v_org ), range(1, 4) r(i) WHERE i <= len(q)""",
+)
+_fetched = lambda s, d: _html(s, d).select(F.concat(F.lit("org-"), "host").alias("entity_id"), "url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), "html")
+_add("m3_verify_homepages", lambda s, d: match.verify_homepages(_fetched(s, d), V.orgs(s, d).withColumn("aliases", F.lit(None).cast("array<string>"))))
+_add(
+    "m9_decide_official",
+    lambda s, d: match.decide_official(V.orgs(s, d), V.orgs(s, d).where("length(slug) % 5 = 0").select("entity_id", F.col("slug").alias("domain")), _hits(s, d).withColumn("accepted", F.col("pos") % 2 == 0), V.orgs(s, d).where("length(slug) % 7 = 0").select("entity_id", F.col("slug").alias("domain"))),
+)
+_requests = lambda s, d: V.events(s, d).select("organization_id", F.col("id").alias("pos"), "title", F.col("source_url").alias("url"), "summary", F.lit(None).cast("string").alias("llm_context"), F.when(F.col("id") % 2 == 0, "full-text").otherwise("snippet-fallback").alias("extraction_method"))
+_add("l1_build_requests", lambda s, d: model_io.build_event_requests(_requests(s, d)))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of several shapes, made of the events themselves."""
+    item = F.struct("title", "summary", F.col("source_url").alias("url"), "relevance_score", F.when(F.col("id") % 3 == 0, F.col("event_date")).alias("event_date"), F.lit("report").alias("event_type"))
+    listed = V.events(spark, d).where("title <> '' and summary <> ''").groupBy("organization_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("j"))
+    n, j = F.length("organization_id") % 4, F.col("j")
+    return listed.select("organization_id", F.when(n == 0, j).when(n == 1, F.concat(F.lit("Here:\n```json\n"), j, F.lit("\n```"))).when(n == 2, F.concat(F.lit("I found "), j, F.lit(" in all."))).otherwise(F.concat(F.lit('{"candidates":'), j, F.lit("}"))).alias("response"))
+
+
+_add(
+    "l2_parse_responses", lambda s, d: model_io.parse_event_responses(_answers(s, d)).select("organization_id", "title", "url", "relevance_score"),
+    "SELECT organization_id, title, source_url AS url, relevance_score FROM v_event WHERE title <> '' AND summary <> ''",
+)
+_add(
+    "l4_score_filter",
+    lambda s, d: model_io.score_filter(model_io.parse_event_responses(_answers(s, d)), _hits(s, d).withColumnRenamed("entity_id", "organization_id"), "2024-01-20", 36500, 5).select("organization_id", "title", "url", "relevance_score"),
+    "SELECT organization_id, title, source_url AS url, relevance_score FROM v_event WHERE title <> '' AND summary <> '' AND relevance_score >= 5 AND NOT regexp_matches(title || ' ' || summary, '(?i)登录|注冊|注册|广告|cookie|404')",
+)
+_add("l9_ingest_events", lambda s, d: model_io.ingest_events(model_io.parse_event_responses(_answers(s, d)), _hits(s, d).withColumnRenamed("entity_id", "organization_id"), V.events(s, d).where("id % 5 = 0").withColumn("id", F.col("id").cast("string")), "2024-01-20", 36500).select("id", "organization_id", "source_url", "relevance_score"))
+_add("k2_next_times", lambda s, d: V.fetches(s, d).select("fetch_id", health.next_times(health.health_class(F.col("status"), F.col("error_code"))["health"], F.col("ts").cast("timestamp_ntz")).alias("n")).select("fetch_id", F.col("n.next_check_at").cast("string").alias("next_check_at")), f"SELECT fetch_id, strftime(CASE WHEN status = 403 THEN TIMESTAMP '9999-12-31 00:00:00' WHEN status = 404 THEN ts + INTERVAL 7 DAY WHEN status = 429 THEN ts + INTERVAL 2 HOUR ELSE ts + INTERVAL 1 HOUR END, '%Y-%m-%d %H:%M:%S') AS next_check_at FROM v_fetch")
+_add(
+    "b2_render_digest", lambda s, d: cleaning.render_digest(topk.digest_events(joins.events_with_org(V.events(s, d), V.orgs(s, d), "inner"), 20)),
+    f"""SELECT string_agg(k || '. [' || organization_name || '] ' || title || chr(10) || source_url, chr(10) ORDER BY k) AS digest, count(*) AS n
+        FROM (SELECT *, row_number() OVER (ORDER BY relevance_score DESC, id) AS k FROM (SELECT * FROM ({_joined}) ORDER BY relevance_score DESC, created_at DESC, id LIMIT 20))""",
+)
+_add(
+    "g13_cleaning_diff", lambda s, d: cleaning.cleaning_diff(V.named(s, d), _renamed(s, d)).select("entity_id", "outcome"),
+    f"""SELECT entity_id, CASE WHEN name <> new THEN 'corrected' WHEN regexp_matches(new, '^[A-Za-z][A-Za-z\\s''-]{{2,39}}$') OR regexp_matches(new, '(?i)\\b({'|'.join(P.ENTITY_WORDS)})\\b') THEN 'valid' ELSE 'invalid_or_failed' END AS outcome
+        FROM (SELECT entity_id, name, CASE WHEN CAST(substr(entity_id, 5) AS BIGINT) % 7 = 0 THEN upper(name) ELSE name END AS new FROM v_named )""",
+)
+_add(
+    "g14_plan_summary", lambda s, d: stats.plan_summary(dedup.plan_org_cleanup(V.named(s, d), V.named_events(s, d)), V.named_events(s, d)),
+    f"""WITH shell AS (SELECT entity_id FROM v_named WHERE trim(coalesce(website_url, '')) = '' AND length(trim(coalesce(description, ''))) < 10 AND entity_id NOT IN (SELECT organization_id FROM v_named_event )),
+        plan AS (SELECT entity_id, 'shell' AS rule FROM shell UNION ALL SELECT entity_id, 'duplicate' FROM (SELECT *, {_place} AS k FROM v_named WHERE entity_id NOT IN (SELECT entity_id FROM shell)) WHERE k > 1)
+        SELECT rule, count(*) AS n, CAST(sum(coalesce(c, 0)) AS BIGINT) AS events FROM plan LEFT JOIN (SELECT organization_id, count(*) AS c FROM v_named_event GROUP BY 1) ON organization_id = entity_id GROUP BY rule""",
+)
+_tagged = lambda s, d: V.named(s, d).select("entity_id", F.element_at(F.array(*[F.lit(x) for x in cleaning.TAG_PRIORITY]), (_number() % 4 + 1).cast("int")).alias("status"), F.col("slug").alias("detail")).union(V.named(s, d).select("entity_id", F.lit("corrected"), F.lit("z")))
+_add(
+    "a2_resolve_tags", lambda s, d: cleaning.resolve_tags(_tagged(s, d)),
+    "SELECT entity_id, list_extract(['needs_retry', 'invalid_name', 'rejected_hallucination', 'corrected'], CAST(substr(entity_id, 5) AS BIGINT) % 4 + 1) AS cleaning_status, slug || '; z' AS audit_note FROM v_named",
+)
+_add(
+    "j11_match_audit_names", lambda s, d: joins.match_audit_names(V.suppliers(s, d).withColumn("original_name", F.lit(None).cast("string")), V.suppliers(s, d).select(F.when(F.col("entity_id") % 2 == 0, F.col("name")).otherwise(F.lower("name")).alias("name"))),
+    "SELECT CASE WHEN entity_id % 2 = 0 THEN name ELSE lower(name) END AS name, entity_id, CASE WHEN entity_id % 2 = 0 THEN 'exact' ELSE 'normalized' END AS tier FROM v_supplier",
+)
+_add("j15_profiles", lambda s, d: joins.organization_profile(V.orgs(s, d), V.events(s, d), _html(s, d).select(F.col("host").alias("organization_slug"), F.col("page_id").cast("string").alias("name"), "url")).select("entity_id", F.size("events").alias("n_events"), F.size("sources").alias("n_sources")), "SELECT entity_id, CAST(least(n, 100) AS INTEGER) AS n_events, CAST(n AS INTEGER) AS n_sources FROM v_org JOIN (SELECT host, count(*) AS n FROM v_page GROUP BY 1) ON host = slug")
+_add("d2_merge_hits", lambda s, d: dedup.merge_hits(_hits(s, d).withColumnsRenamed({"entity_id": "organization_id", "snippet": "content"})))
+_add("d7_stored_candidates", lambda s, d: dedup.stored_candidates(_scored(s, d).withColumn("is_official", F.col("badge")).withColumn("score", F.col("pre_score") * 2)).select("entity_id", "rank", "url", "score"))
+_add("t11_rank_urls", lambda s, d: topk.rank_urls(_hits(s, d).withColumnRenamed("entity_id", "organization_id").join(V.orgs(s, d).select(F.col("entity_id").alias("organization_id"), "website_url"), "organization_id")).select("organization_id", "url", "priority", "rank"))
+_add(
+    "t13_cap_candidates",
+    lambda s, d: topk.cap_candidates(_hits(s, d).withColumnRenamed("entity_id", "organization_id").withColumn("source_rank", F.lit(0)).join(V.orgs(s, d).select(F.col("entity_id").alias("organization_id"), "website_url"), "organization_id"), 5, 2).select("organization_id", "rank", "pos"),
+    f"""SELECT organization_id, rank, pos FROM (SELECT organization_id, row_number() OVER (PARTITION BY organization_id ORDER BY id) AS rank, id AS pos, website_url FROM ({_joined}))
+        WHERE rank <= CASE WHEN coalesce(website_url, '') <> '' THEN 5 ELSE 2 END""",
+)

@@ -114,3 +114,34 @@ def url_safety(c: Column) -> Column:
         .when(private, "private_address")
         .otherwise("ok")
     )
+
+
+def _clean_path(path: Column) -> Column:
+    """A path without ``.`` and ``..`` steps."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+
+    def step(kept, x):
+        back = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+        return F.when(x == "..", back).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+
+    ends = F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    return F.concat(F.array_join(F.aggregate(parts, none, step), "/"), ends)
+
+
+def resolve_url(href: Column, base: Column) -> Column:
+    """An absolute http(s) URL without fragment from a link and the URL of its page; null for other schemes."""
+    h = F.trim(href)
+    site = F.concat(F.lower(_part(base, 1)), F.lit("://"), F.lower(_part(base, 3)), F.when(_part(base, 4) != "", F.concat(F.lit(":"), _part(base, 4))).otherwise(""))
+    path = F.when(_part(base, 5) == "", "/").otherwise(_part(base, 5))
+    bare = F.regexp_replace(h, "#.*$", "")
+    query, steps = F.regexp_extract(bare, r"(\?.*)$", 1), F.regexp_replace(bare, r"\?.*$", "")
+    rooted = F.when(steps.startswith("/"), steps).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), steps))
+    return (
+        F.when(h.rlike("(?i)^https?://"), canonical_url(h))
+        .when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(h.startswith("//"), canonical_url(F.concat(F.lower(_part(base, 1)), F.lit(":"), h)))
+        .when(bare == "", F.concat(site, path, _part(base, 6)))
+        .when(bare.startswith("?"), F.concat(site, path, query))
+        .otherwise(F.concat(site, _clean_path(rooted), query))
+    )
