@@ -422,7 +422,7 @@ _add(
     "SELECT organization_id, title, source_url AS url, relevance_score FROM v_event WHERE title <> '' AND summary <> '' AND relevance_score >= 5 AND NOT regexp_matches(title || ' ' || summary, '(?i)登录|注冊|注册|广告|cookie|404')",
 )
 _add("l9_ingest_events", lambda s, d: model_io.ingest_events(model_io.parse_event_responses(_answers(s, d)), _hits(s, d).withColumnRenamed("entity_id", "organization_id"), V.events(s, d).where("id % 5 = 0").withColumn("id", F.col("id").cast("string")), "2024-01-20", 36500).select("id", "organization_id", "source_url", "relevance_score"))
-_add("k2_next_times", lambda s, d: V.fetches(s, d).select("fetch_id", health.next_times(health.health_class(F.col("status"), F.col("error_code"))["health"], F.col("ts").cast("timestamp_ntz")).alias("n")).select("fetch_id", F.col("n.next_check_at").cast("string").alias("next_check_at")), f"SELECT fetch_id, strftime(CASE WHEN status = 403 THEN TIMESTAMP '9999-12-31 00:00:00' WHEN status = 404 THEN ts + INTERVAL 7 DAY WHEN status = 429 THEN ts + INTERVAL 2 HOUR ELSE ts + INTERVAL 1 HOUR END, '%Y-%m-%d %H:%M:%S') AS next_check_at FROM v_fetch")
+_add("k2_next_times", lambda s, d: V.fetches(s, d).select("fetch_id", health.next_times(health.health_class(F.col("status"), F.col("error_code"))["health"], F.col("ts").cast("timestamp_ntz")).alias("n")).select("fetch_id", F.date_format("n.next_check_at", "yyyy-MM-dd HH:mm:ss").alias("next_check_at")), f"SELECT fetch_id, strftime(CASE WHEN status = 403 THEN TIMESTAMP '9999-12-31 00:00:00' WHEN status = 404 THEN ts + INTERVAL 7 DAY WHEN status = 429 THEN ts + INTERVAL 2 HOUR ELSE ts + INTERVAL 1 HOUR END, '%Y-%m-%d %H:%M:%S') AS next_check_at FROM v_fetch")
 _add(
     "b2_render_digest", lambda s, d: cleaning.render_digest(topk.digest_events(joins.events_with_org(V.events(s, d), V.orgs(s, d), "inner"), 20)),
     f"""SELECT string_agg(k || '. [' || organization_name || '] ' || title || chr(10) || source_url, chr(10) ORDER BY k) AS digest, count(*) AS n

@@ -129,7 +129,7 @@ def article_details(pages: DataFrame) -> DataFrame:
     meta = lambda names: F.try_element_at(F.filter(F.transform(F.filter(metas, lambda m: F.regexp_extract(m, r"""(?is)\b(?:name|property)\s*=\s*["']([^"']+)["']""", 1).isin(names)), lambda m: decode_entities(attribute(m, "content"))), lambda x: x != ""), F.lit(1))
     paragraphs = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), strip_tags)
     first = F.try_element_at(F.filter(paragraphs, lambda p: F.length(p).between(80, 1200) & ~p.rlike("(?i)cookie|privacy|隐私")), F.lit(1))
-    title = F.coalesce(meta(["og:title"]), F.nullif(strip_tags(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)), F.lit("")), T.page_title(F.col("html")))
+    title = F.coalesce(meta(["og:title"]), F.nullif(strip_tags(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)), F.lit("")), F.nullif(T.page_title(F.col("html")), F.lit("")))
     return pages.select("url", title.alias("title"), F.coalesce(meta(["description", "og:description"]), first).alias("summary"), meta(["article:published_time", "datePublished"]).alias("published"))
 
 
@@ -140,7 +140,12 @@ def extract_articles(pages: DataFrame, least: int = 120) -> DataFrame:
     with less than ``least`` characters of body give no row."""
     body = F.col("html")
     ld = F.transform(F.regexp_extract_all(body, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), r"(?s)^\[\s*(\{.*\})\s*\]$", "$1"))
-    from_ld = lambda *keys: F.coalesce(*[F.try_element_at(F.filter(F.transform(ld, lambda x, k=k: F.get_json_object(x, f"$.{k}")), lambda v: F.trim(v) != ""), F.lit(1)) for k in keys])
+
+    def one_of_ld(key: str) -> Column:
+        values = F.transform(ld, lambda x: F.get_json_object(x, f"$.{key}"))
+        return F.try_element_at(F.filter(values, lambda v: (F.trim(v) != "") & ~v.startswith("{")), F.lit(1))
+
+    from_ld = lambda *keys: F.coalesce(*[one_of_ld(k) for k in keys])
     clean = F.regexp_replace(body, r"(?is)<(script|style|noscript|template)\b.*?</\1>", " ")
     parts = [F.regexp_extract(clean, rf"(?is)<{t}\b[^>]*>(.*)</{t}>", 1) for t in ("article", "main")]
 
