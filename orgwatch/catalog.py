@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from . import demo as V
 from .functions import dates as D
+from .functions import normalize as N
 from .functions import text as T
 from .functions import urls as U
 from .operators import dedup, extract, joins, match, model_io, stats, topk, views, writes
 from .operators import predicates as P
-from .plans import cleaning
+from .plans import audit, cleaning
 from .streaming import health
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,7 +108,7 @@ _doc_function("q20_is_suspicious_name", P.is_suspicious_name(F.substring_index(_
 _doc_function("q21_is_definitely_valid", P.is_definitely_valid(F.substring_index(_t, "\n", 1)), f"regexp_matches(string_split(text, chr(10))[1], '^[A-Za-z][A-Za-z\\s''-]{{2,39}}$') OR regexp_matches(string_split(text, chr(10))[1], '(?i)\\b({'|'.join(P.ENTITY_WORDS)})\\b')")
 _tt = "trim(text)"
 _kw = ", ".join(f"CASE WHEN regexp_matches({_tt}, '{p}'){'' if n == 'login' else f' AND length({_tt}) <= 2000'} THEN '{n}' END" for n, p in P.SUMMARY_KEYWORDS)
-_doc_function("q26_is_parked_page", P.is_parked_page(_t), "regexp_matches(text, '(?i)domain (is )?for sale|buy this domain|parked (free|domain)|this domain (may be|is) for sale')")
+_doc_function("q26_is_parked_page", P.is_parked_page(_t), f"regexp_matches(text, '{P.PARKED}')")
 _function("x1_visible_text", T.visible_text(F.col("html")), "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))")
 _function("x2_page_title", T.page_title(F.col("html")), "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))")
 _found = [f"TRY_CAST(regexp_extract(summary || ' ' || source_url, '{D.FOUND}', {g}) AS INTEGER)" for g in (1, 2, 3)]
@@ -458,3 +459,119 @@ _add(
     f"""SELECT organization_id, rank, pos FROM (SELECT organization_id, row_number() OVER (PARTITION BY organization_id ORDER BY id) AS rank, id AS pos, website_url FROM ({_joined}))
         WHERE rank <= CASE WHEN coalesce(website_url, '') <> '' THEN 5 ELSE 2 END""",
 )
+
+# More of the inventory. -------------------------------------------------------------------------------------------
+
+_doc_function("f25_title_of_text", F.substring(T.collapse_ws(_t), 1, 60), "substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 60)")
+_add("f3_norm_ascii_han", lambda s, d: _docs(s, d).select("doc_id", N.norm_ascii_han(_t).alias("value")))
+_add("f4_norm_letters", lambda s, d: _docs(s, d).select("doc_id", N.norm_letters(_t).alias("value")))
+_add("f8_slug", lambda s, d: _docs(s, d).select("doc_id", N.slug(F.substring_index(_t, "\n", 1)).alias("value")))
+_add(
+    "f12_lcs_len", lambda s, d: V.events(s, d).select("id", N.lcs_len(F.substring("title", 1, 40), F.substring("summary", 1, 80)).alias("value")),
+)
+_add("f14_strip_tags", lambda s, d: _over(V.pages, "page_id", extract.strip_tags(F.regexp_extract("html", "<article>(.*)</article>", 1)))(s, d))
+_function("f20_is_official", U.is_official(F.col("source_url"), F.lit("https://www.example.com/x")), f"coalesce({_sh} = 'example.com' OR ends_with({_sh}, '.example.com') OR ends_with('example.com', '.' || {_sh}), false)", V.events, "id", "v_event")
+_add("f21_resolve_url", lambda s, d: extract.page_links(V.pages(s, d).select("page_id", "url", "html")).select("page_id", "pos", "href", "link"))
+_function("f27_time_bucket", D.time_bucket(F.col("relevance_score") * 5), "CASE WHEN relevance_score * 5 <= 1 THEN 'day' WHEN relevance_score * 5 <= 7 THEN 'week' WHEN relevance_score * 5 <= 31 THEN 'month' ELSE 'year' END", V.events, "id", "v_event")
+_noted = F.concat(F.lit("x; suggested_name="), F.col("title"), F.lit("; y"))
+_function("f30_note_field", T.note_field(_noted, "suggested_name"), "nullif(trim(regexp_extract('x; suggested_name=' || title || '; y', 'suggested_name=([^;|]*)', 1)), '')", V.events, "id", "v_event")
+_function("f26_parse_time", F.date_format(D.parse_time(F.col("created_at")), "yyyy-MM-dd'T'HH:mm:ss"), "strftime(strptime(created_at, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%dT%H:%M:%S')", V.events, "id", "v_event")
+_function("f28_structured_field", views.structured_field(F.to_json(F.struct("title", "summary")), "title", F.lit("none")), "CASE WHEN trim(title) <> '' THEN trim(title) ELSE 'none' END", V.events, "id", "v_event")
+_function("q25_is_spam_page", P.is_spam_page(U.host(_u), F.col("html")), "regexp_matches(host, '(^|\\.)(blog|forum|bbs|medium|wordpress|zhihu|reddit|quora)\\.') OR regexp_matches(html, '(?i)powered by wordpress|论坛|博客|讨论区|sign in to continue')")
+_function("q28_content_type_ok", P.content_type_ok(F.element_at(F.array(F.lit("html"), F.lit("rss"), F.lit("api")), (F.col("page_id") % 3 + 1).cast("int")), F.lit("Text/XML; charset=utf-8")), "page_id % 3 = 1")
+_sources = lambda s, d: V.suppliers(s, d).select("entity_id", "name", "country", "region", F.lit(None).cast("int").alias("source_count"), F.lit(None).cast("int").alias("mention_count"), F.when(F.col("entity_id") % 2 == 0, "success").otherwise("odd").alias("search_status"), F.lit(None).cast("string").alias("event_search_status"), F.lit(None).cast("string").alias("cleaning_status"), F.lit(None).cast("string").alias("sources"))
+_add(
+    "p1_organization_view", lambda s, d: views.organization_view(_sources(s, d)),
+    """SELECT entity_id, name, country, region, 0 AS source_count, 1 AS mention_count, CASE WHEN entity_id % 2 = 0 THEN 'success' ELSE 'pending' END AS search_status,
+        'pending' AS event_search_status, 'unreviewed' AS cleaning_status, '[]' AS sources FROM v_supplier""",
+)
+_add(
+    "p7_normalize_input", lambda s, d: views.normalize_input(V.events(s, d).select("id", F.concat(F.lit("  "), "title").alias("title"), F.when(F.col("id") % 2 == 0, " ").otherwise(F.col("event_type")).alias("event_type")), "events"),
+    "SELECT id, trim(title) AS title, CASE WHEN id % 2 = 0 THEN 'other' ELSE event_type END AS event_type FROM v_event",
+)
+_add("q4_filter_core", lambda s, d: P.filter_core(V.named(s, d).withColumn("is_core_tracking", _number() % 2 == 0), True).select("entity_id"), "SELECT entity_id FROM v_named WHERE CAST(substr(entity_id, 5) AS BIGINT) % 2 = 0")
+_tracked = lambda s, d: V.fetches(s, d).select("fetch_id", F.col("ts").cast("timestamp").alias("last_event_searched_at"), F.when(F.col("status") == 200, "pending").when(F.col("status") == 500, "failed").otherwise("success").alias("event_search_status"))
+_add(
+    "q9_due_for_search", lambda s, d: P.due_for_search(_tracked(s, d), "2024-01-15 00:00:00", 24).select("fetch_id"),
+    "SELECT fetch_id FROM v_fetch WHERE status = 200 OR ts < TIMESTAMP '2024-01-14 00:00:00'",
+)
+_add(
+    "q11_needs_translation", lambda s, d: P.needs_translation(_docs(s, d), "text", "doc_id", _docs(s, d).where("doc_id % 3 = 0"), _docs(s, d).where("doc_id % 6 = 0")).select("doc_id"),
+    "SELECT doc_id FROM documents WHERE trim(text) <> '' AND (doc_id % 3 <> 0 OR doc_id % 6 = 0)",
+)
+_white = lambda s, d: V.suppliers(s, d).select(F.col("entity_id").alias("pos"), F.upper("name").alias("name"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("array<string>").alias("aliases"), F.concat(F.lit("s"), F.col("entity_id").cast("string"), F.lit(".org")).alias("domain"))
+_add("j8_match_whitelist", lambda s, d: joins.match_whitelist(V.suppliers(s, d), _white(s, d)).select("entity_id", "whitelist_domain"), "SELECT entity_id, 's' || entity_id || '.org' AS whitelist_domain FROM v_supplier")
+_add(
+    "j9_match_cached", lambda s, d: joins.match_cached(V.suppliers(s, d).withColumn("original_name", F.lit(None).cast("string")), V.suppliers(s, d).where("entity_id % 2 = 0").select((F.col("entity_id") + 1).alias("pos"), F.col("name"), F.lit(None).cast("bigint").alias("entity_id"), F.concat(F.lit("c"), F.col("entity_id").cast("string"), F.lit(".org")).alias("domain"))).select("entity_id", "cached_domain"),
+    "SELECT entity_id, CASE WHEN entity_id % 2 = 0 THEN 'c' || entity_id || '.org' END AS cached_domain FROM v_supplier",
+)
+_results = lambda s, d: V.fetches(s, d).select("fetch_id", F.when(F.col("status") == 200, "news_verified").when(F.col("status") == 403, "official_verified").when(F.col("status") == 404, "candidate").when(F.col("status") == 429, "not_found").otherwise("failed").alias("status"))
+_add(
+    "g8_run_stats", lambda s, d: stats.run_stats(_results(s, d)),
+    """SELECT count(*) AS total, count(*) FILTER (status IN (200, 403)) AS official_verified, count(*) FILTER (status = 200) AS news_verified, count(*) FILTER (status = 404) AS candidate,
+        count(*) FILTER (status = 429) AS not_found, count(*) FILTER (status IS NULL OR status = 500) AS failed FROM v_fetch""",
+)
+_add(
+    "g10_failure_reasons", lambda s, d: V.fetches(s, d).where("error_code is not null").groupBy(stats.failure_reason(F.concat(F.lit("connect "), F.col("error_code"))).alias("reason")).agg(F.count("*").alias("n")),
+    "SELECT 'processing_failed' AS reason, count(*) AS n FROM v_fetch WHERE error_code IS NOT NULL HAVING count(*) > 0",
+)
+_add("t7_lookup", lambda s, d: audit.lookup_institutions(V.orgs(s, d), V.events(s, d), V.orgs(s, d).select(F.col("name").alias("query"))).withColumn("event_titles", F.array_join("event_titles", "|")))
+_add("t14_due_sources", lambda s, d: topk.due_sources(health.source_state(V.fetches(s, d)).withColumn("next_check_at", F.col("next_check_at").cast("timestamp")), "2024-03-01 00:00:00", 20).select("source_id", F.date_format("next_check_at", "yyyy-MM-dd HH:mm:ss").alias("due")))
+_add("d6_union_candidates", lambda s, d: dedup.union_candidates(V.events(s, d).where("id % 2 = 0"), V.events(s, d).where("id % 3 = 0")).select("id", "source_rank"), "SELECT id, 0 AS source_rank FROM v_event WHERE id % 2 = 0 UNION ALL SELECT id, 1 FROM v_event WHERE id % 3 = 0")
+_add(
+    "w3_apply_discovery", lambda s, d: writes.apply_discovery(V.named(s, d).withColumn("search_status", F.lit("pending")), V.named(s, d).where(_number() % 3 == 0).select("entity_id", F.when(_number() % 6 == 0, "https://new.org").alias("website_url"))).select("entity_id", "website_url", "search_status"),
+    """SELECT entity_id, CASE WHEN k % 6 = 0 AND website_url IS NULL THEN 'https://new.org' ELSE website_url END AS website_url,
+        CASE WHEN k % 6 = 0 THEN 'success' WHEN k % 3 = 0 THEN 'failed' ELSE 'pending' END AS search_status FROM (SELECT *, CAST(substr(entity_id, 5) AS BIGINT) AS k FROM v_named )""",
+)
+_add("w6_reset_tracking", lambda s, d: writes.reset_tracking(_sources(s, d), V.events(s, d))[0].select("entity_id", "search_status", "event_search_status"), "SELECT entity_id, 'pending' AS search_status, 'pending' AS event_search_status FROM v_supplier")
+_add("s6_log_complete", lambda s, d: writes.check_log_complete(V.pages(s, d).select((F.col("page_id") % 200 + 1).alias("position"), F.lit(260).alias("total"))))
+_add(
+    "s7_conform_schema", lambda s, d: writes.conform_schema(V.suppliers(s, d), _target(), {"official_domain": ["country"]}, {"kind": "institution"}),
+    "SELECT CAST(entity_id AS VARCHAR) AS entity_id, name, country AS official_domain, 'institution' AS kind, CAST(NULL AS INTEGER) AS founded FROM v_supplier",
+)
+
+
+def _target():
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL("entity_id string, name string, official_domain string, kind string, founded int")
+
+
+_add(
+    "a1_audit_tags", lambda s, d: cleaning.audit_tags(*[V.suppliers(s, d).where(F.col("entity_id") % 4 == i).select(F.col("name").alias("old_name"), F.upper("name").alias("new_name"), "name", F.lower("name").alias("attempted_correction")) for i in range(4)]),
+    """SELECT unnest([name, upper(name)]) AS name, 'corrected' AS status, 'suggested_name=' || upper(name) AS detail FROM v_supplier WHERE entity_id % 4 = 0
+        UNION ALL SELECT name, 'rejected_hallucination', 'attempted_correction=' || lower(name) FROM v_supplier WHERE entity_id % 4 = 1
+        UNION ALL SELECT name, 'invalid_name', 'descriptive_text' FROM v_supplier WHERE entity_id % 4 = 2 UNION ALL SELECT name, 'needs_retry', 'network_error' FROM v_supplier WHERE entity_id % 4 = 3""",
+)
+_status = lambda s, d: V.named(s, d).withColumn("cleaning_status", F.when(_number() % 2 == 0, "corrected")).withColumn("audit_note", F.lit(None).cast("string")).withColumn("retry_count", F.lit(None).cast("int"))
+_add(
+    "a3_sync_audit", lambda s, d: audit.sync_audit(_status(s, d), V.named(s, d).where(_number() % 3 == 0).select("entity_id", F.when(_number() % 9 == 0, "invalid_name").otherwise("valid").alias("status"), F.lit("d").alias("detail"))).select("entity_id", "cleaning_status", "audit_note"),
+    """SELECT entity_id, CASE WHEN k % 9 = 0 THEN 'invalid_name' WHEN k % 2 = 0 THEN 'corrected' WHEN k % 3 = 0 THEN 'valid' ELSE 'unreviewed' END AS cleaning_status,
+        CASE WHEN k % 9 = 0 OR (k % 3 = 0 AND k % 2 <> 0) THEN 'd' END AS audit_note FROM (SELECT *, CAST(substr(entity_id, 5) AS BIGINT) AS k FROM v_named )""",
+)
+_add(
+    "a4_apply_retries", lambda s, d: audit.apply_retries(_status(s, d), V.named(s, d).where(_number() % 5 == 0).select("entity_id", F.when(_number() % 10 == 0, "VALID").alias("verdict"), F.lit("n").alias("note")), V.named(s, d).where(_number() % 3 == 0)).select("entity_id", "cleaning_status", "retry_count"),
+    """SELECT entity_id, CASE WHEN k % 10 = 0 THEN 'valid' WHEN k % 5 = 0 THEN 'needs_retry' WHEN k % 3 = 0 THEN 'valid_confirmed' WHEN k % 2 = 0 THEN 'corrected' END AS cleaning_status,
+        CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS retry_count FROM (SELECT *, CAST(substr(entity_id, 5) AS BIGINT) AS k FROM v_named )""",
+)
+_add(
+    "b1_digest_run", lambda s, d: cleaning.digest_run(_timed(s, d), V.orgs(s, d), V.orgs(s, d).select(F.lit("a").alias("window_start"), F.lit("b").alias("window_end"), F.lit("c").alias("content_hash"), F.lit("pushed").alias("status")), *_hours()).select("event_count", "action", "content_hash"),
+    """SELECT count(*) AS event_count, 'create' AS action, sha256('06:00:00|18:00:00|' || coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY relevance_score DESC, c DESC, id), '')) AS content_hash FROM (
+        SELECT id, relevance_score, substr(created_at, 12) AS c FROM v_event WHERE substr(created_at, 12) >= '06:00:00' AND substr(created_at, 12) < '18:00:00' AND relevance_score >= 6 ORDER BY relevance_score DESC, c DESC, id LIMIT 60)""",
+)
+_add("c5_import", lambda s, d: audit.import_organizations(V.named(s, d).select(_number().alias("pos"), "name", F.col("website_url").alias("domain")), V.orgs(s, d))[0].select("slug", "name", "website_url"))
+_add("c6_name_requests", lambda s, d: audit.name_requests(V.orgs(s, d).withColumn("name", F.concat(F.lit("平台 "), "name")), V.events(s, d)))
+_add("l5_validate_digest", lambda s, d: V.events(s, d).select("id", audit.validate_digest(F.to_json(F.struct(F.col("title").alias("headline"), F.array("title").alias("keyDevelopments"), F.array().cast("array<string>").alias("crossInstitutionTrends"), F.array("title").alias("implications"), F.array("title").alias("watchlist"))), F.lit(True)).alias("valid")), "SELECT id, trim(title) <> '' AS valid FROM v_event")
+_add("l6_parse_score", lambda s, d: V.events(s, d).select("id", cleaning.parse_score(F.when(F.col("id") % 2 == 0, F.concat(F.lit('{"score": '), F.col("relevance_score").cast("string"), F.lit("}"))).otherwise(F.concat(F.lit("Score - "), F.col("relevance_score").cast("string")))).alias("score")), "SELECT id, CAST(relevance_score AS DOUBLE) AS score FROM v_event")
+_add("l7_parse_verdict", lambda s, d: V.events(s, d).select("id", model_io.parse_verdict(F.to_json(F.struct(F.when(F.col("id") % 3 == 0, "CORRECTED").otherwise("VALID").alias("status"), F.substring("title", 1, 100).alias("name"))))["status"].alias("status")), "SELECT id, CASE WHEN id % 3 <> 0 THEN 'VALID' WHEN length(trim(substr(title, 1, 100))) >= 2 THEN 'CORRECTED' END AS status FROM v_event")
+_add(
+    "l10_apply_translations", lambda s, d: cleaning.apply_translations(V.events(s, d), V.events(s, d).where("id % 2 = 0").select("id", F.lower("title").alias("t")), "id", {"translated_title": "t"}).select("id", "title", "translated_title"),
+    "SELECT id, title, CASE WHEN id % 2 = 0 AND trim(title) <> '' THEN lower(title) END AS translated_title FROM v_event",
+)
+_add("l11_apply_profiles", lambda s, d: audit.apply_profiles(V.named(s, d).withColumn("summary", F.lit(None).cast("string")), V.named(s, d).where(_number() % 2 == 0).select("entity_id", F.col("slug").alias("text")), V.named(s, d).where(_number() % 4 == 0).select("entity_id", F.lit("told").alias("profile"))).select("entity_id", "description", "summary"))
+_evidence = lambda s, d: _hits(s, d).select("entity_id", F.element_at(F.array(*[F.lit(x) for x in ("registered", "wiki", "guess", "search")]), (F.col("pos") % 4 + 1).cast("int")).alias("tier"), "url", (F.col("pos") * 7 % 101).cast("int").alias("confidence"), F.when(F.col("pos") % 2 == 0, F.col("url")).alias("news_url"))
+_add("m14_decide_site", lambda s, d: audit.decide_site(V.orgs(s, d).withColumn("entity_type", F.when(F.length("slug") % 6 == 0, "地区").otherwise("高校")), _evidence(s, d)))
+_add("m1_identity_terms", lambda s, d: match.identity_terms(V.orgs(s, d).withColumn("aliases", F.array(F.concat(F.lit("The "), "name")))).select("entity_id", F.array_join("terms", "|").alias("terms"), F.array_join("core_terms", "|").alias("core_terms")))
+_add("m12_supported_corrections", lambda s, d: audit.supported_corrections(V.orgs(s, d).select("entity_id", "name", "slug", F.substring("name", 1, 5).alias("corrected"), F.lit("").alias("context"))).select("entity_id", "corrected"))
+_add("k7_changed_pages", lambda s, d: health.cycle_stats(health.changed_pages(V.pages(s, d).select(F.col("page_id").alias("source_id"), F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status"), F.col("html").alias("body")), V.pages(s, d).where("page_id % 2 = 0").select(F.col("page_id").alias("source_id"), F.sha2("html", 256).alias("content_hash")))), "SELECT count(*) AS checked, count(*) FILTER (page_id % 7 <> 0 AND page_id % 2 <> 0) AS changed, count(*) FILTER (page_id % 7 = 0) AS failed FROM v_page")
+_add("q27_catalog_violations", lambda s, d: audit.catalog_violations(V.suppliers(s, d).select("name", F.when(F.col("entity_id") % 9 == 0, "odd").otherwise("lab").alias("entity_type"), "country", "region", F.lit("sure").alias("location_confidence")), s.createDataFrame([("0{7}[0-9]$", 5, 1)], "pattern string, min_chars int, min_words int"), ["lab"], ["none"]))

@@ -20,6 +20,7 @@ BAD_SEGMENTS = ["blog", "article", "post", "video", "login", "register", "shop",
 SUMMARY_KEYWORDS = [
     ("copyright", "(?i)版权所有|copyright"), ("icp", r"(?i)ICP备案|icp\s*(备案|beian)"), ("login", "登录|注册"), ("navigation", "首页|联系我们|广告"), ("cookie", "(?i)cookie|隐私政策"),
 ]
+PARKED = r"(?i)domain (is )?for sale|buy this domain|parked (free|domain)|sedo domain parking|afternic|hugedomains|dan\.com/buy-domain|该域名出售|域名正在出售"
 ORG_SEARCH = ("name", "description", "summary", "context")
 
 
@@ -48,9 +49,10 @@ def search_events(df: DataFrame, text: str, columns: tuple[str, ...], literal: b
 
 
 def institution_query(c: Column) -> Column:
-    """The institution that a question is about: what precedes or follows the words of the question."""
-    bare = F.regexp_replace(c, r"(?i)[?？。!！]|\b(what|which|tell me|show|latest|recent|news|events?|about|of|from|the|on|for|is|are)\b|有哪些|最近|最新|新闻|动态|事件|介绍|关于|请问|一下", " ")
-    return T.collapse_ws(bare)
+    """The institution that a question names, by the ending of its name; else the question without its marks."""
+    bare = F.substring(F.trim(F.regexp_replace(c, "[？?。！!，,；;：:]", " ")), 1, 200)
+    named = F.regexp_extract(bare, r"[\x{4E00}-\x{9FFF}A-Za-z0-9·&（）()-]{2,80}(大学|学院|研究院|研究所|实验室|基金会|公司|协会)", 0)
+    return F.trim(F.when(named != "", named).otherwise(bare))
 
 
 def filter_core(df: DataFrame, core: bool | None) -> DataFrame:
@@ -169,7 +171,7 @@ def is_spam_page(h: Column, text: Column) -> Column:
 
 
 def is_parked_page(text: Column) -> Column:
-    return text.rlike("(?i)domain (is )?for sale|buy this domain|parked (free|domain)|this domain (may be|is) for sale")
+    return text.rlike(PARKED)
 
 
 def content_type_ok(source_type: Column, content_type: Column) -> Column:
