@@ -72,7 +72,8 @@ def mix_slots(sources: DataFrame, seed: int, block_words: int, shard_slots: int,
     tasks = max(8, -(-int(words / block_words) // slots_a_task))
     blocks = F.ceil(F.col("source_size") / block_words)
     slots = F.when(F.col("source_size") > 0, F.col("target") * blocks / F.col("source_size")).otherwise(0.0)
-    everything = Window.partitionBy(F.lit(0))
+    # Sums of fractions in a fixed order, so that reruns agree to the last digit.
+    everything = Window.orderBy("_sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     shards = F.greatest(F.lit(1.0), F.round(F.sum(slots).over(everything) / shard_slots))
     planned = sources.select("_sid", blocks.alias("_blocks"), shards.cast("long").alias("_shards"), (slots / shards).alias("_mean"))
     planned = planned.withColumn("_whole", F.floor("_mean")).withColumn("_part", F.col("_mean") - F.floor("_mean"))
