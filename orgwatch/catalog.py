@@ -31,11 +31,11 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
 # Column functions: over the URLs of pages, the texts of documents and other columns. ------------------------------
 
 
-def _over(view: Callable[[SparkSession, str], DataFrame], key: str, column: Column) -> Query:
-    return lambda spark, d: view(spark, d).select(key, column.alias("value"))
+def _over(view: Callable[[SparkSession, str], DataFrame], key: str, column: Callable[[], Column]) -> Query:
+    return lambda spark, d: view(spark, d).select(key, column().alias("value"))
 
 
-def _function(name: str, column: Column, sql: str, view=V.pages, key: str = "page_id", frm: str = "v_page") -> None:
+def _function(name: str, column: Callable[[], Column], sql: str, view=V.pages, key: str = "page_id", frm: str = "v_page") -> None:
     _add(name, _over(view, key, column), f"SELECT {key}, {sql} AS value FROM {frm}")
 
 
@@ -43,7 +43,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents")
 
 
-_u = F.col("url")
+_u = lambda: F.col("url")  # noqa: E731  columns need a session, this module must not
 _p = [V.sql_part("url", g) for g in range(8)]
 _host = V.sql_host("url")
 _full = "CASE WHEN regexp_matches({c}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {c} ELSE 'https://' || {c} END"
@@ -51,79 +51,80 @@ _under = lambda h, roots: f"regexp_matches({h}, '(^|\\.)({'|'.join(r.replace('.'
 _canonical = f"""CASE WHEN lower({_p[1]}) IN ('http', 'https') THEN lower({_p[1]}) || '://' || CASE WHEN {_p[2]} <> '' THEN {_p[2]} || '@' ELSE '' END || lower({_p[3]})
     || CASE WHEN {_p[4]} = '' OR (lower({_p[1]}) = 'http' AND {_p[4]} = '80') OR (lower({_p[1]}) = 'https' AND {_p[4]} = '443') THEN '' ELSE ':' || {_p[4]} END
     || CASE WHEN rtrim({_p[5]}) = '' THEN '/' ELSE rtrim({_p[5]}) END || rtrim({_p[6]}) END"""
-_function("f15_canonical_url", U.canonical_url(_u), _canonical)
-_function("f16_host", U.host(_u), _host)
+_function("f15_canonical_url", lambda: U.canonical_url(_u()), _canonical)
+_function("f16_host", lambda: U.host(_u()), _host)
 _key = "regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '[/?#].*$', ''), '^www\\.', '')"
 _labels = f"list_filter(string_split({_key}, '.'), lambda x: x <> '')"
 _two = ", ".join(f"'{x}'" for x in U.TWO_PART_SUFFIXES)
 _function(
-    "f17_site_key", U.site_key(_u),
+    "f17_site_key", lambda: U.site_key(_u()),
     f"CASE WHEN len({_labels}) < 2 THEN {_key} WHEN len({_labels}) >= 3 AND array_to_string({_labels}[-2:], '.') IN ({_two}) THEN array_to_string({_labels}[-3:], '.') ELSE array_to_string({_labels}[-2:], '.') END",
 )
 _hl = "string_split(host, '.')"
 _second = ", ".join(f"'{x}'" for x in U.SECOND_LEVEL)
 _suffix = f"CASE WHEN len({_hl}) < 2 THEN '.' || host WHEN len({_hl}) >= 3 AND {_hl}[-2] IN ({_second}) THEN '.' || array_to_string({_hl}[-3:], '.') ELSE '.' || array_to_string({_hl}[-2:], '.') END"
-_function("f18_domain_suffix", U.domain_suffix(_u), _suffix)
+_function("f18_domain_suffix", lambda: U.domain_suffix(_u()), _suffix)
 _official = f"CASE WHEN regexp_matches(host, '^({U.LABEL}\\.)+[a-z]{{2,63}}$') AND length(host) <= 253 AND NOT {_under('host', U.PLATFORM_ROOTS)} THEN host END"
-_function("f19_official_domain", U.official_domain(_u), _official)
+_function("f19_official_domain", lambda: U.official_domain(_u()), _official)
 _parts = f"list_filter(string_split({_p[5]}, '/'), lambda x: x <> '')"
-_function("f22_article_id", U.article_id(_u), f"CASE WHEN len({_parts}) > 0 THEN url_decode({_parts}[-1]) ELSE host END")
-_function("q12_is_platform_host", U.is_platform_host(U.host(_u)), _under("host", U.PLATFORM_ROOTS))
-_function("q14_is_low_quality_url", P.is_low_quality_url(_u), f"coalesce({_under('host', U.UGC_DOMAINS)} OR list_has_any({_hl}, ['blog', 'blogs', 'forum', 'forums', 'bbs']), true)")
-_function("q15_is_rejected_url", P.is_rejected_url(_u), f"coalesce({_under('host', U.PLATFORM_ROOTS)} OR regexp_matches(lower({_p[5]}), '\\.(pdf|docx?|xlsx?|pptx?|zip|rar|csv|jpg|png)$'), true)")
-_function("q16_url_safety", U.url_safety(_u), f"CASE WHEN lower({_p[1]}) = '' THEN 'invalid_url' WHEN lower({_p[1]}) NOT IN ('http', 'https') THEN 'unsupported_protocol' WHEN {_p[2]} <> '' THEN 'credentials_not_allowed' WHEN regexp_matches(lower({_p[3]}), '^(localhost|10\\.|127\\.)') THEN 'private_address' ELSE 'ok' END")
+_function("f22_article_id", lambda: U.article_id(_u()), f"CASE WHEN len({_parts}) > 0 THEN url_decode({_parts}[-1]) ELSE host END")
+_function("q12_is_platform_host", lambda: U.is_platform_host(U.host(_u())), _under("host", U.PLATFORM_ROOTS))
+_function("q13_is_blocked_host", lambda: U.is_blocked_host(U.host(_u())), _under("host", U.BLOCKED_DOMAINS))
+_function("q14_is_low_quality_url", lambda: P.is_low_quality_url(_u()), f"coalesce({_under('host', U.LOW_QUALITY_DOMAINS)} OR list_has_any({_hl}, ['blog', 'blogs', 'forum', 'forums', 'bbs']), true)")
+_function("q15_is_rejected_url", lambda: P.is_rejected_url(_u()), f"coalesce({_under('host', U.PLATFORM_ROOTS)} OR regexp_matches(lower({_p[5]}), '\\.(pdf|docx?|xlsx?|pptx?|zip|rar|csv|jpg|png)$'), true)")
+_function("q16_url_safety", lambda: U.url_safety(_u()), f"CASE WHEN lower({_p[1]}) = '' THEN 'invalid_url' WHEN lower({_p[1]}) NOT IN ('http', 'https') THEN 'unsupported_protocol' WHEN {_p[2]} <> '' THEN 'credentials_not_allowed' WHEN regexp_matches(lower({_p[3]}), '^(localhost|10\\.|127\\.)') THEN 'private_address' ELSE 'ok' END")
 _seg = f"list_filter(list_transform(string_split({_p[5]}, '/'), lambda x: lower(trim(x))), lambda x: x <> '')"
 _bad = ", ".join(f"'{x}'" for x in P.BAD_SEGMENTS)
 _function(
-    "q23_website_rules", F.array_join(P.website_rules(_u), ","),
+    "q23_website_rules", lambda: F.array_join(P.website_rules(_u()), ","),
     f"""array_to_string(list_filter([CASE WHEN {_under('host', U.UGC_DOMAINS)} THEN 'platform' END, CASE WHEN list_has_any({_seg}, [{_bad}]) THEN 'path' END,
         CASE WHEN {_seg}[1] = 'news' AND len({_seg}) > 1 THEN 'news_path' END, CASE WHEN len({_seg}) > 5 THEN 'deep_path' END], lambda x: x IS NOT NULL), ',')""",
 )
 
-_t = F.col("text")
+_t = lambda: F.col("text")
 
 
-def _doc_function(name: str, column: Column, sql: str) -> None:
+def _doc_function(name: str, column: Callable[[], Column], sql: str) -> None:
     _function(name, column, sql, _docs, "doc_id", "documents")
 
 
-_doc_function("f1_collapse_ws", T.collapse_ws(_t), "trim(regexp_replace(text, '\\s+', ' ', 'g'))")
-_doc_function("f2_strip_controls", T.strip_controls(_t), "trim(regexp_replace(text, '[\\x{0000}-\\x{001F}\\x{007F}\\x{00A0}\\x{3000} ]+', ' ', 'g'))")
-_doc_function("f5_title_key", T.title_key(_t), "regexp_replace(lower(text), '[\\s\\p{P}\\p{S}_]+', '', 'g')")
-_doc_function("f6_norm_name", T.norm_name(_t), "trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'))")
-_doc_function("f6_loose_name", T.loose_name(_t), "regexp_replace(lower(text), '[^a-z0-9\\x{3400}-\\x{9FFF}]+', '', 'g')")
-_doc_function("f9_canonical_name", T.canonical_name(F.substring_index(_t, "\n", 1)), "trim(regexp_replace(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[(（\\[【][^)）\\]】]*[)）\\]】]', ' ', 'g'), '[\\s,-]*(19|20)[0-9][0-9]\\s*$', '', 'g'), '\\s+', ' ', 'g'))")
+_doc_function("f1_collapse_ws", lambda: T.collapse_ws(_t()), "trim(regexp_replace(text, '\\s+', ' ', 'g'))")
+_doc_function("f2_strip_controls", lambda: T.strip_controls(_t()), "trim(regexp_replace(text, '[\\x{0000}-\\x{001F}\\x{007F}\\x{00A0}\\x{3000} ]+', ' ', 'g'))")
+_doc_function("f5_title_key", lambda: T.title_key(_t()), "regexp_replace(lower(text), '[\\s\\p{P}\\p{S}_]+', '', 'g')")
+_doc_function("f6_norm_name", lambda: T.norm_name(_t()), "trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'))")
+_doc_function("f6_loose_name", lambda: T.loose_name(_t()), "regexp_replace(lower(text), '[^a-z0-9\\x{3400}-\\x{9FFF}]+', '', 'g')")
+_doc_function("f9_canonical_name", lambda: T.canonical_name(F.substring_index(_t(), "\n", 1)), "trim(regexp_replace(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[(（\\[【][^)）\\]】]*[)）\\]】]', ' ', 'g'), '[\\s,-]*(19|20)[0-9][0-9]\\s*$', '', 'g'), '\\s+', ' ', 'g'))")
 _han = "len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]'))"
-_doc_function("f10_han_ratio", T.han_ratio(_t), f"CASE WHEN length(regexp_replace(text, '\\s+', '', 'g')) > 0 THEN {_han} / length(regexp_replace(text, '\\s+', '', 'g')) ELSE 0.0 END")
+_doc_function("f10_han_ratio", lambda: T.han_ratio(_t()), f"CASE WHEN length(regexp_replace(text, '\\s+', '', 'g')) > 0 THEN {_han} / length(regexp_replace(text, '\\s+', '', 'g')) ELSE 0.0 END")
 _stop = "len(regexp_extract_all(lower(text), '\\b(the|and|of|to|in|a|an|is|are|this|that)\\b'))"
 _wordn = "len(regexp_extract_all(lower(text), '[a-z]+'))"
 _ratio = f"CASE WHEN {_han} >= 20 THEN len(regexp_extract_all(text, '[{T.CHINESE_STOPWORDS}]')) / {_han} WHEN {_wordn} >= 10 THEN {_stop} / {_wordn} END"
-_doc_function("f13_truncate_marked", T.truncate_marked(_t), "CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END")
-_doc_function("f31_error_class", T.error_class(_t), "CASE WHEN regexp_matches(text, '(?i)timeout|timed out|ETIMEDOUT') THEN 'api_timeout' WHEN regexp_matches(text, '(?i)network|ECONN|ENOTFOUND|fetch failed|HTTP 5[0-9][0-9]') THEN 'network_error' WHEN regexp_matches(text, '(?i)empty completion|empty response|no response') THEN 'network_error' ELSE 'llm_parse_failed' END")
+_doc_function("f13_truncate_marked", lambda: T.truncate_marked(_t()), "CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END")
+_doc_function("f31_error_class", lambda: T.error_class(_t()), "CASE WHEN regexp_matches(text, '(?i)timeout|timed out|ETIMEDOUT') THEN 'api_timeout' WHEN regexp_matches(text, '(?i)network|ECONN|ENOTFOUND|fetch failed|HTTP 5[0-9][0-9]') THEN 'network_error' WHEN regexp_matches(text, '(?i)empty completion|empty response|no response') THEN 'network_error' ELSE 'llm_parse_failed' END")
 _snip = "|".join(P.SNIPPET_GARBAGE)
 _short, _garb = "length(trim(text)) < 20", f"regexp_matches(lower(text), '{_snip}')"
-_doc_function("q8_snippet_quality", P.snippet_quality(_t), f"CASE WHEN {_short} AND {_garb} THEN 'both' WHEN {_short} THEN 'too_short' WHEN {_garb} THEN 'garbage' ELSE 'ok' END")
-_doc_function("q18_is_invalid_name", P.is_invalid_name(_t), "text IS NULL OR trim(text) = '' OR regexp_matches(text, '<.*>') OR regexp_matches(lower(text), '</?(div|a|span)')")
-_doc_function("q20_is_suspicious_name", P.is_suspicious_name(F.substring_index(_t, "\n", 1)), f"length(string_split(text, chr(10))[1]) > 20 OR regexp_matches(string_split(text, chr(10))[1], '{'|'.join(P.NAME_MARKERS)}')")
-_doc_function("q21_is_definitely_valid", P.is_definitely_valid(F.substring_index(_t, "\n", 1)), f"regexp_matches(string_split(text, chr(10))[1], '^[A-Za-z][A-Za-z\\s''-]{{2,39}}$') OR regexp_matches(string_split(text, chr(10))[1], '(?i)\\b({'|'.join(P.ENTITY_WORDS)})\\b')")
+_doc_function("q8_snippet_quality", lambda: P.snippet_quality(_t()), f"CASE WHEN {_short} AND {_garb} THEN 'both' WHEN {_short} THEN 'too_short' WHEN {_garb} THEN 'garbage' ELSE 'ok' END")
+_doc_function("q18_is_invalid_name", lambda: P.is_invalid_name(_t()), "text IS NULL OR trim(text) = '' OR regexp_matches(text, '<.*>') OR regexp_matches(lower(text), '</?(div|a|span)')")
+_doc_function("q20_is_suspicious_name", lambda: P.is_suspicious_name(F.substring_index(_t(), "\n", 1)), f"length(string_split(text, chr(10))[1]) > 20 OR regexp_matches(string_split(text, chr(10))[1], '{'|'.join(P.NAME_MARKERS)}')")
+_doc_function("q21_is_definitely_valid", lambda: P.is_definitely_valid(F.substring_index(_t(), "\n", 1)), f"regexp_matches(string_split(text, chr(10))[1], '^[A-Za-z][A-Za-z\\s''-]{{2,39}}$') OR regexp_matches(string_split(text, chr(10))[1], '(?i)\\b({'|'.join(P.ENTITY_WORDS)})\\b')")
 _tt = "trim(text)"
 _kw = ", ".join(f"CASE WHEN regexp_matches({_tt}, '{p}'){'' if n == 'login' else f' AND length({_tt}) <= 2000'} THEN '{n}' END" for n, p in P.SUMMARY_KEYWORDS)
-_doc_function("q26_is_parked_page", P.is_parked_page(_t), f"regexp_matches(text, '{P.PARKED}')")
-_function("x1_visible_text", T.visible_text(F.col("html")), "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))")
-_function("x2_page_title", T.page_title(F.col("html")), "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))")
+_doc_function("q26_is_parked_page", lambda: P.is_parked_page(_t()), f"regexp_matches(text, '{P.PARKED}')")
+_function("x1_visible_text", lambda: T.visible_text(F.col("html")), "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))")
+_function("x2_page_title", lambda: T.page_title(F.col("html")), "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))")
 _found = [f"TRY_CAST(regexp_extract(summary || ' ' || source_url, '{D.FOUND}', {g}) AS INTEGER)" for g in (1, 2, 3)]
 _function(
-    "f23_event_date_from", D.event_date_from(F.col("summary"), F.col("source_url")),
+    "f23_event_date_from", lambda: D.event_date_from(F.col("summary"), F.col("source_url")),
     f"coalesce(strftime(make_date({_found[0]}, 1, 1) + to_months({_found[1]} - 1) + to_days({_found[2]} - 1), '%Y-%m-%d'), 'unknown')", V.events, "id", "v_event",
 )
 _valid_date = "CASE WHEN regexp_matches(trim(event_date), '^[1-9][0-9]{3}-[0-9]{2}-[0-9]{2}($|[T\\s])') AND TRY_CAST(substr(trim(event_date), 1, 10) AS DATE) IS NOT NULL THEN trim(event_date) END"
-_function("f24_valid_event_date", D.valid_event_date(F.col("event_date")), _valid_date, V.events, "id", "v_event")
+_function("f24_valid_event_date", lambda: D.valid_event_date(F.col("event_date")), _valid_date, V.events, "id", "v_event")
 _category = "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(event_type, '')), '{'|'.join(w)}') THEN '{k}'" for k, w in T.CATEGORIES.items()) + " ELSE 'other' END"
-_function("f29_category", T.category(F.col("event_type")), _category, V.events, "id", "v_event")
+_function("f29_category", lambda: T.category(F.col("event_type")), _category, V.events, "id", "v_event")
 _garbage = f"regexp_matches(lower(title || chr(10) || summary), '{'|'.join(P.GARBAGE_WORDS)}')"
-_function("q7_is_garbage_event", P.is_garbage_event(F.col("title"), F.col("summary")), _garbage, V.events, "id", "v_event")
-_add("f11_stopword_ratio", lambda s, d: _docs(s, d).select("doc_id", F.round(T.stopword_ratio(_t), 9).alias("value")))
-_add("q24_summary_rules", lambda s, d: _docs(s, d).select("doc_id", F.array_join(P.summary_rules(_t), ",").alias("value")))
+_function("q7_is_garbage_event", lambda: P.is_garbage_event(F.col("title"), F.col("summary")), _garbage, V.events, "id", "v_event")
+_add("f11_stopword_ratio", lambda s, d: _docs(s, d).select("doc_id", F.round(T.stopword_ratio(_t()), 9).alias("value")))
+_add("q24_summary_rules", lambda s, d: _docs(s, d).select("doc_id", F.array_join(P.summary_rules(_t()), ",").alias("value")))
 
 # Projections. -----------------------------------------------------------------------------------------------------
 
@@ -462,23 +463,23 @@ _add(
 
 # More of the inventory. -------------------------------------------------------------------------------------------
 
-_doc_function("f25_title_of_text", F.substring(T.collapse_ws(_t), 1, 60), "substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 60)")
-_add("f3_norm_ascii_han", lambda s, d: _docs(s, d).select("doc_id", N.norm_ascii_han(_t).alias("value")))
-_add("f4_norm_letters", lambda s, d: _docs(s, d).select("doc_id", N.norm_letters(_t).alias("value")))
-_add("f8_slug", lambda s, d: _docs(s, d).select("doc_id", N.slug(F.substring_index(_t, "\n", 1)).alias("value")))
+_doc_function("f25_title_of_text", lambda: F.substring(T.collapse_ws(_t()), 1, 60), "substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 60)")
+_add("f3_norm_ascii_han", lambda s, d: _docs(s, d).select("doc_id", N.norm_ascii_han(_t()).alias("value")))
+_add("f4_norm_letters", lambda s, d: _docs(s, d).select("doc_id", N.norm_letters(_t()).alias("value")))
+_add("f8_slug", lambda s, d: _docs(s, d).select("doc_id", N.slug(F.substring_index(_t(), "\n", 1)).alias("value")))
 _add(
     "f12_lcs_len", lambda s, d: V.events(s, d).select("id", N.lcs_len(F.substring("title", 1, 40), F.substring("summary", 1, 80)).alias("value")),
 )
-_add("f14_strip_tags", lambda s, d: _over(V.pages, "page_id", extract.strip_tags(F.regexp_extract("html", "<article>(.*)</article>", 1)))(s, d))
-_function("f20_is_official", U.is_official(F.col("source_url"), F.lit("https://www.example.com/x")), f"coalesce({_sh} = 'example.com' OR ends_with({_sh}, '.example.com') OR ends_with('example.com', '.' || {_sh}), false)", V.events, "id", "v_event")
+_add("f14_strip_tags", lambda s, d: _over(V.pages, "page_id", lambda: extract.strip_tags(F.regexp_extract("html", "<article>(.*)</article>", 1)))(s, d))
+_function("f20_is_official", lambda: U.is_official(F.col("source_url"), F.lit("https://www.example.com/x")), f"coalesce({_sh} = 'example.com' OR ends_with({_sh}, '.example.com') OR ends_with('example.com', '.' || {_sh}), false)", V.events, "id", "v_event")
 _add("f21_resolve_url", lambda s, d: extract.page_links(V.pages(s, d).select("page_id", "url", "html")).select("page_id", "pos", "href", "link"))
-_function("f27_time_bucket", D.time_bucket(F.col("relevance_score") * 5), "CASE WHEN relevance_score * 5 <= 1 THEN 'day' WHEN relevance_score * 5 <= 7 THEN 'week' WHEN relevance_score * 5 <= 31 THEN 'month' ELSE 'year' END", V.events, "id", "v_event")
-_noted = F.concat(F.lit("x; suggested_name="), F.col("title"), F.lit("; y"))
-_function("f30_note_field", T.note_field(_noted, "suggested_name"), "nullif(trim(regexp_extract('x; suggested_name=' || title || '; y', 'suggested_name=([^;|]*)', 1)), '')", V.events, "id", "v_event")
-_function("f26_parse_time", F.date_format(D.parse_time(F.col("created_at")), "yyyy-MM-dd'T'HH:mm:ss"), "strftime(strptime(created_at, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%dT%H:%M:%S')", V.events, "id", "v_event")
-_function("f28_structured_field", views.structured_field(F.to_json(F.struct("title", "summary")), "title", F.lit("none")), "CASE WHEN trim(title) <> '' THEN trim(title) ELSE 'none' END", V.events, "id", "v_event")
-_function("q25_is_spam_page", P.is_spam_page(U.host(_u), F.col("html")), "regexp_matches(host, '(^|\\.)(blog|forum|bbs|medium|wordpress|zhihu|reddit|quora)\\.') OR regexp_matches(html, '(?i)powered by wordpress|论坛|博客|讨论区|sign in to continue')")
-_function("q28_content_type_ok", P.content_type_ok(F.element_at(F.array(F.lit("html"), F.lit("rss"), F.lit("api")), (F.col("page_id") % 3 + 1).cast("int")), F.lit("Text/XML; charset=utf-8")), "page_id % 3 = 1")
+_function("f27_time_bucket", lambda: D.time_bucket(F.col("relevance_score") * 5), "CASE WHEN relevance_score * 5 <= 1 THEN 'day' WHEN relevance_score * 5 <= 7 THEN 'week' WHEN relevance_score * 5 <= 31 THEN 'month' ELSE 'year' END", V.events, "id", "v_event")
+_noted = lambda: F.concat(F.lit("x; suggested_name="), F.col("title"), F.lit("; y"))
+_function("f30_note_field", lambda: T.note_field(_noted(), "suggested_name"), "nullif(trim(regexp_extract('x; suggested_name=' || title || '; y', 'suggested_name=([^;|]*)', 1)), '')", V.events, "id", "v_event")
+_function("f26_parse_time", lambda: F.date_format(D.parse_time(F.col("created_at")), "yyyy-MM-dd'T'HH:mm:ss"), "strftime(strptime(created_at, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%dT%H:%M:%S')", V.events, "id", "v_event")
+_function("f28_structured_field", lambda: views.structured_field(F.to_json(F.struct("title", "summary")), "title", F.lit("none")), "CASE WHEN trim(title) <> '' THEN trim(title) ELSE 'none' END", V.events, "id", "v_event")
+_function("q25_is_spam_page", lambda: P.is_spam_page(U.host(_u()), F.col("html")), "regexp_matches(host, '(^|\\.)(blog|forum|bbs|medium|wordpress|zhihu|reddit|quora)\\.') OR regexp_matches(html, '(?i)powered by wordpress|论坛|博客|讨论区|sign in to continue')")
+_function("q28_content_type_ok", lambda: P.content_type_ok(F.element_at(F.array(F.lit("html"), F.lit("rss"), F.lit("api")), (F.col("page_id") % 3 + 1).cast("int")), F.lit("Text/XML; charset=utf-8")), "page_id % 3 = 1")
 _sources = lambda s, d: V.suppliers(s, d).select("entity_id", "name", "country", "region", F.lit(None).cast("int").alias("source_count"), F.lit(None).cast("int").alias("mention_count"), F.when(F.col("entity_id") % 2 == 0, "success").otherwise("odd").alias("search_status"), F.lit(None).cast("string").alias("event_search_status"), F.lit(None).cast("string").alias("cleaning_status"), F.lit(None).cast("string").alias("sources"))
 _add(
     "p1_organization_view", lambda s, d: views.organization_view(_sources(s, d)),
@@ -575,3 +576,22 @@ _add("m1_identity_terms", lambda s, d: match.identity_terms(V.orgs(s, d).withCol
 _add("m12_supported_corrections", lambda s, d: audit.supported_corrections(V.orgs(s, d).select("entity_id", "name", "slug", F.substring("name", 1, 5).alias("corrected"), F.lit("").alias("context"))).select("entity_id", "corrected"))
 _add("k7_changed_pages", lambda s, d: health.cycle_stats(health.changed_pages(V.pages(s, d).select(F.col("page_id").alias("source_id"), F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status"), F.col("html").alias("body")), V.pages(s, d).where("page_id % 2 = 0").select(F.col("page_id").alias("source_id"), F.sha2("html", 256).alias("content_hash")))), "SELECT count(*) AS checked, count(*) FILTER (page_id % 7 <> 0 AND page_id % 2 <> 0) AS changed, count(*) FILTER (page_id % 7 = 0) AS failed FROM v_page")
 _add("q27_catalog_violations", lambda s, d: audit.catalog_violations(V.suppliers(s, d).select("name", F.when(F.col("entity_id") % 9 == 0, "odd").otherwise("lab").alias("entity_type"), "country", "region", F.lit("sure").alias("location_confidence")), s.createDataFrame([("0{7}[0-9]$", 5, 1)], "pattern string, min_chars int, min_words int"), ["lab"], ["none"]))
+_function("x11_news_links", lambda: F.size(extract.news_links(F.col("html"))), "CAST(least(len(list_distinct(list_filter(list_transform(regexp_extract_all(html, '(?is)<a\\b[^>]*?href=\"([^\"]+)\"[^>]*>(.*?)</a>', 0), lambda x: x), lambda x: regexp_matches(x, '(?i)news|event|announcement|press')))), 20) AS INTEGER)")
+_add("x12_parse_serp", lambda s, d: extract.parse_serp(_html(s, d).select("page_id", F.regexp_replace("html", '<li><a href="', "<a class='result__a' href=\"https://x.org").alias("html")), "page_id", "anchors"))
+_add("x9_feed_article_count", lambda s, d: audit.feed_article_count(_html(s, d).select("url", F.col("host").alias("site"), F.lit("rss").alias("source_type"), F.regexp_replace("html", "<p>", "<item>").alias("text")), _html(s, d).select(F.col("host").alias("site"))), "SELECT url, CAST(least(len(regexp_extract_all(html, '<p>')), 20) AS BIGINT) AS n FROM v_page")
+_add(
+    "j16_match_wiki", lambda s, d: match.match_wiki(
+        V.orgs(s, d).withColumn("context", F.array(F.lit("lab"))).withColumn("entity_type", F.lit("高校")),
+        V.orgs(s, d).select(F.initcap("name").alias("title"), F.concat(F.lit("{{Infobox\n| website = {{URL|https://www."), "slug", F.lit("/}}\n}} a lab")).alias("wikitext")),
+        V.orgs(s, d).where("false").select(F.col("name").alias("from"), F.col("name").alias("to")),
+    ).select("entity_id", "url", "pre_score"),
+)
+_add(
+    "m13_profile_page", lambda s, d: match.select_profile_page(V.events(s, d).select(F.col("organization_id").alias("entity_id"), (F.col("id") % 3).cast("int").alias("tier"), F.col("id").cast("int").alias("rank"), F.col("source_url").alias("url"), F.col("summary").alias("text")), V.orgs(s, d)),
+)
+_add(
+    "g12_audit_report", lambda s, d: cleaning.audit_report(_status(s, d).withColumn("audit_note", F.concat(F.lit("suggested_name="), F.upper("name"))).withColumn("cleaning_status", F.when(_number() % 3 == 0, "valid").when(_number() % 3 == 1, "corrected").otherwise("api_timeout")), V.named(s, d)),
+    """SELECT DISTINCT CASE k % 3 WHEN 0 THEN 'valid' WHEN 1 THEN 'corrected' ELSE 'failed' END AS list, name, CASE WHEN k % 3 = 1 THEN upper(name) END AS detail FROM (SELECT *, CAST(substr(entity_id, 5) AS BIGINT) AS k FROM v_named )""",
+)
+_add("k5_cooldowns", lambda s, d: health.cooldowns(V.fetches(s, d).select(F.col("source_id").alias("provider"), "ts", "status", F.col("error_code").alias("message"))))
+_add("f7_clean_name", lambda s, d: _docs(s, d).select("doc_id", T.clean_name(F.concat(F.lit("1. 公司名称: "), F.substring_index(_t(), ".", 1))).alias("value")))

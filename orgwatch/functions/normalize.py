@@ -10,11 +10,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from .text import WIDE_HAN
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
@@ -45,7 +46,7 @@ def slug(c: Column, longest: int = 72) -> Column:
     return F.when(cut != "", cut).otherwise(F.concat(F.lit("source-"), F.substring(F.sha2(c, 256), 1, 16)))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs_len(left: pd.Series, right: pd.Series) -> pd.Series:
     """Length of the longest common substring."""
 

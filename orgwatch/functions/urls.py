@@ -18,6 +18,14 @@ PLATFORM_ROOTS = [
     "reddit.com", "twitter.com", "wikipedia.org", "wikimedia.org", "weibo.com", "x.com", "youtube.com", "zhihu.com",
 ]
 UGC_DOMAINS = ["blogspot.com", "wordpress.com", "medium.com", "youtube.com", "tiktok.com", "facebook.com", "twitter.com", "linkedin.com", "weibo.com"]
+LOW_QUALITY_DOMAINS = [
+    "zhihu.com", "twitter.com", "x.com", "facebook.com", "weibo.com", "reddit.com", "quora.com", "medium.com", "wordpress.com", "blogspot.com", "tiktok.com", "instagram.com",
+]
+BLOCKED_DOMAINS = [
+    "wikipedia.org", "baidu.com", "zhihu.com", "facebook.com", "twitter.com", "x.com", "threads.com", "threads.net", "linkedin.com", "youtube.com",
+    "qq.com", "sina.com.cn", "sohu.com", "163.com", "ifeng.com", "thepaper.cn", "toutiao.com", "weibo.com", "douyin.com",
+]
+PREFERRED_DOMAINS = ["wikipedia.org", "linkedin.com", "crunchbase.com"]
 TWO_PART_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz"]
 SECOND_LEVEL = ["com", "org", "net", "edu", "gov", "ac", "co"]
 LABEL = "[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
@@ -79,6 +87,11 @@ def is_platform_host(h: Column) -> Column:
     return is_under(h, PLATFORM_ROOTS)
 
 
+def is_blocked_host(h: Column) -> Column:
+    """Whether a host belongs to an aggregator."""
+    return is_under(h, BLOCKED_DOMAINS)
+
+
 def official_domain(c: Column) -> Column:
     """A text or URL's host if it can be an organization's own domain, else null."""
     full = with_scheme(F.trim(c))

@@ -102,6 +102,35 @@ def feed_articles(feeds: DataFrame) -> DataFrame:
     return rows.where(F.col("link").isNotNull() & _same_site(F.col("link"), F.col("url"))).withColumn("title", F.when(title != "", title).otherwise(F.col("link")))
 
 
+def news_links(html: Column, most: int = 20) -> Column:
+    """The anchors of a page whose address or text is about news, once each, at most ``most``."""
+    return F.slice(F.array_distinct(F.filter(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)), lambda a: a.rlike("(?i)news|event|announcement|press"))), 1, most)
+
+
+#: How the hits of a result page are marked, for each layout: what a hit begins with, its title, address and text, and the
+#: words of an official badge. Fixed patterns.
+SERP = {
+    "blocks": (r'(?i)<div class="vrwrap"', r"(?is)<h3[^>]*>.*?<a\b[^>]*>(.*?)</a>", r"""(?i)\blinkurl=["']?(https?:[^\s<>"']+)""", r"(?is)<div[^>]+(?:cacheresult_summary|space-txt)[^>]*>(.*?)</div>", "官方网站认证|官网认证"),
+    "list": (r'(?i)<li class="res-list"', r"(?is)<h3[^>]*>.*?<a\b[^>]*>(.*?)</a>", r"""(?i)\bdata-mdurl=["']([^"']+)["']""", r'(?is)<p class="res-desc"[^>]*>(.*?)</p>', "官网|官方网站"),
+    "anchors": (r"""(?i)<a(?=[^>]+class=["'][^"']*result__a)""", r"(?is)^[^>]*>(.*?)</a>", r"""(?i)^[^>]*\bhref=["']([^"']+)["']""", r"(?!x)x", r"(?!x)x"),
+}
+
+
+def parse_serp(pages: DataFrame, key: str, layout: str, most: int = 8) -> DataFrame:
+    """(key, pos, url, title, snippet, badge) of result pages: the first ``most`` hits, each URL once; an address that leads over
+    the search engine is resolved."""
+    begin, title, address, text, badge = SERP[layout]
+    hits = F.slice(F.split("html", begin), 2, 10_000) if layout == "anchors" else F.slice(F.split("html", begin), 2, most)
+    rows = pages.select(key, F.posexplode(hits).alias("pos", "_h"))
+    raw = decode_entities(F.regexp_extract("_h", address, 1))
+    target = F.regexp_extract(raw, r"[?&]uddg=([^&]+)", 1)
+    url = U.canonical_url(F.when(target != "", F.try_url_decode(target)).otherwise(raw), force_https=True)
+    made = rows.select(key, "pos", url.alias("url"), strip_tags(F.regexp_extract("_h", title, 1)).alias("title"), strip_tags(F.regexp_extract("_h", text, 1)).alias("snippet"), F.substring("_h", 1, 5000).rlike(badge).alias("badge"))
+    first = F.row_number().over(Window.partitionBy(key, "url").orderBy("pos"))
+    once = made.where("url is not null and title <> ''").withColumn("_f", first).where("_f = 1")
+    return once.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("_n") <= most).drop("_f", "_n")
+
+
 def article_link_count(pages: DataFrame, most: int = 20) -> DataFrame:
     """(url, n): links of a page that look like articles: a text of 7 to 260 characters, the same site, two path parts or
     more, a word of news in the address; at most ``most`` are counted."""
@@ -191,9 +220,21 @@ def is_plausible_name(c: Column) -> Column:
     return F.length(c).between(2, 100) & c.rlike(f"^({english}|{chinese})$") & ~c.rlike(generic) & ~c.isin(CHINESE_SUFFIXES)
 
 
+#: What follows a name in prose: a part with such a word is a sentence, not a name. Fixed values.
+FRAGMENT = (
+    "成立|设立|负责|推动|支持|依托|位于|拥有|包括|提供|开展|通过|成为|作为|建立|联合|合作|运营|实施|下设|正式|源自|需要|可以|能够|应该|如何|已经|正在|形成|围绕|量身"
+    "|(是|由|等|则|将|会|已|需|应|被|从|向)."
+)
+
+
+def is_sentence_fragment(c: Column) -> Column:
+    return c.rlike(FRAGMENT)
+
+
 def extract_names(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, name): names of organizations in texts: whole parts between separators, and English names inside prose."""
     english = rf"\b([A-Z][A-Za-z0-9&'.-]*(?:\s+[A-Z][A-Za-z0-9&'.-]*){{0,8}}\s+(?:{'|'.join(ENGLISH_SUFFIXES)}))\b"
-    parts = docs.select(key, F.posexplode(F.split(text, SEPARATORS)).alias("pos", "part")).withColumn("part", T.collapse_ws(F.col("part")))
-    names = F.concat(F.array("part"), F.regexp_extract_all("part", F.lit(english), F.lit(1)))
+    parts = docs.select(key, F.posexplode(F.split(text, SEPARATORS)).alias("pos", "part")).withColumn("part", T.clean_name(F.col("part")))
+    whole = F.when(is_sentence_fragment(F.col("part")), F.array().cast("array<string>")).otherwise(F.array("part"))
+    names = F.concat(whole, F.regexp_extract_all("part", F.lit(english), F.lit(1)))
     return parts.select(key, "pos", F.explode(F.array_distinct(names)).alias("name")).where(is_plausible_name(F.col("name")))

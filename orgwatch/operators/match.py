@@ -160,3 +160,37 @@ def decide_official(orgs: DataFrame, whitelist: DataFrame, hits: DataFrame, cach
         every = df if every is None else every.union(df)
     best = every.groupBy("entity_id").agg(F.min("e").alias("e"))
     return orgs.select("entity_id").join(best, "entity_id", "left").select("entity_id", F.col("e.domain").alias("domain"), F.coalesce("e.status", F.lit("not_found")).alias("status"))
+
+
+def match_wiki(entities: DataFrame, pages: DataFrame, redirects: DataFrame) -> DataFrame:
+    """Encyclopedia pages of entities (with ``context``, tokens) by title after redirects: (entity_id, title, url, pre_score) with
+    the website of the page's infobox. A person or a short one-word name needs a word of its context on the page."""
+    from .predicates import is_rejected_url
+
+    key = lambda c: T.collapse_ws(F.lower(F.replace(c, F.lit("_"), F.lit(" "))))
+    field = F.regexp_extract("wikitext", r"(?im)^\|\s*(?:website|homepage|official_website|url|官网|官方网站|网站|網址)\s*=\s*(.+)$", 1)
+    raw = F.regexp_replace(F.regexp_extract(field, r"(?i)https?://[^\s}\]|<>]+", 0), r"[),.;]+$", "")
+    bare = F.regexp_extract(field, r"(?i)(^|[|{\s])(www\.[a-z0-9.-]+(?:/[^\s}\]|<>]*)?)", 2)
+    url = U.canonical_url(F.when(raw != "", raw).when(bare != "", F.concat(F.lit("https://"), bare)), force_https=True)
+    sites = pages.select(key(F.col("title")).alias("_k"), "title", "wikitext", url.alias("url")).where("url is not null").where(~is_rejected_url(F.col("url")))
+    sites = sites.groupBy("_k").agg(F.min(F.struct("title", "wikitext", "url")).alias("p")).select("_k", "p.*")
+    moved = redirects.groupBy(key(F.col("from")).alias("_from")).agg(F.min(key(F.col("to"))).alias("_to"))
+    named = entity_identity(entities).withColumn("_from", key(T.canonical_name(F.col("name")))).where("length(_from) between 1 and 100")
+    joined = named.join(moved, "_from", "left").withColumn("_k", F.coalesce("_to", "_from")).join(sites, "_k")
+    text = normalized(F.concat_ws(" ", "title", F.substring("wikitext", 1, 80_000)))
+    joined = joined.withColumn("_c", F.size(F.filter("context", lambda t: _contains_token(text, t))))
+    unsure = (F.col("entity_type") == "人物") | (~T.has_han(F.col("norm_name")) & (F.size("tokens") <= 1) & (F.length("norm_name") <= 8))
+    return joined.where(~unsure | (F.col("_c") > 0)).select("entity_id", "title", "url", F.least(F.lit(70), 55 + 5 * F.col("_c")).alias("pre_score"))
+
+
+def select_profile_page(pages: DataFrame, orgs: DataFrame, least: int = 20) -> DataFrame:
+    """The page for each entity's profile out of fetched ones (entity_id, tier 0 official 1 candidate 2 searched, rank, url, text):
+    the first by tier and rank with enough text; beyond the official site it has to name the organization, and a candidate may
+    not be of low quality."""
+    from .predicates import is_low_quality_url
+
+    rows = pages.join(orgs.select("entity_id", "name"), "entity_id").where(F.length(F.trim(F.coalesce("text", F.lit("")))) >= least)
+    named = F.contains(F.replace(normalized(F.col("text")), F.lit(" "), F.lit("")), F.replace(normalized(F.col("name")), F.lit(" "), F.lit("")))
+    good = (F.col("tier") == 0) | (named & ~is_low_quality_url(F.col("url")))
+    best = rows.where(good).groupBy("entity_id").agg(F.min(F.struct("tier", "rank", "url")).alias("b"))
+    return best.select("entity_id", "b.tier", "b.url")

@@ -112,7 +112,7 @@ def is_low_quality_url(url: Column, domains: list[str] | None = None) -> Column:
     """Hosts of platforms, or with a label that says blog or forum; also what is no URL."""
     h = U.host(url)
     labels = F.array(*[F.lit(x) for x in ("blog", "blogs", "forum", "forums", "bbs")])
-    return F.coalesce(U.is_under(h, domains or U.UGC_DOMAINS) | F.arrays_overlap(F.split(h, r"\."), labels), F.lit(True))
+    return F.coalesce(U.is_under(h, domains or U.LOW_QUALITY_DOMAINS) | F.arrays_overlap(F.split(h, r"\."), labels), F.lit(True))
 
 
 def is_rejected_url(url: Column) -> Column:

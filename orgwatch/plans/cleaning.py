@@ -143,3 +143,18 @@ def context_body(c, n: int) -> F.Column:
 
     parts = F.filter(F.transform(F.split(c, r"\n+"), T.collapse_ws), lambda p: p != "")
     return F.aggregate(parts, F.struct(F.lit("").alias("t"), F.lit(False).alias("full")), add, lambda at: at["t"])
+
+
+def audit_report(orgs: DataFrame, before: DataFrame) -> DataFrame:
+    """(list, name, detail), once each: organizations by cleaning status; of a correction the old name and the new one, of a
+    rejected one what was tried."""
+    old = before.select("entity_id", F.col("name").alias("_old"))
+    s, note = F.lower("cleaning_status"), F.col("audit_note")
+    kind = (
+        F.when(s == "corrected", "corrected").when(s == "rejected_hallucination", "rejected").when(s == "invalid_name", "invalid")
+        .when(s.isin("needs_retry", "api_timeout", "network_error"), "failed").when(s.isin("valid", "valid_confirmed"), "valid")
+    )
+    tried = F.trim(F.regexp_extract(note, r"(?i)(?:rejected hallucinated correction:|attempted_correction\s*=)\s*([^;]+)", 1))
+    detail = F.when(kind == "corrected", F.coalesce(T.note_field(note, "suggested_name"), "name")).when(kind == "rejected", F.nullif(tried, F.lit("")))
+    named = F.when(kind == "corrected", F.coalesce("_old", "name")).otherwise(F.col("name"))
+    return orgs.join(old, "entity_id", "left").select(kind.alias("list"), named.alias("name"), detail.alias("detail")).where("list is not null").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -39,12 +39,28 @@ def read_failed(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("r.id is not null").groupBy("r.id").agg(F.max_by("r.error", "line").alias("error"))
 
 
+def parse_cleaning_line(line: Column) -> Column:
+    """(position, total, outcome, name, detail) of a line of the cleaning log, null for other lines. Lines begin with
+    ``[进度 n/m]``; then a name settled at once, a completed one with its outcome, a failed one with its reason, or a
+    correction that was not supported."""
+    head = r"^\[进度\s+([0-9]+)/([0-9]+)\]\s+"
+    body = F.trim(F.regexp_replace(line, head, ""))
+    part = lambda p, g: F.trim(F.regexp_extract(body, p, g))
+    short, done = r"^(.*?)\s+->\s+VALID\s+\(short-circuit\)$", r"^完成:\s+(.*?)\s+->\s+(VALID|INVALID|CORRECTED)(?:\s+\((.*)\))?$"
+    failed, refused = r"^失败:\s+(.*?)\s+\((api_timeout|network_error|llm_parse_failed)\)$", r"^拒绝不受支持的纠正:\s+(.*?)\s+->\s+(.*?)$"
+    row = lambda outcome, name, detail: F.struct(
+        F.regexp_extract(line, head, 1).try_cast("long").alias("position"), F.regexp_extract(line, head, 2).try_cast("long").alias("total"),
+        outcome.alias("outcome"), name.alias("name"), F.nullif(detail, F.lit("")).alias("detail"),
+    )
+    found = (
+        F.when(body.rlike(short), row(F.lit("valid"), part(short, 1), F.lit(""))).when(body.rlike(done), row(F.lower(part(done, 2)), part(done, 1), part(done, 3)))
+        .when(body.rlike(failed), row(F.lit("failed"), part(failed, 1), part(failed, 2))).when(body.rlike(refused), row(F.lit("rejected"), part(refused, 1), part(refused, 2)))
+    )
+    return F.when(line.rlike(head), found)
+
+
 def read_cleaning_log(spark: SparkSession, path: str) -> DataFrame:
-    """(position, total, name, outcome, detail) of the cleaning log's lines; others are skipped."""
-    line = F.col("value")
-    part = lambda g: F.regexp_extract(line, r"^\[([0-9]+)/([0-9]+)\]\s*(.*?)\s*(?:->|:)\s*(VALID|INVALID|CORRECTED|FAILED|REJECTED)\b\s*[:(]?\s*(.*?)\)?\s*$", g)
-    rows = spark.read.text(path).select(part(1).try_cast("long").alias("position"), part(2).try_cast("long").alias("total"), part(3).alias("name"), F.lower(part(4)).alias("outcome"), part(5).alias("detail"))
-    return rows.where("position is not null")
+    return spark.read.text(path).select(parse_cleaning_line(F.col("value")).alias("r")).where("r is not null").select("r.*")
 
 
 def safe_domain(df: DataFrame, column: str = "domain") -> DataFrame:

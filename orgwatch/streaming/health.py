@@ -121,3 +121,23 @@ def cycle_stats(outcomes: DataFrame) -> DataFrame:
 
 def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return df.join(done.select(key), key, "left_anti")
+
+
+def cooldowns(log: DataFrame, minutes: int = 30) -> DataFrame:
+    """Each attempt of the log (provider, ts, status, message) with ``admitted``: after an admitted attempt that was answered 403
+    or 429, or with a challenge, the provider is left alone for ``minutes``. Which attempts are admitted depends on those
+    before, so a provider's attempts are folded in order; a task holds one provider's."""
+    fields = T.StructType([*log.schema.fields, T.StructField("admitted", T.BooleanType())])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts", "status"], kind="stable")
+        hit = rows["status"].isin([403, 429]) | rows["message"].fillna("").str.contains("challenge|too many|rate limit", case=False)
+        out, free = [], None
+        for t, bad in zip(rows["ts"], hit):
+            admitted = free is None or t >= free
+            out.append(admitted)
+            if admitted and bad:
+                free = t + pd.Timedelta(minutes=minutes)
+        return rows.assign(admitted=out)
+
+    return log.groupBy("provider").applyInPandas(run, fields)
