@@ -37,7 +37,7 @@ HITS = "qrep long, vec_id long, score double"
 class Index:
     """The hash functions: ``tables`` x ``size`` projections of unit vectors, cells of ``width``."""
 
-    def __init__(self, dim: int, rows: int, expected: float, tables: int = 2, width: float = 1.5, mass: float = 0.82, bucket_rows: int = 256, seed: int = 3):
+    def __init__(self, dim: int, rows: int, expected: float, tables: int = 2, width: float = 1.5, mass: float = 0.82, bucket_rows: int = 1024, seed: int = 3):
         self.size = int(np.clip(round(np.log2(max(rows, 1) / bucket_rows) / 1.6), 4, 14))
         self.tables, self.width, self.mass, self.expected = tables, width, mass, float(np.clip(expected, 0.05, 0.98))
         rng = np.random.default_rng(seed)
@@ -99,17 +99,20 @@ def _best(queries: pd.DataFrame, rows: pd.DataFrame, keep: int) -> pd.DataFrame:
     """The ``keep`` best rows of one block for each query of another."""
     if not len(queries) or not len(rows):
         return pd.DataFrame({"qrep": [], "vec_id": [], "score": []}).astype({"qrep": "int64", "vec_id": "int64", "score": "float64"})
-    q, v, ids = _matrix(queries["vector"]), _matrix(rows["vector"]), rows["vec_id"].to_numpy()
-    rough = _unit(q) @ _unit(v).T
+    q, v, ids, names = _matrix(queries["vector"]), _matrix(rows["vector"]), rows["vec_id"].to_numpy(), queries["qrep"].to_numpy()
     k = min(keep, len(ids))
-    floor = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] - 1e-9
-    out = []
-    for i, qrep in enumerate(queries["qrep"]):
-        j = np.flatnonzero(rough[i] >= floor[i])
-        s = cosines(np.broadcast_to(q[i], (len(j), q.shape[1])), v[j])
-        top = np.lexsort((ids[j], -s))[:k]
-        out.append(pd.DataFrame({"qrep": qrep, "vec_id": ids[j][top], "score": s[top]}))
-    return pd.concat(out, ignore_index=True)
+    found = []
+    for at in range(0, len(q), 512):  # what a step holds is 512 x block numbers
+        rough = _unit(q[at : at + 512]) @ _unit(v).T
+        floor = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] - 1e-9
+        i, j = np.nonzero(rough >= floor[:, None])  # k a query, and what equals the last
+        s = cosines(q[at + i], v[j])
+        order = np.lexsort((ids[j], -s, i))
+        i, j, s = i[order], j[order], s[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        first = place < k
+        found.append(pd.DataFrame({"qrep": names[at + i[first]], "vec_id": ids[j[first]], "score": s[first]}))
+    return pd.concat(found, ignore_index=True)
 
 
 def _expected_cosine(rows: DataFrame, n: int, k: int, sample: int) -> float:
