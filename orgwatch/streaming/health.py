@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,22 +42,45 @@ def source_state(log: DataFrame) -> DataFrame:
     return state.select("source_id", F.col("l.status").alias("status"), F.col("l.ts").alias("last_checked_at"), "h.health", "h.retry_class", "failure_count", "success_count", "n.next_check_at", "n.next_retry_at")
 
 
+def _fold_in_order(log: DataFrame, key: str, order: list[str], start: Callable[[], Callable[..., bool]], columns: list[str]) -> DataFrame:
+    """``log`` with ``admitted``, decided row by row in order within each key by what ``start()`` gives for a new key.
+
+    Rows are dealt by key and sorted within a task, then read once: of a key with very many rows a task holds a batch and
+    the fold's state, never the whole.
+    """
+    fields = T.StructType([*log.schema.fields, T.StructField("admitted", T.BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, decide = object(), start()
+        for batch in batches:
+            out = []
+            for k, *values in zip(batch[key], *[batch[c] for c in columns]):
+                if k != current:
+                    current, decide = k, start()
+                out.append(decide(*values))
+            yield batch.assign(admitted=out)
+
+    return log.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, fields)
+
+
 def admit(log: DataFrame, key: str, ts: str, n: int, window_s: int) -> DataFrame:
     """Each row with ``admitted``: a window opens at a key's first row after the last window's end, and the first ``n`` rows
-    of a window pass. Windows depend on the data, so a key is a fold over its rows in order; a task holds one key's rows."""
-    fields = T.StructType([*log.schema.fields, T.StructField("admitted", T.BooleanType())])
+    of a window pass. Where windows open depends on the data, so a key is a fold over its rows in order."""
+    length = pd.Timedelta(seconds=window_s)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, *[c for c in rows.columns if c not in (key, ts)]], kind="stable")
-        out, start, used = [], None, 0
-        for t in rows[ts]:
-            if start is None or (t - start).total_seconds() >= window_s:
-                start, used = t, 0
+    def start() -> Callable[..., bool]:
+        opened, used = None, 0
+
+        def decide(t: pd.Timestamp) -> bool:
+            nonlocal opened, used
+            if opened is None or t - opened >= length:
+                opened, used = t, 0
             used += 1
-            out.append(used <= n)
-        return rows.assign(admitted=out)
+            return used <= n
+
+        return decide
 
-    return log.groupBy(key).applyInPandas(run, fields)
+    return _fold_in_order(log, key, [ts, *[c for c in log.columns if c not in (key, ts)]], start, [ts])
 
 
 class _Admission(StatefulProcessor):
@@ -126,18 +150,21 @@ def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def cooldowns(log: DataFrame, minutes: int = 30) -> DataFrame:
     """Each attempt of the log (provider, ts, status, message) with ``admitted``: after an admitted attempt that was answered 403
     or 429, or with a challenge, the provider is left alone for ``minutes``. Which attempts are admitted depends on those
-    before, so a provider's attempts are folded in order; a task holds one provider's."""
-    fields = T.StructType([*log.schema.fields, T.StructField("admitted", T.BooleanType())])
+    before."""
+    wait = pd.Timedelta(minutes=minutes)
+    told = re.compile("challenge|too many|rate limit", re.I)
+
+    def start() -> Callable[..., bool]:
+        free = None
+
+        def decide(t: pd.Timestamp, status: float, message: str | None) -> bool:
+            nonlocal free
+            if free is not None and t < free:
+                return False
+            if status in (403, 429) or (isinstance(message, str) and told.search(message)):
+                free = t + wait
+            return True
+
+        return decide
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "status"], kind="stable")
-        hit = rows["status"].isin([403, 429]) | rows["message"].fillna("").str.contains("challenge|too many|rate limit", case=False)
-        out, free = [], None
-        for t, bad in zip(rows["ts"], hit):
-            admitted = free is None or t >= free
-            out.append(admitted)
-            if admitted and bad:
-                free = t + pd.Timedelta(minutes=minutes)
-        return rows.assign(admitted=out)
-
-    return log.groupBy("provider").applyInPandas(run, fields)
+    return _fold_in_order(log, "provider", ["ts", "status", "message"], start, ["ts", "status", "message"])
