@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, fresh
+from .common import WORD, cut_lineage, fresh
 
 _WORD = re.compile(WORD)
 _SYMBOLS = "#*$%&|<>"
@@ -138,15 +138,18 @@ def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(np.clip(bad + np.log(1 - share) - good - np.log(share), -700, 700)))
 
 
-def score_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+def score_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5, min_words: int = 50, repeat_percent: int = 50, keep_text: bool = True) -> DataFrame:
     """``docs`` plus the features, ``votes``, ``quality_posterior``, ``base_failed`` and ``kept``.
 
     Two passes over the texts: one counts vote patterns (a few hundred rows out of map-side sums), one scores. The
     second pass attaches each document's posterior as a constant expression over its votes (log-odds are sums of one
-    term a rule), so nothing is joined or shuffled.
+    term a rule), so nothing is joined or shuffled. Without ``keep_text`` the result lacks the text, and the features, some 90 bytes a
+    document, are written to the shared folder and read again for the second pass in place of the texts.
     """
     f, v = fresh(docs, "_f"), fresh(docs, "_v")
     voted = docs.withColumn(f, text_features(F.col(text)))
+    if not keep_text:
+        voted = cut_lineage(voted.drop(text))
     votes = {k: vote.cast("int") for k, vote in rules(f).items()}
     seen = voted.select(*[vote.alias(k) for k, vote in votes.items()]).groupBy(*votes).agg(F.count("*").alias("_count")).orderBy(*votes).collect()  # at most 3 ** rules
     patterns = np.array([[r[k] for k in votes] for r in seen], dtype=int).reshape(len(seen), len(votes))
@@ -158,7 +161,7 @@ def score_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5, m
         odds = odds + F.when(cast == -1, float(weight[i, 0])).when(cast == 0, float(weight[i, 1])).otherwise(float(weight[i, 2]))
     n = F.col(f"{f}.n_words")
     base_failed = (n < min_words) | (100 * F.col(f"{f}.n_repeat_words") > repeat_percent * n)
-    taken = [x for x in docs.columns if x not in {*FEATURES.names[:5], "votes", "quality_posterior", "base_failed", "kept"}]
+    taken = [x for x in docs.columns if (keep_text or x != text) and x not in {*FEATURES.names[:5], "votes", "quality_posterior", "base_failed", "kept"}]
     scored = voted.withColumn(v, F.struct(*[vote.alias(k) for k, vote in votes.items()]))
     scored = scored.withColumn("quality_posterior", 1 / (1 + F.exp(-odds))).withColumn("base_failed", base_failed)
     return scored.select(
