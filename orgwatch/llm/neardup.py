@@ -164,8 +164,13 @@ def _compare(threshold: float, tolerance: float, n: int):
         out: list[tuple[bytes, int, bytes]] = []
         low, high = int(group["_lo"].iloc[0]), int(group["_hi"].iloc[0])
         for _, part in group.groupby("root", sort=True):
-            part = part.sort_values("key").drop_duplicates("key")
-            keys, copies, sets = list(part["key"]), part["copies"].to_numpy(), [shingles(t, n) for t in part["text"]]
+            part = part.assign(_set=[shingles(t, n) for t in part["text"]])
+            # Rows of one id may have several texts: of those found by the id, the node's own has its key.
+            own = [set_key(s) == k for s, k in zip(part["_set"], part["key"])]
+            part = part[own].sort_values("key").drop_duplicates("key")
+            keys, copies, sets = list(part["key"]), part["copies"].to_numpy(), list(part["_set"])
+            if not keys:
+                continue
             right = np.zeros(len(keys), dtype=bool) if low == high else (part["_block"] == high).to_numpy()
             a, b = np.flatnonzero(~right), np.flatnonzero(right)
             m = np.zeros((len(keys), len(keys)), dtype=bool)

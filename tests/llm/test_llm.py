@@ -264,6 +264,13 @@ def test_similar_odd(spark, odd):
     assert neardup.similar_documents(empty(spark)).count() == 0 and neardup.drop_similar(empty(spark)).count() == 0
 
 
+def test_similar_with_one_id_for_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(1, a), (1, b), (1, "c d e f g h"), (2, a + " tail"), (3, b + " tail")]
+    got = neardup.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_links, r.class_id) for r in got) == [(1, 0, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_pruning_keeps_what_may_reach():
     assert [neardup.least_matches(n, 0.8, 1e-6) for n in neardup.STAGES] == sorted(neardup.least_matches(n, 0.8, 1e-6) for n in neardup.STAGES)
     assert 0 < neardup.least_matches(64, 0.8, 1e-6) < 0.8 * 64
