@@ -96,9 +96,6 @@ _doc_function("f6_loose_name", lambda: T.loose_name(_t()), "regexp_replace(lower
 _doc_function("f9_canonical_name", lambda: T.canonical_name(F.substring_index(_t(), "\n", 1)), "trim(regexp_replace(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[(（\\[【][^)）\\]】]*[)）\\]】]', ' ', 'g'), '[\\s,-]*(19|20)[0-9][0-9]\\s*$', '', 'g'), '\\s+', ' ', 'g'))")
 _han = "len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]'))"
 _doc_function("f10_han_ratio", lambda: T.han_ratio(_t()), f"CASE WHEN length(regexp_replace(text, '\\s+', '', 'g')) > 0 THEN {_han} / length(regexp_replace(text, '\\s+', '', 'g')) ELSE 0.0 END")
-_stop = "len(regexp_extract_all(lower(text), '\\b(the|and|of|to|in|a|an|is|are|this|that)\\b'))"
-_wordn = "len(regexp_extract_all(lower(text), '[a-z]+'))"
-_ratio = f"CASE WHEN {_han} >= 20 THEN len(regexp_extract_all(text, '[{T.CHINESE_STOPWORDS}]')) / {_han} WHEN {_wordn} >= 10 THEN {_stop} / {_wordn} END"
 _doc_function("f13_truncate_marked", lambda: T.truncate_marked(_t()), "CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END")
 _doc_function("f31_error_class", lambda: T.error_class(_t()), "CASE WHEN regexp_matches(text, '(?i)timeout|timed out|ETIMEDOUT') THEN 'api_timeout' WHEN regexp_matches(text, '(?i)network|ECONN|ENOTFOUND|fetch failed|HTTP 5[0-9][0-9]') THEN 'network_error' WHEN regexp_matches(text, '(?i)empty completion|empty response|no response') THEN 'network_error' ELSE 'llm_parse_failed' END")
 _snip = "|".join(P.SNIPPET_GARBAGE)
@@ -107,8 +104,6 @@ _doc_function("q8_snippet_quality", lambda: P.snippet_quality(_t()), f"CASE WHEN
 _doc_function("q18_is_invalid_name", lambda: P.is_invalid_name(_t()), "text IS NULL OR trim(text) = '' OR regexp_matches(text, '<.*>') OR regexp_matches(lower(text), '</?(div|a|span)')")
 _doc_function("q20_is_suspicious_name", lambda: P.is_suspicious_name(F.substring_index(_t(), "\n", 1)), f"length(string_split(text, chr(10))[1]) > 20 OR regexp_matches(string_split(text, chr(10))[1], '{'|'.join(P.NAME_MARKERS)}')")
 _doc_function("q21_is_definitely_valid", lambda: P.is_definitely_valid(F.substring_index(_t(), "\n", 1)), f"regexp_matches(string_split(text, chr(10))[1], '^[A-Za-z][A-Za-z\\s''-]{{2,39}}$') OR regexp_matches(string_split(text, chr(10))[1], '(?i)\\b({'|'.join(P.ENTITY_WORDS)})\\b')")
-_tt = "trim(text)"
-_kw = ", ".join(f"CASE WHEN regexp_matches({_tt}, '{p}'){'' if n == 'login' else f' AND length({_tt}) <= 2000'} THEN '{n}' END" for n, p in P.SUMMARY_KEYWORDS)
 _doc_function("q26_is_parked_page", lambda: P.is_parked_page(_t()), f"regexp_matches(text, '{P.PARKED}')")
 _function("x1_visible_text", lambda: T.visible_text(F.col("html")), "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))")
 _function("x2_page_title", lambda: T.page_title(F.col("html")), "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))")
@@ -159,7 +154,6 @@ _add("q1_search_orgs", lambda s, d: P.search_orgs(V.orgs(s, d), " TH").select("e
 _add("q1_search_literal", lambda s, d: P.search_orgs(V.orgs(s, d), "%").select("entity_id"), "SELECT entity_id FROM v_org WHERE contains(lower(name), '%') OR contains(lower(description), '%')")
 _add("q2_search_events", lambda s, d: P.search_events(V.events(s, d), "th_n%", ("title", "summary")).select("id", "title"), "SELECT id, title FROM v_event WHERE title ILIKE '%th_n%%' OR summary ILIKE '%th_n%%'")
 _add("q5_filter_category", lambda s, d: P.filter_category(V.events(s, d), "News").select("id", "event_type"), "SELECT id, event_type FROM v_event WHERE regexp_matches(lower(event_type), 'news|新闻|动态|media')")
-_window = ("2024-01-01 06:00:00", "2024-01-01 18:00:00")
 _add(
     "q6_recent_scored", lambda s, d: P.recent_scored(_timed(s, d), *_hours(), 6).select("id", "created_at", "relevance_score"),
     "SELECT id, substr(created_at, 12) AS created_at, relevance_score FROM v_event WHERE substr(created_at, 12) >= '06:00:00' AND substr(created_at, 12) < '18:00:00' AND relevance_score >= 6",
@@ -451,7 +445,12 @@ _add(
     "SELECT CASE WHEN entity_id % 2 = 0 THEN name ELSE lower(name) END AS name, entity_id, CASE WHEN entity_id % 2 = 0 THEN 'exact' ELSE 'normalized' END AS tier FROM v_supplier",
 )
 _add("j15_profiles", lambda s, d: joins.organization_profile(V.orgs(s, d), V.events(s, d), _html(s, d).select(F.col("host").alias("organization_slug"), F.col("page_id").cast("string").alias("name"), "url")).select("entity_id", F.size("events").alias("n_events"), F.size("sources").alias("n_sources")), "SELECT entity_id, CAST(least(n, 100) AS INTEGER) AS n_events, CAST(n AS INTEGER) AS n_sources FROM v_org JOIN (SELECT host, count(*) AS n FROM v_page GROUP BY 1) ON host = slug")
-_add("d2_merge_hits", lambda s, d: dedup.merge_hits(_hits(s, d).withColumnsRenamed({"entity_id": "organization_id", "snippet": "content"})))
+_bare = f"regexp_replace({_su}, '/+$', '')"
+_add(
+    "d2_merge_hits", lambda s, d: dedup.merge_hits(_hits(s, d).withColumnsRenamed({"entity_id": "organization_id", "snippet": "content"})).select("organization_id", "pos", "title", "content"),
+    f"""SELECT organization_id, min(id) AS pos, coalesce(min_by(title, id) FILTER (trim(title) <> ''), '') AS title, coalesce(min_by(summary, id) FILTER (trim(summary) <> ''), '') AS content
+        FROM (SELECT *, {_bare} AS u FROM v_event ) WHERE u IS NOT NULL GROUP BY organization_id, u""",
+)
 _add("d7_stored_candidates", lambda s, d: dedup.stored_candidates(_scored(s, d).withColumn("is_official", F.col("badge")).withColumn("score", F.col("pre_score") * 2)).select("entity_id", "rank", "url", "score"))
 _add("t11_rank_urls", lambda s, d: topk.rank_urls(_hits(s, d).withColumnRenamed("entity_id", "organization_id").join(V.orgs(s, d).select(F.col("entity_id").alias("organization_id"), "website_url"), "organization_id")).select("organization_id", "url", "priority", "rank"))
 _add(
