@@ -137,7 +137,7 @@ class Labeller:
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
-        for epoch in range(epochs):
+        for _ in range(epochs):
             order = sorted(range(len(sequences)), key=lambda i: len(sequences[i][1]) + rng.random() * 8)
             batches = [order[k : k + batch] for k in range(0, len(order), batch)]
             rng.shuffle(batches)
