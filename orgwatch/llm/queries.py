@@ -86,4 +86,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the operators that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard_join": r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i : i + least(5, len(w)) - 1], ' '))) AS s FROM d WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS c FROM g GROUP BY 1),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 5 * k >= 4 * (nx.c + ny.c - k)),
+        r(x, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.x, r.root FROM e JOIN r ON e.y = r.x),
+        c AS (SELECT x AS doc_id, min(root) AS class_id FROM r GROUP BY 1)
+        SELECT doc_id, class_id, coalesce(k, 0) AS n_links, doc_id = class_id AS kept FROM c LEFT JOIN (SELECT x, count(*) AS k FROM e GROUP BY 1) ON x = doc_id""",
+    "op10_chat_formatting": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(15 + length(role) + length(text) + len(regexp_extract_all(role || text, '[\\<#:]'))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id""",
+}
