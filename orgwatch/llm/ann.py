@@ -3,7 +3,8 @@
 Each of a few tables hashes a unit vector by Gaussian (2-stable) projections cut into cells of one width. A query
 visits its own bucket and then perturbed ones in the order of their estimated success: the probability, under the
 projections' distribution, that a neighbour at the expected cosine lies in the bucket; it stops when the visited
-buckets' probabilities add up to ``mass``. The candidates of all tables are merged and their cosines computed exactly.
+buckets' probabilities add up to ``mass``, over as many buckets as that takes at any number of rows. The candidates of
+all tables are merged and their cosines computed exactly.
 
 The index holds every row; only the expected cosine is fitted, on a bounded sample. The number of projections grows
 with the number of rows, so that buckets keep their size. A bucket of any size is cut into blocks of ``block``
@@ -32,6 +33,8 @@ from .common import cut_lineage
 
 _PHI = np.frompyfunc(lambda z: 0.5 * (1 + erf(z / 1.4142135623730951)), 1, 1)
 HITS = "qrep long, vec_id long, score double"
+#: Visits that a task hands on at a time: a query may visit many buckets, and each visit carries its vector.
+PIECE = 16_384
 
 
 class Index:
@@ -43,8 +46,6 @@ class Index:
         rng = np.random.default_rng(seed)
         self.planes = rng.normal(size=(tables, self.size, dim))
         self.shift = rng.random((tables, self.size)) * width
-        #: Cells considered for each projection, so that a query weighs at most some 20,000 buckets a table.
-        self.cells = int(np.clip(20_000 ** (1 / self.size), 2, 9))
 
     def place(self, unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         """(projections, cells) of unit vectors, a row each."""
@@ -62,21 +63,25 @@ class Index:
 
     def probes(self, f: np.ndarray, own: np.ndarray, table: int) -> np.ndarray:
         """The buckets that one query visits: its own first, then by falling estimated success."""
-        around = own[:, None] + np.arange(-5, 6)
+        spread, mean = (1 - self.expected**2) ** 0.5, self.expected * f
+        around = np.floor((mean + self.shift[table]) / self.width).astype(np.int64)[:, None] + np.arange(-6, 7)
         low = around * self.width - self.shift[table][:, None]
-        spread = (1 - self.expected**2) ** 0.5
-        mean = self.expected * f[:, None]
-        chance = (_PHI((low + self.width - mean) / spread) - _PHI((low - mean) / spread)).astype(float)
-        best = np.argsort(-chance, axis=1, kind="stable")[:, : self.cells]
-        cells, chance = np.take_along_axis(around, best, 1), np.take_along_axis(chance, best, 1)
-        joint = chance[0]
-        for row in chance[1:]:
-            joint = np.multiply.outer(joint, row)
-        order = np.argsort(-joint, axis=None, kind="stable")
-        total = np.cumsum(joint.ravel()[order])
-        visited = order[: int(np.searchsorted(total, self.mass * min(1.0, total[-1]))) + 1]
-        at = np.unravel_index(visited, joint.shape)
-        found = np.stack([cells[k][at[k]] for k in range(self.size)], axis=1)
+        chance = (_PHI((low + self.width - mean[:, None]) / spread) - _PHI((low - mean[:, None]) / spread)).astype(float)
+        order = np.argsort(-chance, axis=1, kind="stable")
+        cells, chance = np.take_along_axis(around, order, 1), np.take_along_axis(chance, order, 1)
+        rest = np.append(np.cumprod(chance[::-1, 0])[::-1], 1.0)  # the best that the projections from one on can add
+        least = rest[0]
+        while True:  # all buckets of at least this success; a lower bound until they hold the mass
+            least *= 0.3
+            joint, at = np.ones(1), np.zeros((1, 0), dtype=np.int8)
+            for k in range(self.size):
+                i, j = np.nonzero(np.multiply.outer(joint, chance[k] * rest[k + 1]) >= least)
+                joint, at = joint[i] * chance[k][j], np.column_stack((at[i], j.astype(np.int8)))
+            if joint.sum() >= self.mass or least < 1e-300:
+                break
+        order = np.argsort(-joint, kind="stable")
+        at = at[order[: int(np.searchsorted(np.cumsum(joint[order]), self.mass)) + 1]]
+        found = np.stack([cells[k][at[:, k]] for k in range(self.size)], axis=1)
         return np.concatenate((own[None, :], found[(found != own).any(axis=1)]))
 
 
@@ -160,10 +165,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, sample: int = 2000,
             unit = _unit(_matrix(batch["vector"])) if len(batch) else np.zeros((0, dim))
             for t in range(m.tables):
                 f, own = m.place(unit, t)
-                found = [m.name(m.probes(f[i], own[i], t)) for i in range(len(batch))]
-                if found:
-                    at = np.repeat(np.arange(len(batch)), [len(x) for x in found])
-                    yield batch.iloc[at].assign(tbl=t, bucket=np.concatenate(found))
+                at, found, held = [], [], 0
+                for i in range(len(batch)):
+                    found.append(m.name(m.probes(f[i], own[i], t)))
+                    at.append(np.full(len(found[-1]), i))
+                    held += len(found[-1])
+                    if held >= PIECE or i == len(batch) - 1:
+                        to, names, at, found, held = np.concatenate(at), np.concatenate(found), [], [], 0
+                        for k in range(0, len(to), PIECE):
+                            yield batch.iloc[to[k : k + PIECE]].assign(tbl=t, bucket=names[k : k + PIECE])
 
     stored = rows.mapInPandas(put, "vec_id long, vector array<double>, tbl int, bucket long")
     visits = distinct.mapInPandas(visit, "vector array<double>, qrep long, tbl int, bucket long")

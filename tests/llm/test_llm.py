@@ -317,6 +317,48 @@ def test_nearest_odd(spark):
     assert ann.nearest(none, none).count() == 0 and ann.nearest(few, none).count() == 0
 
 
+@pytest.mark.parametrize("size, expected", [(4, 0.35), (8, 0.35), (8, 0.6), (11, 0.35), (11, 0.6)])
+def test_probes_reach_the_mass(size, expected):
+    index = ann.Index(64, round(1024 * 2 ** (1.6 * size)), expected)
+    assert index.size == size
+    rng = np.random.default_rng(5)
+    q = ann._unit(rng.normal(size=(6, 64)))
+    spread, phi = (1 - index.expected**2) ** 0.5, lambda z: ann._PHI(z).astype(float)
+    found = []
+    for t in range(index.tables):
+        f, own = index.place(q, t)
+        for i in range(len(q)):
+            cells = index.probes(f[i], own[i], t)
+            assert (cells[0] == own[i]).all() and len(np.unique(cells, axis=0)) == len(cells)
+            low = cells * index.width - index.shift[t] - index.expected * f[i]
+            assert (phi((low + index.width) / spread) - phi(low / spread)).prod(axis=1).sum() >= index.mass - 1e-9
+            found.append(set(index.name(cells)))
+    # Neighbours drawn at the expected cosine: nine of ten lie in a visited bucket of some table.
+    hits = total = 0
+    for i in range(len(q)):
+        z = rng.normal(size=(300, 64))
+        z = ann._unit(z - (z @ q[i])[:, None] * q[i])
+        near = index.expected * q[i] + (1 - index.expected**2) ** 0.5 * z
+        hit = np.zeros(len(near), dtype=bool)
+        for t in range(index.tables):
+            hit |= np.array([x in found[t * len(q) + i] for x in index.name(index.place(near, t)[1])])
+        hits, total = hits + hit.sum(), total + len(near)
+    assert hits >= 0.9 * total
+
+
+def test_nearest_at_more_rows(spark):
+    """The hash functions of a table of some 7 million rows, and visits handed on in pieces smaller than a query's."""
+    rng = np.random.default_rng(6)
+    rows = [(i, list(map(float, v))) for i, v in enumerate(rng.normal(size=(1500, 32)))]
+    asked = rows[::100]
+    want = brute_nearest(rows, asked)
+    schema = "vec_id long, embedding array<double>"
+    got = collections.defaultdict(set)
+    for r in ann.nearest(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema), bucket_rows=len(rows) / 2**12.8).collect():
+        got[r.query_id].add(r.vec_id)
+    assert sum(len({i for i, _ in want[q]} & got[q]) for q in want) >= 0.9 * 5 * len(want)
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 
