@@ -1,12 +1,14 @@
-"""Links, articles and names out of pages, feeds and texts. All by patterns inside expressions: a page is a row, what is
-found in it becomes rows by ``explode``."""
+"""Links, articles and names out of pages, feeds and texts. By patterns inside expressions: a page is a row, what is found
+in it becomes rows by ``explode``. Only whole articles are read in Python, by batches."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import article as A
 from ..functions import text as T
 from ..functions import urls as U
 
@@ -163,53 +165,28 @@ def article_details(pages: DataFrame) -> DataFrame:
 
 
 def extract_articles(pages: DataFrame, least: int = 120) -> DataFrame:
-    """(url, title, publish_time, author, contents, confidence): structured articles. Title, time and author come from
-    JSON-LD, then meta fields, then tags; the body is what ``article`` or ``main`` holds, whichever scores higher by its
-    text, paragraphs and links; its items are paragraphs, ``##`` headings, ``•`` list items and images, once each. Pages
-    with less than ``least`` characters of body give no row."""
-    body = F.col("html")
-    ld = F.transform(F.regexp_extract_all(body, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), r"(?s)^\[\s*(\{.*\})\s*\]$", "$1"))
-
-    def one_of_ld(key: str) -> Column:
-        values = F.transform(ld, lambda x: F.get_json_object(x, f"$.{key}"))
-        return F.try_element_at(F.filter(values, lambda v: (F.trim(v) != "") & ~v.startswith("{")), F.lit(1))
-
-    from_ld = lambda *keys: F.coalesce(*[one_of_ld(k) for k in keys])
-    clean = F.regexp_replace(body, r"(?is)<(script|style|noscript|template)\b.*?</\1>", " ")
-    parts = [F.regexp_extract(clean, rf"(?is)<{t}\b[^>]*>(.*)</{t}>", 1) for t in ("article", "main")]
-
-    def score(part: Column) -> Column:
-        linked = F.length(F.array_join(F.transform(F.regexp_extract_all(part, F.lit(ANCHOR), F.lit(2)), strip_tags), " "))
-        n = F.length(strip_tags(part))
-        return F.when(n >= least, n + 180 * F.regexp_count(part, F.lit(r"(?i)<p\b")) - 0.35 * F.least(linked, n)).otherwise(-1.0)
-
-    rows = pages.withColumn("_a", parts[0]).withColumn("_m", parts[1]).withColumn("_sa", score(F.col("_a"))).withColumn("_sm", score(F.col("_m")))
-    rows = rows.withColumn("_root", F.when((F.col("_sa") >= F.col("_sm")) & (F.col("_sa") >= 0), F.col("_a")).when(F.col("_sm") >= 0, F.col("_m"))).where("_root is not null")
-    # A heading, paragraph, list item or image is one match; what comes between two starts belongs to the first.
-    blocks = F.regexp_extract_all("_root", F.lit(r"(?is)<(?:p|h2|h3|li|blockquote)\b[^>]*>(?:(?!<(?:p|h1|h2|h3|li|blockquote|img)\b).)*|<img\b[^>]*>"), F.lit(0))
-    item = lambda k, t: F.struct(F.lit(k).alias("type"), t.alias("content"))
-
-    def content(x: Column) -> Column:
-        t = strip_tags(x)
-        tag = F.lower(F.regexp_extract(x, r"^<([A-Za-z0-9]+)", 1))
-        source = F.coalesce(*[F.nullif(attribute(x, a), F.lit("")) for a in ("src", "data-src", "data-original")])
-        return F.when(tag == "img", item("image", U.resolve_url(source, F.col("url")))).otherwise(
-            item("text", F.when(t == "", F.lit(None)).when(tag.isin("h2", "h3"), F.concat(F.lit("## "), t)).when(tag == "li", F.concat(F.lit("• "), t)).otherwise(t))
-        )
-
-    contents = F.array_distinct(F.filter(F.transform(blocks, content), lambda x: x["content"].isNotNull()))
-    metas = article_details(pages.select("url", "html")).withColumnsRenamed({"title": "_title", "published": "_time"}).drop("summary")
-    author = F.coalesce(from_ld("author.name", "author"), F.nullif(F.regexp_extract(body, r"""(?is)<meta[^>]*name=["']author["'][^>]*content=["']([^"']*)["']""", 1), F.lit("")))
-    out = rows.select("url", from_ld("headline", "name").alias("_ld"), from_ld("datePublished", "dateCreated").alias("_ldt"), author.alias("author"), contents.alias("contents"))
-    joined = out.join(metas.dropDuplicates(["url"]), "url")
-    return joined.select("url", F.coalesce("_ld", "_title").alias("title"), F.coalesce("_ldt", "_time").alias("publish_time"), "author", "contents", F.lit(0.65).alias("confidence"))
+    """(url, title, publish_time, author, author_url, contents, platform, method, confidence, warnings): structured articles.
+    Title, time and author come from JSON-LD, then meta fields, then tags. The body is what the rule of the page's platform
+    finds (confidence 0.95), else what one of the general rules finds, whichever scores highest by its text, paragraphs and
+    links (0.65); its items are paragraphs, ``##`` headings, ``•`` list items, images and videos, once each. Pages without a
+    title or with less than ``least`` characters of body give no row."""
+
+    def read(batches):
+        for batch in batches:
+            found = [x for x in map(A.read_article, batch["url"], batch["html"], [least] * len(batch)) if x]
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in A.ARTICLE.split(", ")])
+
+    return pages.select("url", "html").mapInPandas(read, A.ARTICLE)
 
 
 def with_snippet_fallback(articles: DataFrame, snippets: DataFrame) -> DataFrame:
     """Every snippet (url, title, summary) with its article's contents, or with its own summary at confidence 0.2."""
-    own = F.when(F.trim(F.coalesce("summary", F.lit(""))) != "", F.array(F.struct(F.lit("text").alias("type"), T.collapse_ws(F.col("summary")).alias("content"))))
-    joined = snippets.join(articles.select("url", F.col("title").alias("_t"), "contents", "confidence"), "url", "left")
-    return joined.select("url", F.coalesce("_t", "title").alias("title"), F.coalesce("contents", own).alias("contents"), F.coalesce("confidence", F.lit(0.2)).alias("confidence")).where("title is not null or contents is not null")
+    summary = T.collapse_ws(F.col("summary"))
+    own = F.when(F.trim(F.coalesce("summary", F.lit(""))) != "", F.array(F.struct(F.lit("text").alias("type"), summary.alias("content"), summary.alias("desc"))))
+    joined = snippets.join(articles.select("url", F.col("title").alias("_t"), "contents", "confidence", "method", "warnings"), "url", "left")
+    method, warnings = F.coalesce("method", F.lit("snippet-fallback")), F.coalesce("warnings", F.array(F.lit("structured article content was not found")))
+    made = joined.select("url", F.coalesce("_t", "title").alias("title"), F.coalesce("contents", own).alias("contents"), F.coalesce("confidence", F.lit(0.2)).alias("confidence"), method.alias("method"), warnings.alias("warnings"))
+    return made.where("title is not null or contents is not null")
 
 
 def is_plausible_name(c: Column) -> Column:

@@ -78,6 +78,43 @@ def test_articles(spark):
     ]
 
 
+LONG = "<p>A paragraph with so many words that it alone is long enough for a body of an article, as the rules ask for a hundred and twenty characters.</p>"
+
+
+@pytest.mark.parametrize(
+    "url, page, method, platform",
+    [
+        ("https://mp.weixin.qq.com/s/x", f"<h1>H</h1><div id=js_content><div>{LONG}</div></div><main>{LONG * 3}</main>", "platform-rule", "wechat"),
+        ("https://www.bbc.com/news/articles/c1", f"<h1>H</h1><article><div data-component='x'>no</div><div data-component='text-block'>{LONG}</div></article>", "platform-rule", "bbc"),
+        ("https://edition.cnn.com/2026/01/02/a/b", f"<h1>H</h1><main>{LONG}</main>", "platform-rule", "cnn"),
+        ("https://www.163.com/dy/article/1.html", f"<h1>H</h1><div class='a post_body'>{LONG}</div>", "platform-rule", "netease"),
+        ("https://www.163.com/dy/article/2.html", f"<h1>H</h1><div class='entry-content'>{LONG}</div>", "generic-rule", "netease"),
+        ("https://a.org/1", f"<h1>H</h1><main role='main'>{LONG}</main>", "generic-rule", None),
+        ("https://a.org/2", f"<h1>H</h1><section itemprop='articleBody'>{LONG}</section>", "generic-rule", None),
+        ("https://a.org/3", f"<h1>H</h1><div class='x article-body'><div><b>{LONG}</b></div></div><div>out<p>out</p></div>", "generic-rule", None),
+        ("https://a.org/4", f"<h1>H</h1><div class='article-content'>{LONG}</div>", "generic-rule", None),
+        ("https://a.org/5", f"<h1>H</h1><div class='post-content'>{LONG}</div>", "generic-rule", None),
+        ("https://a.org/6", f"<h1>H</h1><div class='c-article-body__x'>{LONG}</div>", "generic-rule", None),
+    ],
+)
+def test_body_rules(spark, url, page, method, platform):
+    rows = extract.extract_articles(spark.createDataFrame([(url, page)], "url string, html string")).collect()
+    assert [(r.url, r.title, r.method, r.platform, r.confidence, r.warnings) for r in rows] == [(url, "H", method, platform, 0.95 if method == "platform-rule" else 0.65, ["publish_time_not_found"])]
+    assert [c.content for c in rows[0].contents] == [LONG[3:-4]]
+
+
+def test_article_items(spark):
+    ld = json.dumps([{"@type": "Organization"}, {"headline": "T", "author": "Cy"}])
+    body = f"<ul><li><p>in a list</p><li>two</ul>{LONG}<video><source src='/v.mp4'></video><iframe src='https://v.org/e#x'></iframe><img src='i.png' alt='An i'><noscript><p>off</p></noscript>{LONG}"
+    page = f"<script type='application/ld+json'>{ld}</script><time datetime='2026-03-04'>4 March</time><div class='entry-content'>{body}</div>"
+    r = extract.extract_articles(spark.createDataFrame([("https://a.org/d/1", page)], "url string, html string")).first()
+    assert (r.title, r.author, r.publish_time, r.warnings) == ("T", "Cy", "2026-03-04", [])
+    assert [tuple(c) for c in r.contents] == [
+        ("text", "in a list", "in a list"), ("text", "• two", "two"), ("text", LONG[3:-4], LONG[3:-4]), ("video", "https://a.org/v.mp4", "/v.mp4"),
+        ("video", "https://v.org/e", "https://v.org/e#x"), ("image", "https://a.org/d/i.png", "An i"),
+    ]
+
+
 def test_names(spark):
     text = "1. 清华大学；Work with the Royal Example Institute was done。一些公司, Acme Foundation"
     got = [r.name for r in extract.extract_names(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").orderBy("pos").collect()]
