@@ -467,7 +467,7 @@ _add("f3_norm_ascii_han", lambda s, d: _docs(s, d).select("doc_id", N.norm_ascii
 _add("f4_norm_letters", lambda s, d: _docs(s, d).select("doc_id", N.norm_letters(_t()).alias("value")))
 _add("f8_slug", lambda s, d: _docs(s, d).select("doc_id", N.slug(F.substring_index(_t(), "\n", 1)).alias("value")))
 _add(
-    "f12_lcs_len", lambda s, d: V.events(s, d).select("id", N.lcs_len(F.substring("title", 1, 40), F.substring("summary", 1, 80)).alias("value")),
+    "f12_lcs_len", lambda s, d: V.events(s, d).select("id", N.lcs_len(F.col("title"), F.col("summary")).alias("value")),
 )
 _add("f14_strip_tags", lambda s, d: _over(V.pages, "page_id", lambda: extract.strip_tags(F.regexp_extract("html", "<article>(.*)</article>", 1)))(s, d))
 _function("f20_is_official", lambda: U.is_official(F.col("source_url"), F.lit("https://www.example.com/x")), f"coalesce({_sh} = 'example.com' OR ends_with({_sh}, '.example.com') OR ends_with('example.com', '.' || {_sh}), false)", V.events, "id", "v_event")

@@ -48,20 +48,43 @@ def slug(c: Column, longest: int = 72) -> Column:
 
 @F.pandas_udf(IntegerType())
 def lcs_len(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Length of the longest common substring."""
+    """Length of the longest common substring, by a suffix automaton of the shorter text: memory as its length."""
 
     def one(a: str | None, b: str | None) -> int:
         if not a or not b:
             return 0
         a, b = sorted((a, b), key=len)
-        low, high = 0, len(a)
-        while low < high:  # a common part of some length has one of every shorter length
-            n = (low + high + 1) // 2
-            parts = {a[i : i + n] for i in range(len(a) - n + 1)}
-            if any(b[i : i + n] in parts for i in range(len(b) - n + 1)):
-                low = n
-            else:
-                high = n - 1
-        return low
+        step, link, length, last = [{}], [-1], [0], 0
+        for x in a:
+            new, p = len(step), last
+            step.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            while p >= 0 and x not in step[p]:
+                step[p][x] = new
+                p = link[p]
+            if p >= 0:
+                q = step[p][x]
+                if length[q] > length[p] + 1:
+                    copy = len(step)
+                    step.append(dict(step[q]))
+                    link.append(link[q])
+                    length.append(length[p] + 1)
+                    while p >= 0 and step[p].get(x) == q:
+                        step[p][x] = copy
+                        p = link[p]
+                    link[q] = copy
+                    q = copy
+                link[new] = q
+            last = new
+        best = n = at = 0
+        for x in b:
+            while at and x not in step[at]:
+                at = link[at]
+                n = length[at]
+            if x in step[at]:
+                at, n = step[at][x], n + 1
+                best = max(best, n)
+        return best
 
     return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="int32")

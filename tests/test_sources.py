@@ -2,11 +2,14 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orgwatch import demo as V
+from orgwatch.catalog import QUERIES
 from orgwatch.functions import normalize as N
 from orgwatch.functions import text as X
 from orgwatch.functions.register import register
@@ -129,3 +132,19 @@ def test_sitemap_index(spark):
     )
     got = {r.url: r.n for r in audit.feed_article_count(feeds, feeds.select("site").distinct()).collect()}
     assert got == {"https://a.org/sitemap.xml": 3, "https://a.org/sitemap-1.xml": 3, "https://a.org/f": 2}
+
+
+def test_longest_common_part(spark):
+    """Against brute force, and whole texts in the query: a common part behind the first 80 characters counts."""
+
+    def brute(a: str, b: str) -> int:
+        return max((n for n in range(1, min(len(a), len(b)) + 1) for i in range(len(a) - n + 1) if a[i : i + n] in b), default=0)
+
+    rng = random.Random(4)
+    rows = [("".join(rng.choices("ab大", k=rng.randrange(12))), "".join(rng.choices("ab大c", k=rng.randrange(40)))) for _ in range(400)]
+    df = spark.createDataFrame([*rows, (None, "a"), ("a" * 20_000 + "b" * 5_000, "c" + "a" * 19_000 + "b" * 6_000)], "a string, b string")
+    got = [r[0] for r in df.select(N.lcs_len("a", "b")).collect()]
+    assert got == [*(brute(a, b) for a, b in rows), 0, 24_000]
+    d = "/root/testdata/sf0.001"
+    want = {r.id: brute(r.title, r.summary) for r in V.events(spark, d).collect()}
+    assert {r.id: r.value for r in QUERIES["f12_lcs_len"](spark, d).collect()} == want
