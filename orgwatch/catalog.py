@@ -367,7 +367,7 @@ _add("k6_pending", lambda s, d: health.pending(V.pages(s, d), V.pages(s, d).wher
 _html = V.pages
 _add("x5_article_details", lambda s, d: extract.article_details(_html(s, d)).select("url", "title", "summary", "published"))
 _add("x3_extract_articles", lambda s, d: extract.extract_articles(_html(s, d)).withColumn("contents", F.to_json("contents")))
-_add("x4_snippet_fallback", lambda s, d: extract.with_snippet_fallback(extract.extract_articles(_html(s, d)).where("length(url) % 2 = 0").dropDuplicates(["url"]), V.events(s, d).select(F.col("source_url").alias("url"), "title", "summary")).select("url", "title", "confidence"))
+_add("x4_snippet_fallback", lambda s, d: extract.with_snippet_fallback(extract.extract_articles(_html(s, d)).dropDuplicates(["url"]), V.events(s, d).select(F.col("source_url").alias("url"), "title", "summary")).select("url", "title", "confidence"))
 _add("x6_news_endpoints", lambda s, d: extract.news_endpoints(_html(s, d).select("url", "html"), ["newsroom"]))
 _add("x7_feed_articles", lambda s, d: extract.feed_articles(_html(s, d).select("url", F.lit("html").alias("source_type"), F.col("html").alias("text"))))
 _add("x8_article_link_count", lambda s, d: extract.article_link_count(_html(s, d)))
@@ -469,7 +469,7 @@ _add("f8_slug", lambda s, d: _docs(s, d).select("doc_id", N.slug(F.substring_ind
 _add(
     "f12_lcs_len", lambda s, d: V.events(s, d).select("id", N.lcs_len(F.col("title"), F.col("summary")).alias("value")),
 )
-_add("f14_strip_tags", lambda s, d: _over(V.pages, "page_id", lambda: extract.strip_tags(F.regexp_extract("html", "<article>(.*)</article>", 1)))(s, d))
+_add("f14_strip_tags", lambda s, d: _over(V.pages, "page_id", lambda: extract.strip_tags(F.col("html")))(s, d))
 _function("f20_is_official", lambda: U.is_official(F.col("source_url"), F.lit("https://www.example.com/x")), f"coalesce({_sh} = 'example.com' OR ends_with({_sh}, '.example.com') OR ends_with('example.com', '.' || {_sh}), false)", V.events, "id", "v_event")
 _add("f21_resolve_url", lambda s, d: extract.page_links(V.pages(s, d).select("page_id", "url", "html")).select("page_id", "pos", "href", "link"))
 _function("f27_time_bucket", lambda: D.time_bucket(F.col("relevance_score") * 5), "CASE WHEN relevance_score * 5 <= 1 THEN 'day' WHEN relevance_score * 5 <= 7 THEN 'week' WHEN relevance_score * 5 <= 31 THEN 'month' ELSE 'year' END", V.events, "id", "v_event")

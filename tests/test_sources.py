@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,18 @@ def test_longest_common_part(spark):
     d = "/root/testdata/sf0.001"
     want = {r.id: brute(r.title, r.summary) for r in V.events(spark, d).collect()}
     assert {r.id: r.value for r in QUERIES["f12_lcs_len"](spark, d).collect()} == want
+
+
+def test_whole_inputs(spark):
+    """Tags are stripped of whole pages, and only what no article was found for is told by its snippet."""
+    d = "/root/testdata/sf0.001"
+    pages = V.pages(spark, d).collect()
+    stripped = {r.page_id: r.value for r in QUERIES["f14_strip_tags"](spark, d).collect()}
+    for p in pages:
+        want = re.sub("<[^>]+>", " ", p.html)
+        for k, v in extract.ENTITIES.items():
+            want = want.replace(k, v)
+        assert stripped[p.page_id].split() == want.split()
+    found = {r.url for r in extract.extract_articles(V.pages(spark, d)).collect()}
+    told = QUERIES["x4_snippet_fallback"](spark, d).collect()
+    assert found and {r.url for r in told if r.confidence > 0.2} == found and {r.url for r in told} == {p.url for p in pages}
