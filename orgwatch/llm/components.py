@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by label propagation with pointer jumping."""
+"""Connected components of an edge table, by hooking and contraction."""
 
 from __future__ import annotations
 
@@ -8,20 +8,33 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 
+def _shortcut(hooks: DataFrame) -> DataFrame:
+    """(node, root) from (node, up), where ``up`` is always less than ``node``: each round doubles the way that a
+    pointer has gone, so a chain of n nodes takes log2(n) rounds of one join over the nodes."""
+    while True:
+        above = hooks.select(F.col("node").alias("up"), F.col("up").alias("_next"))
+        new = cut_lineage(hooks.join(above, "up", "left").select("node", F.coalesce("_next", "up").alias("up"), F.col("_next").isNotNull().alias("_moved")))
+        hooks = new.select("node", "up")
+        if new.where("_moved").isEmpty():
+            return hooks.withColumnRenamed("up", "root")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); ``root`` is the least node of its component.
 
-    Each round takes the least label among a node's neighbours and then the label's own label, so a chain shrinks by
-    half or more a round; every round is written to the shared folder. Nothing but a count of changes reaches the
-    driver. The least label of a node with very many neighbours is found map-side first.
+    Every node first hooks to the least of its lesser neighbours (a map-side minimum, no join); pointers are followed to
+    the roots of these trees, and then both ends of every edge are replaced by their roots. What lies inside one tree
+    drops out, so the edges shrink each round, and the rest is contracted again until none is left. Every round is
+    written to the shared folder; nothing but whether rows are left reaches the driver.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("node"), F.least("a", "_m").alias("root")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("_near"))
-        met = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "root", F.least("root", "_near").alias("_to"))
-        own = labels.select(F.col("node").alias("_to"), F.col("root").alias("_far"))
-        new = cut_lineage(met.join(own, "_to", "left").select("node", F.least("_to", "_far").alias("root"), (F.least("_to", "_far") != F.col("root")).alias("_moved")))
-        labels = new.select("node", "root")
-        if new.where("_moved").isEmpty():
-            return labels
+    left = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    found = left.select(F.col("a").alias("node"), F.col("b").alias("root")).where("false")
+    while not left.isEmpty():
+        near = _shortcut(left.groupBy("a").agg(F.min("b").alias("up")).withColumnRenamed("a", "node"))
+        at = lambda c: near.select(F.col("node").alias(c), F.col("root").alias("_root"))
+        # A node that already has a root follows it; the nodes of this round had none.
+        found = cut_lineage(found.join(at("root"), "root", "left").select("node", F.coalesce("_root", "root").alias("root")).unionByName(near))
+        once = left.join(at("a"), "a").select(F.col("_root").alias("a"), "b").where("a <> b").distinct()
+        left = once.join(at("b"), "b", "left").select("a", F.coalesce("_root", "b").alias("b")).where("a <> b")
+        left = cut_lineage(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())

@@ -2,17 +2,25 @@
 
 Documents with the same set of word 5-grams form one node, so copies take part once. Nodes that agree on a band of
 MinHash values are candidates; the buckets of a band give a star of edges each (to their least node), never all
-pairs, and the components of the stars bring together every pair that shares a bucket. Inside a component, blocks of
-nodes are compared with blocks: MinHash values are compared a few at a time, a pair is dropped as soon as the posterior
-probability that its similarity reaches the threshold falls below a tolerance, and what is left is verified exactly on
-the 5-gram sets. A component of any size is spread over tasks of at most two blocks, and no row is made for a pair: a
-block gives each node its number of links and the least node it is connected to.
+pairs, and the components of the stars bring together every pair that shares a bucket. Nodes of a component are compared
+in blocks: MinHash values are compared a few at a time, a pair is dropped as soon as the posterior probability that its
+similarity reaches the threshold falls below a tolerance, and what is left is verified exactly on the 5-gram sets. No
+row is made for a pair: a block gives each node its number of links and the least node it is connected to.
+
+A component that does not fit in one block is not compared text by text. One block of it gives a pivot, the 5-grams that
+at least half of its nodes have, and every node is told by its difference from the pivot: |S ^ R| of two sets is
+|T ^ U| of their differences T and U, so the differences decide as exactly as the sets and are small where texts are near
+copies. Two nodes whose differences both are at most (1 - threshold) / (1 + threshold) of their sets are linked for
+certain, so all links among those *tight* nodes are counted by one sum. Only the others, the *loose* nodes, are compared
+with all nodes of their component, block by block, and a block pair is sent sketches and differences, never texts. The
+work is quadratic in the loose nodes alone. Blocks are bounded by rows and by 5-grams.
 
 At 40 bands of 7 values, a pair at similarity 0.8 shares no band with probability 1e-4, at 0.9 with 1e-11.
 
 Defined cases: a text of one to four words counts as one n-gram; a null, empty or blank text has none, links to
-nothing and is a class of its own; repeated rows are copies of each other; a null ``doc_id`` is carried; an empty table
-gives an empty result; extra columns are ignored by ``similar_documents`` and kept by ``drop_similar``.
+nothing and is a class of its own; repeated rows are copies of each other; a null ``doc_id`` is carried and comes after
+all others; an id with several texts counts once for each; an empty table gives an empty result; extra columns are
+ignored by ``similar_documents`` and kept by ``drop_similar``.
 """
 
 from __future__ import annotations
@@ -20,16 +28,17 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut_lineage, fresh
+from .common import WORD, cut_lineage
 from .components import components
 
 _WORD = re.compile(WORD)
@@ -111,44 +120,62 @@ def _survivors(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, thr
     return alive
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float, tolerance: float) -> np.ndarray:
+def _common(left: list[np.ndarray], right: list[np.ndarray] | None, i: np.ndarray, j: np.ndarray, width: int = 2048) -> np.ndarray:
+    """How many elements left[i] and right[j] share, for each of the given pairs; ``right`` None: within ``left``."""
+    other = left if right is None else right
+    if len(i) <= 4 * (len(left) + len(other)):
+        return np.array([len(np.intersect1d(left[a], other[b], assume_unique=True)) for a, b in zip(i, j)], dtype=np.int64)
+    every = [*left, *([] if right is None else right)]
+    rows = np.repeat(np.arange(len(every)), [len(s) for s in every])
+    _, column, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    shared = times > 1  # an element of one set alone is in no pair
+    rows, column = rows[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(left), len(other)), dtype=np.float32)
+    for start in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        dense = np.zeros((len(every), width), dtype=np.float32)
+        dense[rows[lo:hi], column[lo:hi] - start] = 1
+        out += dense[: len(left)] @ (dense if right is None else dense[len(left) :]).T
+    return np.rint(out[i, j]).astype(np.int64)
+
+
+@dataclass
+class Side:
+    """Nodes as a block holds them: the sizes of their sets, their sketches, and their differences from a pivot (the
+    sets themselves where there is none)."""
+
+    size: np.ndarray
+    sketch: np.ndarray
+    delta: list[np.ndarray]
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+
+def linked(left: Side, right: Side | None, threshold: float, tolerance: float) -> np.ndarray:
     """The matrix of pairs (left, right) with Jaccard similarity >= threshold; ``right`` None: within ``left``."""
-    within = right is None
-    right = left if within else right
-    nx, ny = (np.array([len(s) for s in side]) for side in (left, right))
-    x = np.stack([minhash(s, SKETCH, 2) for s in left])
-    y = x if within else np.stack([minhash(s, SKETCH, 2) for s in right])
-    alive = _survivors(x, y, nx, ny, threshold, tolerance)
-    if within:
+    other = left if right is None else right
+    alive = _survivors(left.sketch, other.sketch, left.size, other.size, threshold, tolerance)
+    if right is None:
         alive &= np.tri(len(left), k=-1, dtype=bool)
-    exact = Fraction(str(threshold))
     i, j = np.nonzero(alive)
-    if len(i) > 4 * (len(left) + len(right)):
-        rows = np.concatenate([np.full(len(s), r) for r, s in enumerate([*left, *([] if within else right)])])
-        _, column = np.unique(np.concatenate([*left, *([] if within else right)]), return_inverse=True)
-        order = np.argsort(column, kind="stable")
-        rows, column = rows[order], column[order]
-        total, width = len(left) + (0 if within else len(right)), 8192
-        common = np.zeros((len(left), len(right)), dtype=np.float32)
-        for start in range(0, int(column[-1]) + 1, width):
-            lo, hi = np.searchsorted(column, [start, start + width])
-            dense = np.zeros((total, width), dtype=np.float32)
-            dense[rows[lo:hi], column[lo:hi] - start] = 1
-            common += dense[: len(left)] @ (dense if within else dense[len(left) :]).T
-        both = np.rint(common[i, j]).astype(np.int64)
-    else:
-        both = np.array([len(np.intersect1d(left[a], right[b], assume_unique=True)) for a, b in zip(i, j)], dtype=np.int64)
-    good = both * exact.denominator >= exact.numerator * (nx[i] + ny[j] - both)
+    both = _common(left.delta, None if right is None else right.delta, i, j)
+    apart = np.array([len(d) for d in left.delta])[i] + np.array([len(d) for d in other.delta])[j] - 2 * both
+    exact = Fraction(str(threshold))
+    good = apart * (exact.denominator + exact.numerator) <= (left.size[i] + other.size[j]) * (exact.denominator - exact.numerator)
     out = np.zeros(alive.shape, dtype=bool)
     out[i[good], j[good]] = True
-    return out | out.T if within else out
+    return out | out.T if right is None else out
 
 
 def _least_connected(adjacent: np.ndarray) -> np.ndarray:
     """For each row of a symmetric matrix, the least row of its component."""
-    label = np.arange(len(adjacent))
+    n = len(adjacent)
+    label = np.arange(n, dtype=np.int32)
     while True:
-        near = np.where(adjacent, label[None, :], len(adjacent)).min(axis=1, initial=len(adjacent))
+        near = np.where(adjacent, label[None, :], np.int32(n)).min(axis=1, initial=n)
         new = np.minimum(label, near)
         new = new[new]
         if (new == label).all():
@@ -157,91 +184,176 @@ def _least_connected(adjacent: np.ndarray) -> np.ndarray:
 
 
 LINKS = "key binary, links long, hub binary"
+DELTAS = "key binary, root binary, copies long, size long, n_delta long, delta binary, sketch binary"
+
+
+def _linked_rows(keys: list[bytes], copies: np.ndarray, m: np.ndarray) -> list[tuple[bytes, int, bytes]]:
+    links, hub = m @ copies, _least_connected(m)
+    return [(keys[i], int(links[i]), keys[hub[i]]) for i in np.flatnonzero(links > 0)]
+
+
+def _as_frame(rows: list, schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
 
-def _compare(threshold: float, tolerance: float, n: int):
+def _compare_texts(threshold: float, tolerance: float, n: int):
+    """All links inside whole components that fit in a block."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[bytes, int, bytes]] = []
-        low, high = int(group["_lo"].iloc[0]), int(group["_hi"].iloc[0])
         for _, part in group.groupby("root", sort=True):
-            part = part.assign(_set=[shingles(t, n) for t in part["text"]])
-            # Rows of one id may have several texts: of those found by the id, the node's own has its key.
-            own = [set_key(s) == k for s, k in zip(part["_set"], part["key"])]
-            part = part[own].sort_values("key").drop_duplicates("key")
-            keys, copies, sets = list(part["key"]), part["copies"].to_numpy(), list(part["_set"])
-            if not keys:
-                continue
-            right = np.zeros(len(keys), dtype=bool) if low == high else (part["_block"] == high).to_numpy()
+            part = part.sort_values("key")
+            sets = [shingles(t, n) for t in part["text"]]
+            side = Side(np.array([len(s) for s in sets]), np.stack([minhash(s, SKETCH, 2) for s in sets]), sets)
+            out += _linked_rows(list(part["key"]), part["copies"].to_numpy(), linked(side, None, threshold, tolerance))
+        return _as_frame(out, LINKS)
+
+    return run
+
+
+def _pivot(n: int):
+    """The n-grams that at least half of a component's first block have."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        values, times = np.unique(np.concatenate([shingles(t, n) for t in group["text"]]), return_counts=True)
+        return pd.DataFrame({"root": [group["root"].iloc[0]], "pivot": [values[2 * times >= len(group)].tobytes()]})
+
+    return run
+
+
+def _differences(n: int):
+    def run(group: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        pivot = np.frombuffer(pivots["pivot"].iloc[0], dtype=np.uint64)
+        out = []
+        for key, root, copies, text in zip(group["key"], group["root"], group["copies"], group["text"]):
+            s = shingles(text, n)
+            delta = np.setxor1d(s, pivot, assume_unique=True)
+            out.append((key, root, copies, len(s), len(delta), delta.tobytes(), minhash(s, SKETCH, 2).tobytes()))
+        return _as_frame(out, DELTAS)
+
+    return run
+
+
+def _compare_differences(threshold: float, tolerance: float):
+    """All links between two blocks of one component."""
+
+    def side(part: pd.DataFrame) -> Side:
+        sketch = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint32).reshape(len(part), SKETCH)
+        return Side(part["size"].to_numpy(), sketch, [np.frombuffer(d, dtype=np.uint64) for d in part["delta"]])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("key")
+        low, high = int(group["_lo"].iloc[0]), int(group["_hi"].iloc[0])
+        if low == high:
+            m = linked(side(group), None, threshold, tolerance)
+        else:
+            right = (group["_block"] == high).to_numpy()
             a, b = np.flatnonzero(~right), np.flatnonzero(right)
-            m = np.zeros((len(keys), len(keys)), dtype=bool)
-            if low == high:
-                m = linked(sets, None, threshold, tolerance)
-            elif len(a) and len(b):
-                m[np.ix_(a, b)] = linked([sets[i] for i in a], [sets[i] for i in b], threshold, tolerance)
+            m = np.zeros((len(group), len(group)), dtype=bool)
+            if len(a) and len(b):
+                m[np.ix_(a, b)] = linked(side(group.iloc[a]), side(group.iloc[b]), threshold, tolerance)
                 m |= m.T
-            links, hub = m @ copies, _least_connected(m)
-            out += [(keys[i], int(links[i]), keys[hub[i]]) for i in np.flatnonzero(links > 0)]
-        return pd.DataFrame(out, columns=["key", "links", "hub"])
+        return _as_frame(_linked_rows(list(group["key"]), group["copies"].to_numpy(), m), LINKS)
 
     return run
 
 
-def similar_documents(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, block: int = 256
-) -> DataFrame:
-    """``doc_id, class_id, n_links, kept`` for each row: the least id among all documents connected to it by links,
-    the number of other rows at Jaccard similarity >= ``threshold`` to it (copies count each), and whether it is the
-    one of its class to keep."""
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = base.withColumn("_jid", F.coalesce("doc_id", F.xxhash64("text")))
+def _large_components(texts: DataFrame, threshold: float, tolerance: float, n: int, block: int, block_grams: int) -> DataFrame:
+    """The links (LINKS) inside components of several blocks. ``texts``: key, root, copies, text, _block, _blocks."""
+    pivots = texts.where("_block = 0").select("root", "text").groupBy("root").applyInPandas(_pivot(n), "root binary, pivot binary")
+    # Every block of the component gets the pivot; where blocks are few and the first has no row, the pivot is empty.
+    spread = texts.select("root", "_block").distinct().join(pivots, "root", "left")
+    spread = spread.select(F.col("root").alias("_root"), F.col("_block").alias("_at"), F.coalesce("pivot", F.lit(b"")).alias("pivot"))
+    deltas = texts.select("key", "root", "copies", "text", "_block").groupBy("root", "_block").cogroup(spread.groupBy("_root", "_at"))
+    exact = Fraction(str(threshold))
+    near = F.col("n_delta") * (exact.denominator + exact.numerator) <= F.col("size") * (exact.denominator - exact.numerator)
+    rows = cut_lineage(deltas.applyInPandas(_differences(n), DELTAS).withColumn("_tight", near))
+    tight = rows.where("_tight").groupBy("root").agg(F.sum("copies").alias("_all"), F.min("key").alias("hub"))
+    certain = rows.where("_tight").join(tight, "root").select("key", (F.col("_all") - F.col("copies")).alias("links"), "hub").where("links > 0")
+
+    part = lambda side: F.coalesce(F.ceil(F.greatest(F.count(F.when(side, 1)) / (4 * block), F.sum(F.when(side, F.col("n_delta"))) / block_grams)), F.lit(0))
+    cuts = rows.groupBy("root").agg(part(~F.col("_tight")).alias("_nl"), part(F.col("_tight")).alias("_nt")).where("_nl > 0")
+    placed = rows.join(cuts, "root")
+    own = F.when(F.col("_tight"), F.col("_nl") + F.pmod(F.xxhash64("key"), F.col("_nt"))).otherwise(F.pmod(F.xxhash64("key"), F.col("_nl")))
+    placed = placed.withColumn("_block", own)
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), c - 1)
+    placed = placed.withColumn("_other", F.explode(F.when(F.col("_tight"), upto(F.col("_nl"))).otherwise(upto(F.col("_nl") + F.col("_nt")))))
+    placed = placed.withColumn("_lo", F.least("_block", "_other")).withColumn("_hi", F.greatest("_block", "_other"))
+    pairs = placed.select("root", "_lo", "_hi", "_block", "key", "copies", "size", "delta", "sketch").groupBy("root", "_lo", "_hi")
+    return certain.unionByName(pairs.applyInPandas(_compare_differences(threshold, tolerance), LINKS))
+
+
+def _row_key(doc_id: str, text: str) -> list[Column]:
+    """128 bits that tell rows of another id or text apart."""
+    return [F.xxhash64(F.col(doc_id), F.col(text)).alias("_h1"), F.xxhash64(F.lit(1), F.col(text), F.col(doc_id)).alias("_h2")]
+
+
+def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float, n: int, tolerance: float, block: int, block_grams: int) -> DataFrame:
+    """``doc_id, _h1, _h2, class_id, n_links, kept`` for each row."""
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", "text", *_row_key("doc_id", "text"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t, n) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64"), "_jid": batch["_jid"].astype("Int64"),
-                    "key": [set_key(s) if len(s) else None for s in sets], "bands": [bands_of(s) if len(s) else None for s in sets],
-                }
-            )
-
-    signed = cut_lineage(base.mapInPandas(sign, "doc_id long, _jid long, key binary, bands array<long>"))
-    ids = signed.select("doc_id", "_jid", "key")
-    nodes = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min("_jid").alias("_jid"), F.first("bands").alias("bands"))
+            signs = []
+            for t in batch["text"]:
+                s = shingles(t, n)
+                signs.append((set_key(s), len(s), bands_of(s)) if len(s) else (None, 0, None))
+            out = pd.DataFrame(signs, columns=["key", "grams", "bands"])
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "_h1": batch["_h1"], "_h2": batch["_h2"], **out})
+
+    signed = cut_lineage(base.mapInPandas(sign, "doc_id long, _h1 long, _h2 long, key binary, grams long, bands array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2")).alias("first")
+    nodes = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), first, F.first("grams").alias("grams"), F.first("bands").alias("bands"))
     nodes = cut_lineage(nodes)
     placed = nodes.select("key", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    stars = placed.join(shared, "bucket").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    near = components(stars).withColumnRenamed("node", "key")
-
-    blocks = near.groupBy("root").agg(F.ceil(F.count("*") / block).alias("_blocks"))
-    candidates = near.join(blocks, "root").join(nodes.drop("bands"), "key")
-    groups = max(8, -(-near.count() // block))
-    small = F.col("_blocks") == 1
-    candidates = candidates.withColumn("_block", F.pmod(F.xxhash64("key"), F.col("_blocks")))
-    candidates = candidates.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    candidates = candidates.select(
-        "key", "root", "copies", "_jid", "_block", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"),
-        F.when(small, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root")).alias("_group"),
-    )
-    texts = candidates.join(base.select("_jid", "text").where("text is not null"), "_jid")
-    found = cut_lineage(texts.drop("_jid").groupBy("_group", "_lo", "_hi").applyInPandas(_compare(threshold, tolerance, n), LINKS))
+    stars = placed.join(shared, "bucket").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    near = components(stars).withColumnRenamed("node", "key").join(nodes.drop("bands"), "key")
+    near = cut_lineage(near.select("key", "root", "copies", "grams", "first._h1", "first._h2"))
+
+    sizes = near.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("grams") / block_grams)).alias("_blocks"))
+    most, rows, grams = near.join(sizes, "root").agg(F.max("_blocks"), F.count("*"), F.sum("grams")).first()
+    groups = max(8, -(-rows // block), -(-(grams or 0) // block_grams))
+    # Map-side combined, so that rows repeated with their id do not meet; texts move once, and those of candidates are kept.
+    once = base.where("text is not null").groupBy("_h1", "_h2").agg(F.first("text").alias("text"))
+    texts = cut_lineage(near.join(sizes, "root").drop("grams").join(once, ["_h1", "_h2"]).drop("_h1", "_h2"))
+    small = texts.where("_blocks = 1").withColumn("_group", F.pmod(F.xxhash64("root"), F.lit(groups)))
+    found = small.select("_group", "key", "root", "copies", "text").groupBy("_group").applyInPandas(_compare_texts(threshold, tolerance, n), LINKS)
+    if (most or 0) > 1:
+        large = texts.where("_blocks > 1").withColumn("_block", F.pmod(F.xxhash64("key"), F.col("_blocks")))
+        found = found.unionByName(_large_components(large, threshold, tolerance, n, block, block_grams))
+    found = cut_lineage(found)
+
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("key").alias("a"), F.col("hub").alias("b")).where("a <> b")).withColumnRenamed("node", "key")
-    known = nodes.select("key", "copies", "first_id").join(links, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    known = known.join(least, "root").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    joined = ids.join(known, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
-
-
-def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **parameters) -> DataFrame:
-    """``docs`` with one document of each class: the one with the least id. Rows that share that id count as one
-    document and all but one of them go."""
-    flag = fresh(docs, "_gone")
-    gone = similar_documents(docs, text, doc_id, **parameters).where("not kept").select(F.col("doc_id").alias(flag)).distinct()
-    left = docs.join(gone, F.col(doc_id) == F.col(flag), "left_anti")
-    named = F.col(doc_id).isNotNull()
-    if docs.where(named).groupBy(doc_id).count().where("count > 1").isEmpty():
-        return left
-    return left.where(named).dropDuplicates([doc_id]).unionByName(left.where(~named))
+    roots = components(found.select(F.col("key").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("node", "key")
+    known = nodes.select("key", "copies", "first").join(links, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = known.groupBy("root").agg(F.min("first").alias("least"))
+    known = known.join(least, "root").select("key", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    joined = signed.select("doc_id", "_h1", "_h2", "key").join(known, "key", "left")
+    alone = F.col("key").isNull()
+    return joined.select(
+        "doc_id", "_h1", "_h2", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (alone | ((F.col("_h1") == F.col("least._h1")) & (F.col("_h2") == F.col("least._h2")))).alias("kept"),
+    )
+
+
+def similar_documents(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, block: int = 256, block_grams: int = 300_000
+) -> DataFrame:
+    """``doc_id, class_id, n_links, kept`` for each row: the least id among all documents connected to it by links,
+    the number of other rows at Jaccard similarity >= ``threshold`` to it (copies count each), and whether its id and
+    text are those of its class that stay (a row repeated with its id says so each time)."""
+    return _classes(docs, text, doc_id, threshold, n, tolerance, block, block_grams).drop("_h1", "_h2")
+
+
+def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, block: int = 256, block_grams: int = 300_000) -> DataFrame:
+    """``docs`` with one row of each class: the one with the least id (null last), of equal ids the one with the least
+    hash. It decides by row, not by id: different texts under one id are each kept or dropped for themselves."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")  # so that no name of a column clashes with ours
+    gone = _classes(docs, text, doc_id, threshold, n, tolerance, block, block_grams).where("not kept").select("_h1", "_h2").distinct()
+    blank = F.when(F.coalesce(F.col(text).rlike(WORD), F.lit(False)), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    keyed = docs.select(own, F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), blank.alias("_blank"))
+    left = keyed.select("_doc", "_blank", *_row_key("_id", "_text")).join(gone, ["_h1", "_h2"], "left_anti")
+    # Of rows repeated with their id one stays; texts without words are classes of their own.
+    once = left.groupBy("_h1", "_h2", "_blank").agg(F.first("_doc").alias("_doc"))
+    return once.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orgwatch.llm import ann, blocks, chat, extraction, langid, mixing, neardup, packing, pii, quality, queries, secrets, template, tokens
+from orgwatch.llm import ann, blocks, chat, components, extraction, langid, mixing, neardup, packing, pii, quality, queries, secrets, template, tokens
 
 SF = "/root/testdata/sf0.001"
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -237,15 +237,15 @@ def near_copies():
     return out + [" ".join(f"y{j}" for j in rng.integers(0, 999, 60)) for _ in range(20)] + ["a b c", "a b c", "a b", "", "same same same same same same", None]
 
 
-@pytest.mark.parametrize("block", [16, 256])
-def test_similar_documents(spark, block):
+@pytest.mark.parametrize("block, grams", [(4, 300_000), (16, 300_000), (256, 300_000), (256, 900)])
+def test_similar_documents(spark, block, grams):
     texts = near_copies()
     links, least = brute_links(texts)
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_links int")
-    got = {r.doc_id: r for r in neardup.similar_documents(df, block=block).collect()}
+    got = {r.doc_id: r for r in neardup.similar_documents(df, block=block, block_grams=grams).collect()}
     assert [got[i].n_links for i in range(len(texts))] == links
     assert [got[i].class_id for i in range(len(texts))] == least
-    kept = neardup.drop_similar(df, block=block)
+    kept = neardup.drop_similar(df, block=block, block_grams=grams)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
 
 
@@ -267,8 +267,50 @@ def test_similar_odd(spark, odd):
 def test_similar_with_one_id_for_several_texts(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
     rows = [(1, a), (1, b), (1, "c d e f g h"), (2, a + " tail"), (3, b + " tail")]
-    got = neardup.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.similar_documents(df).collect()
     assert sorted((r.doc_id, r.n_links, r.class_id) for r in got) == [(1, 0, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    # Unrelated texts under one id all stay, and so does the only copy of a text whose id another text has.
+    assert sorted(map(tuple, neardup.drop_similar(df).collect())) == sorted(rows[:3])
+    more = [(None, a), (None, a), (None, b), (7, b), (7, b), (None, None), (None, None), (8, " "), (8, " ")]
+    kept = neardup.drop_similar(spark.createDataFrame(more, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(None, a), (7, b), (None, None), (None, None), (8, " "), (8, " ")]))
+
+
+def test_large_component_is_exact(spark):
+    """A component of several blocks, with tight and loose nodes: the links are those of brute force."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(240):
+        copy = list(base)
+        for at in rng.integers(0, 150, int(rng.integers(0, 3 if i % 4 else 9))):
+            copy[at] = f"x{rng.integers(0, 40)}"
+        texts.append(" ".join(copy[: 150 - int(rng.integers(0, 12)) * (i % 5 == 0)]))
+    links, least = brute_links(texts)
+    assert min(links) < max(links) - 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_links, r.class_id) for r in neardup.similar_documents(df, block=12).collect()}
+    assert [got[i] for i in range(len(texts))] == list(zip(links, least))
+
+
+def test_components(spark):
+    """Chains, stars and trees against union-find."""
+    rng = np.random.default_rng(4)
+    edges = [(i, i + 1) for i in range(200, 260)] + [(300, i) for i in range(301, 340)] + [(int(a), int(b)) for a, b in rng.integers(400, 520, (90, 2))] + [(1, 1)]
+    parent = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    got = components.components(spark.createDataFrame(edges + edges[:5], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in parent)
 
 
 def test_pruning_keeps_what_may_reach():
