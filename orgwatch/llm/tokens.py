@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import lru_cache
 from struct import pack
 
-import regex
 from tokenizers import Tokenizer
 
 
@@ -16,8 +16,12 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Splits a normalised text into the words that byte-pair merging works on; fixed by the tokenizer file.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Characters whose class, lower case and normal form are as simple as ASCII's: printable ASCII and Latin letters below
+#: U+017F, but for the dotted capital I and the apostrophe n. Tested code point by code point against the library.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+#: Splits plain text in lower case into the words that byte-pair merging works on; fixed by the tokenizer file.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u017e"
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
 def _byte_names() -> str:
@@ -28,51 +32,62 @@ def _byte_names() -> str:
 
 
 class _Remembered(dict):
-    """Values of a function by argument; emptied when it holds ``most`` of them."""
+    """Values of a function by argument. The ``most`` newest are kept and, of those before them, what is asked for again;
+    long arguments are not kept at all."""
 
-    def __init__(self, function: Callable[[str], bytes], most: int):
+    def __init__(self, function: Callable[[str], bytes], most: int, longest: int = 64):
         super().__init__()
-        self.function, self.most = function, most
+        self.function, self.most, self.longest, self.before = function, most, longest, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.function(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
 
 class WordTokenizer:
-    """The ids of ``Tokenizer.encode(text, add_special_tokens=False)``, remembered by white-space separated chunk.
+    """The ids of ``Tokenizer.encode(text, add_special_tokens=False)``, remembered by chunk between spaces.
 
     No word of this vocabulary spans white space, so a text's ids are those of its chunks in turn. They are kept as
-    bytes (little-endian, 4 an id), which join fast and cost the garbage collector nothing. A text that might hold a
-    special token's string goes through the library as a whole.
+    bytes (little-endian, 4 an id), which join fast and cost the garbage collector nothing. A chunk of plain characters
+    is cut and merged here; any other chunk, and a whole text that might hold a special token's string, goes through
+    the library.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         self.whole = Tokenizer.from_file(path)
         self.names = dict(enumerate(_byte_names()))
         self.words = _Remembered(self._word, remembered)
         self.chunks = _Remembered(self._chunk, remembered)
 
+    def _library(self, text: str) -> bytes:
+        ids = self.whole.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
+
     def _word(self, word: str) -> bytes:
         named = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.names)
         ids = [t.id for t in self.whole.model.tokenize(named)]
         return pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        # Below U+0130 nothing is composed and lower case is one character for one.
-        text = chunk.lower() if chunk.isascii() or max(chunk) < "\u0130" else self.whole.normalizer.normalize_str(chunk)
+        if not _PLAIN.fullmatch(chunk):
+            return self._library(chunk) if chunk else b""
+        text = chunk.lower()
         if text.isalpha():
             return self.words[text]
-        if text[-1:] in (",", ".") and text[:-1].isalpha():
+        if text[-1] in ",." and text[:-1].isalpha():
             return self.words[text[:-1]] + self.words[text[-1]]
         return b"".join([self.words[w] for w in _WORDS.findall(text)])
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-            return pack(f"<{len(ids)}I", *ids)
+            return self._library(text)
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 

@@ -154,8 +154,9 @@ def test_permutation(spark, n):
 
 
 def check_packing(got, texts):
+    """Every id in one piece, sequences gapless and without padding; returns the cuts beyond those that 4096 forces."""
     whole = tokens.tokenizer(tokens.default_path()).whole
-    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    pieces, sequences, cuts = collections.defaultdict(list), collections.defaultdict(list), 0
     for r in got:
         pieces[r.doc_id].append(r)
         sequences[r.sequence_id].append((r.offset, r.length))
@@ -174,12 +175,37 @@ def check_packing(got, texts):
             assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
             at += r.length
         assert at == len(ids)
+        cuts += len(pieces[doc_id]) - -(-len(ids) // 4096)
+    return cuts
 
 
 def test_packing(spark, docs):
     check_packing(queries.op4_packing(spark, SF).collect(), {k: r.text for k, r in docs.items()})
 
 
+def test_packing_classes(spark):
+    """Bins of a class hold its fixed number of whole pieces, and few documents are cut."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = queries.op4_packing(spark, "/root/testdata/sf0.01").collect()
+    assert check_packing(got, docs) <= 0.8 * len(docs)
+    uncut = collections.Counter(r.sequence_id for r in got if r.length == min(r.doc_tokens, 4096))
+    assert sum(n == 4096 // r.length for r in got if (n := uncut[r.sequence_id]) and r.length == r.doc_tokens) > 0.3 * len(docs)
+
+
+def test_packing_with_ids(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(map(str, rng.integers(0, 99, int(rng.integers(0, 60)))))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(df, capacity=64, with_ids=True, rows_a_task=20).collect()
+    encode, back, full = tokens.tokenizer(tokens.default_path()).encode, collections.defaultdict(dict), collections.Counter()
+    for r in got:
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        back[r.doc_id][r.start] = bytes(r.ids)
+        full[r.sequence_id] += r.length
+    assert all(b"".join(back[i][k] for k in sorted(back[i])) == encode(t) + b"\x02\0\0\0" for i, t in rows)
+    assert sorted(full) == list(range(len(full))) and all(n == 64 or n & (n - 1) == 0 for n in full.values())
+
+
 def test_packing_odd(spark, odd):
     got = packing.pack(odd).collect()
     assert sum(r.length for r in got if r.doc_id == 4) == 2 * next(r.doc_tokens for r in got if r.doc_id == 4)
@@ -187,12 +213,27 @@ def test_packing_odd(spark, odd):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_plan_of_bins():
+    counts, sizes = np.zeros((5, 10), dtype=np.int64), np.zeros((5, 10), dtype=np.int64)
+    counts[1], sizes[1] = 20, 20 * 60  # 200 pieces of 60 in bins of 100: two of five cells' tokens fill the gaps
+    assert packing.plan_bins(counts, sizes, 100) == 5
+    assert packing.plan_bins(counts * 0, sizes * 0, 100) == 10
+
+
 def test_tokenizer_is_the_library():
     t = tokens.WordTokenizer(tokens.default_path(), remembered=50)
-    for text in ["it's <|endoftext|> x", "Ünïcode x\tİstanbul ΣΑΣ é ½ ² ４２ can't!! we'll", "", "  a  \n\n b ", "ﬁ 漢字 テスト 😀", "a.b,c .,. 12 don't", "é x́"]:
+    for text in ["it's <|endoftext|> x", "Ünïcode x\tİstanbul ΣΑΣ é ½ ² ４２ can't!! we'll", "", "  a  \n\n b ", "ﬁ 漢字 テスト 😀", "a.b,c .,. 12 don't", "é x́"]:
         assert np.frombuffer(t.encode(text), "<u4").tolist() == t.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_tokenizer_on_every_code_point():
+    t = tokens.WordTokenizer(tokens.default_path())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3200 or c % 23 == 0)]
+    texts = [f"a{c}b? {c} x{c}" for c in points]
+    for text, want in zip(texts, t.whole.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == want.ids, text
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
