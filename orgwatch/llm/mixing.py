@@ -1,9 +1,11 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-The words of a source, its documents one after the other, are cut into blocks of fixed length. An output shard draws
-how many of its slots each source fills: the whole part of the expected number, and the fractions of all sources as
-one multinomial draw. A source's slots count on over the shards, and a keyed permutation of the source's block indices
-(another one each time through) says which block a slot takes. Blocks are joined by (source, index).
+The words of a source, its documents one after the other, are cut into blocks of fixed length. How many slots of an
+output shard each source fills is one multinomial draw a shard: every slot draws its source by the sources' shares of the
+targets. A source's slots count on over the shards, and a keyed permutation of the source's block indices (another one
+each time through) says which block a slot takes. Blocks are joined by (source, index). The totals of such draws miss
+the targets by about the square root of a source's slots; a final correction makes them exact: a source that has reached
+its target takes no more, and what another lacks is added in further shards.
 
 The number of passes through a source is bounded by ``cap``: slots beyond ``cap`` times its blocks do not exist, so no
 block, and hence no document, is taken more often.
@@ -28,6 +30,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
 
     Targets are ``share`` of all sizes, dealt by weight; a source stops at ``cap`` times its size and the excess goes to
     the others by weight. In the order of cap/weight the stopped sources come first, so running sums find them at once.
+    The windows over all sources are one task each: sources are labels, a few million at most, however many documents.
     """
     sums = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -65,36 +68,34 @@ def _uniform(*keys: Column) -> Column:
 def mix_slots(sources: DataFrame, seed: int, block_words: int, shard_slots: int, cap: float, slots_a_task: int = 100_000, cells: int = 1024) -> DataFrame:
     """(_sid, _shard, _slot, _block) for every slot of the mix. ``sources``: the rows of ``source_targets``.
 
-    The counts are few and small, the slots they stand for many: the counts are dealt to as many tasks as the slots
-    need, which adaptive execution would merge into one by their size.
+    The slots are a range over as many tasks as they need, a shard after the other, and each draws its source for itself.
     """
-    words = sources.agg(F.sum("target")).first()[0] or 0.0
-    tasks = max(8, -(-int(words / block_words) // slots_a_task))
+    spark = sources.sparkSession
     blocks = F.ceil(F.col("source_size") / block_words)
-    slots = F.when(F.col("source_size") > 0, F.col("target") * blocks / F.col("source_size")).otherwise(0.0)
-    # Sums of fractions in a fixed order, so that reruns agree to the last digit.
-    everything = Window.orderBy("_sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shards = F.greatest(F.lit(1.0), F.round(F.sum(slots).over(everything) / shard_slots))
-    planned = sources.select("_sid", blocks.alias("_blocks"), shards.cast("long").alias("_shards"), (slots / shards).alias("_mean"))
-    planned = planned.withColumn("_whole", F.floor("_mean")).withColumn("_part", F.col("_mean") - F.floor("_mean"))
-    planned = planned.withColumn("_to", F.sum("_part").over(Window.orderBy("_sid"))).withColumn("_all", F.sum("_part").over(everything))
-    planned = planned.withColumn("_from", F.col("_to") - F.col("_part"))
-    every_shard = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shards") - 1))
-    fixed = planned.where("_whole > 0").select("_sid", every_shard.alias("_shard"), F.col("_whole").cast("long").alias("_n"))
-    # The fractions: a draw falls into the interval (_from, _to] of one source, found by way of equal cells.
-    drawn = planned.where("_sid = 1").select("_all", every_shard.alias("_shard"))
-    number = F.floor(F.col("_all") + _uniform(F.lit(seed), F.lit("n"), F.col("_shard")))
-    drawn = drawn.withColumn("_j", F.explode(F.when(number > 0, F.sequence(F.lit(1).cast("long"), number)).otherwise(F.array().cast("array<long>"))))
-    drawn = drawn.withColumn("_u", _uniform(F.lit(seed), F.lit("u"), F.col("_shard"), F.col("_j")) * F.col("_all"))
-    drawn = drawn.select("_shard", "_u", F.floor(F.col("_u") * cells / F.col("_all")).alias("_cell"))
-    cell = lambda c: F.floor(F.col(c) * cells / F.col("_all"))
-    spans = planned.where("_part > 0").select("_sid", "_from", "_to", F.explode(F.sequence(cell("_from"), cell("_to"))).alias("_cell"))
-    drawn = drawn.join(spans, "_cell").where("_u >= _from and _u < _to").select("_sid", "_shard", F.lit(1).cast("long").alias("_n"))
-    counts = fixed.unionByName(drawn).groupBy("_sid", "_shard").agg(F.sum("_n").alias("_n"))
-    counts = running_start(counts.withColumn("_run", F.floor(F.col("_shard") / 4096)), ["_sid"], "_run", [F.col("_shard")], F.col("_n"), "_first")
-    counts = counts.join(planned.select("_sid", "_blocks"), "_sid")
-    most = F.least(F.col("_first") + F.col("_n"), F.floor(F.col("_blocks") * F.lit(float(cap))))
-    counts = counts.withColumn("_end", most).where("_first < _end").repartition(tasks, "_sid", "_shard")
+    wanted = F.when(F.col("source_size") > 0, F.round(F.col("target") * blocks / F.col("source_size"))).otherwise(0.0)
+    planned = sources.select("_sid", blocks.alias("_blocks"), F.least(wanted, F.floor(blocks * F.lit(float(cap)))).cast("long").alias("_want"))
+    slots, rows = planned.agg(F.sum("_want"), F.count("*")).first()
+    slots, cells = slots or 0, max(cells, 1 << (rows - 1).bit_length() if rows else 1)
+    shards = -(-slots // shard_slots)
+    upto = F.sum("_want").over(Window.orderBy("_sid"))
+    spans = planned.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_want")).where("_want > 0")
+    # A slot's number below the sum of all targets falls into the interval of one source, found by way of equal cells.
+    cell = lambda c: F.floor(c * cells / max(slots, 1))
+    spans = spans.select("_sid", "_from", "_to", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to") - 1))).alias("_cell"))
+    drawn = spark.range(0, slots, 1, max(8, -(-slots // slots_a_task)))
+    number = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), F.col("id")), F.lit(max(slots, 1)))
+    drawn = drawn.select(F.floor(F.col("id") / shard_slots).alias("_shard"), number.alias("_u")).withColumn("_cell", cell(F.col("_u")))
+    counts = drawn.join(spans, "_cell").where("_u >= _from and _u < _to").groupBy("_sid", "_shard").agg(F.count("*").alias("_n"))
+    # The correction: what a source's draws lack comes in further shards, and what they have beyond its target is void.
+    counts = cut_lineage(counts)
+    got = counts.groupBy("_sid").agg(F.sum("_n").alias("_got"))
+    lack = planned.join(got, "_sid", "left").select("_sid", (F.col("_want") - F.coalesce("_got", F.lit(0))).alias("_lack")).where("_lack > 0")
+    lack = lack.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_lack") - 1) / shard_slots))))
+    lack = lack.select("_sid", (F.lit(shards) + F.col("_j")).alias("_shard"), F.least(F.lit(shard_slots), F.col("_lack") - F.col("_j") * shard_slots).cast("long").alias("_n"))
+    counts = counts.unionByName(lack).withColumn("_run", F.floor(F.col("_shard") / 4096))
+    counts = running_start(counts, ["_sid"], "_run", [F.col("_shard")], F.col("_n"), "_first").join(planned, "_sid")
+    counts = counts.withColumn("_end", F.least(F.col("_first") + F.col("_n"), F.col("_want"))).where("_first < _end")
+    counts = counts.repartition(max(8, -(-slots // slots_a_task)), "_sid", "_shard")  # few rows that stand for many slots
     slot = counts.select("_sid", "_shard", "_blocks", F.explode(F.sequence(F.col("_first"), F.col("_end") - 1)).alias("_slot"))
     turn = F.floor(F.col("_slot") / F.col("_blocks"))
     return slot.select("_sid", "_shard", "_slot", permuted(F.col("_slot") % F.col("_blocks"), F.col("_blocks"), [F.lit(seed), F.col("_sid"), turn]).alias("_block"))

@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
-Card numbers (Luhn digit right), social-security numbers (issued ranges), telephone numbers, IPv4 addresses (octets up
-to 255) and dates (real days of 1800-2199) that pass validation are permuted within their own format by a keyed
+Card numbers (Luhn digit right), social-security numbers (issued ranges), telephone numbers (ten digits; bare ones only
+where area and exchange begin with no 0; behind a + and another country's code, 8 to 15 digits), IPv4 addresses (octets up to 255,
+without leading zeros) and dates (real days of 1800-2199; with slashes the month comes first where it can) that pass validation are permuted within their own format by a keyed
 Feistel network over two mixed moduli, so a pseudonym is again valid, two values never meet in one pseudonym, and
 equal values stay linked across documents. An e-mail address, which has no fixed format, becomes a keyed digest that
 has an address's form. What fails validation stays as it is.
@@ -18,13 +19,15 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 #: Fixed formats; the first that matches at a place wins. No pattern can start inside a longer run of its own characters.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}"
+#: Loops over groups are possessive, so that none recurses over a long text.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++(?<=\.[A-Za-z]{2,63})"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+ABROAD = r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[0-9]{7,12}|(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-][0-9]{2,8}){2,5})(?![0-9])"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"
-PATTERN = "|".join((EMAIL, IPV4, CARD, SSN, PHONE, DATE))
+PATTERN = "|".join((EMAIL, IPV4, CARD, SSN, PHONE, ABROAD, DATE))
 #: Every finding has an @ or three digits and separators in a row.
 HINT = r"@|[0-9]{2}[-/.0-9][0-9]|[0-9]\.[0-9]"
 
@@ -106,11 +109,30 @@ def _card(token: Column, key: str) -> Column:
 
 
 def _phone(token: Column, key: str) -> Column:
+    """Ten digits. Behind a country code or with the area in brackets any will do; bare ones are taken for a number only
+    where area and exchange begin with no 0. Where one begins with 2 to 9, as issued ones do, so does its pseudonym."""
     digits = F.regexp_replace(token, "[^0-9]", "")
     n = F.length(digits)
-    pair = feistel(F.substr(digits, n - 9, F.lit(3)).cast("long"), F.substr(digits, n - 6, F.lit(7)).cast("long"), F.lit(1000), F.lit(10_000_000), "phone", key)
-    new = F.transform(F.array(pair), lambda p: F.concat(F.lpad(p["l"].cast("string"), 3, "0"), F.lpad(p["r"].cast("string"), 7, "0")))[0]
-    return _put(token, F.concat(F.substr(digits, F.lit(1), n - 10), new))
+    area, rest = F.substr(digits, n - 9, F.lit(3)).cast("long"), F.substr(digits, n - 6, F.lit(7)).cast("long")
+    issued = lambda x, least: F.when(x >= 2 * least, 2 * least).when(x >= least, least).otherwise(0)
+    low, high = issued(area, 100), issued(rest, 1_000_000)
+    size = lambda lowest, least: F.when(lowest > least, 8 * least).otherwise(least).cast("long")
+    pair = feistel(area - low, rest - high, size(low, 100), size(high, 1_000_000), "phone", key)
+    shown = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    new = F.transform(F.array(pair), lambda p: F.concat(shown(p["l"] + low, 3), shown(p["r"] + high, 7)))[0]
+    return F.when(token.rlike(r"[(+]") | ((area >= 100) & (rest >= 1_000_000)), _put(token, F.concat(F.substr(digits, F.lit(1), n - 10), new))).otherwise(token)
+
+
+def _abroad(token: Column, key: str) -> Column:
+    """Another country's number: its first three digits stay, the others are permuted by their number."""
+    digits = F.regexp_replace(token, "[^0-9]", "")
+    n = F.length(digits)
+    lsize = F.floor((n - 3) / 2).cast("int")
+    rsize = n - 3 - lsize
+    halves = F.substr(digits, F.lit(4), lsize).cast("long"), F.substr(digits, lsize + 4, rsize).cast("long")
+    pair = feistel(*halves, _tens(lsize), _tens(rsize), "abroad", key)
+    new = F.transform(F.array(pair), lambda p: F.concat(F.lpad(p["l"].cast("string"), lsize, F.lit("0")), F.lpad(p["r"].cast("string"), rsize, F.lit("0"))))[0]
+    return F.when((n >= 8) & (n <= 15), _put(token, F.concat(F.substr(digits, F.lit(1), F.lit(3)), new))).otherwise(token)
 
 
 def _ssn(token: Column, key: str) -> Column:
@@ -136,7 +158,8 @@ def _ipv4(token: Column, key: str) -> Column:
         F.array(pair),
         lambda p: F.concat_ws(".", *[x.cast("string") for h in ("l", "r") for x in (F.floor(p[h] / 256), p[h] % 256)]),
     )[0]
-    return F.when(F.forall(octets, lambda x: x < 256), shown).otherwise(token)
+    plain = F.concat_ws(".", F.transform(octets, lambda x: x.cast("string"))) == token
+    return F.when(plain & F.forall(octets, lambda x: x < 256), shown).otherwise(token)
 
 
 def _date(token: Column, key: str) -> Column:
@@ -150,7 +173,22 @@ def _date(token: Column, key: str) -> Column:
     moved = F.transform(F.array(pair), lambda p: F.date_add(origin, (p["l"] * ERA_B + p["r"]).cast("int")))[0]
     for mark, form in forms.items():
         shown = F.when(token.contains(mark), F.date_format(moved, form)).otherwise(shown)
-    return F.when((index >= 0) & (index < ERA), shown).otherwise(token)
+    return F.when((index >= 0) & (index < ERA), shown).when(token.contains("/") & day.isNull(), _day_first(token, key)).otherwise(token)
+
+
+def _day_first(token: Column, key: str) -> Column:
+    """A date like 25/12/2024, whose day can be no month, becomes another such date: days up to 28 move over all months,
+    later ones over the years of their month (29/02 stays)."""
+    d, m, y = (F.substring(token, at, size).cast("long") for at, size in ((1, 2), (4, 2), (7, 4)))
+    valid = F.try_to_timestamp(token, F.lit("dd/MM/yyyy")).isNotNull() & (d > 12) & y.between(1800, 2199)
+    pair = feistel((y - 1800) * 12 + m - 1, d - 13, F.lit(4800), F.lit(16), "day first", key)
+    early = F.transform(
+        F.array(pair),
+        lambda p: F.concat_ws("/", (p["r"] + 13).cast("string"), F.lpad((p["l"] % 12 + 1).cast("string"), 2, "0"), (F.floor(p["l"] / 12) + 1800).cast("string")),
+    )[0]
+    year = feistel(F.floor((y - 1800) / 20), (y - 1800) % 20, F.lit(20), F.lit(20), "year", key)
+    late = F.transform(F.array(year), lambda p: F.concat(F.substring(token, 1, 6), (p["l"] * 20 + p["r"] + 1800).cast("string")))[0]
+    return F.when(valid & (d <= 28), early).when(valid & (m != 2), late).otherwise(token)
 
 
 def _email(token: Column, key: str) -> Column:
@@ -167,12 +205,14 @@ def pseudonym(token: Column, key: str) -> Column:
         .when(token.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn(token, key))
         .when(token.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$"), _date(token, key))
         .when(~token.rlike(r"[(+]") & (n >= 13), _card(token, key))
+        .when(token.rlike(r"^\+") & ~token.rlike(f"^{PHONE}$"), F.when(token.rlike(r"^\+1[0-9]{10}$"), _phone(token, key)).otherwise(_abroad(token, key)))
         .otherwise(_phone(token, key))
     )
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = "orgwatch") -> DataFrame:
-    """``docs`` with the pseudonyms in place in ``text``, plus ``n_pii``, the number of values replaced.
+def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``docs`` with the pseudonyms in place in ``text``, plus ``n_pii``, the number of values replaced. Who has ``key``
+    can undo the pseudonyms, so it has no default.
 
     A text is taken apart into its findings and the gaps between them and put together again, row by row: no shuffle.
     """

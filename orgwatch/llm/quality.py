@@ -139,17 +139,16 @@ def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarr
 
 
 def score_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5, min_words: int = 50, repeat_percent: int = 50, keep_text: bool = True) -> DataFrame:
-    """``docs`` plus the features, ``votes``, ``quality_posterior``, ``base_failed`` and ``kept``.
+    """``docs`` plus the features, ``votes``, ``quality_posterior``, ``base_failed`` and ``kept``; without ``keep_text``
+    the result lacks the text.
 
-    Two passes over the texts: one counts vote patterns (a few hundred rows out of map-side sums), one scores. The
-    second pass attaches each document's posterior as a constant expression over its votes (log-odds are sums of one
-    term a rule), so nothing is joined or shuffled. Without ``keep_text`` the result lacks the text, and the features, some 90 bytes a
-    document, are written to the shared folder and read again for the second pass in place of the texts.
+    The features are computed once and written to the shared folder with what is kept of a document; two passes read
+    them: one counts vote patterns (a few hundred rows out of map-side sums), one attaches each document's posterior as a
+    constant expression over its votes (log-odds are sums of one term a rule), so nothing is joined or shuffled.
     """
     f, v = fresh(docs, "_f"), fresh(docs, "_v")
     voted = docs.withColumn(f, text_features(F.col(text)))
-    if not keep_text:
-        voted = cut_lineage(voted.drop(text))
+    voted = cut_lineage(voted if keep_text else voted.drop(text))
     votes = {k: vote.cast("int") for k, vote in rules(f).items()}
     seen = voted.select(*[vote.alias(k) for k, vote in votes.items()]).groupBy(*votes).agg(F.count("*").alias("_count")).orderBy(*votes).collect()  # at most 3 ** rules
     patterns = np.array([[r[k] for k in votes] for r in seen], dtype=int).reshape(len(seen), len(votes))

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from orgwatch.llm import ann, blocks, chat, components, extraction, langid, mixing, neardup, packing, pii, quality, queries, secrets, template, tokens
@@ -65,7 +66,7 @@ def luhn(digits):
 
 
 def test_pii(spark, docs):
-    pattern = re.compile(pii.PATTERN)
+    pattern = regex.compile(pii.PATTERN)
     for r in queries.op2_pii(spark, SF).collect():
         text, new = docs[r.doc_id].text, r.text
         old, made = pattern.findall(text), pattern.findall(new)
@@ -81,20 +82,44 @@ def test_pii(spark, docs):
 def test_pii_is_a_permutation(spark):
     rows = [(f"{a:03d}-{b:02d}-0001",) for a in (1, 665, 667, 899) for b in range(1, 100)] + [(f"20{y:02d}-{m:02d}-28",) for y in range(50) for m in range(1, 13)]
     rows += [(f"10.{a}.{b}.7",) for a in range(20) for b in range(20)]
-    got = pii.pseudonymize(spark.createDataFrame(rows, "text string"))
+    got = pii.pseudonymize(spark.createDataFrame(rows, "text string"), "k")
     assert got.where("n_pii <> 1").count() <= 1 and got.select("text").distinct().count() == len(rows)
-    again = pii.pseudonymize(spark.createDataFrame([("x 10.1.1.7, y 10.1.1.7",)], "text string")).first().text
+    again = pii.pseudonymize(spark.createDataFrame([("x 10.1.1.7, y 10.1.1.7",)], "text string"), "k").first().text
     a, b = re.findall(r"[\d.]+\d", again)
     assert a == b != "10.1.1.7"
 
 
 def test_pii_odd(spark, odd):
     rows = [("000-11-2222 999.1.1.1 2023-02-29 4785380592391130",), (None,), ("",)]
-    got = [tuple(r) for r in pii.pseudonymize(spark.createDataFrame(rows, "text string")).collect()]
+    got = [tuple(r) for r in pii.pseudonymize(spark.createDataFrame(rows, "text string"), "k").collect()]
     assert got == [(rows[0][0], 0), (None, 0), ("", 0)]
-    same = pii.pseudonymize(odd)
+    same = pii.pseudonymize(odd, "k")
     assert same.columns == [*odd.columns, "n_pii"] and [r.text for r in same.collect()] == [r[1] for r in ODD]
-    assert pii.pseudonymize(empty(spark)).count() == 0
+    assert pii.pseudonymize(empty(spark), "k").count() == 0
+
+
+def test_pii_long_texts(spark):
+    """200,000 characters of what each pattern loops over; nothing may recurse."""
+    long = ["x@" + "a." * 100_000 + "ab", "a" * 200_000 + "@b.cd", "x@" + "a" * 200_000, "1" * 200_000, "1." * 100_000, "12-" * 66_000, "+1 " * 66_000, "+12 34" * 33_000, "(555) " * 33_000, "2024-01-" * 25_000]
+    got = [r.n_pii for r in pii.pseudonymize(spark.createDataFrame([(t,) for t in long], "text string"), "k").collect()]
+    assert got[:4] == [1, 1, 0, 0]
+
+
+def test_pii_validates(spark):
+    stay = "000-000-0000 011-555-0000 212-055-0000 01.2.3.4 256.1.1.1 32/12/2024 29/02/2024 13/13/2024 +123 45 6 x@y +1 123456"
+    rows = [stay, "+14155550123", "+44 20 7946 0958", "+49 30 1234567", "(212) 555-0187", "25/12/2024", "31/12/2024", "04/05/2024", "a@b.com.", "+4915112345678"]
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame([(t,) for t in rows], "text string"), "k").collect()]
+    assert got[0] == stay
+    for old, new in zip(rows[1:], got[1:]):
+        assert old != new
+        if "@" not in old:
+            assert re.sub("[0-9]", "0", old) == re.sub("[0-9]", "0", new)
+    assert got[1][:2] == "+1" and re.fullmatch(r"\([2-9]\d\d\) [2-9]\d\d-\d{4}", got[4]) and got[5][:2] > "12" and got[6][:6] == "31/12/" and got[8].endswith(".invalid.")
+    days = [(f"{d}/{m:02d}/20{y:02d}",) for d in range(13, 32) for m in range(1, 13) for y in range(0, 20, 7) if d < 29]
+    moved = pii.pseudonymize(spark.createDataFrame(days, "text string"), "k")
+    assert moved.select("text").distinct().count() == len(days) and moved.where("n_pii = 1").count() >= len(days) - 1
+    other = pii.pseudonymize(spark.createDataFrame([("(212) 555-0187",)], "text string"), "another key").first().text
+    assert other != got[4]
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------
@@ -144,6 +169,24 @@ def test_mixing_odd(spark, odd):
     assert mixing.mix_totals(mixing.mix_plan(empty(spark))).count() == 0 and mixing.mix_documents(empty(spark)).count() == 0
 
 
+def test_shards_draw_multinomials(spark):
+    """Counts of a source over shards have a multinomial's mean and variance, and the totals are the targets."""
+    rows = [(None, 1, 640_000, 300_000.0), ("b", 2, 640_000, 900_000.0), ("c", 3, 64_000, 120_000.0), ("d", 4, 0, 0.0)]
+    sources = spark.createDataFrame(rows, "source string, _sid long, source_size long, target double")
+    slots = mixing.mix_slots(sources, seed=1, block_words=64, shard_slots=100, cap=2.0)
+    got = collections.defaultdict(collections.Counter)
+    seen = collections.defaultdict(collections.Counter)
+    for r in slots.collect():
+        got[r._sid][r._shard] += 1
+        seen[r._sid][r._block] += 1
+    want = {s: int(t / 64 + 0.5) for _, s, _, t in rows[:3]}
+    assert {s: sum(c.values()) for s, c in got.items()} == want
+    for _, s, size, _ in rows[:3]:
+        assert max(seen[s]) < size // 64 and max(seen[s].values()) <= 2
+        p, counts = want[s] / sum(want.values()), np.array([got[s][k] for k in range(150)])
+        assert abs(counts.mean() - 100 * p) < 3 and 0.6 < counts.var() / (100 * p * (1 - p)) < 1.6
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97])
 def test_permutation(spark, n):
     got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), [F.lit(1)])).collect()
