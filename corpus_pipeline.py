@@ -2,6 +2,12 @@
 
 Each stage takes all rows its predecessor kept (columns of ``documents``) and its decisions take effect; it is written
 as Parquet and read again before the next one starts, so a lost executor costs a part of one stage.
+
+Defined cases of the stages: a null, empty or blank text has no words, fails the quality rules, is a class of its own
+among near duplicates, holds no personal data, is never taken by the mix, and is packed as its end token; a very long text
+is one document everywhere (only the mix and packing cut it); of equal or similar texts the row with the least id stays
+(null last), by row, so different texts under one id are told apart; a null source is a source of its own; an empty table
+gives an empty result; columns beyond those of ``documents`` are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +33,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar documents stays: the one with the least id."""
+    """One document of each class of similar documents stays: the one with the least id, decided by row."""
     return drop_similar(docs).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts becomes pseudonyms."""
-    masked = pseudonymize(docs)
+    """Personal data in the texts becomes pseudonyms, under the key that the session names (a fixed one in tests)."""
+    masked = pseudonymize(docs, key=spark.conf.get("spark.orgwatch.pseudonymKey", "a key for tests only"))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
