@@ -4,7 +4,9 @@ Each of a few tables hashes a unit vector by Gaussian (2-stable) projections cut
 visits its own bucket and then perturbed ones in the order of their estimated success: the probability, under the
 projections' distribution, that a neighbour at the expected cosine lies in the bucket; it stops when the visited
 buckets' probabilities add up to ``mass``, over as many buckets as that takes at any number of rows. The candidates of
-all tables are merged and their cosines computed exactly.
+all tables are merged and their cosines computed exactly. Buckets that differ in their last two projections alone form a
+region; rows and visits meet by region, so a query's vector is sent once a region with the list of the buckets it visits
+there, and only rows of these buckets are candidates.
 
 The index holds every row; only the expected cosine is fitted, on a bounded sample. The number of projections grows
 with the number of rows, so that buckets keep their size. A bucket of any size is cut into blocks of ``block``
@@ -12,7 +14,8 @@ candidates and ``block`` queries, and a block gives the best few of each query:
 
 Of equal vectors only the ``k + 1`` with the smallest ids can be among the best ``k`` of any query (own row left out,
 ties to the smaller id), so the others need not take part as candidates; equal query vectors are searched once. A
-query that finds fewer than ``k + 1`` rows is compared with all candidates, in blocks.
+query that finds fewer than ``k + 1`` rows widens its search step by step (``WIDER``); only one that still lacks rows,
+such as in a table of few rows, is compared with all candidates, in blocks.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components
 take no part, nor do null ids; a row repeated with the same id and vector counts once; with fewer candidates than ``k``
@@ -33,8 +36,10 @@ from .common import cut_lineage
 
 _PHI = np.frompyfunc(lambda z: 0.5 * (1 + erf(z / 1.4142135623730951)), 1, 1)
 HITS = "qrep long, vec_id long, score double"
-#: Visits that a task hands on at a time: a query may visit many buckets, and each visit carries its vector.
-PIECE = 16_384
+#: Visited regions that a task hands on at a time, each with its query's vector.
+PIECE = 4_096
+#: A query that finds too few rows searches again as if its neighbours were at these shares of the expected cosine.
+WIDER = (0.5, 0.2)
 
 
 class Index:
@@ -61,6 +66,10 @@ class Index:
             h ^= h >> np.uint64(31)
         return h.view(np.int64)
 
+    def region(self, cells: np.ndarray) -> np.ndarray:
+        """One long for each row of cells, shared by the buckets that differ in the last two projections alone."""
+        return self.name(cells[:, : max(1, self.size - 2)])
+
     def probes(self, f: np.ndarray, own: np.ndarray, table: int) -> np.ndarray:
         """The buckets that one query visits: its own first, then by falling estimated success."""
         spread, mean = (1 - self.expected**2) ** 0.5, self.expected * f
@@ -106,10 +115,17 @@ def _best(queries: pd.DataFrame, rows: pd.DataFrame, keep: int) -> pd.DataFrame:
         return pd.DataFrame({"qrep": [], "vec_id": [], "score": []}).astype({"qrep": "int64", "vec_id": "int64", "score": "float64"})
     q, v, ids, names = _matrix(queries["vector"]), _matrix(rows["vector"]), rows["vec_id"].to_numpy(), queries["qrep"].to_numpy()
     k = min(keep, len(ids))
-    found = []
+    found, unit = [], _unit(v)
+    visited = "buckets" in queries
+    if visited:
+        every, of_row = np.unique(rows["bucket"].to_numpy(), return_inverse=True)
+        lists = queries["buckets"].to_numpy()
     for at in range(0, len(q), 512):  # what a step holds is 512 x block numbers
-        rough = _unit(q[at : at + 512]) @ _unit(v).T
-        floor = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] - 1e-9
+        rough = _unit(q[at : at + 512]) @ unit.T
+        if visited:
+            open_ = np.stack([np.isin(every, b) for b in lists[at : at + 512]])
+            rough[~open_[:, of_row]] = -2
+        floor = np.maximum(np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] - 1e-9, -1.5)
         i, j = np.nonzero(rough >= floor[:, None])  # k a query, and what equals the last
         s = cosines(q[at + i], v[j])
         order = np.lexsort((ids[j], -s, i))
@@ -123,7 +139,7 @@ def _best(queries: pd.DataFrame, rows: pd.DataFrame, keep: int) -> pd.DataFrame:
 def _expected_cosine(rows: DataFrame, n: int, k: int, sample: int) -> float:
     """The median cosine of the k-th neighbour in a sample of about ``sample`` rows drawn by the hash of their ids."""
     share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) / F.lit(float(1 << 40)) < min(1.0, sample / max(n, 1))
-    got = rows.where(share).select("vec_id", "vector").limit(2 * sample).collect()
+    got = rows.where(share).select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * sample).collect()
     if len(got) <= k:
         return 0.9
     x = _unit(np.array([r["vector"] for r in sorted(got, key=lambda r: r["vec_id"])], dtype=float))
@@ -150,39 +166,57 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, sample: int = 2000,
     asked = asked.where(F.size("vector") == dim)
     distinct = cut_lineage(asked.groupBy("vector").agg(F.min("vec_id").alias("qrep")))
     n = rows.count()
-    index = rows.sparkSession.sparkContext.broadcast(Index(dim, n, _expected_cosine(rows, n, k, sample), **parameters))
+    expected = _expected_cosine(rows, n, k, sample)
+    index = Index(dim, n, expected, **parameters)
 
     def put(batches):
-        m: Index = index.value
-        for batch in batches:
-            unit = _unit(_matrix(batch["vector"])) if len(batch) else np.zeros((0, dim))
-            for t in range(m.tables):
-                yield batch.assign(tbl=t, bucket=m.name(m.place(unit, t)[1]))
-
-    def visit(batches):
-        m: Index = index.value
         for batch in batches:
             unit = _unit(_matrix(batch["vector"])) if len(batch) else np.zeros((0, dim))
-            for t in range(m.tables):
-                f, own = m.place(unit, t)
-                at, found, held = [], [], 0
-                for i in range(len(batch)):
-                    found.append(m.name(m.probes(f[i], own[i], t)))
-                    at.append(np.full(len(found[-1]), i))
-                    held += len(found[-1])
-                    if held >= PIECE or i == len(batch) - 1:
-                        to, names, at, found, held = np.concatenate(at), np.concatenate(found), [], [], 0
-                        for k in range(0, len(to), PIECE):
-                            yield batch.iloc[to[k : k + PIECE]].assign(tbl=t, bucket=names[k : k + PIECE])
-
-    stored = rows.mapInPandas(put, "vec_id long, vector array<double>, tbl int, bucket long")
-    visits = distinct.mapInPandas(visit, "vector array<double>, qrep long, tbl int, bucket long")
-    hits = _by_blocks(stored, visits, ["tbl", "bucket"], k + 1, block)
-    top = cut_lineage(_top(hits, k + 1))
-    short = top.groupBy("qrep").count().where(F.col("count") >= min(k + 1, n)).join(distinct, "qrep", "right").where("count is null").select("qrep", "vector")
-    if not short.isEmpty():
-        everything = rows.withColumn("tbl", F.lit(0)), short.withColumn("tbl", F.lit(0))
-        top = _top(top.select("qrep", "vec_id", "score").unionByName(_by_blocks(*everything, ["tbl"], k + 1, block)), k + 1)
+            for t in range(index.tables):
+                cells = index.place(unit, t)[1]
+                yield batch.assign(tbl=t, region=index.region(cells), bucket=index.name(cells))
+
+    def search(few: DataFrame, m: Index) -> DataFrame:
+        def visit(batches):
+            for batch in batches:
+                unit = _unit(_matrix(batch["vector"])) if len(batch) else np.zeros((0, dim))
+                for t in range(m.tables):
+                    f, own = m.place(unit, t)
+                    at, where, lists = [], [], []
+                    for i in range(len(batch)):
+                        cells = m.probes(f[i], own[i], t)
+                        regions = m.region(cells)
+                        order = np.argsort(regions, kind="stable")
+                        cut = np.flatnonzero(np.diff(regions[order])) + 1
+                        lists += np.split(m.name(cells)[order], cut)
+                        where += regions[order][np.concatenate(([0], cut))].tolist()
+                        at += [i] * (len(cut) + 1)
+                        if len(at) >= PIECE or i == len(batch) - 1:
+                            yield batch.iloc[at].assign(tbl=t, region=where, buckets=lists)
+                            at, where, lists = [], [], []
+
+        visits = few.mapInPandas(visit, "vector array<double>, qrep long, tbl int, region long, buckets array<long>")
+        return _by_blocks(stored, visits, ["tbl", "region"], k + 1, block)
+
+    stored = rows.mapInPandas(put, "vec_id long, vector array<double>, tbl int, region long, bucket long")
+    top = cut_lineage(_top(search(distinct, index), k + 1))
+
+    def short() -> DataFrame:
+        full = top.groupBy("qrep").count().where(F.col("count") >= min(k + 1, n))
+        return distinct.join(full, "qrep", "left_anti").select("vector", "qrep")
+
+    hits = top.select("qrep", "vec_id", "score")
+    for share in WIDER:
+        few = cut_lineage(short())
+        if few.isEmpty():
+            break
+        wider = Index(dim, n, expected * share, **(parameters | {"mass": 0.95}))  # the same planes and buckets
+        top = cut_lineage(_top(hits.unionByName(search(few, wider)), k + 1))
+        hits = top.select("qrep", "vec_id", "score")
+    few = cut_lineage(short())
+    if not few.isEmpty():
+        everything = rows.withColumn("tbl", F.lit(0)), few.withColumn("tbl", F.lit(0))
+        top = _top(hits.unionByName(_by_blocks(*everything, ["tbl"], k + 1, block)), k + 1)
     pairs = asked.select(F.col("vec_id").alias("query_id"), "vector").join(distinct, "vector").select("query_id", "qrep").join(top.drop("rank"), "qrep").where("query_id <> vec_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -196,14 +230,14 @@ def _top(hits: DataFrame, keep: int) -> DataFrame:
 
 
 def _by_blocks(stored: DataFrame, visits: DataFrame, keys: list[str], keep: int, block: int) -> DataFrame:
-    """Compare the queries of each bucket with its rows, in blocks of about ``block`` of either."""
+    """Compare the queries of each region with its rows, in blocks of about ``block`` of either."""
     sizes = stored.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_rows"))
     asked = visits.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_queries"))
-    cuts = sizes.join(asked, keys)  # buckets that hold rows and are visited
+    cuts = sizes.join(asked, keys)  # regions that hold rows and are visited
     across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rows = stored.join(cuts, keys).withColumn("_r", F.pmod(F.xxhash64("vec_id"), F.col("_rows"))).withColumn("_q", across("_queries"))
     asks = visits.join(cuts, keys).withColumn("_q", F.pmod(F.xxhash64("qrep"), F.col("_queries"))).withColumn("_r", across("_rows"))
     by = [*keys, "_r", "_q"]
-    left = asks.select(*by, "qrep", "vector").groupBy(*by)
-    right = rows.select(*by, "vec_id", "vector").groupBy(*by)
+    left = asks.select(*by, "qrep", "vector", *[c for c in ("buckets",) if c in visits.columns]).groupBy(*by)
+    right = rows.select(*by, "vec_id", "vector", *[c for c in ("bucket",) if c in stored.columns]).groupBy(*by)
     return left.cogroup(right).applyInPandas(lambda a, b: _best(a, b, keep), HITS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 _MARKUP = re.compile(
@@ -26,14 +27,41 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+class Element:
+    """An open element: its step (tag, then words of class, id and role) and the one around it. Blocks share them, so a
+    page takes memory for its elements and not for the paths of its blocks."""
+
+    __slots__ = ("above", "depth", "marks", "step", "tag")
+
+    def __init__(self, step: str, above: Element | None):
+        self.step, self.above, self.tag = step, above, step.split(" ", 1)[0]
+        self.depth = 1 + (above.depth if above else 0)
+        self.marks: dict = {}  # what users of the path have found out for it
+
+    @staticmethod
+    def of(path: tuple[str, ...]) -> Element | None:
+        at = None
+        for step in path:
+            at = Element(step, at)
+        return at
+
+
 @dataclass
 class Block:
-    """A leaf: its text, the steps of its path (tag, then words of class, id and role) and the share of it inside links."""
+    """A leaf: its text, the innermost element it lies in and the share of it inside links."""
 
     text: str
-    path: tuple[str, ...]
+    at: Element | None
     linked: float
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        steps, at = [], self.at
+        while at:
+            steps.append(at.step)
+            at = at.above
+        return tuple(reversed(steps))
+
 
 def _step(tag: str, attrs: str) -> str:
     if not attrs or "=" not in attrs:
@@ -45,7 +73,8 @@ def _step(tag: str, attrs: str) -> str:
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order. Unclosed, misnested and unknown tags are taken as a browser roughly does."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, step
+    stack: list[Element] = []
+    where: dict[str, list[int]] = defaultdict(list)  # the places of each open tag in the stack
     parts: list[str] = []
     links = [0, 0]  # depth of <a>, characters inside
 
@@ -53,7 +82,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(s for t, s in stack if t not in INLINE), min(1.0, links[1] / len(text))))
+                out.append(Block(text, stack[-1] if stack else None, min(1.0, links[1] / len(text))))
             parts.clear()
         links[1] = 0
 
@@ -64,21 +93,24 @@ def leaf_blocks(page: str) -> list[Block]:
                 links[1] += len(raw)
 
     def pop_to(tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in stops:
-                return
-
-    at, size = 0, len(page)
+        last = lambda names: max((where[t][-1] for t in names if where.get(t)), default=-1)
+        k = last(tags)
+        if k > last(stops):
+            for e in stack[k:]:
+                where[e.tag].pop()
+            del stack[k:]
+
+    # Beyond the last > there is no markup, so that no < is followed to the end of the page in vain.
+    at, size, final = 0, len(page), page.rfind(">") + 1
     while at < size:
-        m = _MARKUP.search(page, at)
+        m = _MARKUP.search(page, at, final) if at < final else None
         if m is None:
             put(page[at:])
             break
         put(page[at : m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
@@ -98,13 +130,13 @@ def leaf_blocks(page: str) -> list[Block]:
         close()
         links[0] = 0
         if ending:
-            if any(t == tag for t, _ in stack):
-                pop_to((tag,), ())
+            pop_to((tag,), ())
             continue
         pop_to(("p",), ("div", "article", "section", "td", "li", "body"))
         if tag in _ENDS:
             pop_to(_ENDS[tag], ("ul", "ol", "dl", "table"))
         if tag not in VOID:
-            stack.append((tag, _step(tag, m["attrs"] or m["attrs2"] or "")))
+            where[tag].append(len(stack))
+            stack.append(Element(_step(tag, m["attrs"] or m["attrs2"] or ""), stack[-1] if stack else None))
     close()
     return out

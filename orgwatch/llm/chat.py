@@ -31,7 +31,8 @@ CHAT = (
 )
 _CONTROL = re.compile(r"[\\<#:]")
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*) </turn>\n", re.S)
+#: Possessive, so that a long text leaves nothing to come back to; the space before the end mark comes with the text.
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.)*+)</turn>\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -47,9 +48,9 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     out, at = [], 0
     while at < len(formatted):
         m = _TURN.match(formatted, at)
-        if not m:
+        if not m or m[2][-1:] != " ":
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
+        out.append((unescape(m[1]), unescape(m[2][:-1])))
         at = m.end()
     return out
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, leaf_blocks
+from .blocks import Block, Element, leaf_blocks
 
 PATH, WORDS, SIZES = 96, 48, 8
 WIDTH = PATH + WORDS + SIZES
@@ -43,19 +43,28 @@ def _bucket(word: str, width: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % width
 
 
-@lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, dtype=np.float32)
-    above = ""
-    for step in path:
-        tag, *names = step.split(" ")
-        v[_bucket(f"t {tag}", PATH)] += 1
-        v[_bucket(f"p {above}>{tag}", PATH)] += 0.5
-        for name in names:
+def _chain(at: Element | None, mark: str) -> list[Element]:
+    """The elements from the outermost one without the mark down to ``at``."""
+    chain: list[Element] = []
+    while at and mark not in at.marks:
+        chain.append(at)
+        at = at.above
+    return chain[::-1]
+
+
+def _path_vector(at: Element | None) -> np.ndarray:
+    """The hashed steps of a path; an element's sum is that of the one around it and its own."""
+    for e in _chain(at, "sum"):
+        v = e.above.marks["sum"].copy() if e.above else np.zeros(PATH, dtype=np.float32)
+        v[_bucket(f"t {e.tag}", PATH)] += 1
+        v[_bucket(f"p {e.above.tag if e.above else ''}>{e.tag}", PATH)] += 0.5
+        for name in e.step.split(" ")[1:]:
             v[_bucket(f"n {name}", PATH)] += 1
-        above = tag
-    if path:
-        v[_bucket(f"l {path[-1].split(' ')[0]}", PATH)] += 1
+        e.marks["sum"] = v
+    if at is None:
+        return np.zeros(PATH, dtype=np.float32)
+    v = at.marks["sum"].copy()
+    v[_bucket(f"l {at.tag}", PATH)] += 1
     return np.minimum(v, 2)
 
 
@@ -63,13 +72,13 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     """A row for each block."""
     out = np.zeros((len(blocks), WIDTH), dtype=np.float32)
     for i, b in enumerate(blocks):
-        out[i, :PATH] = _path_vector(b.path)
+        out[i, :PATH] = _path_vector(b.at)
         words = b.text.lower().split(" ")
         counts = np.bincount([_bucket(w, WORDS) for w in words], minlength=WORDS)
         out[i, PATH : PATH + WORDS] = np.log1p(counts) / np.log1p(len(words)) * 0.5
         n, at = len(words), i / max(1, len(blocks) - 1)
         ends = sum(b.text.count(c) for c in ".!?")
-        out[i, PATH + WORDS :] = (np.log1p(n) / 5, np.log1p(len(b.text)) / 7, b.linked, at, 1 - at, min(1.0, ends / n * 5), float(n < 4), float(len(b.path)) / 8)
+        out[i, PATH + WORDS :] = (np.log1p(n) / 5, np.log1p(len(b.text)) / 7, b.linked, at, 1 - at, min(1.0, ends / n * 5), float(n < 4), float(b.at.depth if b.at else 0) / 8)
     return out
 
 
@@ -178,14 +187,16 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def markup_label(b: Block) -> bool | None:
     """What the markup itself says of a block; None where it says nothing."""
-    inside = False
-    for step in b.path:
-        words = set(step.split(" "))
-        if words & MAIN and not words & ASIDE:
-            inside = True
-        elif words & ASIDE and not (inside and words == {"header"}):
-            return False
-    return True if inside else None
+    for e in _chain(b.at, "label"):
+        found = e.above.marks["label"] if e.above else None
+        words = set(e.step.split(" "))
+        if found is not False:
+            if words & MAIN and not words & ASIDE:
+                found = True
+            elif words & ASIDE and not (found and words == {"header"}):
+                found = False
+        e.marks["label"] = found
+    return b.at.marks["label"] if b.at else None
 
 
 def _relaid(good: list[str], filler: list[str], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
@@ -205,7 +216,7 @@ def _relaid(good: list[str], filler: list[str], rng: np.random.Generator) -> tup
     labels: list[int] = []
 
     def put(text: str, path: tuple[str, ...], label: int, linked: float = 0.0) -> None:
-        blocks.append(Block(text, path, linked))
+        blocks.append(Block(text, Element.of(path), linked))
         labels.append(label)
 
     root = pick((), ("html", "body"), ("html", "body", "div page"), ("html", "body", "div wrapper", "div"))
@@ -292,9 +303,9 @@ def fit_labeller(pages: DataFrame, html: str = "html", sample: int = 250, longes
     """Fit on at most about ``sample`` pages of at most ``longest_page`` characters, drawn by the hash of their content."""
     rows = pages.select(F.col(html).alias("html"))
     n = max(1, rows.count())
-    draw = F.pmod(F.xxhash64("html"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = rows.where((draw < min(1.0, sample / n)) & (F.length("html") <= longest_page)).distinct()
-    texts = sorted(r["html"] for r in drawn.limit(2 * sample).collect())
+    draw = F.pmod(F.xxhash64("html"), F.lit(1 << 40))
+    drawn = rows.where((draw / F.lit(float(1 << 40)) < min(1.0, sample / n)) & (F.length("html") <= longest_page)).distinct()
+    texts = sorted(r["html"] for r in drawn.orderBy(draw, "html").limit(2 * sample).collect())
     model = Labeller()
     sequences = training_sequences(texts)
     if sequences:
@@ -302,15 +313,18 @@ def fit_labeller(pages: DataFrame, html: str = "html", sample: int = 250, longes
     return model
 
 
-def main_texts(pages: list[str | None], model: Labeller, block: int = 128, threshold: float = 0.5) -> list[str]:
-    """The main text of each page: its kept blocks, a line each."""
+def main_texts(pages: list[str | None], model: Labeller, block: int = 128, steps: int = 20_000, threshold: float = 0.5) -> list[str]:
+    """The main text of each page: its kept blocks, a line each. Pages go through the labeller in groups of at most
+    ``block`` pages and ``steps`` padded steps (one page alone may have more)."""
     found = [leaf_blocks(p) if p else [] for p in pages]
     out = [""] * len(pages)
     order = sorted((i for i, b in enumerate(found) if b), key=lambda i: len(found[i]))
     at = 0
     while at < len(order):
-        # Pages of about equal length together; long ones in smaller groups, so that a group's size is bounded.
-        size = max(1, min(block, 20_000 // len(found[order[at]])))
+        size = 1
+        # The next page would be the longest of the group, which all are padded to.
+        while size < block and at + size < len(order) and (size + 1) * len(found[order[at + size]]) <= steps:
+            size += 1
         ids = order[at : at + size]
         x, mask = padded([vectors(found[i]) for i in ids])
         p = model.probabilities(x, mask)

@@ -8,7 +8,7 @@ cosine falls below what ``reject_quantile`` of that centroid's own members reach
 
 Defined cases: a null text or one without letters gives ``und``, score 0, rejected; without training rows every text
 does; ties between centroids go to the language that is first by code point; rows are classified one by one, so
-repeats agree; extra columns are ignored.
+repeats agree; extra columns are ignored by ``fit`` and pass through ``predict``. Languages are labels, few of them.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ class Centroids:
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means, started from rows that are far apart; (centroids, each row's cosine with its own)."""
+    """Spherical k-means, started from rows that are far apart; (centroids, each row's own one and its cosine with that)."""
     first = [int(np.argmax(x @ x.mean(axis=0)))]
     near = x @ x[first[0]]
     while len(first) < min(k, len(x)):
@@ -92,7 +92,8 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
         if np.allclose(new, c, atol=1e-6):
             break
         c = new
-    return c, (x @ c.T).max(axis=1)
+    cos = x @ c.T
+    return c, np.stack([np.argmax(cos, axis=1), cos.max(axis=1)])
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", clusters: int = 3, sample: int = 600, reject_quantile: float = 0.01, reject_scale: float = 0.5) -> Centroids:
@@ -134,8 +135,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", clusters: int
         x = x[np.linalg.norm(x, axis=1) > 0]
         if not len(x):
             return pd.DataFrame({"lang": [], "place": [], "centroid": [], "floor": []})
-        c, cos = _kmeans(x, clusters)
-        floor = float(np.quantile(cos, reject_quantile)) * reject_scale
+        c, (own, cos) = _kmeans(x, clusters)
+        floor = [float(np.quantile(cos[own == j], reject_quantile)) * reject_scale if (own == j).any() else 0.0 for j in range(len(c))]
         return pd.DataFrame({"lang": group["lang"].iloc[0], "place": range(len(c)), "centroid": list(c), "floor": floor})
 
     found = rows.where(draw < share).distinct().groupBy("lang").applyInPandas(cluster, "lang string, place int, centroid array<float>, floor double")

@@ -65,11 +65,10 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text: st
     are, one per task is moved and one in all is scanned.
     """
     blobs = versions.select(blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    known = None
+    unseen, known = blobs.groupBy("blob").agg(F.first("body").alias("body")), None
     if ledger is not None:
         known = ledger.where(F.col("rule_version") == RULE_VERSION).dropDuplicates(["blob"])
-        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
-    unseen = blobs.groupBy("blob").agg(F.first("body").alias("body"))
+        unseen = unseen.join(known.select("blob"), "blob", "left_anti")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

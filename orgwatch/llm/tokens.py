@@ -63,7 +63,6 @@ class WordTokenizer:
     def __init__(self, path: str, remembered: int = 250_000):
         self.whole = Tokenizer.from_file(path)
         self.names = dict(enumerate(_byte_names()))
-        self.words = _Remembered(self._word, remembered)
         self.chunks = _Remembered(self._chunk, remembered)
 
     def _library(self, text: str) -> bytes:
@@ -78,12 +77,15 @@ class WordTokenizer:
     def _chunk(self, chunk: str) -> bytes:
         if not _PLAIN.fullmatch(chunk):
             return self._library(chunk) if chunk else b""
+        # A word in lower case is a chunk too, so both are remembered in one place.
         text = chunk.lower()
         if text.isalpha():
-            return self.words[text]
-        if text[-1] in ",." and text[:-1].isalpha():
-            return self.words[text[:-1]] + self.words[text[-1]]
-        return b"".join([self.words[w] for w in _WORDS.findall(text)])
+            words = [text]
+        elif text[-1] in ",." and text[:-1].isalpha():
+            words = [text[:-1], text[-1]]
+        else:
+            words = _WORDS.findall(text)
+        return self._word(text) if words == [chunk] else b"".join([self.chunks[w] for w in words])
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -58,6 +60,76 @@ def test_language_odd(spark, odd):
     assert langid.predict(empty(spark), model).count() == 0
 
 
+def brute_languages(train, asked, clusters, quantile, scale):
+    """(language, score, rejected) of each text by plain dictionaries: TF-IDF of hashed n-grams, spherical k-means, cosine."""
+    mask = 0xFFFFFFFF
+
+    def grams(text):
+        x = [32, *((ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 32 for c in text or ""), 32]
+        x = [c for i, c in enumerate(x) if not (c == 32 and i and x[i - 1] == 32)]
+        if len(x) < 3:
+            return {}
+        a = [c * 0x9E3779B1 & mask for c in x]
+        b = [((u ^ u >> 15) * 0x85EBCA6B + c * 0xC2B2AE35) & mask for u, c in zip(a, x[1:])]
+        d = [((u ^ u >> 13) * 0x27D4EB2F + c * 0x165667B1) & mask for u, c in zip(b, x[2:])]
+        return collections.Counter(h >> 32 - langid.BITS for h in [u for u, c in zip(a, x) if c != 32] + b + d)
+
+    df = collections.Counter(g for t, _ in train for g in grams(t))
+    idf = lambda g: math.log((1 + len(train)) / (1 + df[g])) + 0.1
+
+    def vector(text):
+        return unit({g: math.log1p(n) * idf(g) for g, n in grams(text).items()})
+
+    def unit(v):
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / size for g, x in v.items()} if size else {}
+
+    dot = lambda u, v: sum(x * v.get(g, 0) for g, x in u.items())
+    first = lambda values, best: next(i for i, v in enumerate(values) if v == best(values))
+    model = []
+    for lang in sorted({x for _, x in train}):
+        x = [v for v in map(vector, sorted({t for t, k in train if k == lang and t})) if v]
+        if not x:
+            continue
+        mean = collections.Counter()
+        for v in x:
+            mean.update(v)
+        c = [x[first([dot(v, mean) for v in x], max)]]
+        while len(c) < min(clusters, len(x)):
+            c.append(x[first([max(dot(v, u) for u in c) for v in x], min)])
+        for _ in range(12):
+            own = [first([dot(v, u) for u in c], max) for v in x]
+            for j in range(len(c)):
+                total = collections.Counter()
+                for v, o in zip(x, own):
+                    if o == j:
+                        total.update(v)
+                c[j] = unit(total) or c[j]
+        near = [(first([dot(v, u) for u in c], max), max(dot(v, u) for u in c)) for v in x]
+        for j, u in enumerate(c):
+            mine = [s for o, s in near if o == j]
+            model.append((lang, u, float(np.quantile(mine, quantile)) * scale if mine else 0.0))
+    out = []
+    for t in asked:
+        v = vector(t)
+        s = [dot(v, u) for _, u, _ in model]
+        best = first(s, max) if v else 0
+        out.append((model[best][0], s[best], s[best] < model[best][2]) if v else ("und", 0.0, True))
+    return out
+
+
+def test_language_against_brute_force(spark, docs):
+    some = [r for i, r in sorted(docs.items()) if r.text and len(r.text) < 1500][:120]
+    train = [(r.text, r.lang) for r in some[:80] if r.lang]
+    asked = [r.text for r in some[80:]] + ["Ωμέγα ψυχή λόγος κόσμος", "zqx xqz qqzx zzxq", "12 34", "", None, "a", "Ünïcödé ßtraße ŁÓDŹ"]
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string"), clusters=2, reject_quantile=0.1, reject_scale=0.9)
+    got = langid.predict(spark.createDataFrame(list(enumerate(asked)), "i long, text string"), model).orderBy("i").collect()
+    want = brute_languages(train, asked, 2, 0.1, 0.9)
+    assert [r.lang_pred for r in got] == [w[0] for w in want] and [r.rejected for r in got] == [w[2] for w in want]
+    assert all(abs(r.score - w[1]) < 1e-4 for r, w in zip(got, want))
+    assert any(r.rejected and r.score > 0 for r in got) and len(set(model.floors)) > len(set(model.languages))
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -485,6 +557,20 @@ def test_nearest_at_more_rows(spark):
     assert sum(len({i for i, _ in want[q]} & got[q]) for q in want) >= 0.9 * 5 * len(want)
 
 
+def test_nearest_widens(spark):
+    """Queries far from all rows find their neighbours too, and a query's own bucket may be empty."""
+    rng = np.random.default_rng(8)
+    near = rng.normal(size=(600, 16)) * 0.05 + np.eye(16)[rng.integers(0, 3, 600)]
+    rows = [(i, list(map(float, v))) for i, v in enumerate(near)]
+    asked = [(1000 + i, list(map(float, v))) for i, v in enumerate(np.concatenate((-np.eye(16)[:4], rng.normal(size=(6, 16)))))]
+    want = brute_nearest(rows, asked)
+    schema = "vec_id long, embedding array<double>"
+    got = collections.defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema), bucket_rows=4).collect():
+        got[r.query_id].append(r.vec_id)
+    assert sorted(got) == sorted(want) and all(len(v) == 5 for v in got.values())
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -586,9 +672,34 @@ def test_blocks():
     page = "<head><title>T</title></head><body><nav><a href='x>y'>Home &amp; more</a></nav><p>One <b>two<br>three<p>four</p><script>var a='<p>no</p>'</script><ul><li>x<li>y</ul><!-- <p>no</p> --><img src=x>z<"
     got = [(b.text, b.path, round(b.linked, 1)) for b in blocks.leaf_blocks(page)]
     assert got == [("Home & more", ("body", "nav"), 1.0), ("One two three", ("body", "p"), 0.0), ("four", ("body", "p"), 0.0), ("x", ("body", "ul", "li"), 0.0), ("y", ("body", "ul", "li"), 0.0), ("z<", ("body",), 0.0)]
+    assert [b.text for b in blocks.leaf_blocks("a<p>b<!-- c <p>d</p> e")] == ["a", "b"] and [b.text for b in blocks.leaf_blocks("x > y <b")] == ["x > y <b"]
     assert blocks.leaf_blocks("") == [] and len(blocks.leaf_blocks("<div>" * 5000 + "x")) == 1
 
 
+@pytest.mark.parametrize(
+    "page", ["<a " * 60_000, '<a "' * 60_000, "<x>y" * 30_000, "<div>x" * 30_000, "<p><div>" + "<x>" * 30_000, "<div>" * 30_000 + "</b2>" * 30_000, "<!-" * 60_000, "<a '\">" * 30_000, "<![" * 60_000 + ">"]
+)
+def test_blocks_are_linear(page):
+    began = time.process_time()
+    found = blocks.leaf_blocks(page)
+    extraction.vectors(found[-50:]), [extraction.markup_label(b) for b in found]
+    assert time.process_time() - began < 3
+
+
+def test_group_of_pages_is_bounded():
+    """One long page does not make a group of short ones long."""
+    sizes = []
+
+    class Spy(extraction.Labeller):
+        def probabilities(self, x, mask):
+            sizes.append(x.shape[:2])
+            return np.ones(mask.shape, np.float32)
+
+    short, long = "<p>a</p>" * 10, "<p>b</p>" * 3000
+    assert extraction.main_texts([short] * 127 + [long, None], Spy(), steps=4000) == ["\n".join("a" * 10)] * 127 + ["\n".join("b" * 3000), ""]
+    assert sum(n for n, _ in sizes) == 128 and max(n * steps for n, steps in sizes) <= 4000
+
+
 def test_labeller_gradient():
     """Back-propagation against differences."""
     rng = np.random.default_rng(0)
@@ -644,6 +755,15 @@ def test_chat_round_trip():
     assert [chat.unescape(text[a:b]) for a, b in spans] == hard
 
 
+def test_chat_long_turn():
+    hard = "<\\:#" * 200_000
+    text, _ = chat.compiled(chat.CHAT).render({"messages": [{"role": "user", "text": hard}, {"role": "assistant", "text": "\\ "}]})
+    assert chat.read_back(text) == [("user", hard), ("assistant", "\\ ")]
+    for bad in (text[:-2], text + "x", text.replace(" </turn>", "</turn>")):
+        with pytest.raises(ValueError):
+            chat.read_back(bad)
+
+
 def test_chat_odd(spark):
     rows = [(1, 2, "user", "b"), (1, None, "user", None), (1, 2, "assistant", "a"), (1, 2, "user", "b"), (None, 1, None, "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
