@@ -28,22 +28,35 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 
 
 class Element:
-    """An open element: its step (tag, then words of class, id and role) and the one around it. Blocks share them, so a
-    page takes memory for its elements and not for the paths of its blocks."""
+    """A path of elements: its last step (tag, then words of class, id and role) and the path around it. Equal paths are
+    one object, so a page takes memory for its distinct paths and not for the steps above each of its blocks."""
 
-    __slots__ = ("above", "depth", "marks", "step", "tag")
+    __slots__ = ("above", "depth", "inner", "marks", "step", "tag")
 
     def __init__(self, step: str, above: Element | None):
         self.step, self.above, self.tag = step, above, step.split(" ", 1)[0]
         self.depth = 1 + (above.depth if above else 0)
+        self.inner: dict[str, Element] = {}
         self.marks: dict = {}  # what users of the path have found out for it
 
+    def within(self, step: str) -> Element:
+        found = self.inner.get(step)
+        if found is None:
+            found = self.inner[step] = Element(step, self if self.step else None)
+            _made[0] += 1
+        return found
+
     @staticmethod
     def of(path: tuple[str, ...]) -> Element | None:
-        at = None
+        at = _root[0]
         for step in path:
-            at = Element(step, at)
-        return at
+            at = at.within(step)
+        return at if path else None
+
+
+#: Paths are shared by the pages of a process, until there are ``MOST_PATHS`` of them.
+MOST_PATHS = 20_000
+_root, _made = [Element("", None)], [0]
 
 
 @dataclass
@@ -72,6 +85,8 @@ def _step(tag: str, attrs: str) -> str:
 
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order. Unclosed, misnested and unknown tags are taken as a browser roughly does."""
+    if _made[0] > MOST_PATHS:
+        _root[0], _made[0] = Element("", None), 0
     out: list[Block] = []
     stack: list[Element] = []
     where: dict[str, list[int]] = defaultdict(list)  # the places of each open tag in the stack
@@ -137,6 +152,6 @@ def leaf_blocks(page: str) -> list[Block]:
             pop_to(_ENDS[tag], ("ul", "ol", "dl", "table"))
         if tag not in VOID:
             where[tag].append(len(stack))
-            stack.append(Element(_step(tag, m["attrs"] or m["attrs2"] or ""), stack[-1] if stack else None))
+            stack.append((stack[-1] if stack else _root[0]).within(_step(tag, m["attrs"] or m["attrs2"] or "")))
     close()
     return out

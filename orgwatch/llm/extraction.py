@@ -63,9 +63,11 @@ def _path_vector(at: Element | None) -> np.ndarray:
         e.marks["sum"] = v
     if at is None:
         return np.zeros(PATH, dtype=np.float32)
-    v = at.marks["sum"].copy()
-    v[_bucket(f"l {at.tag}", PATH)] += 1
-    return np.minimum(v, 2)
+    if "all" not in at.marks:
+        v = at.marks["sum"].copy()
+        v[_bucket(f"l {at.tag}", PATH)] += 1
+        at.marks["all"] = np.minimum(v, 2)
+    return at.marks["all"]
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
