@@ -344,7 +344,9 @@ _add("w9_chunk_lines", lambda s, d: writes.chunk_lines(_docs(s, d).select("doc_i
 # Cleaning, health. ------------------------------------------------------------------------------------------------
 
 _add("c1_plan_content_cleanup", lambda s, d: cleaning.plan_content_cleanup(V.orgs(s, d), V.events(s, d)))
-_add("c2_apply_org_cleanup", lambda s, d: cleaning.apply_org_cleanup(V.named(s, d), V.named_events(s, d))[0].select("entity_id", "name"))
+_add("c2_apply_org_cleanup", lambda s, d: cleaning.apply_org_cleanup(V.named(s, d), V.named_events(s, d))[0].select("entity_id", "name"),
+    f"SELECT entity_id, name FROM v_named WHERE entity_id NOT IN (SELECT entity_id FROM ({SQL['d8_plan_org_cleanup']}))",
+)
 _add("c3_plan_deep_clean", lambda s, d: cleaning.plan_deep_clean(V.named(s, d), V.named_events(s, d)))
 _add(
     "c4_plan_event_cleanup", lambda s, d: cleaning.plan_event_cleanup(V.events(s, d), V.events(s, d).where("id % 2 = 0").select("id", (F.col("id") % 9 + 1).alias("score"))),
@@ -359,9 +361,29 @@ _add(
     "k3_source_state", lambda s, d: health.source_state(V.fetches(s, d)).select("source_id", "status", "retry_class", "failure_count", "success_count"),
     f"SELECT source_id, status, {_class} AS retry_class, failure_count, success_count FROM ({_state})",
 )
-_add("k4_admit", lambda s, d: health.admit(V.fetches(s, d).select("source_id", "ts", "fetch_id"), "source_id", "ts", 20, 3600))
+_add("k4_admit", lambda s, d: health.admit(V.fetches(s, d).select("source_id", "ts", "fetch_id"), "source_id", "ts", 20, 3600),
+    """SELECT * FROM (WITH RECURSIVE w(source_id, opened) AS (SELECT source_id, min(ts) FROM v_fetch GROUP BY 1
+        UNION SELECT w.source_id, min(f.ts) FROM w JOIN v_fetch f ON f.source_id = w.source_id AND f.ts >= w.opened + INTERVAL 1 HOUR GROUP BY w.source_id, w.opened)
+        SELECT f.source_id, f.ts, fetch_id, row_number() OVER (PARTITION BY f.source_id, opened ORDER BY f.ts, fetch_id) <= 20 AS admitted
+        FROM v_fetch f JOIN w ON w.source_id = f.source_id AND f.ts >= opened AND f.ts < opened + INTERVAL 1 HOUR)""",
+)
 _add("k6_pending", lambda s, d: health.pending(V.pages(s, d), V.pages(s, d).where("page_id % 3 = 0"), "page_id").select("page_id"), "SELECT page_id FROM v_page WHERE page_id % 3 <> 0")
 
+_users = lambda s, d: V.table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("updated_at")).select(F.col("conv_id").alias("id"), (F.col("conv_id") % 7).alias("user_id"), "updated_at", F.when(F.col("conv_id") % 5 == 0, "gone").alias("revoked_at"))
+_add(
+    "t15_session_list", lambda s, d: topk.session_list(_users(s, d), 10).select("user_id", "id", "rank"),
+    "SELECT conv_id % 7 AS user_id, conv_id AS id, row_number() OVER (PARTITION BY conv_id % 7 ORDER BY n DESC, conv_id) AS rank FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) WHERE conv_id % 5 <> 0 QUALIFY rank <= 10",
+)
+_failures = {0: "request timed out", 1: "fetch failed", 2: "llm_parse_failed", 3: "no valid source", 4: "odd"}
+_reasons = {0: "network_timeout", 1: "network_error", 2: "llm_parse_failed", 3: "no_valid_source", 4: "processing_failed"}
+_told = lambda s, d: V.pages(s, d).select(F.col("page_id").alias("entity_id"), F.element_at(F.create_map(*[F.lit(x) for kv in _failures.items() for x in kv]), (F.col("page_id") % 6).cast("int")).alias("error"))
+_cases = lambda c: f"CASE {c} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _reasons.items()) + " END"
+_add("g10_run_manifest", lambda s, d: stats.run_manifest(_told(s, d)), f"SELECT CASE WHEN page_id % 6 = 5 THEN 'success' ELSE 'failed' END AS list, page_id AS entity_id, {_cases('page_id % 6')} AS reason FROM pages")
+_add(
+    "q3_institution_query", lambda s, d: V.events(s, d).select("id", P.institution_query(F.concat(F.when(F.col("id") % 2 == 0, "请问 北京测试大学").otherwise(""), F.lit(" "), F.col("title"), F.lit("?"))).alias("value")),
+    "SELECT id, CASE WHEN id % 2 = 0 THEN '北京测试大学' ELSE trim(substr(trim(regexp_replace(title || '?', '[？?。！!，,；;：:]', ' ', 'g')), 1, 200)) END AS value FROM v_event",
+)
+
 # Extraction, matching, model exchange. ----------------------------------------------------------------------------
 
 _html = V.pages
@@ -385,6 +407,13 @@ _add("m6_score_identity", lambda s, d: _pages_scored(s, d).select("entity_id", "
 _add("m7_accept_candidates", lambda s, d: match.accept_candidates(_pages_scored(s, d).withColumn("registered", F.lit(False))).select("entity_id", "pos", "confidence"))
 _add("t10_best_candidate", lambda s, d: topk.select_best_candidate(match.accept_candidates(_pages_scored(s, d).withColumn("registered", F.lit(True)), 0, 0)))
 _add("m10_domain_candidates", lambda s, d: match.domain_candidates(_entities(s, d)))
+_reviewed = lambda s, d: _hits(s, d).withColumn("confidence", (F.col("pos") * 7 % 101).cast("int"))
+_add(
+    "m8_apply_reviews",
+    lambda s, d: match.apply_reviews(_reviewed(s, d), _hits(s, d).select("entity_id", "url", (F.col("pos") % 3 > 0).alias("is_official"), (F.col("pos") * 3 % 101).cast("int").alias("score"), (F.col("pos") % 7 == 0).alias("has_conflicts"))).select("entity_id", "pos", "confidence"),
+    """SELECT organization_id AS entity_id, id AS pos, least(100, greatest(72, floor((c + s) / 2.0 + 0.5))) AS confidence FROM (SELECT e.organization_id, e.id, e.id * 7 % 101 AS c, r.s, row_number() OVER (PARTITION BY e.organization_id ORDER BY e.id, e.source_url) AS p
+        FROM v_event e JOIN (SELECT organization_id, source_url, max(id * 3 % 101) AS s FROM v_event WHERE id % 3 > 0 AND id * 3 % 101 >= 85 AND id % 7 <> 0 GROUP BY 1, 2) r USING (organization_id, source_url) WHERE e.id * 7 % 101 >= 50) WHERE p = 1""",
+)
 _q = "CASE WHEN regexp_matches(name, '[\\x{4E00}-\\x{9FFF}]') THEN [name || ' 新闻', name || ' 动态'] ELSE [name || ' news', name || ' announcement'] END"
 _add(
     "m11_search_queries", lambda s, d: match.search_queries(V.orgs(s, d)),
@@ -397,7 +426,22 @@ _add(
     lambda s, d: match.decide_official(V.orgs(s, d), V.orgs(s, d).where("length(slug) % 5 = 0").select("entity_id", F.col("slug").alias("domain")), _hits(s, d).withColumn("accepted", F.col("pos") % 2 == 0), V.orgs(s, d).where("length(slug) % 7 = 0").select("entity_id", F.col("slug").alias("domain"))),
 )
 _requests = lambda s, d: V.events(s, d).select("organization_id", F.col("id").alias("pos"), "title", F.col("source_url").alias("url"), "summary", F.lit(None).cast("string").alias("llm_context"), F.when(F.col("id") % 2 == 0, "full-text").otherwise("snippet-fallback").alias("extraction_method"))
-_add("l1_build_requests", lambda s, d: model_io.build_event_requests(_requests(s, d)))
+_add("l1_build_requests", lambda s, d: model_io.build_event_requests(_requests(s, d)),
+    """SELECT organization_id, '{"candidates":[' || string_agg('{"title":' || to_json(title) || ',"url":' || to_json(source_url) || ',"content":' || to_json(CASE WHEN id % 2 = 0 THEN '[FULL TEXT] ' ELSE '[SNIPPET MODE - LIMITED INFO] ' END || coalesce(summary, '')) || '}', ',' ORDER BY id) || ']}' AS request
+        FROM v_event GROUP BY 1""",
+)
+
+
+_add(
+    "l8_parse_translation", lambda s, d: V.events(s, d).select("id", model_io.parse_translation(F.when(F.col("id") % 3 > 0, F.to_json(F.struct(F.lower("title").alias("title"), F.when(F.col("id") % 2 == 0, "told").alias("description")))), F.col("title"), F.col("summary")).alias("t")).select("id", "t.*"),
+    "SELECT id, CASE WHEN id % 3 > 0 AND trim(title) <> '' THEN trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) ELSE title END AS title, CASE WHEN id % 3 > 0 AND id % 2 = 0 THEN 'told' ELSE summary END AS description FROM v_event",
+)
+_add(
+    "j10_join_llm_items",
+    lambda s, d: joins.join_llm_items(V.events(s, d).select("organization_id", F.concat("source_url", F.lit("/")).alias("url"), "id"), _hits(s, d).where("pos % 3 > 0").withColumnRenamed("entity_id", "organization_id")).select("organization_id", "id", "candidate_pos"),
+    f"""SELECT e.organization_id, e.id, min(c.id) AS candidate_pos FROM (SELECT *, {_canonical.replace('url', "(source_url || '/')")} AS u FROM v_event ) e
+        JOIN (SELECT *, {_su} AS u FROM v_event ) c ON c.organization_id = e.organization_id AND c.u = e.u AND c.id % 3 > 0 GROUP BY 1, 2""",
+)
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -452,7 +496,11 @@ _add(
         FROM (SELECT *, {_bare} AS u FROM v_event ) WHERE u IS NOT NULL GROUP BY organization_id, u""",
 )
 _add("d7_stored_candidates", lambda s, d: dedup.stored_candidates(_scored(s, d).withColumn("is_official", F.col("badge")).withColumn("score", F.col("pre_score") * 2)).select("entity_id", "rank", "url", "score"))
-_add("t11_rank_urls", lambda s, d: topk.rank_urls(_hits(s, d).withColumnRenamed("entity_id", "organization_id").join(V.orgs(s, d).select(F.col("entity_id").alias("organization_id"), "website_url"), "organization_id")).select("organization_id", "url", "priority", "rank"))
+_add("t11_rank_urls", lambda s, d: topk.rank_urls(_hits(s, d).withColumnRenamed("entity_id", "organization_id").join(V.orgs(s, d).select(F.col("entity_id").alias("organization_id"), "website_url"), "organization_id")).select("organization_id", "url", "priority", "rank"),
+    f"""SELECT organization_id, url, priority, row_number() OVER (PARTITION BY organization_id ORDER BY priority, pos, url) AS rank FROM (SELECT organization_id, source_url AS url, min(id) AS pos, min(CASE
+        WHEN {_sh} = {_wh} OR ends_with({_sh}, '.' || {_wh}) OR ends_with({_wh}, '.' || {_sh}) THEN 0 WHEN regexp_matches({_sh}, '(^|\\.)(gov|edu|ac)(\\.[a-z]{{2}})?$') THEN 2 WHEN regexp_matches({_sh}, '\\.org(\\.[a-z]{{2}})?$') THEN 3 ELSE 4 END) AS priority
+        FROM ({_joined}) GROUP BY 1, 2)""",
+)
 _add(
     "t13_cap_candidates",
     lambda s, d: topk.cap_candidates(_hits(s, d).withColumnRenamed("entity_id", "organization_id").withColumn("source_rank", F.lit(0)).join(V.orgs(s, d).select(F.col("entity_id").alias("organization_id"), "website_url"), "organization_id"), 5, 2).select("organization_id", "rank", "pos"),
@@ -512,11 +560,14 @@ _add(
         count(*) FILTER (status = 429) AS not_found, count(*) FILTER (status IS NULL OR status = 500) AS failed FROM v_fetch""",
 )
 _add(
-    "g10_failure_reasons", lambda s, d: V.fetches(s, d).where("error_code is not null").groupBy(stats.failure_reason(F.concat(F.lit("connect "), F.col("error_code"))).alias("reason")).agg(F.count("*").alias("n")),
-    "SELECT 'processing_failed' AS reason, count(*) AS n FROM v_fetch WHERE error_code IS NOT NULL HAVING count(*) > 0",
+    "g10_failure_reasons", lambda s, d: _told(s, d).where("error is not null").groupBy(stats.failure_reason(F.col("error")).alias("reason")).agg(F.count("*").alias("n")),
+    f"SELECT {_cases('page_id % 6')} AS reason, count(*) AS n FROM pages WHERE page_id % 6 < 5 GROUP BY 1",
 )
 _add("t7_lookup", lambda s, d: audit.lookup_institutions(V.orgs(s, d), V.events(s, d), V.orgs(s, d).select(F.col("name").alias("query"))).withColumn("event_titles", F.array_join("event_titles", "|")))
-_add("t14_due_sources", lambda s, d: topk.due_sources(health.source_state(V.fetches(s, d)).withColumn("next_check_at", F.col("next_check_at").cast("timestamp")), "2024-03-01 00:00:00", 20).select("source_id", F.date_format("next_check_at", "yyyy-MM-dd HH:mm:ss").alias("due")))
+_add("t14_due_sources", lambda s, d: topk.due_sources(health.source_state(V.fetches(s, d)).withColumn("next_check_at", F.col("next_check_at").cast("timestamp")), "2024-03-01 00:00:00", 20).select("source_id", F.date_format("next_check_at", "yyyy-MM-dd HH:mm:ss").alias("due")),
+    f"""SELECT source_id, strftime(due, '%Y-%m-%d %H:%M:%S') AS due FROM (SELECT source_id, CASE WHEN status = 403 THEN TIMESTAMP '9999-12-31 00:00:00' WHEN status = 404 THEN ts + INTERVAL 7 DAY
+        WHEN status = 429 THEN ts + INTERVAL 2 HOUR ELSE ts + INTERVAL 1 HOUR END AS due FROM ({_state})) WHERE due <= TIMESTAMP '2024-03-01 00:00:00' ORDER BY due, source_id LIMIT 20""",
+)
 _add("d6_union_candidates", lambda s, d: dedup.union_candidates(V.events(s, d).where("id % 2 = 0"), V.events(s, d).where("id % 3 = 0")).select("id", "source_rank"), "SELECT id, 0 AS source_rank FROM v_event WHERE id % 2 = 0 UNION ALL SELECT id, 1 FROM v_event WHERE id % 3 = 0")
 _add(
     "w3_apply_discovery", lambda s, d: writes.apply_discovery(V.named(s, d).withColumn("search_status", F.lit("pending")), V.named(s, d).where(_number() % 3 == 0).select("entity_id", F.when(_number() % 6 == 0, "https://new.org").alias("website_url"))).select("entity_id", "website_url", "search_status"),
@@ -524,7 +575,10 @@ _add(
         CASE WHEN k % 6 = 0 THEN 'success' WHEN k % 3 = 0 THEN 'failed' ELSE 'pending' END AS search_status FROM (SELECT *, CAST(substr(entity_id, 5) AS BIGINT) AS k FROM v_named )""",
 )
 _add("w6_reset_tracking", lambda s, d: writes.reset_tracking(_sources(s, d), V.events(s, d))[0].select("entity_id", "search_status", "event_search_status"), "SELECT entity_id, 'pending' AS search_status, 'pending' AS event_search_status FROM v_supplier")
-_add("s6_log_complete", lambda s, d: writes.check_log_complete(V.pages(s, d).select((F.col("page_id") % 200 + 1).alias("position"), F.lit(260).alias("total"))))
+_add("s6_log_complete", lambda s, d: writes.check_log_complete(V.pages(s, d).select((F.col("page_id") % 200 + 1).alias("position"), F.lit(260).alias("total"))),
+    """SELECT 'doubled' AS problem, p AS position FROM (SELECT page_id % 200 + 1 AS p FROM pages) GROUP BY p HAVING count(*) > 1
+        UNION ALL SELECT 'missing', i FROM range(1, 261) r(i) WHERE i NOT IN (SELECT page_id % 200 + 1 FROM pages)""",
+)
 _add(
     "s7_conform_schema", lambda s, d: writes.conform_schema(V.suppliers(s, d), _target(), {"official_domain": ["country"]}, {"kind": "institution"}),
     "SELECT CAST(entity_id AS VARCHAR) AS entity_id, name, country AS official_domain, 'institution' AS kind, CAST(NULL AS INTEGER) AS founded FROM v_supplier",
@@ -568,9 +622,16 @@ _add(
     "l10_apply_translations", lambda s, d: cleaning.apply_translations(V.events(s, d), V.events(s, d).where("id % 2 = 0").select("id", F.lower("title").alias("t")), "id", {"translated_title": "t"}).select("id", "title", "translated_title"),
     "SELECT id, title, CASE WHEN id % 2 = 0 AND trim(title) <> '' THEN lower(title) END AS translated_title FROM v_event",
 )
-_add("l11_apply_profiles", lambda s, d: audit.apply_profiles(V.named(s, d).withColumn("summary", F.lit(None).cast("string")), V.named(s, d).where(_number() % 2 == 0).select("entity_id", F.col("slug").alias("text")), V.named(s, d).where(_number() % 4 == 0).select("entity_id", F.lit("told").alias("profile"))).select("entity_id", "description", "summary"))
+_add("l11_apply_profiles", lambda s, d: audit.apply_profiles(V.named(s, d).withColumn("summary", F.lit(None).cast("string")), V.named(s, d).where(_number() % 2 == 0).select("entity_id", F.col("slug").alias("text")), V.named(s, d).where(_number() % 4 == 0).select("entity_id", F.lit("told").alias("profile"))).select("entity_id", "description", "summary"),
+    """SELECT entity_id, coalesce(made, description) AS description, made AS summary FROM (SELECT *, CASE WHEN k % 2 = 0 THEN '## 机构简介' || chr(10) || '- **全称**：' || name || chr(10) || '- **成立时间**：未查证' || chr(10) || '- **核心领域**：未查证'
+        || chr(10) || '- **简介**：' || CASE WHEN k % 4 = 0 THEN 'told' ELSE '[原文] ' || slug END END AS made FROM (SELECT *, CAST(substr(entity_id, 5) AS BIGINT) AS k FROM v_named ))""",
+)
 _evidence = lambda s, d: _hits(s, d).select("entity_id", F.element_at(F.array(*[F.lit(x) for x in ("registered", "wiki", "guess", "search")]), (F.col("pos") % 4 + 1).cast("int")).alias("tier"), "url", (F.col("pos") * 7 % 101).cast("int").alias("confidence"), F.when(F.col("pos") % 2 == 0, F.col("url")).alias("news_url"))
-_add("m14_decide_site", lambda s, d: audit.decide_site(V.orgs(s, d).withColumn("entity_type", F.when(F.length("slug") % 6 == 0, "地区").otherwise("高校")), _evidence(s, d)))
+_add("m14_decide_site", lambda s, d: audit.decide_site(V.orgs(s, d).withColumn("entity_type", F.when(F.length("slug") % 6 == 0, "地区").otherwise("高校")), _evidence(s, d)),
+    """SELECT entity_id, CASE WHEN length(slug) % 6 <> 0 THEN b.url END AS url, CASE WHEN length(slug) % 6 = 0 THEN 'not_applicable' WHEN b IS NULL THEN 'not_found' WHEN b.confidence >= 72 AND b.pos % 2 = 0 THEN 'news_verified'
+        WHEN b.confidence >= 72 THEN 'official_verified' ELSE 'candidate' END AS status FROM v_org LEFT JOIN (SELECT organization_id, arg_min({'url': source_url, 'confidence': c, 'pos': id}, (c < 72, id % 4, -c, source_url)) AS b
+        FROM (SELECT *, id * 7 % 101 AS c FROM v_event ) GROUP BY 1) e ON e.organization_id = entity_id""",
+)
 _add("m1_identity_terms", lambda s, d: match.identity_terms(V.orgs(s, d).withColumn("aliases", F.array(F.concat(F.lit("The "), "name")))).select("entity_id", F.array_join("terms", "|").alias("terms"), F.array_join("core_terms", "|").alias("core_terms")))
 _add("m12_supported_corrections", lambda s, d: audit.supported_corrections(V.orgs(s, d).select("entity_id", "name", "slug", F.substring("name", 1, 5).alias("corrected"), F.lit("").alias("context"))).select("entity_id", "corrected"))
 _add("k7_changed_pages", lambda s, d: health.cycle_stats(health.changed_pages(V.pages(s, d).select(F.col("page_id").alias("source_id"), F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status"), F.col("html").alias("body")), V.pages(s, d).where("page_id % 2 = 0").select(F.col("page_id").alias("source_id"), F.sha2("html", 256).alias("content_hash")))), "SELECT count(*) AS checked, count(*) FILTER (page_id % 7 <> 0 AND page_id % 2 <> 0) AS changed, count(*) FILTER (page_id % 7 = 0) AS failed FROM v_page")

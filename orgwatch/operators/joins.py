@@ -100,7 +100,8 @@ def merge_organizations(target: DataFrame, sources: list[DataFrame], fill: tuple
     ranked = target.withColumn("_rank", F.lit(0))
     for i, s in enumerate(sources, 1):
         ranked = ranked.unionByName(s.withColumn("_rank", F.lit(i)), allowMissingColumns=True)
-    # The first row of each id within each snapshot, then a pass over the ranks of an id.
+    # By snapshot; of several rows of an id within one, the one with the least hash, so that reruns agree.
+    ranked = ranked.withColumn("_rank", F.struct("_rank", F.xxhash64(*target.columns)))
     text = lambda c: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", F.col("_rank"))
     rest = [c for c in target.columns if c not in ("entity_id", *fill)]
     agg = [F.min_by(F.struct(*rest), "_rank").alias("_rest")] if rest else []

@@ -49,22 +49,18 @@ _FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S | re.I)
 
 
 def _arrays(text: str) -> Iterator[str]:
-    """Bracketed parts of a text that are JSON arrays, also after loose commas are dropped."""
-    at = text.find("[")
-    while at >= 0:
-        depth, quoted, end = 0, False, None
-        for m in re.finditer(r'\\.|["\[\]]', text[at:], re.S):
-            c = m[0]
-            if c == '"':
-                quoted = not quoted
-            elif not quoted and c in "[]":
-                depth += 1 if c == "[" else -1
-                if not depth:
-                    end = at + m.end()
-                    break
-        if end:
-            yield text[at:end]
-        at = text.find("[", at + 1)
+    """Bracketed parts of a text that might be JSON arrays, by where they begin. One pass finds the end of each: brackets
+    with equally many quotes before them, even or odd, are matched among themselves."""
+    open_, ends, quoted = ([], []), {}, 0
+    for m in re.finditer(r'\\.|["\[\]]', text, re.S):
+        if m[0] == '"':
+            quoted ^= 1
+        elif m[0] == "[":
+            open_[quoted].append(m.start())
+        elif m[0] == "]" and open_[quoted]:
+            ends[open_[quoted].pop()] = m.end()
+    for at in sorted(ends):
+        yield text[at : ends[at]]
 
 
 def _valid(items: object) -> list[dict] | None:
@@ -91,7 +87,7 @@ def _parse(answer: str | None) -> dict:
     def load(text: str) -> object:
         try:
             return json.loads(text)
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
 
     text = (answer or "").strip()

@@ -94,6 +94,14 @@ def failure_reason(c: Column) -> Column:
     )
 
 
+def run_manifest(results: DataFrame) -> DataFrame:
+    """(list, entity_id, reason) of a run's results (entity_id, error): ``success`` without an error, else ``failed`` with the
+    class of its last error by text."""
+    last = results.groupBy("entity_id").agg(F.max("error").alias("error"))
+    failed = F.col("error").isNotNull()
+    return last.select(F.when(failed, "failed").otherwise("success").alias("list"), "entity_id", F.when(failed, failure_reason(F.col("error"))).alias("reason"))
+
+
 def plan_summary(plan: DataFrame, events: DataFrame) -> DataFrame:
     """For each rule of a clean-up plan the rows it takes and the events that would go with them."""
     return with_event_count(plan, events).groupBy("rule").agg(F.count("*").alias("n"), F.sum("event_count").alias("events"))

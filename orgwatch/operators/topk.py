@@ -100,6 +100,11 @@ def recent_turns(rows: DataFrame, k: int = 40, longest: int = 8000) -> DataFrame
     return last.select("conv_id", "turn", "role", F.substring("text", 1, longest).alias("text"))
 
 
+def session_list(sessions: DataFrame, k: int = 100) -> DataFrame:
+    """The sessions (id, user_id, updated_at, revoked_at) that are not revoked, the ``k`` newest of each user, with ``rank``."""
+    return first_per_group(sessions.where("revoked_at is null"), ["user_id"], [F.desc("updated_at"), F.col("id")], k, "rank")
+
+
 def sort_names(df: DataFrame, column: str) -> DataFrame:
     return df.orderBy(F.lower(column), column)
 

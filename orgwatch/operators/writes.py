@@ -56,8 +56,9 @@ def delete_with_events(orgs: DataFrame, events: DataFrame, ids: DataFrame) -> tu
 
 
 def rename_if_unchanged(orgs: DataFrame, corrections: DataFrame) -> DataFrame:
-    """``corrections``: entity_id, old_name, new_name. A name changes only where it still is the old one."""
-    new = corrections.select("entity_id", F.col("old_name").alias("name"), "new_name").dropDuplicates(["entity_id", "name"])
+    """``corrections``: entity_id, old_name, new_name. A name changes only where it still is the old one;
+    of several corrections of one name the least counts."""
+    new = corrections.groupBy("entity_id", F.col("old_name").alias("name")).agg(F.min("new_name").alias("new_name"))
     return orgs.join(new, ["entity_id", "name"], "left").withColumn("name", F.coalesce("new_name", "name")).select(*orgs.columns)
 
 

@@ -69,18 +69,29 @@ def import_organizations(records: DataFrame, orgs: DataFrame) -> tuple[DataFrame
     return rows.select(F.concat(F.lit("org-"), slug).alias("entity_id"), slug.alias("slug"), "name", site.alias("website_url"), "pos"), skipped
 
 
+#: Letters of a question that an organization's text has to share before the whole is looked for.
+ANCHOR = 6
+
+
 def lookup_institutions(orgs: DataFrame, events: DataFrame, queries: DataFrame, limit: int = 3, per_org: int = 3, complete: bool = False) -> DataFrame:
     """(query, place, entity_id, event_titles) of questions (query): organizations whose name or description holds the
     institution asked for, at most ``limit``, each with at most ``per_org`` of its newest events. Of the joined rows only the
     first ``4 * limit`` count, unless ``complete``.
 
-    Many questions against all organizations are one containment join; the questions are the small side.
+    Organizations meet the questions by a stretch of letters, the first (at most ``ANCHOR``) of what is asked for, and what
+    meets is checked for the whole; neither side is compared with all of the other.
     """
     from ..operators.topk import newest
 
     wanted = queries.select("query", F.lower(P.institution_query(F.col("query"))).alias("_q")).where("_q <> ''").distinct()
     text = F.lower(F.concat_ws("\n", *[F.col(c) for c in ("name", "original_name", "description", "summary") if c in orgs.columns]))
-    hit = orgs.select("entity_id", "name", text.alias("_t")).join(wanted, F.contains(F.col("_t"), F.col("_q"))).select("query", "entity_id", "name")
+    wanted = wanted.withColumn("_anchor", F.substring("_q", 1, ANCHOR))
+    sizes = F.array(*[F.lit(r[0]) for r in wanted.select(F.length("_anchor")).distinct().collect()]).cast("array<int>")  # at most ANCHOR
+    starts = lambda n: F.transform(F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substr(F.col("_t"), i, n))
+    stretches = F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length("_t")), starts)))
+    told = orgs.select("entity_id", "name", text.alias("_t"))
+    met = told.select("entity_id", "name", "_t", F.explode(stretches).alias("_anchor")).join(wanted, "_anchor")
+    hit = met.where(F.contains(F.col("_t"), F.col("_q"))).select("query", "entity_id", "name")
     rows = hit.join(events.select(F.col("organization_id").alias("entity_id"), "id", "title", "event_date", "created_at"), "entity_id", "left")
     if not complete:
         order = [F.col("name"), F.col("entity_id"), *newest()]

@@ -34,8 +34,10 @@ def discovered_urls(df: DataFrame, k: int = 12) -> DataFrame:
 
 
 def read_failed(spark: SparkSession, path: str) -> DataFrame:
-    """(id, error) of a JSON-lines log; lines that are no JSON object with an id are skipped, the last of an id counts."""
-    lines = spark.read.text(path).select(F.from_json("value", "id string, error string").alias("r"), F.monotonically_increasing_id().alias("line"))
+    """(id, error) of a JSON-lines log; lines that are no JSON object with an id are skipped, the last of an id counts: in the
+    file written last, the line furthest on."""
+    at = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.from_json("value", "id string, error string").alias("r"), at.alias("line"))
     return lines.where("r.id is not null").groupBy("r.id").agg(F.max_by("r.error", "line").alias("error"))
 
 

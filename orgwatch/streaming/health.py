@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,33 +48,36 @@ def _fold_in_order(log: DataFrame, key: str, order: list[str], start: Callable[[
     """``log`` with ``admitted``, decided row by row in order within each key by what ``start()`` gives for a new key.
 
     Rows are dealt by key and sorted within a task, then read once: of a key with very many rows a task holds a batch and
-    the fold's state, never the whole.
+    the fold's state, never the whole. Rows stay Arrow batches, so no value changes its type; null (or NaN) keys are one key.
     """
     fields = T.StructType([*log.schema.fields, T.StructField("admitted", T.BooleanType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, decide = object(), start()
         for batch in batches:
             out = []
-            for k, *values in zip(batch[key], *[batch[c] for c in columns]):
-                if k != current:
+            for k, *values in zip(batch.column(key).to_pylist(), *[batch.column(c).to_pylist() for c in columns]):
+                if k != current and not (k != k and current != current):
                     current, decide = k, start()
                 out.append(decide(*values))
-            yield batch.assign(admitted=out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, "admitted"])
 
-    return log.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, fields)
+    return log.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, fields)
 
 
 def admit(log: DataFrame, key: str, ts: str, n: int, window_s: int) -> DataFrame:
     """Each row with ``admitted``: a window opens at a key's first row after the last window's end, and the first ``n`` rows
-    of a window pass. Where windows open depends on the data, so a key is a fold over its rows in order."""
-    length = pd.Timedelta(seconds=window_s)
+    of a window pass. Where windows open depends on the data, so a key is a fold over its rows in order. A row without a
+    time never passes; null keys are one key."""
+    length = datetime.timedelta(seconds=window_s)
 
     def start() -> Callable[..., bool]:
         opened, used = None, 0
 
-        def decide(t: pd.Timestamp) -> bool:
+        def decide(t: datetime.datetime | None) -> bool:
             nonlocal opened, used
+            if t is None:
+                return False
             if opened is None or t - opened >= length:
                 opened, used = t, 0
             used += 1
@@ -88,6 +93,7 @@ class _Admission(StatefulProcessor):
         self.ts, self.n, self.window_s = ts, n, window_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("window", "start timestamp, used int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -101,16 +107,28 @@ class _Admission(StatefulProcessor):
                 used += 1
                 out.append(used <= self.n)
             yield batch.assign(admitted=out)
-        self.state.update((pd.Timestamp(start).to_pydatetime(), used))
+        if start is not None:
+            self.state.update((pd.Timestamp(start).to_pydatetime(), used))
+            self.handle.registerTimer(int((pd.Timestamp(start).timestamp() + self.window_s) * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark has passed the end of a window: no row of it can come any more."""
+        if self.state.exists():
+            start = pd.Timestamp(self.state.get()[0]).timestamp()
+            if (start + self.window_s) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+                self.state.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
 def admit_stream(log: DataFrame, key: str, ts: str, n: int, window_s: int, delay: str = "10 minutes") -> DataFrame:
-    """``admit`` over a stream; rows later than the watermark are dropped, and a key's state is its open window."""
+    """``admit`` over a stream in event time. Rows later than the watermark are dropped; a key's state is its open window and
+    goes when the watermark passes its end. Rows of one batch are taken in order of time, batches as they come: a row that
+    comes after later rows counts in the window that is open."""
     fields = T.StructType([*log.schema.fields, T.StructField("admitted", T.BooleanType())])
-    return log.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(_Admission(ts, n, window_s), fields, "Append", "None")
+    return log.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(_Admission(ts, n, window_s), fields, "Append", "EventTime")
 
 
 def source_state_stream(log: DataFrame, path: str, checkpoint: str):
@@ -150,16 +168,16 @@ def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def cooldowns(log: DataFrame, minutes: int = 30) -> DataFrame:
     """Each attempt of the log (provider, ts, status, message) with ``admitted``: after an admitted attempt that was answered 403
     or 429, or with a challenge, the provider is left alone for ``minutes``. Which attempts are admitted depends on those
-    before."""
-    wait = pd.Timedelta(minutes=minutes)
+    before. An attempt without a time is not admitted; null providers are one provider."""
+    wait = datetime.timedelta(minutes=minutes)
     told = re.compile("challenge|too many|rate limit", re.I)
 
     def start() -> Callable[..., bool]:
         free = None
 
-        def decide(t: pd.Timestamp, status: float, message: str | None) -> bool:
+        def decide(t: datetime.datetime | None, status: int | None, message: str | None) -> bool:
             nonlocal free
-            if free is not None and t < free:
+            if t is None or (free is not None and t < free):
                 return False
             if status in (403, 429) or (isinstance(message, str) and told.search(message)):
                 free = t + wait

@@ -164,3 +164,14 @@ def test_whole_inputs(spark):
     found = {r.url for r in extract.extract_articles(V.pages(spark, d)).collect()}
     told = QUERIES["x4_snippet_fallback"](spark, d).collect()
     assert found and {r.url for r in told if r.confidence > 0.2} == found and {r.url for r in told} == {p.url for p in pages}
+
+
+def test_answers_with_many_open_brackets():
+    import time
+
+    from orgwatch.operators import model_io
+
+    assert list(model_io._arrays('x [1, "a]b"] y [[2] z [3]')) == ['[1, "a]b"]', "[2]", "[3]"]
+    began = time.process_time()
+    assert model_io._parse("[" * 30_000)["level"] == "failed" and model_io._parse('["' * 30_000)["level"] == "failed"
+    assert time.process_time() - began < 5
