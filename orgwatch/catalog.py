@@ -655,3 +655,161 @@ _add(
 )
 _add("k5_cooldowns", lambda s, d: health.cooldowns(V.fetches(s, d).select(F.col("source_id").alias("provider"), "ts", "status", F.col("error_code").alias("message"))))
 _add("f7_clean_name", lambda s, d: _docs(s, d).select("doc_id", T.clean_name(F.concat(F.lit("1. 公司名称: "), F.substring_index(_t(), ".", 1))).alias("value")))
+
+# Names, evidence and scores in SQL, for the queries above and some more. -------------------------------------------
+
+
+def _sql(name: str, sql: str) -> None:
+    SQL[name] = V.with_views(sql)
+
+
+_listed = lambda words: ", ".join(f"'{w}'" for w in words)
+_norm = lambda c: f"trim(regexp_replace(translate(lower({c}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9\\x{{3400}}-\\x{{9FFF}}]+', ' ', 'g'))"
+_canon = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace({c}, '[(（\\[【][^)）\\]】]*[)）\\]】]', ' ', 'g'), '[\\s,-]*(19|20)[0-9][0-9]\\s*$', '', 'g'), '\\s+', ' ', 'g'))"
+_once = lambda x: f"list_filter({x}, lambda x, i: list_position({x}, x) = i)"
+_generic = _listed(match.GENERIC_TERMS)
+_spaced = lambda text, t: f"contains(' ' || {text} || ' ', ' ' || {t} || ' ')"
+_compact = "regexp_replace(coalesce({h}, ''), '[^a-z0-9]', '', 'g')"
+_ident = f"""SELECT entity_id, name, slug, description, norm_name, tokens, list_filter(list_transform(tokens, lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: length(w) >= 4) AS domain_tokens
+    FROM (SELECT *, {_once('w')} AS tokens FROM (SELECT *, list_filter(string_split(norm_name, ' '), lambda w: length(w) >= 3 AND w NOT IN ({_generic}) AND NOT regexp_matches(w, '^[0-9]+$')) AS w
+        FROM (SELECT *, {_norm(_canon('name'))} AS norm_name FROM v_org )))"""
+_add(
+    "m4_entity_identity",
+    lambda s, d: match.context_tokens(match.entity_identity(V.orgs(s, d)), summary="description").select("entity_id", "norm_name", *[F.array_join(c, "|").alias(c) for c in ("tokens", "domain_tokens", "context")]),
+    f"""SELECT entity_id, norm_name, array_to_string(tokens, '|') AS tokens, array_to_string(domain_tokens, '|') AS domain_tokens, coalesce(array_to_string({_once('c')}[1:8], '|'), '') AS context
+        FROM (SELECT *, list_filter(string_split({_norm("coalesce(description, '')")}, ' '), lambda w: length(w) >= 3 AND w NOT IN ({_generic}) AND NOT regexp_matches(w, '{match.RECORD_WORDS}')
+            AND NOT coalesce(list_contains(string_split({_norm('name')}, ' '), w), false)) AS c FROM ({_ident}))""",
+)
+_facts = f"""SELECT *, coalesce(regexp_matches(norm_name, '[\\x{{4E00}}-\\x{{9FFF}}]'), false) AS han, len(list_filter(tokens, lambda t: {_spaced('said', 't')})) AS hit,
+    CAST(len(list_filter(domain_tokens, lambda t: contains({_compact.format(h='h')}, t))) AS INTEGER) AS host_matches,
+    CAST(len(list_filter(['the', 'de'], lambda t: {_spaced('said', 't')})) AS INTEGER) AS context_matches, coalesce(regexp_matches(h, '\\.(gov|edu)(\\.[a-z]{{2}})?$'), false) AS public
+    FROM (SELECT e.id AS pos, o.*, length(slug) % 2 = 0 AS badge, e.title, e.source_url, {_sh} AS h, concat_ws(' ', e.title, e.summary) AS raw, {_norm("concat_ws(' ', e.title, e.summary)")} AS said
+        FROM v_event e JOIN ({_ident}) o ON o.entity_id = e.organization_id)"""
+_core = "CASE WHEN han AND length(norm_name) >= 2 AND contains(said, norm_name) THEN {w} ELSE 0 END"
+_sharing = "CASE WHEN len(tokens) > 0 THEN CAST(floor({w} * hit / len(tokens) + 0.5) AS BIGINT) ELSE 0 END"
+_points = f"""SELECT *, CASE WHEN h IS NULL THEN 0 ELSE least(70, CASE WHEN badge THEN 20 ELSE 0 END + {_core.format(w=38)} + {_sharing.format(w=28)} + CASE WHEN host_matches > 0 THEN 22 ELSE 0 END
+        + CASE WHEN public THEN 8 ELSE 0 END + CASE WHEN regexp_matches(raw, '(?i)official|官网|官方网站') THEN 8 ELSE 0 END) END AS pre_score,
+    least(50, {_core.format(w=35)} + {_sharing.format(w=30)} + CASE WHEN host_matches > 0 THEN 18 ELSE 0 END + CASE WHEN public THEN 12 ELSE 0 END + least(context_matches * 8, 16)) AS identity_score FROM ({_facts})"""
+_sql("m5_score_candidates", f"SELECT entity_id, pos, CAST(pre_score AS BIGINT) AS pre_score FROM ({_points})")
+_sql("m6_score_identity", f"SELECT entity_id, pos, CAST(identity_score AS BIGINT) AS identity_score, host_matches, context_matches FROM ({_points})")
+_sql(
+    "m7_accept_candidates",
+    f"""SELECT entity_id, pos, CAST(least(100, pre_score + identity_score) AS BIGINT) AS confidence FROM ({_points}) WHERE identity_score >= 20 AND pre_score + identity_score >= 45
+        AND NOT (NOT han AND len(tokens) <= 1 AND ((length(norm_name) <= 10 AND host_matches = 0) OR (length(norm_name) <= 8 AND context_matches = 0)))""",
+)
+_sql(
+    "t10_best_candidate",
+    f"""SELECT entity_id, url, pre_score, confidence, CASE WHEN confidence >= 72 THEN 'official_verified' ELSE 'candidate' END AS status FROM (
+        SELECT entity_id, source_url AS url, CAST(pre_score AS BIGINT) AS pre_score, CAST(least(100, pre_score + identity_score) AS BIGINT) AS confidence, row_number() OVER (PARTITION BY entity_id ORDER BY pre_score DESC, pos) AS k
+        FROM ({_points}) WHERE pre_score >= 20 QUALIFY k <= 4) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, k) = 1""",
+)
+_sql(
+    "m10_domain_candidates",
+    f"""SELECT entity_id, CAST(i - 1 AS INTEGER) AS pos, g[i] AS domain FROM (SELECT entity_id, CASE WHEN len(tokens) = 1 THEN [tokens[1] || '.com', tokens[1] || '.org']
+        ELSE [array_to_string(tokens, '') || '.com', array_to_string(tokens, '-') || '.com', array_to_string(tokens, '') || '.org'] END AS g FROM ({_ident}) WHERE len(tokens) > 0), range(1, 4) r(i) WHERE i <= len(g)""",
+)
+_rejected = f"coalesce({_under('host', U.PLATFORM_ROOTS)} OR regexp_matches(lower({V.sql_part('url', 5)}), '\\.(pdf|docx?|xlsx?|pptx?|zip|rar|csv|jpg|png)$'), true)"
+_sql(
+    "d7_stored_candidates",
+    f"""SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY badge DESC, pos, url) AS rank, url, CAST(score AS BIGINT) AS score FROM (SELECT entity_id, url, bool_or(badge) AS badge, min(pos) AS pos, max(least(greatest(pre_score * 2, 0), 100)) AS score
+        FROM (SELECT *, {V.sql_host('url')} AS host FROM (SELECT *, regexp_replace({_su}, '^http:', 'https:') AS url FROM ({_points}))) WHERE url IS NOT NULL AND NOT {_rejected} GROUP BY 1, 2) QUALIFY rank <= 5""",
+)
+
+_aliased = lambda s, d: match.identity_terms(V.orgs(s, d).withColumn("aliases", F.array(F.concat(F.lit("The "), "name"))))
+_terms = f"""SELECT entity_id, terms, {_once('every')} AS core_terms FROM (SELECT *, terms || list_filter(flatten(list_transform(terms, lambda t: string_split(t, ' '))), lambda w: length(w) >= 3 AND w NOT IN ({_generic})) AS every
+    FROM (SELECT entity_id, list_filter([{_norm('name')}, {_norm("'The ' || name")}], lambda t: length(t) >= 2) AS terms FROM v_org ))"""
+_sql("m1_identity_terms", f"SELECT entity_id, array_to_string(terms, '|') AS terms, array_to_string(core_terms, '|') AS core_terms FROM ({_terms})")
+_named_here = lambda s, d: V.events(s, d).withColumn("said", F.concat_ws(" ", "title", "summary", F.when(F.col("id") % 2 == 0, F.col("source_url")))).join(_aliased(s, d).withColumnRenamed("entity_id", "organization_id").select("organization_id", "terms"), "organization_id")
+_saying = f"""SELECT *, {_norm("concat_ws(' ', title, summary, CASE WHEN id % 2 = 0 THEN source_url END)")} AS said, {_sh} AS h FROM v_event JOIN ({_terms}) t ON t.entity_id = organization_id"""
+_evident = "len(list_filter(terms, lambda t: contains(said, t) OR contains(replace(said, ' ', ''), replace(t, ' ', '')))) > 0"
+_add("m2_has_evidence", lambda s, d: _named_here(s, d).select("id", match.has_evidence(F.col("said"), F.col("terms")).alias("value")), f"SELECT id, {_evident} AS value FROM ({_saying})")
+_keyed = f"len(list_filter(list_transform(flatten(list_transform(terms, lambda t: [replace(t, ' ', '')] || string_split(t, ' '))), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: length(w) >= 3 AND contains({_compact.format(h='h')}, w))) > 0"
+_add(
+    "q17_is_strict_candidate", lambda s, d: _named_here(s, d).select("id", match.is_strict_candidate(F.col("source_url"), F.col("said")).alias("value")),
+    f"SELECT id, lower({V.sql_part('source_url', 1)}) IN ('http', 'https') AND {_keyed} AND {_evident} AS value FROM ({_saying})",
+)
+_titled = lambda: F.concat("title", F.when(F.col("id") % 3 == 0, " University").when(F.col("id") % 3 == 1, "研究院").otherwise(""))
+_english = f"[A-Z][A-Za-z0-9&''.-]*(\\s+[A-Z][A-Za-z0-9&''.-]*){{0,8}}\\s+({'|'.join(extract.ENGLISH_SUFFIXES)})"
+_chinese = f"[\\x{{4E00}}-\\x{{9FFF}}A-Za-z0-9& .-]{{2,60}}({'|'.join(extract.CHINESE_SUFFIXES)})"
+_plausible = lambda c: f"(length({c}) BETWEEN 2 AND 100 AND regexp_matches({c}, '^({_english}|{_chinese})$') AND NOT regexp_matches({c}, '^([0-9]|一个|一些|多个|许多|各类|不同|相关|主要|部分|所有|该|本|这|其)') AND {c} NOT IN ({_listed(extract.CHINESE_SUFFIXES)}))"
+_add(
+    "q22_is_plausible_name", lambda s, d: V.events(s, d).select("id", extract.is_plausible_name(_titled()).alias("value")),
+    f"SELECT id, {_plausible('n')} AS value FROM (SELECT id, title || CASE id % 3 WHEN 0 THEN ' University' WHEN 1 THEN '研究院' ELSE '' END AS n FROM v_event )",
+)
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """A table for each nation, its header above a row for each of its customers."""
+    k = F.col("c_custkey")
+    said = F.when(k % 3 == 0, F.concat(F.initcap("c_mktsegment"), F.lit(" University"))).when(k % 3 == 1, F.col("c_name")).otherwise(F.concat(F.lit("see the "), F.initcap("c_mktsegment"), F.lit(" Institute")))
+    body = V.table(spark, d, "customer").select(F.col("c_nationkey").alias("table_id"), (k + 1).alias("row_no"), F.posexplode(F.array(said, said)).alias("col_no", "text"))
+    head = V.table(spark, d, "nation").select(F.col("n_nationkey").alias("table_id"), F.lit(0).cast("bigint").alias("row_no"), F.posexplode(F.array(F.lit("合作机构名称"), F.lit("备注"))).alias("col_no", "text"))
+    return head.union(body)
+
+
+_add(
+    "x13_names_from_tables", lambda s, d: extract.names_from_tables(_cells(s, d)),
+    """SELECT c_nationkey AS table_id, c_custkey + 1 AS row_no, 0 AS col_no, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || CASE c_custkey % 3 WHEN 0 THEN ' University' ELSE ' Institute' END AS name
+        FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 1""",
+)
+_paragraphs = "list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> '')"
+_fitting = "list_filter(range(1, least(len(p), 301) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + i - 1 <= 600)"
+_body = f"SELECT doc_id, lang, source, CASE WHEN p IS NULL THEN NULL WHEN len(p) = 0 THEN '' WHEN length(p[1]) > 600 THEN substr(p[1], 1, 600) ELSE array_to_string(p[1:len({_fitting})], chr(10)) END AS body FROM (SELECT *, {_paragraphs} AS p FROM documents)"
+_sql("x14_context_body", f"SELECT doc_id, body FROM ({_body})")
+_add(
+    "x14_context_block", lambda s, d: cleaning.context_block(_docs(s, d).select("doc_id", F.col("lang").alias("title"), F.lit(None).cast("string").alias("published"), F.col("source").alias("domain"), F.col("text").alias("body")), 600).select("doc_id", "context_block"),
+    f"SELECT doc_id, CASE WHEN length(body) >= 160 THEN 'title: ' || coalesce(lang, '') || chr(10) || 'published_at: unknown' || chr(10) || 'source_domain: ' || coalesce(source, '') || chr(10) || 'body:' || chr(10) || body END AS context_block FROM ({_body})",
+)
+_stop = lambda c: f"CASE WHEN len(regexp_extract_all({c}, '[\\x{{4E00}}-\\x{{9FFF}}]')) >= 20 THEN len(regexp_extract_all({c}, '[{T.CHINESE_STOPWORDS}]')) / len(regexp_extract_all({c}, '[\\x{{4E00}}-\\x{{9FFF}}]')) WHEN len(regexp_extract_all(regexp_replace(lower({c}), '\\s+', '', 'g'), '[a-z]+')) >= 10 THEN len(list_filter(regexp_extract_all(regexp_replace(lower({c}), '\\s+', '', 'g'), '[a-z]+'), lambda w: w IN ({_listed(T.ENGLISH_STOPWORDS)}))) / len(regexp_extract_all(regexp_replace(lower({c}), '\\s+', '', 'g'), '[a-z]+')) END"
+_sql("f11_stopword_ratio", f"SELECT doc_id, round({_stop('text')}, 9) AS value FROM documents")
+
+
+def _broken(c: str) -> str:
+    t = f"trim(coalesce({c}, ''))"
+    words = [f"CASE WHEN regexp_matches({t}, '{p}'){'' if name == 'login' else f' AND length({t}) <= 2000'} THEN '{name}' END" for name, p in P.SUMMARY_KEYWORDS]
+    return f"CASE WHEN {t} = '' THEN '' ELSE array_to_string(list_filter([{', '.join(words)}, CASE WHEN length({t}) < 20 THEN 'short' END, CASE WHEN {_stop(t)} >= 0.45 THEN 'stopwords' END], lambda x: x IS NOT NULL), ',') END"
+
+
+_sql("q24_summary_rules", f"SELECT doc_id, {_broken('text')} AS value FROM documents")
+_when = lambda: F.when(F.col("id") % 2 == 0, F.col("event_date")).otherwise(F.col("created_at"))
+_function("f25_display_date", lambda: D.display_date(_when()), "CASE WHEN id % 2 = 0 AND event_date = 'unknown' THEN '近期' WHEN id % 2 = 0 THEN event_date || ' 00:00' ELSE substr(created_at, 1, 16) END", V.events, "id", "v_event")
+_add(
+    "f32_content_hash",
+    lambda s, d: V.events(s, d).groupBy("organization_id").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("organization_id", cleaning.content_hash(F.lit("2024-01-01"), F.lit("2024-01-02"), F.transform("ids", lambda x: x.cast("string"))).alias("value")),
+    "SELECT organization_id, sha256('2024-01-01|2024-01-02|' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) AS value FROM v_event GROUP BY 1",
+)
+
+
+def _shaped(spark: SparkSession, d: str) -> DataFrame:
+    """An answer for each event: by its id whole, or with one item that breaks a rule."""
+    kind = F.col("id") % 6
+    told = [F.col("title"), F.col("summary"), F.col("source_url").alias("url")]
+    item = lambda *more: F.to_json(F.struct(*told, *more))
+    good = item(F.lit(7).alias("relevance_score"))
+    shapes = [
+        good, item(F.lit(0).alias("relevance_score")), item(F.lit(11).alias("relevanceScore")), item(F.lit(7).alias("relevance_score"), F.lit("x").alias("odd")),
+        item(F.lit(7).alias("relevance_score"), F.lit(7).alias("relevanceScore")), F.concat(good, F.lit(","), item(F.lit(5.5).alias("relevance_score"))),
+    ]
+    made = F.element_at(F.array(*shapes), (kind + 1).cast("int"))
+    return V.events(spark, d).where("title <> '' and summary <> ''").select(F.col("id").alias("organization_id"), F.concat(F.lit("["), made, F.lit("]")).alias("response"))
+
+
+_add("l3_validate_items", lambda s, d: model_io.parse_event_responses(_shaped(s, d)).select("organization_id", "title", "relevance_score"), "SELECT id AS organization_id, title, 7 AS relevance_score FROM v_event WHERE title <> '' AND summary <> '' AND id % 6 = 0")
+_add(
+    "c6_apply_name_verdicts",
+    lambda s, d: cleaning.apply_name_verdicts(V.named(s, d), V.named(s, d).select("entity_id", F.when(_number() % 2 == 0, F.col("name")).otherwise("gone").alias("old_name"), F.when(_number() % 3 == 0, "CORRECTED").otherwise("VALID").alias("status"), F.upper("name").alias("name"))).select("entity_id", "name"),
+    "SELECT entity_id, CASE WHEN CAST(substr(entity_id, 5) AS BIGINT) % 6 = 0 THEN upper(name) ELSE name END AS name FROM v_named",
+)
+_domain = f"CASE WHEN regexp_matches(host, '^({U.LABEL}\\.)+[a-z]{{2,63}}$') AND length(host) <= 253 AND NOT {_under('host', U.PLATFORM_ROOTS)} THEN host END"
+_sql(
+    "m9_decide_official",
+    f"""SELECT entity_id, b.domain AS domain, coalesce(b.status, 'not_found') AS status FROM v_org LEFT JOIN (SELECT id, min({{'tier': tier, 'pos': pos, 'domain': domain, 'status': status}}) AS b FROM (
+        SELECT entity_id AS id, 1 AS tier, 0 AS pos, slug AS domain, 'whitelist' AS status FROM v_org WHERE length(slug) % 5 = 0 UNION ALL SELECT entity_id, 3, 0, slug, 'cached' FROM v_org WHERE length(slug) % 7 = 0
+        UNION ALL SELECT organization_id, CASE WHEN id % 2 = 0 THEN 2 ELSE 4 END, id, {_domain}, CASE WHEN id % 2 = 0 THEN 'verified' ELSE 'unverified' END FROM (SELECT *, {_sh} AS host FROM v_event )) WHERE domain IS NOT NULL GROUP BY 1) ON id = entity_id""",
+)
+_poor = f"coalesce({_under('host', U.LOW_QUALITY_DOMAINS)} OR list_has_any({_hl}, ['blog', 'blogs', 'forum', 'forums', 'bbs']), true)"
+_sql(
+    "m13_profile_page",
+    f"""SELECT entity_id, CAST(tier AS INTEGER) AS tier, source_url AS url FROM (SELECT e.*, {_sh} AS host, o.entity_id, o.name, e.id % 3 AS tier FROM v_event e JOIN v_org o ON o.entity_id = e.organization_id)
+        WHERE length(trim(coalesce(summary, ''))) >= 20 AND (tier = 0 OR (contains(replace({_norm('summary')}, ' ', ''), replace({_norm('name')}, ' ', '')) AND NOT {_poor})) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY tier, id, source_url) = 1""",
+)

@@ -28,5 +28,12 @@ def parse_time(c: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(c))
 
 
+def display_date(c: Column, with_time: bool = True) -> Column:
+    """A date or time as it is shown, to the minute or to the day; ``近期`` for none, a placeholder or what is no time."""
+    blank = F.trim(c).rlike("(?i)^(unknown|null|undefined|nan|invalid)$")
+    shown = F.date_format(parse_time(F.trim(c)), "yyyy-MM-dd HH:mm" if with_time else "yyyy-MM-dd")
+    return F.coalesce(F.when(~blank, shown), F.lit("近期"))
+
+
 def time_bucket(days: Column) -> Column:
     return F.when(days <= 1, "day").when(days <= 7, "week").when(days <= 31, "month").otherwise("year")

@@ -50,10 +50,12 @@ def han_ratio(c: Column) -> Column:
 
 
 def stopword_ratio(c: Column) -> Column:
-    """Share of stop words: by character from 20 Han characters on, else by word from 10 English words on, else null."""
-    han, words = F.regexp_count(c, F.lit(HAN)), F.regexp_count(F.lower(c), F.lit("[a-z]+"))
+    """Share of stop words: by character from 20 Han characters on, else by word from 10 on, else null. White space goes
+    first, so that a word is a run of a to z between other characters."""
+    bare = F.lower(F.regexp_replace(c, r"\s+", ""))
+    han, words = F.regexp_count(c, F.lit(HAN)), F.regexp_count(bare, F.lit("[a-z]+"))
     chinese = F.regexp_count(c, F.lit(f"[{CHINESE_STOPWORDS}]"))
-    english = F.regexp_count(F.lower(c), F.lit(r"\b(" + "|".join(ENGLISH_STOPWORDS) + r")\b"))
+    english = F.regexp_count(bare, F.lit("(?<![a-z])(" + "|".join(ENGLISH_STOPWORDS) + ")(?![a-z])"))
     return F.when(han >= 20, chinese / han).when(words >= 10, english / words)
 
 

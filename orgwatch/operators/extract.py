@@ -208,10 +208,28 @@ def is_sentence_fragment(c: Column) -> Column:
     return c.rlike(FRAGMENT)
 
 
+#: What the header of a column of names contains. Fixed values.
+NAME_HEADER = "机构|单位|企业|公司|学校|高校|大学|院校|科研机构|实验室|医院|协会|学会|联盟|平台"
+ENGLISH_NAME = rf"\b([A-Z][A-Za-z0-9&'.-]*(?:\s+[A-Z][A-Za-z0-9&'.-]*){{0,8}}\s+(?:{'|'.join(ENGLISH_SUFFIXES)}))\b"
+
+
+def names_from_tables(cells: DataFrame) -> DataFrame:
+    """(table_id, row_no, col_no, name) out of the cells (table_id, row_no, col_no, text) of tables: of each column whose header,
+    in row 0, is about organizations, the values between separators that are names as a whole, else the English names in them.
+    Repeats within a cell are given once; cells without a text or beyond the header's columns give none."""
+    at = ["table_id", "col_no"]
+    headed = cells.where((F.col("row_no") == 0) & F.col("text").rlike(NAME_HEADER)).select(*at).distinct()
+    body = cells.where("row_no > 0 and text is not null").select(*at, "row_no", "text").join(headed, at, "left_semi")
+    parts = body.select(*at, "row_no", F.explode(F.split("text", SEPARATORS)).alias("part")).withColumn("part", T.clean_name(F.col("part")))
+    whole = is_plausible_name(F.col("part")) & ~is_sentence_fragment(F.col("part"))
+    names = F.when(whole, F.array("part")).otherwise(F.regexp_extract_all("part", F.lit(ENGLISH_NAME), F.lit(1)))
+    found = parts.select("table_id", "row_no", "col_no", F.explode(names).alias("name")).where(is_plausible_name(F.col("name")))
+    return found.distinct()
+
+
 def extract_names(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, name): names of organizations in texts: whole parts between separators, and English names inside prose."""
-    english = rf"\b([A-Z][A-Za-z0-9&'.-]*(?:\s+[A-Z][A-Za-z0-9&'.-]*){{0,8}}\s+(?:{'|'.join(ENGLISH_SUFFIXES)}))\b"
     parts = docs.select(key, F.posexplode(F.split(text, SEPARATORS)).alias("pos", "part")).withColumn("part", T.clean_name(F.col("part")))
     whole = F.when(is_sentence_fragment(F.col("part")), F.array().cast("array<string>")).otherwise(F.array("part"))
-    names = F.concat(whole, F.regexp_extract_all("part", F.lit(english), F.lit(1)))
+    names = F.concat(whole, F.regexp_extract_all("part", F.lit(ENGLISH_NAME), F.lit(1)))
     return parts.select(key, "pos", F.explode(F.array_distinct(names)).alias("name")).where(is_plausible_name(F.col("name")))

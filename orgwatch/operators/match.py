@@ -27,6 +27,19 @@ def entity_identity(df: DataFrame, name: str = "name") -> DataFrame:
     return df.withColumn("domain_tokens", F.filter(F.transform("tokens", lambda w: F.regexp_replace(w, "[^a-z0-9]", "")), lambda w: F.length(w) >= 4))
 
 
+#: Words of records, not of the entity. Fixed values.
+RECORD_WORDS = "实体|收录|报告|案例|^未标注$|^[ptrc][0-9]+$"
+
+
+def context_tokens(df: DataFrame, name: str = "name", summary: str = "summary", k: int = 8) -> DataFrame:
+    """Adds ``context``: the first ``k`` words of the summary, once each, of three letters or more, that are neither in the name
+    nor generic nor words of records; empty without a summary."""
+    own = F.coalesce(F.split(normalized(F.col(name)), " "), F.array().cast("array<string>"))
+    words = F.split(normalized(F.coalesce(F.col(summary), F.lit(""))), " ")
+    good = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(GENERIC_TERMS) & ~w.rlike(RECORD_WORDS))
+    return df.withColumn("context", F.slice(F.array_except(good, own), 1, k))
+
+
 def _contains_token(text: Column, token: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), token, F.lit(" ")))
 

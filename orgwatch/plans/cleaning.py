@@ -95,6 +95,11 @@ def cleaning_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("outcome", outcome)
 
 
+def content_hash(start, end, ids) -> F.Column:
+    """The digest of a window: its start, its end and the ids of its events in order."""
+    return F.sha2(F.concat_ws("|", start, end, F.array_join(ids, ",")), 256)
+
+
 def digest_run(events: DataFrame, orgs: DataFrame, runs: DataFrame, start: str, end: str, min_score: int = 6, n: int = 60) -> DataFrame:
     """One row for the window: event_count, content_hash of its events in order, and what to do by the ledger ``runs``
     (window_start, window_end, content_hash, status): skip, reopen or create."""
@@ -103,8 +108,8 @@ def digest_run(events: DataFrame, orgs: DataFrame, runs: DataFrame, start: str,
     chosen = digest_events(P.recent_scored(events, start, end, min_score).join(orgs.select(F.col("entity_id").alias("organization_id")), "organization_id", "left_semi"), n)
     order = F.struct((-F.col("relevance_score")).alias("s"), F.col("created_at"), F.col("id"))
     listed = F.array_sort(F.collect_list(order), lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).when(a["created_at"] > b["created_at"], -1).when(a["created_at"] < b["created_at"], 1).when(a["id"] < b["id"], -1).otherwise(1))
-    ids = F.array_join(F.transform(listed, lambda x: x["id"].cast("string")), ",")
-    run = chosen.agg(F.count("*").alias("event_count"), F.sha2(F.concat_ws("|", F.lit(start), F.lit(end), ids), 256).alias("content_hash"))
+    ids = F.transform(listed, lambda x: x["id"].cast("string"))
+    run = chosen.agg(F.count("*").alias("event_count"), content_hash(F.lit(start), F.lit(end), ids).alias("content_hash"))
     run = run.withColumn("window_start", F.lit(start)).withColumn("window_end", F.lit(end))
     known = runs.select("window_start", "window_end", "content_hash", F.col("status").alias("_status"))
     action = F.when(F.col("_status").isin("running", "generated", "pushed"), "skip").when(F.col("_status").isNotNull(), "reopen").otherwise("create")
@@ -145,6 +150,14 @@ def context_body(c, n: int) -> F.Column:
     return F.aggregate(parts, F.struct(F.lit("").alias("t"), F.lit(False).alias("full")), add, lambda at: at["t"])
 
 
+def context_block(df, n: int = 6000, least: int = 160):
+    """Adds ``context_block`` to rows (title, published, domain, body): three header lines and the body; null where the body has
+    less than ``least`` characters."""
+    body = context_body(F.col("body"), n)
+    head = [F.concat(F.lit(f"{k}: "), F.coalesce(c, F.lit(d))) for k, c, d in (("title", "title", ""), ("published_at", "published", "unknown"), ("source_domain", "domain", ""))]
+    return df.withColumn("context_block", F.when(F.length(body) >= least, F.concat_ws("\n", *head, F.lit("body:"), body)))
+
+
 def audit_report(orgs: DataFrame, before: DataFrame) -> DataFrame:
     """(list, name, detail), once each: organizations by cleaning status; of a correction the old name and the new one, of a
     rejected one what was tried."""

@@ -33,6 +33,33 @@ def discovered_urls(df: DataFrame, k: int = 12) -> DataFrame:
     return df.withColumn("urls", F.slice(F.array_distinct(F.filter(both, lambda u: u.rlike("(?i)^https?://"))), 1, k))
 
 
+def read_source_index(spark: SparkSession, path: str, k: int = 12) -> DataFrame:
+    """(key, urls) of a file of discovered sources: the URLs of each name, in lower case; of a name told twice the last counts."""
+    schema = "organizations array<struct<name:string, candidates:array<string>, sources:array<struct<url:string>>>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.posexplode("organizations").alias("pos", "r"))
+    last = rows.groupBy(F.lower(F.trim("r.name")).alias("key")).agg(F.max_by("r", "pos").alias("r")).where("key <> ''")
+    return discovered_urls(last.select("key", "r.candidates", "r.sources"), k).select("key", "urls")
+
+
+#: The columns of stored tables, all text but for those named with a type.
+TABLES = {
+    "organizations": "entity_id slug name description entity_type is_core_tracking:boolean region country founded analysis_type related_types mention_count:int"
+    " credibility_score:int source source_count:int context source_location source_document original_name location_basis location_confidence summary website_url"
+    " sources last_searched_at search_status last_event_searched_at event_search_status cleaning_status audit_note retry_count:int created_at updated_at",
+    "events": "id organization_id event_date event_type relevance_score:int title summary translated_title translated_description source_url canonical_source_url"
+    " source_name created_at",
+    "news_sources": "id organization_slug name url interval_minutes:int etag last_modified last_content_hash failure_count:int last_fetch_status retry_class"
+    " last_checked_at next_check_at next_retry_at",
+    "briefing_runs": "id window_start window_end event_count:int content_hash status generated_at pushed_at error",
+}
+
+
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A stored table with its full list of columns; those that its files lack are null."""
+    typed = [c if ":" in c else f"{c}:string" for c in TABLES[name].split()]
+    return spark.read.schema(", ".join(c.replace(":", " ") for c in typed)).parquet(f"{root}/{name}")
+
+
 def read_failed(spark: SparkSession, path: str) -> DataFrame:
     """(id, error) of a JSON-lines log; lines that are no JSON object with an id are skipped, the last of an id counts: in the
     file written last, the line furthest on."""

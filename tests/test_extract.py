@@ -172,3 +172,41 @@ def test_decide_official(spark):
     cached = spark.createDataFrame([(2, "c.org")], "entity_id int, domain string")
     got = {r.entity_id: (r.domain, r.status) for r in match.decide_official(orgs, white, hits, cached).collect()}
     assert got == {0: ("w.org", "whitelist"), 1: ("b.org", "verified"), 2: ("c.org", "cached"), 3: (None, "not_found"), 4: (None, "not_found")}
+
+
+def test_names_from_tables(spark):
+    said = [
+        ("t", 0, 0, "学校名称"), ("t", 0, 1, "备注"), ("t", 1, 0, "清华大学、Alpha University"), ("t", 1, 1, "Beta University"), ("t", 2, 0, "由 the Gamma Institute 负责"),
+        ("t", 2, 0, None), ("t", 3, 5, "Delta University"), ("u", 1, 0, "Epsilon University"),
+    ]
+    cells = spark.createDataFrame(said, "table_id string, row_no int, col_no int, text string")
+    got = sorted((r.table_id, r.row_no, r.name) for r in extract.names_from_tables(cells).collect())
+    assert got == [("t", 1, "Alpha University"), ("t", 1, "清华大学"), ("t", 2, "Gamma Institute")]
+    assert extract.names_from_tables(cells.where("false")).count() == 0
+
+
+def test_context_tokens(spark):
+    df = spark.createDataFrame([("Alpha Lab", "The alpha lab studies optics, optics and p12 lasers. 收录于报告"), ("B", None)], "name string, summary string")
+    assert [r.context for r in match.context_tokens(df).orderBy("name").collect()] == [["studies", "optics", "and", "lasers"], []]
+
+
+def test_context_block(spark):
+    from orgwatch.plans import cleaning
+
+    rows = [("T", None, "a.org", "x" * 200), ("S", "2024", "a.org", "short")]
+    got = [r.context_block for r in cleaning.context_block(spark.createDataFrame(rows, "title string, published string, domain string, body string"), 170).collect()]
+    assert got == ["title: T\npublished_at: unknown\nsource_domain: a.org\nbody:\n" + "x" * 170, None]
+
+
+def test_stopword_ratio(spark):
+    from orgwatch.functions import text as T
+
+    df = spark.createDataFrame([("the-of-cat-to-dog-a-b-c-d-e",), ("the cat sat on the mat by the door of it",), ("的" * 10 + "好" * 10,), (None,)], "c string")
+    assert [r[0] for r in df.select(T.stopword_ratio(F.col("c"))).collect()] == [0.4, None, 0.5, None]
+
+
+@pytest.mark.parametrize("said, want", [("2024-02-03 04:05:06", "2024-02-03 04:05"), ("2024-02-03", "2024-02-03 00:00"), (" Unknown ", "近期"), ("soon", "近期"), ("", "近期"), (None, "近期")])
+def test_display_date(spark, said, want):
+    from orgwatch.functions import dates as D
+
+    assert spark.createDataFrame([(said,)], "c string").select(D.display_date(F.col("c"))).first()[0] == want

@@ -40,6 +40,19 @@ def test_discovered_urls(spark):
     assert readers.discovered_urls(df).first().urls == ["https://a.org", "https://b.org"]
 
 
+def test_read_source_index(spark, tmp_path):
+    path = tmp_path / "sources.json"
+    path.write_text(json.dumps({"organizations": [{"name": " Alpha", "candidates": ["https://old.org"]}, {"name": "ALPHA ", "candidates": ["ftp://x"], "sources": [{"url": "https://a.org", "type": "rss"}]}, {"name": " "}]}))
+    assert [tuple(r) for r in readers.read_source_index(spark, str(path)).collect()] == [("alpha", ["https://a.org"])]
+
+
+def test_read_table(spark, tmp_path):
+    spark.createDataFrame([("r1", "generated")], "id string, status string").write.parquet(str(tmp_path / "briefing_runs"))
+    row = readers.read_table(spark, str(tmp_path), "briefing_runs").first()
+    assert (row.id, row.status, row.event_count, row.error) == ("r1", "generated", None, None)
+    assert len(readers.read_table(spark, str(tmp_path), "briefing_runs").columns) == 9
+
+
 def test_read_failed(spark, tmp_path):
     path = tmp_path / "failed.jsonl"
     path.write_text('{"id": "1", "error": "a"}\nbroken\n{"id": "2", "error": "b"}\n{"id": "1", "error": "c"}\n{"x": 1}\n')
