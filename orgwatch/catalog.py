@@ -93,7 +93,7 @@ _doc_function("f2_strip_controls", lambda: T.strip_controls(_t()), "trim(regexp_
 _doc_function("f5_title_key", lambda: T.title_key(_t()), "regexp_replace(lower(text), '[\\s\\p{P}\\p{S}_]+', '', 'g')")
 _doc_function("f6_norm_name", lambda: T.norm_name(_t()), "trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'))")
 _doc_function("f6_loose_name", lambda: T.loose_name(_t()), "regexp_replace(lower(text), '[^a-z0-9\\x{3400}-\\x{9FFF}]+', '', 'g')")
-_doc_function("f9_canonical_name", lambda: T.canonical_name(F.substring_index(_t(), "\n", 1)), "trim(regexp_replace(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[(（\\[【][^)）\\]】]*[)）\\]】]', ' ', 'g'), '[\\s,-]*(19|20)[0-9][0-9]\\s*$', '', 'g'), '\\s+', ' ', 'g'))")
+_doc_function("f9_canonical_name", lambda: T.canonical_name(_t()), "trim(regexp_replace(regexp_replace(regexp_replace(text, '[(（\\[【][^)）\\]】]*[)）\\]】]', ' ', 'g'), '[\\s,-]*(19|20)[0-9][0-9]\\s*$', '', 'g'), '\\s+', ' ', 'g'))")
 _han = "len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]'))"
 _doc_function("f10_han_ratio", lambda: T.han_ratio(_t()), f"CASE WHEN length(regexp_replace(text, '\\s+', '', 'g')) > 0 THEN {_han} / length(regexp_replace(text, '\\s+', '', 'g')) ELSE 0.0 END")
 _doc_function("f13_truncate_marked", lambda: T.truncate_marked(_t()), "CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END")
@@ -102,8 +102,8 @@ _snip = "|".join(P.SNIPPET_GARBAGE)
 _short, _garb = "length(trim(text)) < 20", f"regexp_matches(lower(text), '{_snip}')"
 _doc_function("q8_snippet_quality", lambda: P.snippet_quality(_t()), f"CASE WHEN {_short} AND {_garb} THEN 'both' WHEN {_short} THEN 'too_short' WHEN {_garb} THEN 'garbage' ELSE 'ok' END")
 _doc_function("q18_is_invalid_name", lambda: P.is_invalid_name(_t()), "text IS NULL OR trim(text) = '' OR regexp_matches(text, '<.*>') OR regexp_matches(lower(text), '</?(div|a|span)')")
-_doc_function("q20_is_suspicious_name", lambda: P.is_suspicious_name(F.substring_index(_t(), "\n", 1)), f"length(string_split(text, chr(10))[1]) > 20 OR regexp_matches(string_split(text, chr(10))[1], '{'|'.join(P.NAME_MARKERS)}')")
-_doc_function("q21_is_definitely_valid", lambda: P.is_definitely_valid(F.substring_index(_t(), "\n", 1)), f"regexp_matches(string_split(text, chr(10))[1], '^[A-Za-z][A-Za-z\\s''-]{{2,39}}$') OR regexp_matches(string_split(text, chr(10))[1], '(?i)\\b({'|'.join(P.ENTITY_WORDS)})\\b')")
+_doc_function("q20_is_suspicious_name", lambda: P.is_suspicious_name(_t()), f"length(text) > 20 OR regexp_matches(text, '{'|'.join(P.NAME_MARKERS)}')")
+_doc_function("q21_is_definitely_valid", lambda: P.is_definitely_valid(_t()), f"regexp_matches(text, '^[A-Za-z][A-Za-z\\s''-]{{2,39}}$') OR regexp_matches(text, '(?i)\\b({'|'.join(P.ENTITY_WORDS)})\\b')")
 _doc_function("q26_is_parked_page", lambda: P.is_parked_page(_t()), f"regexp_matches(text, '{P.PARKED}')")
 _function("x1_visible_text", lambda: T.visible_text(F.col("html")), "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))")
 _function("x2_page_title", lambda: T.page_title(F.col("html")), "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))")
@@ -511,9 +511,10 @@ _add(
 # More of the inventory. -------------------------------------------------------------------------------------------
 
 _doc_function("f25_title_of_text", lambda: F.substring(T.collapse_ws(_t()), 1, 60), "substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 60)")
-_add("f3_norm_ascii_han", lambda s, d: _docs(s, d).select("doc_id", N.norm_ascii_han(_t()).alias("value")))
-_add("f4_norm_letters", lambda s, d: _docs(s, d).select("doc_id", N.norm_letters(_t()).alias("value")))
-_add("f8_slug", lambda s, d: _docs(s, d).select("doc_id", N.slug(F.substring_index(_t(), "\n", 1)).alias("value")))
+_doc_function("f3_norm_ascii_han", lambda: N.norm_ascii_han(_t()), "trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9\\x{3400}-\\x{9FFF}]+', ' ', 'g'))")
+_doc_function("f4_norm_letters", lambda: N.norm_letters(_t()), "trim(regexp_replace(lower(strip_accents(regexp_replace(text, '<[^>]*>', ' ', 'g'))), '[^\\p{L}\\p{N}]+', ' ', 'g'))")
+_readable = "substr(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 72)"
+_doc_function("f8_slug", lambda: N.slug(_t()), f"CASE WHEN {_readable} <> '' THEN {_readable} ELSE 'source-' || substr(sha256(text), 1, 16) END")
 _add(
     "f12_lcs_len", lambda s, d: V.events(s, d).select("id", N.lcs_len(F.col("title"), F.col("summary")).alias("value")),
 )
@@ -617,7 +618,7 @@ _add("c5_import", lambda s, d: audit.import_organizations(V.named(s, d).select(_
 _add("c6_name_requests", lambda s, d: audit.name_requests(V.orgs(s, d).withColumn("name", F.concat(F.lit("平台 "), "name")), V.events(s, d)))
 _add("l5_validate_digest", lambda s, d: V.events(s, d).select("id", audit.validate_digest(F.to_json(F.struct(F.col("title").alias("headline"), F.array("title").alias("keyDevelopments"), F.array().cast("array<string>").alias("crossInstitutionTrends"), F.array("title").alias("implications"), F.array("title").alias("watchlist"))), F.lit(True)).alias("valid")), "SELECT id, trim(title) <> '' AS valid FROM v_event")
 _add("l6_parse_score", lambda s, d: V.events(s, d).select("id", cleaning.parse_score(F.when(F.col("id") % 2 == 0, F.concat(F.lit('{"score": '), F.col("relevance_score").cast("string"), F.lit("}"))).otherwise(F.concat(F.lit("Score - "), F.col("relevance_score").cast("string")))).alias("score")), "SELECT id, CAST(relevance_score AS DOUBLE) AS score FROM v_event")
-_add("l7_parse_verdict", lambda s, d: V.events(s, d).select("id", model_io.parse_verdict(F.to_json(F.struct(F.when(F.col("id") % 3 == 0, "CORRECTED").otherwise("VALID").alias("status"), F.substring("title", 1, 100).alias("name"))))["status"].alias("status")), "SELECT id, CASE WHEN id % 3 <> 0 THEN 'VALID' WHEN length(trim(substr(title, 1, 100))) >= 2 THEN 'CORRECTED' END AS status FROM v_event")
+_add("l7_parse_verdict", lambda s, d: V.events(s, d).select("id", model_io.parse_verdict(F.to_json(F.struct(F.when(F.col("id") % 3 == 0, "CORRECTED").otherwise("VALID").alias("status"), F.col("title").alias("name"))))["status"].alias("status")), "SELECT id, CASE WHEN id % 3 <> 0 THEN 'VALID' WHEN length(trim(title)) >= 2 THEN 'CORRECTED' END AS status FROM v_event")
 _add(
     "l10_apply_translations", lambda s, d: cleaning.apply_translations(V.events(s, d), V.events(s, d).where("id % 2 = 0").select("id", F.lower("title").alias("t")), "id", {"translated_title": "t"}).select("id", "title", "translated_title"),
     "SELECT id, title, CASE WHEN id % 2 = 0 AND trim(title) <> '' THEN lower(title) END AS translated_title FROM v_event",
@@ -654,7 +655,10 @@ _add(
     """SELECT DISTINCT CASE k % 3 WHEN 0 THEN 'valid' WHEN 1 THEN 'corrected' ELSE 'failed' END AS list, name, CASE WHEN k % 3 = 1 THEN upper(name) END AS detail FROM (SELECT *, CAST(substr(entity_id, 5) AS BIGINT) AS k FROM v_named )""",
 )
 _add("k5_cooldowns", lambda s, d: health.cooldowns(V.fetches(s, d).select(F.col("source_id").alias("provider"), "ts", "status", F.col("error_code").alias("message"))))
-_add("f7_clean_name", lambda s, d: _docs(s, d).select("doc_id", T.clean_name(F.concat(F.lit("1. 公司名称: "), F.substring_index(_t(), ".", 1))).alias("value")))
+_cut = "regexp_replace('1. 公司名称: ' || text, '[\\x{0000}-\\x{001F}\\x{007F}\\x{00A0}\\x{3000} ]+', ' ', 'g')"
+for _pattern in T.NAME_CUTS:
+    _cut = f"regexp_replace({_cut}, '{_pattern.replace(chr(39), chr(39) * 2)}', '', 'g')"
+_doc_function("f7_clean_name", lambda: T.clean_name(F.concat(F.lit("1. 公司名称: "), _t())), f"trim(regexp_replace({_cut}, '\\s+', ' ', 'g'))")
 
 # Names, evidence and scores in SQL, for the queries above and some more. -------------------------------------------
 

@@ -51,9 +51,10 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("l_partkey")
-    return table(spark, sf_dir, "lineitem").where(k % 5 != 0).select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("org-"), k.cast("string")).alias("organization_id"), F.col("l_quantity").cast("int").alias("relevance_score")
+    """An event for each order, of the organization with the customer's number; there are more parts than customers, so
+    that some organizations have no events."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("org-"), F.col("o_custkey").cast("string")).alias("organization_id"), F.floor(F.col("o_totalprice") / 10_000).cast("int").alias("relevance_score")
     )
 
 
@@ -99,8 +100,8 @@ SQL_VIEWS = {
         FROM v_page JOIN (SELECT event_id, ts FROM events) e ON e.event_id = page_id""",
     "v_named": """SELECT 'org-' || p_partkey AS entity_id, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN 'makes ' || p_type END AS description,
         CASE WHEN p_partkey % 4 <> 0 THEN 'https://p' || p_partkey || '.example.com/' END AS website_url, p_brand AS slug FROM part""",
-    "v_named_event": """SELECT l_orderkey || '-' || l_linenumber AS id, 'org-' || l_partkey AS organization_id, CAST(l_quantity AS INTEGER) AS relevance_score
-        FROM lineitem WHERE l_partkey % 5 <> 0""",
+    "v_named_event": """SELECT CAST(o_orderkey AS VARCHAR) AS id, 'org-' || o_custkey AS organization_id, CAST(floor(o_totalprice / 10000) AS INTEGER) AS relevance_score
+        FROM orders""",
     "v_fetch": """SELECT event_id AS fetch_id, user_id AS source_id, ts,
         CASE event_type WHEN 'purchase' THEN 200 WHEN 'click' THEN 403 WHEN 'view' THEN 404 WHEN 'signup' THEN 429 WHEN 'error' THEN 500 END AS status,
         CASE WHEN event_type = 'error' THEN 'ETIMEDOUT' END AS error_code FROM events""",

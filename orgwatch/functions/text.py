@@ -102,14 +102,18 @@ def page_title(html: Column) -> Column:
     return collapse_ws(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+_LABEL = r"(?i)^\s*(机构|单位|企业|公司|学校|高校|大学|院校|科研机构|实验室|医院|协会|学会|联盟|平台)(名称|名单|名录|全称)?\s*[：:]\s*"
+_NUMBER = r"^\s*([（(]?[0-9]+[）).、]|[一二三四五六七八九十]+[、.])\s*"
+_CONTEXT = r"(?i)^(由|与|和|及|以及|包括|例如|如|在|向|联合|依托|支持|来自|面向|位于|通过|针对|其中|本项目|该项目|合作方|合作单位|代表企业|代表机构|主要有|主要包括|名单包括|partners?\s+(with|include)\s+)"
+_MARKS = "[\\s,，;；:：.。·—–_()（）\\[\\]【】{}'\"“”‘’-]+"
+#: What is cut from a name, in this order.
+NAME_CUTS = (_NUMBER, _LABEL, _NUMBER, _CONTEXT, f"^{_MARKS}|{_MARKS}$")
+
+
 def clean_name(c: Column) -> Column:
     """A name without its label, list number, words of context before it and marks around it."""
-    label = r"(?i)^\s*(机构|单位|企业|公司|学校|高校|大学|院校|科研机构|实验室|医院|协会|学会|联盟|平台)(名称|名单|名录|全称)?\s*[：:]\s*"
-    number = r"^\s*([（(]?[0-9]+[）).、]|[一二三四五六七八九十]+[、.])\s*"
-    context = r"(?i)^(由|与|和|及|以及|包括|例如|如|在|向|联合|依托|支持|来自|面向|位于|通过|针对|其中|本项目|该项目|合作方|合作单位|代表企业|代表机构|主要有|主要包括|名单包括|partners?\s+(with|include)\s+)"
-    marks = "[\\s,，;；:：.。·—–_()（）\\[\\]【】{}'\"“”‘’-]+"
     bare = strip_controls(c)
-    for pattern in (number, label, number, context, f"^{marks}|{marks}$"):
+    for pattern in NAME_CUTS:
         bare = F.regexp_replace(bare, pattern, "")
     return collapse_ws(bare)
 
