@@ -100,3 +100,18 @@ def test_odd_rows(spark, tmp_path):
             assert len({(r.doc_id, r.doc_tokens) for r in alone}) >= 9
         nothing = stage(spark, docs.where("false"), SF)
         assert nothing.count() == 0 and (k == 4 or nothing.columns == corpus_pipeline.COLUMNS)
+
+
+def test_small_batches_restores_the_session(spark):
+    from orgwatch.llm.common import small_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, inside in (("10000", "1000"), ("50", "50"), ("0", "1000")):
+            spark.conf.set(key, given)
+            with small_batches(spark):
+                assert spark.conf.get(key) == inside
+            assert spark.conf.get(key) == given
+    finally:
+        spark.conf.set(key, before)
