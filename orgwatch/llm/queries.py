@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .audit import filter_cells, filter_interactions
 from .chat import format_conversations, read_formatted
 from .common import cut_lineage, table
 from .extraction import extract, fit_labeller
@@ -18,6 +19,8 @@ from .packing import pack
 from .pii import pseudonymize
 from .quality import score_quality
 from .secrets import blob_of, findings_by_version, scan_versions
+from .sharding import shard_documents
+from .spelling import count_words, group_spellings
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +77,21 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_formatted(format_conversations(rows.unionByName(added)))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    none = F.lit(None).cast("int")
+    return docs.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none.alias("grown_shard"))
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_interactions(filter_cells(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(count_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -85,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_sharding": op11_sharding,
+    "op12_filter_interactions": op12_filter_interactions,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: DuckDB SQL for the operators that SQL can express; the others are tested against brute force in tests/llm.
@@ -103,4 +124,21 @@ ORACLE_SQL: dict[str, str] = {
         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
         CAST(sum(15 + length(role) + length(text) + len(regexp_extract_all(role || text, '[\\<#:]'))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id""",
+    "op12_filter_interactions": r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        m AS (SELECT doc_id, part, (CASE WHEN len(w) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END)
+            + (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+            + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS mask FROM d),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+        c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS g, coalesce(sum(toxic), 0) AS x FROM m LEFT JOIN l ON m.doc_id = l.doc_id GROUP BY 1, 2),
+        f AS (SELECT substr('ABCDE', i, 1) AS f, CAST(power(2, i - 1) AS INTEGER) AS bit FROM range(1, 6) r(i)),
+        o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f)
+            JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+        s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, (SELECT bit FROM f WHERE f.f = substr(filter_order, step, 1)) AS bit,
+            (SELECT coalesce(sum(bit), 0)::INTEGER FROM f WHERE strpos(left(filter_order, step - 1), f.f) > 0) AS before FROM o, range(1, 6) r(step)),
+        a AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+            sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN x ELSE 0 END) AS toxic_lost
+            FROM s, c GROUP BY 1, 2, 3, 4)
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+        toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM a""",
 }
