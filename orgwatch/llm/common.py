@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of characters that are neither space nor tab .. carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,6 +54,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """``df`` as rows of files, and two numbers that name a row: its file's and its place in the file. They are the same in
+    every scan, however the files are split; a table that does not come from files is written first."""
+    try:
+        of_file = df.metadataColumn("_metadata")
+        df.select(of_file["row_index"]).schema
+    except AnalysisException:
+        df = cut_lineage(df)
+        of_file = df.metadataColumn("_metadata")
+    return df, F.xxhash64(of_file["file_path"]), of_file["row_index"]
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     name = stem

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut_lineage
+from .common import WORD, cut_lineage, numbered
 from .offsets import running_start
 
 
@@ -61,10 +61,6 @@ def permuted(x: Column, n: Column, keys: list[Column], rounds: int = 16) -> Colu
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), x.cast("long"), step)
 
 
-def _uniform(*keys: Column) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) / F.lit(float(1 << 52))
-
-
 def mix_slots(sources: DataFrame, seed: int, block_words: int, shard_slots: int, cap: float, slots_a_task: int = 100_000, cells: int = 1024) -> DataFrame:
     """(_sid, _shard, _slot, _block) for every slot of the mix. ``sources``: the rows of ``source_targets``.
 
@@ -142,19 +138,18 @@ def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with, for each time the mix goes through a document, a row whose ``text`` is the words it takes then.
 
     The white space after a word goes with the word, so that a document taken whole has its own text. What the mix does
-    not take is left out; a document without words is never taken. Each copy of a repeated row has its own part in the
-    mix.
+    not take is left out; a document without words is never taken. A row is known by its file and its place in it, so each
+    copy of a repeated row has its own part in the mix, and rows under one id are told apart; a table that is not read from
+    files is written once.
     """
+    docs, file, place = numbered(docs)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")  # so that no name of a column clashes with ours
-    keyed = docs.select(own, "doc_id", "source", "text").withColumn("_key", F.xxhash64("doc_id", "source", "text"))
-    plan = mix_plan(keyed, keys=("_key",), **parameters).where("times > 0")
+    keyed = docs.select(own, "doc_id", "source", "text", file.alias("_file"), place.alias("_place"))
+    plan = mix_plan(keyed, keys=("_file", "_place"), **parameters).where("times > 0")
     taken = plan.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     parts = F.array_sort(F.collect_list(F.struct("from_word", "words")))
-    taken = taken.groupBy("_key", "_sid", "start", "_turn").agg(parts.alias("_parts"), F.sum("words").alias("_n"), F.first("size").alias("_size"))
-    # Repeated rows: the n-th row of the plan with a key goes to the n-th row of the documents with it.
-    taken = taken.withColumn("_nth", F.dense_rank().over(Window.partitionBy("_key").orderBy("_sid", "start")))
-    numbered = keyed.select("_doc", "_key", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1))).alias("_nth"))
-    joined, body = numbered.join(taken, ["_key", "_nth"]), F.col("_doc.text")
+    taken = taken.groupBy("_file", "_place", "_turn").agg(parts.alias("_parts"), F.sum("words").alias("_n"), F.first("size").alias("_size"))
+    joined, body = keyed.select("_doc", "_file", "_place").join(taken, ["_file", "_place"]), F.col("_doc.text")
     words = F.regexp_extract_all(body, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     cut = lambda w: F.flatten(F.transform("_parts", lambda p: F.slice(w, (p["from_word"] + 1).cast("int"), p["words"].cast("int"))))
     some = F.array_join(F.flatten(F.transform(F.array(words), cut)), "")  # a lambda over one item: the words are found once

@@ -1,11 +1,12 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
 Card numbers (Luhn digit right), social-security numbers (issued ranges), telephone numbers (ten digits; bare ones only
-where area and exchange begin with no 0; behind a + and another country's code, 8 to 15 digits), IPv4 addresses (octets up to 255,
-without leading zeros) and dates (real days of 1800-2199; with slashes the month comes first where it can) that pass validation are permuted within their own format by a keyed
-Feistel network over two mixed moduli, so a pseudonym is again valid, two values never meet in one pseudonym, and
+where area and exchange begin with no 0; behind a + and another country's code, which stays, 8 to 15 digits; behind a trunk 0,
+9 to 12 digits in groups), IPv4 addresses (octets up to 255, without leading zeros) and dates (real days of 1800-2199, with
+or without leading zeros; with slashes the month comes first where it can) that pass validation are permuted within their own
+format by a keyed Feistel network over two mixed moduli, so a pseudonym is again valid, two values never meet in one pseudonym, and
 equal values stay linked across documents. An e-mail address, which has no fixed format, becomes a keyed digest that
-has an address's form. What fails validation stays as it is.
+has an address's form. What fails validation stays as it is. What is found in a text does not depend on what else is in it.
 
 Defined cases: a null text stays null with 0 findings; an empty text stays empty; extra columns pass through; repeated
 rows get equal results; an empty table gives an empty result.
@@ -25,14 +26,20 @@ IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-ABROAD = r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[0-9]{7,12}|(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-][0-9]{2,8}){2,5})(?![0-9])"
-DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"
-PATTERN = "|".join((EMAIL, IPV4, CARD, SSN, PHONE, ABROAD, DATE))
-#: Every finding has an @ or three digits and separators in a row.
-HINT = r"@|[0-9]{2}[-/.0-9][0-9]|[0-9]\.[0-9]"
-
-#: 400 years of the calendar are this many days, 189 times 773.
+ABROAD = r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[0-9]{7,12}|(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-][0-9]{1,8}){2,6})(?![0-9])"
+TRUNK = r"(?<![0-9+])0[0-9]{3,4}[ .-][0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])"
+DATE = (
+    r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|(?<!/)[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
+    r"|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|(?<!\.)[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])"
+)
+PATTERN = "|".join((EMAIL, IPV4, CARD, SSN, PHONE, ABROAD, TRUNK, DATE))
+#: Every finding has an @ (e-mail), a digit, a dot and a digit (addresses), a + and a digit (telephone abroad) or three digits
+#: in a row (all others), so a text without any of them has no finding.
+HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[1-9]"
+
+#: 400 years of the calendar are this many days, 189 times 773; so many of them, 9 times 9,833, are later than a 12th.
 ERA, ERA_A, ERA_B = 146_097, 189, 773
+LATE_A, LATE_B = 9, 9833
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -123,16 +130,16 @@ def _phone(token: Column, key: str) -> Column:
     return F.when(token.rlike(r"[(+]") | ((area >= 100) & (rest >= 1_000_000)), _put(token, F.concat(F.substr(digits, F.lit(1), n - 10), new))).otherwise(token)
 
 
-def _abroad(token: Column, key: str) -> Column:
-    """Another country's number: its first three digits stay, the others are permuted by their number."""
+def _numbered(token: Column, key: str, tag: str, kept: int) -> Column:
+    """``token`` with the digits after the first ``kept`` permuted by their number, where it has 8 to 15 digits."""
     digits = F.regexp_replace(token, "[^0-9]", "")
     n = F.length(digits)
-    lsize = F.floor((n - 3) / 2).cast("int")
-    rsize = n - 3 - lsize
-    halves = F.substr(digits, F.lit(4), lsize).cast("long"), F.substr(digits, lsize + 4, rsize).cast("long")
-    pair = feistel(*halves, _tens(lsize), _tens(rsize), "abroad", key)
+    lsize = F.floor((n - kept) / 2).cast("int")
+    rsize = n - kept - lsize
+    halves = F.substr(digits, F.lit(kept + 1), lsize).cast("long"), F.substr(digits, lsize + kept + 1, rsize).cast("long")
+    pair = feistel(*halves, _tens(lsize), _tens(rsize), tag, key)
     new = F.transform(F.array(pair), lambda p: F.concat(F.lpad(p["l"].cast("string"), lsize, F.lit("0")), F.lpad(p["r"].cast("string"), rsize, F.lit("0"))))[0]
-    return F.when((n >= 8) & (n <= 15), _put(token, F.concat(F.substr(digits, F.lit(1), F.lit(3)), new))).otherwise(token)
+    return F.when((n >= 8) & (n <= 15), _put(token, F.concat(F.substr(digits, F.lit(1), F.lit(kept)), new))).otherwise(token)
 
 
 def _ssn(token: Column, key: str) -> Column:
@@ -163,32 +170,44 @@ def _ipv4(token: Column, key: str) -> Column:
 
 
 def _date(token: Column, key: str) -> Column:
-    forms = {"-": "yyyy-MM-dd", "/": "MM/dd/yyyy", ".": "dd.MM.yyyy"}
+    """A date in its own form: with leading zeros, or without where one part of it has none."""
+    forms = {"-": ("yyyy-MM-dd", "yyyy-MM-dd"), "/": ("MM/dd/yyyy", "M/d/yyyy"), ".": ("dd.MM.yyyy", "d.M.yyyy")}
     day, shown = F.lit(None).cast("date"), F.lit(None).cast("string")
     origin = F.lit("1800-01-01").cast("date")
-    for mark, form in forms.items():
+    for mark, (_, form) in forms.items():
         day = F.when(token.contains(mark), F.try_to_timestamp(token, F.lit(form)).cast("date")).otherwise(day)
     index = F.datediff(day, origin)
     pair = feistel(F.floor(index / ERA_B), F.pmod(index, F.lit(ERA_B)), F.lit(ERA_A), F.lit(ERA_B), "date", key)
     moved = F.transform(F.array(pair), lambda p: F.date_add(origin, (p["l"] * ERA_B + p["r"]).cast("int")))[0]
-    for mark, form in forms.items():
-        shown = F.when(token.contains(mark), F.date_format(moved, form)).otherwise(shown)
+    for mark, (full, short) in forms.items():
+        shown = F.when(token.contains(mark), F.when(_padded(token), F.date_format(moved, full)).otherwise(F.date_format(moved, short))).otherwise(shown)
     return F.when((index >= 0) & (index < ERA), shown).when(token.contains("/") & day.isNull(), _day_first(token, key)).otherwise(token)
 
 
+def _padded(token: Column) -> Column:
+    return F.length(token) == 10
+
+
 def _day_first(token: Column, key: str) -> Column:
-    """A date like 25/12/2024, whose day can be no month, becomes another such date: days up to 28 move over all months,
-    later ones over the years of their month (29/02 stays)."""
-    d, m, y = (F.substring(token, at, size).cast("long") for at, size in ((1, 2), (4, 2), (7, 4)))
-    valid = F.try_to_timestamp(token, F.lit("dd/MM/yyyy")).isNotNull() & (d > 12) & y.between(1800, 2199)
-    pair = feistel((y - 1800) * 12 + m - 1, d - 13, F.lit(4800), F.lit(16), "day first", key)
-    early = F.transform(
-        F.array(pair),
-        lambda p: F.concat_ws("/", (p["r"] + 13).cast("string"), F.lpad((p["l"] % 12 + 1).cast("string"), 2, "0"), (F.floor(p["l"] / 12) + 1800).cast("string")),
-    )[0]
-    year = feistel(F.floor((y - 1800) / 20), (y - 1800) % 20, F.lit(20), F.lit(20), "year", key)
-    late = F.transform(F.array(year), lambda p: F.concat(F.substring(token, 1, 6), (p["l"] * 20 + p["r"] + 1800).cast("string")))[0]
-    return F.when(valid & (d <= 28), early).when(valid & (m != 2), late).otherwise(token)
+    """A date like 25/12/2024, whose day can be no month, becomes another such date: those of 400 years are counted in order,
+    and the count is permuted. Twelve days of each month have no such date, so a date's count is its day's number less
+    twelve for each month begun; back from a count, the month is within two of a 4,800th of the whole."""
+    origin = F.lit("1800-01-01").cast("date")
+    d, m, y = (F.split_part(token, F.lit("/"), F.lit(i)).cast("int") for i in (1, 2, 3))
+    day = F.try_to_timestamp(token, F.lit("d/M/yyyy")).cast("date")
+    count = F.datediff(day, origin) - ((y - 1800) * 12 + m) * 12
+    pair = feistel(F.floor(count / LATE_B), F.pmod(count, F.lit(LATE_B)), F.lit(LATE_A), F.lit(LATE_B), "day first", key)
+    first = lambda k: F.datediff(F.add_months(origin, k), origin) - k * 12  # noqa: E731  the count of the 13th of the k-th month
+
+    def moved(p: Column) -> Column:
+        new = (p["l"] * LATE_B + p["r"]).cast("int")
+        near = F.floor(new * 4800 / (LATE_A * LATE_B)).cast("int")
+        month = F.array_max(F.filter(F.sequence(near - 2, near + 2), lambda k: (k >= 0) & (k < 4800) & (first(k) <= new)))
+        return F.transform(F.array(month), lambda k: F.date_add(F.add_months(origin, k), new - first(k) + 12))[0]
+
+    date = F.transform(F.array(pair), moved)[0]
+    shown = F.when(_padded(token), F.date_format(date, "dd/MM/yyyy")).otherwise(F.date_format(date, "d/M/yyyy"))
+    return F.when(day.isNotNull() & (d > 12) & y.between(1800, 2199), shown).otherwise(token)
 
 
 def _email(token: Column, key: str) -> Column:
@@ -203,9 +222,10 @@ def pseudonym(token: Column, key: str) -> Column:
         F.when(token.contains("@"), _email(token, key))
         .when(token.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), _ipv4(token, key))
         .when(token.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn(token, key))
-        .when(token.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$"), _date(token, key))
+        .when(token.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})$"), _date(token, key))
         .when(~token.rlike(r"[(+]") & (n >= 13), _card(token, key))
-        .when(token.rlike(r"^\+") & ~token.rlike(f"^{PHONE}$"), F.when(token.rlike(r"^\+1[0-9]{10}$"), _phone(token, key)).otherwise(_abroad(token, key)))
+        .when(token.rlike(r"^\+") & ~token.rlike(f"^{PHONE}$"), F.when(token.rlike(r"^\+1[0-9]{10}$"), _phone(token, key)).otherwise(_numbered(token, key, "abroad", 3)))
+        .when(token.rlike(f"^{TRUNK}$"), _numbered(token, key, "trunk", 1))
         .otherwise(_phone(token, key))
     )
 

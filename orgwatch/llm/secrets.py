@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
+#: No pattern can start again inside a run that it has read, so a text is read in time in proportion to its length.
 #: Fixed patterns: kind, pattern, group whose length counts, least length. The first three are the base kinds.
 RULES = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
@@ -29,7 +30,7 @@ RULES = [
     ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 0),
     ("github", re.compile(r"\bgh[pousr]_[A-Za-z0-9]+"), 0, 20),
     ("slack", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]+"), 0, 15),
-    ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 30),
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+"), 0, 30),
 ]
 BASE = ("assign", "access", "hex")
 RULE_VERSION = hashlib.sha256("\n".join(f"{k} {p.pattern} {p.flags} {g} {n}" for k, p, g, n in RULES).encode()).hexdigest()[:16]
@@ -81,10 +82,11 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text: st
     return new.unionByName(known.join(versions.select(blob_of(text).alias("blob")), "blob", "left_semi").select("blob", "rule_version", "spans"))
 
 
-def findings_by_version(versions: DataFrame, ledger: DataFrame, text: str = "text") -> DataFrame:
+def findings_by_version(versions: DataFrame, ledger: DataFrame, text: str = "text", salts: int = 8) -> DataFrame:
     """Every row of ``versions`` without its text, with ``spans`` and their ``summary``.
 
-    Only blobs with findings take part in the join, and of the versions only their blob addresses, not their texts.
+    Only blobs with findings take part in the join, and of the versions only their blob addresses, not their texts. The
+    rows of one blob are dealt to ``salts`` tasks, and its findings sent to each of them.
     """
     key, lines = fresh(versions, "_blob"), F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
@@ -96,4 +98,7 @@ def findings_by_version(versions: DataFrame, ledger: DataFrame, text: str = "tex
     rows = versions.withColumn(key, blob_of(text)).drop(text, "spans", "summary")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     kept = [c for c in rows.columns if c != key]
-    return rows.join(hits, key, "left").select(*kept, F.coalesce("spans", none).alias("spans"), F.coalesce("summary", nothing).alias("summary"))
+    salt = fresh(rows, "_salt")
+    rows = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    hits = hits.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.join(hits, [key, salt], "left").select(*kept, F.coalesce("spans", none).alias("spans"), F.coalesce("summary", nothing).alias("summary"))
