@@ -13,6 +13,7 @@ gives an empty result; columns beyond those of ``documents`` are dropped, whatev
 from __future__ import annotations
 
 import uuid
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from orgwatch.llm.packing import pack
 from orgwatch.llm.pii import pseudonymize
 from orgwatch.llm.quality import score_quality
 
+PSEUDONYM_KEY = "spark.orgwatch.pseudonymKey"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -38,8 +40,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts becomes pseudonyms, under the key that the session names (a fixed one in tests)."""
-    masked = pseudonymize(docs, key=spark.conf.get("spark.orgwatch.pseudonymKey", "a key for tests only"))
+    """Personal data in the texts becomes pseudonyms under the key that the session names. Where it names none, one is drawn
+    and set there, so that values stay linked within the session and nobody knows the key."""
+    key = spark.conf.get(PSEUDONYM_KEY, None)
+    if not key:
+        key = token_hex(32)
+        spark.conf.set(PSEUDONYM_KEY, key)
+    masked = pseudonymize(docs, key=key)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
