@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import demo as V
 from .functions import dates as D
+from .functions import markup
 from .functions import normalize as N
 from .functions import text as T
 from .functions import urls as U
@@ -39,6 +40,14 @@ def _function(name: str, column: Callable[[], Column], sql: str, view=V.pages, k
     _add(name, _over(view, key, column), f"SELECT {key}, {sql} AS value FROM {frm}")
 
 
+def _with_meta() -> Column:
+    """Pages with meta fields of their own, but for each third."""
+    told = F.when(F.col("page_id") % 5 == 0, "").otherwise(F.col("url"))
+    begin, middle, end = '<meta content="', " &amp; more\" name=\"Description\"><META property='og:description' content='", "'><meta property=\"og:title\" content=\""
+    own = F.concat(F.lit(begin), F.substring("host", 1, 9), F.lit(middle), told, F.lit(end), "host", F.lit('"></head>'))
+    return F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(F.replace("html", F.lit("</head>"), own))
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents")
 
@@ -106,6 +115,23 @@ _doc_function("q20_is_suspicious_name", lambda: P.is_suspicious_name(_t()), f"le
 _doc_function("q21_is_definitely_valid", lambda: P.is_definitely_valid(_t()), f"regexp_matches(text, '^[A-Za-z][A-Za-z\\s''-]{{2,39}}$') OR regexp_matches(text, '(?i)\\b({'|'.join(P.ENTITY_WORDS)})\\b')")
 _doc_function("q26_is_parked_page", lambda: P.is_parked_page(_t()), f"regexp_matches(text, '{P.PARKED}')")
 _function("x1_visible_text", lambda: T.visible_text(F.col("html")), "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))")
+_bare = "regexp_replace(regexp_replace(html, '(?is)^.*?<body[^<>]*>', ''), '(?s)<!--.*?-->', '', 'g')"
+_less = lambda tags, c: c if not tags else f"regexp_replace({_less(tags[1:], c)}, '(?is)<{tags[0]}\\b.*?</{tags[0]}>', '', 'g')"
+_decoded = lambda c: f"replace(replace(replace(replace(replace(replace(replace(replace({c}, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_plain = lambda c, to: f"trim(regexp_replace({_decoded(f"regexp_replace({c}, '<[^>]+>', '{to}', 'g')")}, '\\s+', ' ', 'g'))"
+_little, _much = _plain(_less(["script", "style", "noscript"], _bare), ""), _plain(_less(sorted(markup.DROPPED), _bare), "")
+_function("x1_body_text", lambda: markup.page_text(F.col("html")), f"CASE WHEN length({_much}) >= 200 THEN {_much} ELSE {_little} END")
+_content = """regexp_extract(m, '(?is)\\bcontent\\s*=\\s*["'']([^"'']*)["'']', 1)"""
+_metas = """list_transform(regexp_extract_all(html, '(?is)<meta\\b[^>]*>'), lambda m: {'k': lower(regexp_extract(m, '(?is)\\b(?:name|property)\\s*=\\s*["'']([^"'']+)["'']', 1)), 'v': """ + _plain(_content, " ") + "})"
+_said = lambda keys: f"list_transform(list_filter(m, lambda x: x.k IN ({keys}) AND x.v <> ''), lambda x: x.v)"
+_add(
+    "x2_page_meta", lambda s, d: extract.page_meta(V.pages(s, d).withColumn("html", _with_meta())).withColumn("og", F.array_join(F.map_values("og"), "|")),
+    f"""WITH p AS (SELECT url, CASE WHEN page_id % 3 = 0 THEN html ELSE replace(html, '</head>', '<meta content="' || substr(host, 1, 9) || ' &amp; more" name="Description"><META property=''og:description'' content='''
+            || CASE WHEN page_id % 5 = 0 THEN '' ELSE url END || '''><meta property="og:title" content="' || host || '"></head>') END AS html FROM v_page),
+        r AS (SELECT url, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, {_metas} AS m FROM p)
+        SELECT url, title, coalesce({_said("'description'")}[1], {_said("'og:description'")}[1]) AS description, coalesce(array_to_string({_said("'description', 'og:description'")}, ' '), '') AS descriptions,
+        coalesce(array_to_string(list_concat({_said("'og:title'")}[:1], {_said("'og:description'")}[:1]), '|'), '') AS og FROM r""",
+)
 _function("x2_page_title", lambda: T.page_title(F.col("html")), "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))")
 _found = [f"TRY_CAST(regexp_extract(summary || ' ' || source_url, '{D.FOUND}', {g}) AS INTEGER)" for g in (1, 2, 3)]
 _function(
@@ -564,7 +590,19 @@ _add(
     "g10_failure_reasons", lambda s, d: _told(s, d).where("error is not null").groupBy(stats.failure_reason(F.col("error")).alias("reason")).agg(F.count("*").alias("n")),
     f"SELECT {_cases('page_id % 6')} AS reason, count(*) AS n FROM pages WHERE page_id % 6 < 5 GROUP BY 1",
 )
-_add("t7_lookup", lambda s, d: audit.lookup_institutions(V.orgs(s, d), V.events(s, d), V.orgs(s, d).select(F.col("name").alias("query"))).withColumn("event_titles", F.array_join("event_titles", "|")))
+_asked = lambda s, d: V.orgs(s, d).select("name").union(V.orgs(s, d).where("length(description) > 90").select(F.concat(F.lit("Who knows: "), F.substring("description", 60, 14)))).toDF("query")
+_add(
+    "t7_lookup", lambda s, d: audit.lookup_institutions(V.orgs(s, d), V.events(s, d), _asked(s, d).union(V.orgs(s, d).select(F.substring("description", 30, 12)))).withColumn("event_titles", F.array_join("event_titles", "|")),
+    r"""WITH a AS (SELECT name AS query FROM v_org UNION SELECT 'Who knows: ' || substr(description, 60, 14) FROM v_org WHERE length(description) > 90 UNION SELECT substr(description, 30, 12) FROM v_org ),
+        b AS (SELECT query, substr(trim(regexp_replace(query, '[？?。！!，,；;：:]', ' ', 'g')), 1, 200) AS b FROM a WHERE query IS NOT NULL),
+        q AS (SELECT query, lower(trim(CASE WHEN n <> '' THEN n ELSE b END)) AS q FROM (SELECT *, regexp_extract(b, '[\x{4E00}-\x{9FFF}A-Za-z0-9·&（）()-]{2,80}(大学|学院|研究院|研究所|实验室|基金会|公司|协会)') AS n FROM b)),
+        h AS (SELECT query, entity_id, name FROM v_org o JOIN q ON q.q <> '' AND contains(lower(concat_ws(chr(10), o.name, o.description)), q.q)),
+        e AS (SELECT query, entity_id, name, id, title, CASE WHEN event_date IS NULL OR event_date IN ('', 'unknown') THEN 1 ELSE 0 END AS u, event_date AS d, created_at AS c FROM h LEFT JOIN v_event v ON v.organization_id = h.entity_id),
+        f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY name NULLS FIRST, entity_id, u, d DESC NULLS LAST, c DESC NULLS LAST, id NULLS FIRST) AS r FROM e),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query, entity_id ORDER BY u, d DESC NULLS LAST, c DESC NULLS LAST, id NULLS FIRST) AS k FROM f WHERE r <= 12),
+        t AS (SELECT query, entity_id, name, coalesce(string_agg(title, '|' ORDER BY k) FILTER (title IS NOT NULL), '') AS event_titles FROM k WHERE k <= 3 GROUP BY 1, 2, 3)
+        SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY name NULLS FIRST, entity_id) AS INTEGER) AS place, entity_id, event_titles FROM t QUALIFY place <= 3""",
+)
 _add("t14_due_sources", lambda s, d: topk.due_sources(health.source_state(V.fetches(s, d)).withColumn("next_check_at", F.col("next_check_at").cast("timestamp")), "2024-03-01 00:00:00", 20).select("source_id", F.date_format("next_check_at", "yyyy-MM-dd HH:mm:ss").alias("due")),
     f"""SELECT source_id, strftime(due, '%Y-%m-%d %H:%M:%S') AS due FROM (SELECT source_id, CASE WHEN status = 403 THEN TIMESTAMP '9999-12-31 00:00:00' WHEN status = 404 THEN ts + INTERVAL 7 DAY
         WHEN status = 429 THEN ts + INTERVAL 2 HOUR ELSE ts + INTERVAL 1 HOUR END AS due FROM ({_state})) WHERE due <= TIMESTAMP '2024-03-01 00:00:00' ORDER BY due, source_id LIMIT 20""",
@@ -636,7 +674,14 @@ _add("m14_decide_site", lambda s, d: audit.decide_site(V.orgs(s, d).withColumn("
 _add("m1_identity_terms", lambda s, d: match.identity_terms(V.orgs(s, d).withColumn("aliases", F.array(F.concat(F.lit("The "), "name")))).select("entity_id", F.array_join("terms", "|").alias("terms"), F.array_join("core_terms", "|").alias("core_terms")))
 _add("m12_supported_corrections", lambda s, d: audit.supported_corrections(V.orgs(s, d).select("entity_id", "name", "slug", F.substring("name", 1, 5).alias("corrected"), F.lit("").alias("context"))).select("entity_id", "corrected"))
 _add("k7_changed_pages", lambda s, d: health.cycle_stats(health.changed_pages(V.pages(s, d).select(F.col("page_id").alias("source_id"), F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status"), F.col("html").alias("body")), V.pages(s, d).where("page_id % 2 = 0").select(F.col("page_id").alias("source_id"), F.sha2("html", 256).alias("content_hash")))), "SELECT count(*) AS checked, count(*) FILTER (page_id % 7 <> 0 AND page_id % 2 <> 0) AS changed, count(*) FILTER (page_id % 7 = 0) AS failed FROM v_page")
-_add("q27_catalog_violations", lambda s, d: audit.catalog_violations(V.suppliers(s, d).select("name", F.when(F.col("entity_id") % 9 == 0, "odd").otherwise("lab").alias("entity_type"), "country", "region", F.lit("sure").alias("location_confidence")), s.createDataFrame([("0{7}[0-9]$", 5, 1)], "pattern string, min_chars int, min_words int"), ["lab"], ["none"]))
+_rules = [("0{7}[0-9]$", 5, 1), ("[13579]$", 0, 3), ("^Supplier", None, 2), ("[24]{2}", 6, None)]
+_add(
+    "q27_catalog_violations",
+    lambda s, d: audit.catalog_violations(V.suppliers(s, d).select("name", F.when(F.col("entity_id") % 9 == 0, "odd").otherwise("lab").alias("entity_type"), "country", "region", F.when(F.col("entity_id") % 7 == 0, "needs_review").otherwise("sure").alias("location_confidence")), s.createDataFrame(_rules, "pattern string, min_chars int, min_words int"), ["lab"], ["none"]),
+    r"""SELECT name, 'type' AS violation FROM v_supplier WHERE entity_id % 9 = 0 UNION ALL SELECT name, 'location' FROM v_supplier WHERE entity_id % 7 = 0
+        UNION ALL SELECT name, 'pattern ' || p FROM v_supplier, (VALUES ('0{7}[0-9]$', 5, 1), ('[13579]$', 0, 3), ('^Supplier', 0, 2), ('[24]{2}', 6, 0)) r(p, c, w)
+        WHERE regexp_matches(name, p) AND length(regexp_replace(name, '\s+', '', 'g')) >= c AND len(regexp_extract_all(name, '[A-Za-z0-9]+')) >= w""",
+)
 _function("x11_news_links", lambda: F.size(extract.news_links(F.col("html"))), "CAST(least(len(list_distinct(list_filter(list_transform(regexp_extract_all(html, '(?is)<a\\b[^>]*?href=\"([^\"]+)\"[^>]*>(.*?)</a>', 0), lambda x: x), lambda x: regexp_matches(x, '(?i)news|event|announcement|press')))), 20) AS INTEGER)")
 _add("x12_parse_serp", lambda s, d: extract.parse_serp(_html(s, d).select("page_id", F.regexp_replace("html", '<li><a href="', "<a class='result__a' href=\"https://x.org").alias("html")), "page_id", "anchors"))
 _add("x9_feed_article_count", lambda s, d: audit.feed_article_count(_html(s, d).select("url", F.col("host").alias("site"), F.lit("rss").alias("source_type"), F.regexp_replace("html", "<p>", "<item>").alias("text")), _html(s, d).select(F.col("host").alias("site"))), "SELECT url, CAST(least(len(regexp_extract_all(html, '<p>')), 20) AS BIGINT) AS n FROM v_page")

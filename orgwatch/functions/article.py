@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import json
 import re
-from html.parser import HTMLParser
+from collections import Counter
+from html import unescape
 from urllib.parse import quote, urldefrag, urljoin, urlsplit
 
+from .markup import CLOSES_P, RAW, SPECIAL, VOID, attributes, tokens
+
 #: Fixed patterns of the sites with body rules of their own.
 PLATFORMS = {
     "wechat": re.compile(r"^https?://mp\.weixin\.qq\.com/s/", re.I),
@@ -18,13 +21,6 @@ PLATFORMS = {
 PLATFORM_BODIES = {"wechat": ["#js_content"], "bbc": ["article text-block", "article"], "cnn": ["main"], "netease": ["div.post_body"]}
 BODIES = ["article", "main[role]", "main", "[itemprop]", ".article-body", ".article-content", ".post-content", ".entry-content", "*article-body", "*article-content"]
 DROPPED = {"script", "style", "noscript", "template"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Elements that end an open paragraph, and elements that an end tag of an inline element does not reach through.
-CLOSES_P = {
-    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "dd", "dt", "fieldset", "figcaption", "figure", "footer", "form",
-    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul",
-}
-SPECIAL = CLOSES_P | {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "button", "object", "select", "template", "iframe"}
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"})}
 SIBLINGS |= {t: ({"td", "th"}, {"tr", "table"}) for t in ("td", "th")} | {"tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"})}
 _SPACE = re.compile(r"[\s\ufeff]+")
@@ -42,69 +38,95 @@ class Node:
         self.until, self.last = text, at + 1  # ends of its texts and of its elements
 
 
-class Page(HTMLParser):
-    """``nodes`` and ``texts`` in the order of the page, without scripts and the like; ``data``: the texts of JSON-LD."""
+class Page:
+    """``nodes`` and ``texts`` in the order of the page, without scripts and the like; ``data``: the texts of JSON-LD.
+
+    What is open is counted by kind, so that no tag has to look through all open elements, however deep they are."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.nodes, self.texts, self.data, self.open, self.first = [], [], [], [], {}
-        self.feed(html)
-        self.close()
+        self.count, self.plain = Counter(), [Counter()]  # by tag; of those that are not special, since each special one
+        self.paragraphs, self.bars, self.credits = [], [], []  # where open elements of these kinds stand
+        for kind, value, behind in tokens(html):
+            if kind == "start":
+                self._start(value, attributes(behind) if behind else {})
+            elif kind == "end":
+                self._close(value)
+            else:
+                self._text(value, kind == "raw")
         self._end(0)
 
+    def _begin(self, node: Node) -> None:
+        at, tag = len(self.open), node.tag
+        self.open.append(node)
+        self.count[tag] += 1
+        if tag in SPECIAL:
+            self.plain.append(Counter())
+        else:
+            self.plain[-1][tag] += 1
+        if tag == "p":
+            self.paragraphs.append(at)
+        if tag in ("button", "td", "th", "table", "caption", "object", "template"):
+            self.bars.append(at)
+        if node.attrs.get("rel") == "author":
+            self.credits.append((at, "[rel] a"))
+        elif node.attrs.get("data-component") == "byline-block":
+            self.credits.append((at, "byline-block a"))
+
     def _end(self, depth: int) -> None:
-        for node in self.open[depth:]:
+        while len(self.open) > depth:
+            node = self.open.pop()
             node.until, node.last = len(self.texts), len(self.nodes)
-        del self.open[depth:]
+            self.count[node.tag] -= 1
+            if node.tag in SPECIAL:
+                self.plain.pop()
+            else:
+                self.plain[-1][node.tag] -= 1
+        for marks in (self.paragraphs, self.bars):
+            while marks and marks[-1] >= depth:
+                marks.pop()
+        while self.credits and self.credits[-1][0] >= depth:
+            self.credits.pop()
 
     def _dropped(self) -> bool:
-        return any(n.tag in DROPPED for n in self.open)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i].tag == "p":
-                    self._end(i)
-                    break
-                if self.open[i].tag in ("button", "td", "th", "table", "caption", "object", "template"):
-                    break
+        return any(self.count[t] for t in DROPPED)
+
+    def _start(self, tag: str, found: dict[str, str]) -> None:
+        if tag in CLOSES_P and self.paragraphs and self.paragraphs[-1] > (self.bars or [-1])[-1]:
+            self._end(self.paragraphs[-1])
         if tag in SIBLINGS:
             same, outer = SIBLINGS[tag]
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i].tag in same:
-                    self._end(i)
-                    break
-                if self.open[i].tag in outer:
-                    break
+            if any(self.count[t] for t in same):
+                for i in range(len(self.open) - 1, -1, -1):
+                    if self.open[i].tag in same:
+                        self._end(i)
+                        break
+                    if self.open[i].tag in outer:
+                        break
         if tag == "a":
-            self.handle_endtag("a")
-        found = {}
-        for k, v in attrs:
-            found.setdefault(k, v or "")
+            self._close("a")
         node = Node(tag, found, len(self.texts), len(self.nodes))
         if not self._dropped() and tag not in DROPPED:
             self.nodes.append(node)
             self._select(node)
         if tag not in VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                self._end(i)
-                return
-            if tag not in SPECIAL | DROPPED and self.open[i].tag in SPECIAL:
-                return
-
-    def handle_data(self, data):
-        if self.open and self.open[-1].tag == "script":
+            self._begin(node)
+
+    def _close(self, tag: str) -> None:
+        if not (self.count[tag] if tag in SPECIAL | DROPPED else self.plain[-1][tag]):
+            return
+        i = len(self.open) - 1
+        while self.open[i].tag != tag:
+            i -= 1
+        self._end(i)
+
+    def _text(self, data: str, raw: bool) -> None:
+        inner = self.open[-1].tag if self.open else ""
+        if raw and inner == "script":
             if self.open[-1].attrs.get("type", "").strip().lower() == "application/ld+json":
                 self.data.append(data)
         elif not self._dropped():
-            self.texts.append(data)
+            self.texts.append(data if raw and inner in RAW - {"title", "textarea"} else unescape(data))
 
     def _select(self, node: Node) -> None:
         tag, a = node.tag, node.attrs
@@ -119,7 +141,7 @@ class Page(HTMLParser):
             names.append(f"#{a['id']}")
         if tag == "div" and "post_body" in kinds:
             names.append("div.post_body")
-        if tag == "div" and a.get("data-component") == "text-block" and any(n.tag == "article" for n in self.open):
+        if tag == "div" and a.get("data-component") == "text-block" and self.count["article"]:
             names.append("article text-block")
         if a.get("data-component") == "byline-block":
             names.append("byline-block")
@@ -130,8 +152,7 @@ class Page(HTMLParser):
         if tag == "meta":
             names += [f"meta {a[k]}" for k in ("name", "property") if k in a]
         if tag == "a":
-            for n in self.open:
-                names += ["[rel] a"] if n.attrs.get("rel") == "author" else ["byline-block a"] if n.attrs.get("data-component") == "byline-block" else []
+            names += dict.fromkeys(name for _, name in self.credits)
         for x in names:
             self.first.setdefault(x, node)
 

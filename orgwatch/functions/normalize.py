@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
-from .text import WIDE_HAN
+from .text import WIDE_HAN, drop_tags
 
 
 @F.pandas_udf(StringType())
@@ -36,7 +36,7 @@ def compact(c: Column) -> Column:
 
 def norm_letters(c: Column) -> Column:
     """Lower case without tags; letters and digits of any script; single spaces."""
-    return F.trim(F.regexp_replace(F.lower(nfkd(F.regexp_replace(c, "<[^>]*>", " "))), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(nfkd(drop_tags(c, "<[^>]*>"))), r"[^\p{L}\p{N}]+", " "))
 
 
 def slug(c: Column, longest: int = 72) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,14 +94,31 @@ def canonical_name(c: Column) -> Column:
     return collapse_ws(F.regexp_replace(bare, r"[\s,-]*(19|20)[0-9][0-9]\s*$", ""))
 
 
+def up_to_last(c: Column, close: str) -> Column:
+    """A text up to the last match of ``close``, empty without one. A pattern that ends in ``close`` finds all its matches there,
+    and none of its openings is left unclosed, so that it never reads on to the end of the text in vain."""
+    return F.regexp_extract(c, f"(?is)^.*{close}", 0)
+
+
+def within_last(c: Column, close: str, f: Callable[[Column], Column]) -> Column:
+    """``c`` with ``f`` applied up to the last match of ``close``."""
+    return F.transform(F.array(c), lambda x: F.transform(F.array(up_to_last(x, close)), lambda head: F.concat(f(head), F.substr(x, F.length(head) + 1)))[0])[0]
+
+
+def drop_tags(c: Column, tag: str = "<[^>]+>") -> Column:
+    """Tags become spaces; a < that no > follows stays."""
+    return within_last(c, ">", lambda head: F.regexp_replace(head, tag, " "))
+
+
 def visible_text(html: Column) -> Column:
     """A page's text by patterns alone: scripts, styles and tags become spaces."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
-    return collapse_ws(F.regexp_replace(bare, "<[^>]+>", " "))
+    for tag in ("script", "style"):
+        html = within_last(html, f"</{tag}>", lambda head, tag=tag: F.regexp_replace(head, f"(?is)<{tag}.*?</{tag}>", " "))
+    return collapse_ws(drop_tags(html))
 
 
 def page_title(html: Column) -> Column:
-    return collapse_ws(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return collapse_ws(F.regexp_extract(up_to_last(html, "</title>"), r"(?is)<title[^<>]*>(.*?)</title>", 1))
 
 
 _LABEL = r"(?i)^\s*(机构|单位|企业|公司|学校|高校|大学|院校|科研机构|实验室|医院|协会|学会|联盟|平台)(名称|名单|名录|全称)?\s*[：:]\s*"

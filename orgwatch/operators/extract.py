@@ -12,9 +12,10 @@ from ..functions import article as A
 from ..functions import text as T
 from ..functions import urls as U
 
-#: Fixed patterns and words.
-ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>"""
-LINK_TAG = r"(?is)<link\b[^>]*>"
+#: Fixed patterns and words. A tag's pattern stops at the next < or >, and what is looked for between two tags is looked for
+#: up to the last closing one (``T.up_to_last``), so that each pattern reads a page once, however broken it is.
+ANCHOR = r"""(?is)<a\b(?>[^<>]*?\bhref\s*+=\s*+["']([^"'<>]+)["'])[^<>]*+>(.*?)</a>"""
+LINK_TAG = r"(?is)<link\b[^<>]*>"
 NEWS_WORDS = r"(?i)news|press|event|公告|新闻|动态"
 ITEM = r"(?is)<(?:item|entry)\b.*?</(?:item|entry)>"
 SOURCE_TYPES = ["rss", "json", "api", "sitemap", "html"]
@@ -38,13 +39,18 @@ def decode_entities(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    return T.collapse_ws(decode_entities(F.regexp_replace(c, "<[^>]+>", " ")))
+    return T.collapse_ws(decode_entities(T.drop_tags(c)))
+
+
+def anchors(html: Column) -> Column:
+    """The anchors of a page as they stand, in order."""
+    return F.regexp_extract_all(T.up_to_last(html, "</a>"), F.lit(ANCHOR), F.lit(0))
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(page key columns, pos, href, link, text) for each anchor with an address that can be resolved."""
     rest = [c for c in pages.columns if c != html]
-    found = pages.select(*rest, F.posexplode(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0))).alias("pos", "_a"))
+    found = pages.select(*rest, F.posexplode(anchors(F.col(html))).alias("pos", "_a"))
     href = decode_entities(F.regexp_extract("_a", ANCHOR, 1))
     made = found.select(*rest, "pos", href.alias("href"), strip_tags(F.regexp_extract("_a", ANCHOR, 2)).alias("text"))
     return made.withColumn("link", U.resolve_url(F.col("href"), F.col(url))).where("link is not null")
@@ -62,7 +68,8 @@ def news_endpoints(pages: DataFrame, hints: list[str] | None = None, prefer: lis
     rel, kind, href = F.lower(attribute(F.col("t"), "rel")), F.lower(attribute(F.col("t"), "type")), attribute(F.col("t"), "href")
     typed = F.when(rel.contains("sitemap"), "sitemap").when(kind.rlike("rss|atom") | href.endswith(".xml"), "rss").when(kind.contains("json"), "json")
     parts = [tags.where(rel.rlike("alternate|sitemap") & (href != "")).select("url", F.lit(0).alias("step"), "pos", href.alias("href"), typed.alias("source_type"))]
-    press = pages.where(F.col("html").rlike(r"""(?i)<meta\b[^>]*name=["']generator["'][^>]*content=["'][^"']*WordPress"""))
+    generator = r"""(?i)name=["']generator["'].*content=["'][^"']*WordPress"""
+    press = pages.where(F.exists(meta_tags(F.col("html")), lambda m: m.rlike(f"(?s){generator}")))
     fixed = lambda df, step, h, k: df.select("url", F.lit(step).alias("step"), F.lit(0).alias("pos"), F.lit(h).alias("href"), F.lit(k).alias("source_type"))
     parts.append(fixed(press, 1, "/wp-json/wp/v2/posts?per_page=10", "api"))
     parts += [fixed(pages, 2 + i, h.lstrip("/").rstrip("/") + "/", "html") for i, h in enumerate(hints or [])]
@@ -81,6 +88,17 @@ def news_endpoints(pages: DataFrame, hints: list[str] | None = None, prefer: lis
     return first.select("url", rank.alias("rank"), "endpoint", F.col("f.source_type").alias("source_type"))
 
 
+def _unwrapped(c: Column) -> Column:
+    """A text out of its CDATA sections."""
+    return T.within_last(c, r"\]\]>", lambda head: F.regexp_replace(head, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))
+
+
+def sitemap_locations(body: Column) -> Column:
+    """The addresses of a sitemap."""
+    found = F.regexp_extract_all(T.up_to_last(body, "</loc>"), F.lit(r"(?is)<loc\b[^<>]*>(.*?)</loc>"), F.lit(1))
+    return F.transform(found, lambda x: F.btrim(x, F.lit(" \t\n\r\f\v")))
+
+
 def feed_articles(feeds: DataFrame) -> DataFrame:
     """(url, pos, link, title) of each feed's articles on its own site. ``feeds``: url, source_type, text; RSS and Atom items,
     sitemap locations, JSON lists (bare or under ``items``) and, of pages, anchors."""
@@ -88,17 +106,17 @@ def feed_articles(feeds: DataFrame) -> DataFrame:
     body = F.col("text")
     json_like = kind.isin("json", "api") | (body.rlike(r"^\s*\[") & (kind != "sitemap"))
     xml_like = (kind == "rss") | F.col("url").rlike("(?i)xml|rss|atom")
-    text_of = lambda x, tag: strip_tags(F.regexp_replace(F.regexp_extract(x, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))
-    href_of = lambda x: F.regexp_extract(x, r"""(?is)<link\b[^>]*\bhref=["']([^"']+)["']""", 1)
+    text_of = lambda x, tag: strip_tags(_unwrapped(F.regexp_extract(T.up_to_last(x, f"</{tag}>"), rf"(?is)<{tag}\b[^<>]*>(.*?)</{tag}>", 1)))
+    href_of = lambda x: F.regexp_extract(x, r"""(?is)<link\b[^<>]*\bhref=["']([^"'<>]+)["']""", 1)
     pair = lambda link, title: F.struct(link.alias("link"), title.alias("title"))
-    items = F.transform(F.regexp_extract_all(body, F.lit(ITEM), F.lit(0)), lambda x: pair(F.coalesce(F.nullif(href_of(x), F.lit("")), text_of(x, "link")), text_of(x, "title")))
-    locs = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda x: pair(decode_entities(x), decode_entities(x)))
+    items = F.transform(F.regexp_extract_all(T.up_to_last(body, "</(?:item|entry)>"), F.lit(ITEM), F.lit(0)), lambda x: pair(F.coalesce(F.nullif(href_of(x), F.lit("")), text_of(x, "link")), text_of(x, "title")))
+    locs = F.transform(sitemap_locations(body), lambda x: pair(decode_entities(x), decode_entities(x)))
     schema = "array<struct<url:string,link:string,title:string>>"
     listed = F.coalesce(F.from_json(F.when(body.rlike(r"^\s*\["), body), schema), F.from_json(F.get_json_object(F.when(body.rlike(r"^\s*\{"), body), "$.items"), schema))
     rendered = lambda t: F.when(t.startswith("{"), F.get_json_object(t, "$.rendered")).otherwise(t)
     from_json = F.transform(listed, lambda x: pair(F.coalesce(x["url"], x["link"]), rendered(F.coalesce(x["title"], F.lit("")))))
-    anchors = F.transform(F.regexp_extract_all(body, F.lit(ANCHOR), F.lit(0)), lambda x: pair(decode_entities(F.regexp_extract(x, ANCHOR, 1)), strip_tags(F.regexp_extract(x, ANCHOR, 2))))
-    found = F.when(kind == "sitemap", locs).when(json_like, F.coalesce(from_json, none)).when(xml_like, items).otherwise(anchors)
+    linked = F.transform(anchors(body), lambda x: pair(decode_entities(F.regexp_extract(x, ANCHOR, 1)), strip_tags(F.regexp_extract(x, ANCHOR, 2))))
+    found = F.when(kind == "sitemap", locs).when(json_like, F.coalesce(from_json, none)).when(xml_like, items).otherwise(linked)
     rows = feeds.select("url", F.posexplode(found).alias("pos", "a")).select("url", "pos", U.resolve_url(F.col("a.link"), F.col("url")).alias("link"), F.col("a.title").alias("title"))
     title = T.collapse_ws(F.coalesce("title", F.lit("")))
     return rows.where(F.col("link").isNotNull() & _same_site(F.col("link"), F.col("url"))).withColumn("title", F.when(title != "", title).otherwise(F.col("link")))
@@ -106,15 +124,16 @@ def feed_articles(feeds: DataFrame) -> DataFrame:
 
 def news_links(html: Column, most: int = 20) -> Column:
     """The anchors of a page whose address or text is about news, once each, at most ``most``."""
-    return F.slice(F.array_distinct(F.filter(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)), lambda a: a.rlike("(?i)news|event|announcement|press"))), 1, most)
+    return F.slice(F.array_distinct(F.filter(anchors(html), lambda a: a.rlike("(?i)news|event|announcement|press"))), 1, most)
 
 
+_HEADED = r"(?is)^(?>.*?<h3[^<>]*>)(?>.*?<a\b[^<>]*>)(.*?)</a>"
 #: How the hits of a result page are marked, for each layout: what a hit begins with, its title, address and text, and the
 #: words of an official badge. Fixed patterns.
 SERP = {
-    "blocks": (r'(?i)<div class="vrwrap"', r"(?is)<h3[^>]*>.*?<a\b[^>]*>(.*?)</a>", r"""(?i)\blinkurl=["']?(https?:[^\s<>"']+)""", r"(?is)<div[^>]+(?:cacheresult_summary|space-txt)[^>]*>(.*?)</div>", "官方网站认证|官网认证"),
-    "list": (r'(?i)<li class="res-list"', r"(?is)<h3[^>]*>.*?<a\b[^>]*>(.*?)</a>", r"""(?i)\bdata-mdurl=["']([^"']+)["']""", r'(?is)<p class="res-desc"[^>]*>(.*?)</p>', "官网|官方网站"),
-    "anchors": (r"""(?i)<a(?=[^>]+class=["'][^"']*result__a)""", r"(?is)^[^>]*>(.*?)</a>", r"""(?i)^[^>]*\bhref=["']([^"']+)["']""", r"(?!x)x", r"(?!x)x"),
+    "blocks": (r'(?i)<div class="vrwrap"', _HEADED, r"""(?i)\blinkurl=["']?(https?:[^\s<>"']+)""", r"(?is)<div[^<>]+(?:cacheresult_summary|space-txt)[^<>]*>(.*?)</div>", "官方网站认证|官网认证"),
+    "list": (r'(?i)<li class="res-list"', _HEADED, r"""(?i)\bdata-mdurl=["']([^"']+)["']""", r'(?is)<p class="res-desc"[^<>]*>(.*?)</p>', "官网|官方网站"),
+    "anchors": (r"""(?i)<a(?=[^<>]+class=["'][^"']*result__a)""", r"(?is)^[^>]*>(.*?)</a>", r"""(?i)^[^>]*\bhref=["']([^"']+)["']""", r"(?!x)x", r"(?!x)x"),
 }
 
 
@@ -122,12 +141,14 @@ def parse_serp(pages: DataFrame, key: str, layout: str, most: int = 8) -> DataFr
     """(key, pos, url, title, snippet, badge) of result pages: the first ``most`` hits, each URL once; an address that leads over
     the search engine is resolved."""
     begin, title, address, text, badge = SERP[layout]
-    hits = F.slice(F.split("html", begin), 2, 10_000) if layout == "anchors" else F.slice(F.split("html", begin), 2, most)
+    split = F.split("html", begin)
+    hits = F.slice(split, F.lit(2), F.greatest(F.size(split) - 1, F.lit(0))) if layout == "anchors" else F.slice(split, 2, most)
     rows = pages.select(key, F.posexplode(hits).alias("pos", "_h"))
+    closed = T.up_to_last(F.col("_h"), "</(?:a|div|p)>")
     raw = decode_entities(F.regexp_extract("_h", address, 1))
     target = F.regexp_extract(raw, r"[?&]uddg=([^&]+)", 1)
     url = U.canonical_url(F.when(target != "", F.try_url_decode(target)).otherwise(raw), force_https=True)
-    made = rows.select(key, "pos", url.alias("url"), strip_tags(F.regexp_extract("_h", title, 1)).alias("title"), strip_tags(F.regexp_extract("_h", text, 1)).alias("snippet"), F.substring("_h", 1, 5000).rlike(badge).alias("badge"))
+    made = rows.select(key, "pos", url.alias("url"), strip_tags(F.regexp_extract(closed, title, 1)).alias("title"), strip_tags(F.regexp_extract(closed, text, 1)).alias("snippet"), F.substring("_h", 1, 5000).rlike(badge).alias("badge"))
     first = F.row_number().over(Window.partitionBy(key, "url").orderBy("pos"))
     once = made.where("url is not null and title <> ''").withColumn("_f", first).where("_f = 1")
     return once.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("_n") <= most).drop("_f", "_n")
@@ -153,14 +174,39 @@ def locate_news_page(endpoints: DataFrame, counts: DataFrame, least: int = 3) ->
     return sites.select("url", F.coalesce("_found", "_home").alias("news_page"))
 
 
+def meta_tags(html: Column) -> Column:
+    """The meta tags of a page, in order."""
+    return F.regexp_extract_all(T.up_to_last(html, ">"), F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+
+
+def meta_name(tag: Column) -> Column:
+    return F.regexp_extract(tag, r"""(?is)\b(?:name|property)\s*=\s*["']([^"']+)["']""", 1)
+
+
+#: The fields of a page's description by others. Fixed values.
+OG_FIELDS = ["og:title", "og:description", "og:type", "og:url", "og:image", "og:site_name"]
+
+
+def page_meta(pages: DataFrame) -> DataFrame:
+    """(url, title, description, descriptions, og) of each page: the title of its head; the first description that is not blank,
+    or its og form; all of both kinds, joined by spaces in order; a map of the og fields that are not blank, the first of each."""
+    pair = lambda m: F.struct(F.lower(meta_name(m)).alias("key"), strip_tags(attribute(m, "content")).alias("value"))
+    read = pages.select("url", T.page_title(F.col("html")).alias("title"), F.transform(meta_tags(F.col("html")), pair).alias("_m"))
+    some = lambda *keys: F.transform(F.filter("_m", lambda x: x["key"].isin(*keys) & (x["value"] != "")), lambda x: x["value"])
+    both = F.coalesce(F.try_element_at(some("description"), F.lit(1)), F.try_element_at(some("og:description"), F.lit(1)))
+    fields = [F.struct(F.lit(k).alias("key"), F.try_element_at(some(k), F.lit(1)).alias("value")) for k in OG_FIELDS]
+    og = F.map_from_entries(F.filter(F.array(*fields), lambda x: x["value"].isNotNull()))
+    return read.select("url", "title", both.alias("description"), F.array_join(some("description", "og:description"), " ").alias("descriptions"), og.alias("og"))
+
+
 def article_details(pages: DataFrame) -> DataFrame:
     """(url, title, summary, published): the summary is the description of the page, else its first paragraph of 80 to 1,200
     characters that is not about cookies or privacy."""
-    metas = F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
-    meta = lambda names: F.try_element_at(F.filter(F.transform(F.filter(metas, lambda m: F.regexp_extract(m, r"""(?is)\b(?:name|property)\s*=\s*["']([^"']+)["']""", 1).isin(names)), lambda m: decode_entities(attribute(m, "content"))), lambda x: x != ""), F.lit(1))
-    paragraphs = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), strip_tags)
+    html = F.col("html")
+    meta = lambda names: F.try_element_at(F.filter(F.transform(F.filter(meta_tags(html), lambda m: meta_name(m).isin(names)), lambda m: decode_entities(attribute(m, "content"))), lambda x: x != ""), F.lit(1))
+    paragraphs = F.transform(F.regexp_extract_all(T.up_to_last(html, "</p>"), F.lit(r"(?is)<p\b[^<>]*>(.*?)</p>"), F.lit(1)), strip_tags)
     first = F.try_element_at(F.filter(paragraphs, lambda p: F.length(p).between(80, 1200) & ~p.rlike("(?i)cookie|privacy|隐私")), F.lit(1))
-    title = F.coalesce(meta(["og:title"]), F.nullif(strip_tags(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)), F.lit("")), F.nullif(T.page_title(F.col("html")), F.lit("")))
+    title = F.coalesce(meta(["og:title"]), F.nullif(strip_tags(F.regexp_extract(T.up_to_last(html, "</h1>"), r"(?is)<h1\b[^<>]*>(.*?)</h1>", 1)), F.lit("")), F.nullif(T.page_title(html), F.lit("")))
     return pages.select("url", title.alias("title"), F.coalesce(meta(["description", "og:description"]), first).alias("summary"), meta(["article:published_time", "datePublished"]).alias("published"))
 
 

@@ -149,7 +149,7 @@ def verify_homepages(fetches: DataFrame, orgs: DataFrame, loose: bool = False) -
 
     rows = fetches.join(identity_terms(orgs).select("entity_id", "terms", "core_terms"), "entity_id")
     text, h = T.visible_text(F.col("html")), F.coalesce(U.host(F.col("url")), F.lit(""))
-    head = F.concat_ws(" ", T.page_title(F.col("html")), F.regexp_extract("html", r"""(?is)<meta[^>]*name=["']description["'][^>]*content=["']([^"']*)["']""", 1))
+    head = F.concat_ws(" ", T.page_title(F.col("html")), F.regexp_extract(T.up_to_last(F.col("html"), ">"), r"""(?is)<meta[^>]*name=["']description["'][^>]*content=["']([^"']*)["']""", 1))
     compact = F.regexp_replace(h, "[^a-z0-9]", "")
     on_host = F.exists(F.flatten(F.transform("terms", lambda t: F.split(t, " "))), lambda w: (F.length(w) >= 3) & F.contains(compact, F.regexp_replace(w, "[^a-z0-9]", "")))
     reason = (

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..functions import normalize as N
 from ..functions import urls as U
 from ..operators import predicates as P
+from ..operators.extract import sitemap_locations
+from ..operators.patterns import find_patterns
 from .cleaning import resolve_tags
 
 #: Fixed values.
@@ -69,29 +71,18 @@ def import_organizations(records: DataFrame, orgs: DataFrame) -> tuple[DataFrame
     return rows.select(F.concat(F.lit("org-"), slug).alias("entity_id"), slug.alias("slug"), "name", site.alias("website_url"), "pos"), skipped
 
 
-#: Letters of a question that an organization's text has to share before the whole is looked for.
-ANCHOR = 6
-
-
 def lookup_institutions(orgs: DataFrame, events: DataFrame, queries: DataFrame, limit: int = 3, per_org: int = 3, complete: bool = False) -> DataFrame:
     """(query, place, entity_id, event_titles) of questions (query): organizations whose name or description holds the
     institution asked for, at most ``limit``, each with at most ``per_org`` of its newest events. Of the joined rows only the
     first ``4 * limit`` count, unless ``complete``.
 
-    Organizations meet the questions by a stretch of letters, the first (at most ``ANCHOR``) of what is asked for, and what
-    meets is checked for the whole; neither side is compared with all of the other.
+    All questions are looked for in one pass over the organizations' texts, and only true hits become rows.
     """
     from ..operators.topk import newest
 
     wanted = queries.select("query", F.lower(P.institution_query(F.col("query"))).alias("_q")).where("_q <> ''").distinct()
     text = F.lower(F.concat_ws("\n", *[F.col(c) for c in ("name", "original_name", "description", "summary") if c in orgs.columns]))
-    wanted = wanted.withColumn("_anchor", F.substring("_q", 1, ANCHOR))
-    sizes = F.array(*[F.lit(r[0]) for r in wanted.select(F.length("_anchor")).distinct().collect()]).cast("array<int>")  # at most ANCHOR
-    starts = lambda n: F.transform(F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substr(F.col("_t"), i, n))
-    stretches = F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length("_t")), starts)))
-    told = orgs.select("entity_id", "name", text.alias("_t"))
-    met = told.select("entity_id", "name", "_t", F.explode(stretches).alias("_anchor")).join(wanted, "_anchor")
-    hit = met.where(F.contains(F.col("_t"), F.col("_q"))).select("query", "entity_id", "name")
+    hit = find_patterns(orgs.select("entity_id", "name", text.alias("_t")), "_t", wanted, "_q").join(wanted, "_q").select("query", "entity_id", "name")
     rows = hit.join(events.select(F.col("organization_id").alias("entity_id"), "id", "title", "event_date", "created_at"), "entity_id", "left")
     if not complete:
         order = [F.col("name"), F.col("entity_id"), *newest()]
@@ -119,19 +110,21 @@ def decide_site(entities: DataFrame, evidence: DataFrame) -> DataFrame:
     return made.select("entity_id", F.when(~F.col("status").isin("not_applicable", "not_found"), F.col("e.url")).alias("url"), "status")
 
 
-def catalog_violations(df: DataFrame, rules: DataFrame, types: list[str], blocked: list[str]) -> DataFrame:
+def catalog_violations(df: DataFrame, rules: DataFrame, types: list[str], blocked: list[str], most_rules: int = 1000) -> DataFrame:
     """(name, violation) of a catalog's rows: types that are not allowed, blocked names, names that match a pattern of ``rules``
-    (pattern, min_chars, min_words), no country or region, an unsettled location."""
+    (pattern, min_chars, min_words), no country or region, an unsettled location. The rules are a configuration of at most
+    ``most_rules``; they become one expression, so that the catalog is read once and joined with nothing."""
     n = F.col("name")
     plain = [
         F.when(~F.coalesce(F.col("entity_type").isin(types), F.lit(False)), "type"), F.when(N.norm_letters(n).isin([b.lower() for b in blocked]), "blocked"),
         F.when(F.coalesce("country", F.lit("")) == "", "country"), F.when(F.coalesce("region", F.lit("")) == "", "region"), F.when(F.col("location_confidence") == "needs_review", "location"),
     ]
-    one = df.select("name", F.explode(F.array_compact(F.array(*plain))).alias("violation"))
     chars, words = F.length(F.regexp_replace(n, r"\s+", "")), F.regexp_count(n, F.lit("[A-Za-z0-9]+"))
-    hit = F.regexp_like(n, F.col("pattern")) & (chars >= F.coalesce("min_chars", F.lit(0))) & (words >= F.coalesce("min_words", F.lit(0)))
-    # The rules are a configuration file; every name is tested against each.
-    return one.union(df.select("name").join(rules, hit).select("name", F.concat(F.lit("pattern "), F.col("pattern"))))
+    read = rules.select("pattern", "min_chars", "min_words").limit(most_rules + 1).collect()
+    if len(read) > most_rules:
+        raise ValueError(f"more than {most_rules} rules; they are meant to be a configuration")
+    hits = [F.when(n.rlike(r["pattern"]) & (chars >= (r["min_chars"] or 0)) & (words >= (r["min_words"] or 0)), F.lit(f"pattern {r['pattern']}")) for r in read if r["pattern"] is not None]
+    return df.select("name", F.explode(F.array_compact(F.array(*plain, *hits))).alias("violation"))
 
 
 def validate_digest(c: Column, has_events: Column) -> Column:
@@ -190,7 +183,7 @@ def feed_article_count(feeds: DataFrame, homepages: DataFrame, most: int = 20) -
     objects = F.size(F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda x: x.startswith("{")))
     flat = feeds.where(kind != "sitemap").select("url", F.when(kind.isin("rss", "atom"), F.regexp_count(body, F.lit(r"(?i)<(item|entry)\b"))).when(kind.isin("json", "api"), objects).otherwise(0).alias("n"))
     maps = feeds.where(kind == "sitemap").join(homepages.select("site"), "site", "left_semi")
-    locs = maps.select("url", "site", body.rlike(r"(?i)<sitemapindex\b").alias("_index"), F.explode(F.regexp_extract_all(body, F.lit(r"(?is)<loc\b[^>]*>\s*(.*?)\s*</loc>"), F.lit(1))).alias("_l"))
+    locs = maps.select("url", "site", body.rlike(r"(?i)<sitemapindex\b").alias("_index"), F.explode(sitemap_locations(body)).alias("_l"))
     locs = locs.withColumn("_l", U.canonical_url(F.replace("_l", F.lit("&amp;"), F.lit("&")))).where(F.col("_l").startswith("https://") & (U.site_key(U.host(F.col("_l"))) == U.site_key(F.col("site"))))
     news = F.regexp_extract("_l", U.URL, 5).rlike("(?i)news|blog|press|media|update|insight|stories|journal|announcement|新闻|动态|资讯|媒体|公告")
     own = locs.where(~F.col("_index") & news).groupBy("url").agg(F.countDistinct("_l").alias("n"))
