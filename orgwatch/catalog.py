@@ -699,7 +699,14 @@ _add(
     "g12_audit_report", lambda s, d: cleaning.audit_report(_status(s, d).withColumn("audit_note", F.concat(F.lit("suggested_name="), F.upper("name"))).withColumn("cleaning_status", F.when(_number() % 3 == 0, "valid").when(_number() % 3 == 1, "corrected").otherwise("api_timeout")), V.named(s, d)),
     """SELECT DISTINCT CASE k % 3 WHEN 0 THEN 'valid' WHEN 1 THEN 'corrected' ELSE 'failed' END AS list, name, CASE WHEN k % 3 = 1 THEN upper(name) END AS detail FROM (SELECT *, CAST(substr(entity_id, 5) AS BIGINT) AS k FROM v_named )""",
 )
-_add("k5_cooldowns", lambda s, d: health.cooldowns(V.fetches(s, d).select(F.col("source_id").alias("provider"), "ts", "status", F.col("error_code").alias("message"))))
+_add(
+    "k5_cooldowns", lambda s, d: health.cooldowns(V.fetches(s, d).select(F.col("source_id").alias("provider"), "ts", "status", F.col("error_code").alias("message"))),
+    """SELECT * FROM (WITH RECURSIVE f AS (SELECT source_id AS provider, ts, status, error_code AS message, status IN (403, 429) AS bad, row_number() OVER (PARTITION BY source_id ORDER BY ts, status NULLS FIRST, error_code NULLS FIRST) AS r FROM v_fetch),
+        w(provider, opened) AS (SELECT provider, min(ts) FROM f WHERE bad GROUP BY 1
+            UNION SELECT w.provider, min(f.ts) FROM w JOIN f ON f.provider = w.provider AND f.bad AND f.ts >= w.opened + INTERVAL 30 MINUTE GROUP BY w.provider, w.opened),
+        o AS (SELECT w.provider, w.opened, min(f.r) AS r FROM w JOIN f ON f.provider = w.provider AND f.ts = w.opened AND f.bad GROUP BY 1, 2)
+        SELECT f.provider, f.ts, status, message, count(o.r) = 0 AS admitted FROM f LEFT JOIN o ON o.provider = f.provider AND f.r > o.r AND f.ts < o.opened + INTERVAL 30 MINUTE GROUP BY f.provider, f.ts, status, message, f.r)""",
+)
 _cut = "regexp_replace('1. 公司名称: ' || text, '[\\x{0000}-\\x{001F}\\x{007F}\\x{00A0}\\x{3000} ]+', ' ', 'g')"
 for _pattern in T.NAME_CUTS:
     _cut = f"regexp_replace({_cut}, '{_pattern.replace(chr(39), chr(39) * 2)}', '', 'g')"

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import datetime
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .openings import admit_rows
+
 
 def health_class(status: Column, error: Column) -> Column:
     """(health, retry_class) of a fetch."""
@@ -44,48 +43,12 @@ def source_state(log: DataFrame) -> DataFrame:
     return state.select("source_id", F.col("l.status").alias("status"), F.col("l.ts").alias("last_checked_at"), "h.health", "h.retry_class", "failure_count", "success_count", "n.next_check_at", "n.next_retry_at")
 
 
-def _fold_in_order(log: DataFrame, key: str, order: list[str], start: Callable[[], Callable[..., bool]], columns: list[str]) -> DataFrame:
-    """``log`` with ``admitted``, decided row by row in order within each key by what ``start()`` gives for a new key.
-
-    Rows are dealt by key and sorted within a task, then read once: of a key with very many rows a task holds a batch and
-    the fold's state, never the whole. Rows stay Arrow batches, so no value changes its type; null (or NaN) keys are one key.
-    """
-    fields = T.StructType([*log.schema.fields, T.StructField("admitted", T.BooleanType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, decide = object(), start()
-        for batch in batches:
-            out = []
-            for k, *values in zip(batch.column(key).to_pylist(), *[batch.column(c).to_pylist() for c in columns]):
-                if k != current and not (k != k and current != current):
-                    current, decide = k, start()
-                out.append(decide(*values))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, "admitted"])
-
-    return log.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, fields)
-
-
-def admit(log: DataFrame, key: str, ts: str, n: int, window_s: int) -> DataFrame:
+def admit(log: DataFrame, key: str, ts: str, n: int, window_s: int, rows_a_slice: int = 500_000) -> DataFrame:
     """Each row with ``admitted``: a window opens at a key's first row after the last window's end, and the first ``n`` rows
-    of a window pass. Where windows open depends on the data, so a key is a fold over its rows in order. A row without a
-    time never passes; null keys are one key."""
-    length = datetime.timedelta(seconds=window_s)
-
-    def start() -> Callable[..., bool]:
-        opened, used = None, 0
-
-        def decide(t: datetime.datetime | None) -> bool:
-            nonlocal opened, used
-            if t is None:
-                return False
-            if opened is None or t - opened >= length:
-                opened, used = t, 0
-            used += 1
-            return used <= n
-
-        return decide
-
-    return _fold_in_order(log, key, [ts, *[c for c in log.columns if c not in (key, ts)]], start, [ts])
+    of a window pass. Where windows open depends on the data, so a key's rows are read in order, those of a very large key in
+    slices (see ``openings``). A row without a time never passes; null keys are one key."""
+    rest = [c for c in log.columns if c not in (key, ts)]
+    return admit_rows(log.withColumn("__starter", F.lit(True)), key, ts, rest, "__starter", window_s * 1_000_000, n, rows_a_slice)
 
 
 class _Admission(StatefulProcessor):
@@ -109,6 +72,8 @@ class _Admission(StatefulProcessor):
             yield batch.assign(admitted=out)
         if start is not None:
             self.state.update((pd.Timestamp(start).to_pydatetime(), used))
+            for old in list(self.handle.listTimers()):  # of a window that is over
+                self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
             self.handle.registerTimer(int((pd.Timestamp(start).timestamp() + self.window_s) * 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -165,24 +130,10 @@ def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return df.join(done.select(key), key, "left_anti")
 
 
-def cooldowns(log: DataFrame, minutes: int = 30) -> DataFrame:
+def cooldowns(log: DataFrame, minutes: int = 30, rows_a_slice: int = 500_000) -> DataFrame:
     """Each attempt of the log (provider, ts, status, message) with ``admitted``: after an admitted attempt that was answered 403
     or 429, or with a challenge, the provider is left alone for ``minutes``. Which attempts are admitted depends on those
     before. An attempt without a time is not admitted; null providers are one provider."""
-    wait = datetime.timedelta(minutes=minutes)
-    told = re.compile("challenge|too many|rate limit", re.I)
-
-    def start() -> Callable[..., bool]:
-        free = None
-
-        def decide(t: datetime.datetime | None, status: int | None, message: str | None) -> bool:
-            nonlocal free
-            if t is None or (free is not None and t < free):
-                return False
-            if status in (403, 429) or (isinstance(message, str) and told.search(message)):
-                free = t + wait
-            return True
-
-        return decide
-
-    return _fold_in_order(log, "provider", ["ts", "status", "message"], start, ["ts", "status", "message"])
+    refused = F.coalesce(F.col("status").isin(403, 429), F.lit(False)) | F.coalesce(F.col("message").rlike("(?i)challenge|too many|rate limit"), F.lit(False))
+    rest = ["status", "message", *[c for c in log.columns if c not in ("provider", "ts", "status", "message")]]
+    return admit_rows(log.withColumn("__starter", refused), "provider", "ts", rest, "__starter", minutes * 60_000_000, None, rows_a_slice)
