@@ -340,7 +340,17 @@ _add(
 )
 _add("d4_dedupe_names", lambda s, d: dedup.dedupe_names(V.named(s, d).withColumn("pos", _number())), "SELECT min_by(name, k) AS name, min(k) AS pos FROM (SELECT name, CAST(substr(entity_id, 5) AS BIGINT) AS k FROM v_named ) GROUP BY trim(regexp_replace(lower(trim(name)), '\\s+', ' ', 'g'))")
 _add("d5_distinct_ordered", lambda s, d: dedup.distinct_ordered(V.pages(s, d), "host", "page_id"), "SELECT host, min(page_id) AS page_id FROM v_page GROUP BY host")
-_add("d3_dedupe_titles", lambda s, d: dedup.dedupe_titles(V.events(s, d)).select("id", "organization_id", "title"))
+_title_key = "regexp_replace(lower(title), '[\\s\\p{P}\\p{S}_]+', '', 'g')"
+_alike = lambda u, k: f"(coalesce(list_contains(us, {u}), false) OR ({k} <> '' AND len(list_filter(ks, lambda x: contains(x, {k}) OR contains({k}, x))) > 0))"
+_add(
+    "d3_dedupe_titles", lambda s, d: dedup.dedupe_titles(V.events(s, d)).select("id", "organization_id", "title"),
+    f"""SELECT id, organization_id, title FROM (WITH RECURSIVE c AS (SELECT id, organization_id, {_title_key} AS k, {_canonical} AS u, row_number() OVER (PARTITION BY organization_id ORDER BY relevance_score DESC, id) AS i
+            FROM (SELECT *, source_url AS url FROM v_event)),
+        r(organization_id, i, ids, ks, us) AS (SELECT organization_id, 0::BIGINT, []::BIGINT[], []::VARCHAR[], []::VARCHAR[] FROM c GROUP BY 1
+            UNION ALL SELECT c.organization_id, c.i, CASE WHEN keep THEN list_append(ids, id) ELSE ids END, CASE WHEN keep AND k <> '' THEN list_append(ks, k) ELSE ks END, CASE WHEN keep AND u IS NOT NULL THEN list_append(us, u) ELSE us END
+            FROM (SELECT r.ids, r.ks, r.us, c.*, len(ids) < 10 AND NOT {_alike('c.u', 'c.k')} AS keep FROM r JOIN c ON c.organization_id = r.organization_id AND c.i = r.i + 1) c)
+        SELECT e.id, e.organization_id, e.title FROM v_event e WHERE e.id IN (SELECT unnest(ids) FROM (SELECT arg_max(ids, i) AS ids FROM r GROUP BY organization_id)))""",
+)
 _add(
     "d8_plan_org_cleanup", lambda s, d: dedup.plan_org_cleanup(V.named(s, d), V.named_events(s, d)),
     f"""WITH shell AS (SELECT entity_id, name FROM v_named WHERE trim(coalesce(website_url, '')) = '' AND length(trim(coalesce(description, ''))) < 10 AND entity_id NOT IN (SELECT organization_id FROM v_named_event ))
@@ -365,7 +375,14 @@ _add(
     lambda s, d: writes.rename_if_unchanged(V.named(s, d), V.named(s, d).select("entity_id", F.when(_number() % 2 == 0, F.col("name")).otherwise("gone").alias("old_name"), F.lit("renamed").alias("new_name"))).select("entity_id", "name"),
     "SELECT entity_id, CASE WHEN CAST(substr(entity_id, 5) AS BIGINT) % 2 = 0 THEN 'renamed' ELSE name END AS name FROM v_named",
 )
-_add("w9_chunk_lines", lambda s, d: writes.chunk_lines(_docs(s, d).select("doc_id", "text"), F.col("text"), 500).select("doc_id", "piece_no", "piece", "oversize"))
+_add(
+    "w9_chunk_lines", lambda s, d: writes.chunk_lines(_docs(s, d).select("doc_id", "text"), F.col("text"), 500).select("doc_id", "piece_no", "piece", "oversize"),
+    """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+        r(doc_id, i, piece_no, piece) AS (SELECT doc_id, i, 0, line FROM l WHERE i = 1
+            UNION ALL SELECT l.doc_id, l.i, CASE WHEN strlen(piece) + 1 + strlen(line) <= 500 THEN piece_no ELSE piece_no + 1 END, CASE WHEN strlen(piece) + 1 + strlen(line) <= 500 THEN piece || chr(10) || line ELSE line END
+            FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1)
+        SELECT doc_id, CAST(piece_no AS INTEGER) AS piece_no, arg_max(piece, i) AS piece, strlen(arg_max(piece, i)) > 500 AS oversize FROM r GROUP BY doc_id, piece_no""",
+)
 
 # Cleaning, health. ------------------------------------------------------------------------------------------------
 
@@ -685,12 +702,22 @@ _add(
 _function("x11_news_links", lambda: F.size(extract.news_links(F.col("html"))), "CAST(least(len(list_distinct(list_filter(list_transform(regexp_extract_all(html, '(?is)<a\\b[^>]*?href=\"([^\"]+)\"[^>]*>(.*?)</a>', 0), lambda x: x), lambda x: regexp_matches(x, '(?i)news|event|announcement|press')))), 20) AS INTEGER)")
 _add("x12_parse_serp", lambda s, d: extract.parse_serp(_html(s, d).select("page_id", F.regexp_replace("html", '<li><a href="', "<a class='result__a' href=\"https://x.org").alias("html")), "page_id", "anchors"))
 _add("x9_feed_article_count", lambda s, d: audit.feed_article_count(_html(s, d).select("url", F.col("host").alias("site"), F.lit("rss").alias("source_type"), F.regexp_replace("html", "<p>", "<item>").alias("text")), _html(s, d).select(F.col("host").alias("site"))), "SELECT url, CAST(least(len(regexp_extract_all(html, '<p>')), 20) AS BIGINT) AS n FROM v_page")
+# Titles of suppliers: each leads to the next one of its ten, the last to the page itself; every seventh ten is a circle.
+_links = lambda s, d: V.suppliers(s, d).select(F.col("name").alias("from"), F.when(F.col("entity_id") % 10 < 9, F.concat(F.lit("Supplier_#"), F.lpad((F.col("entity_id") + 1).cast("string"), 9, "0"))).when(F.floor(F.col("entity_id") / 10) % 7 == 0, F.concat(F.lit("Supplier#"), F.lpad((F.col("entity_id") - 9).cast("string"), 9, "0"))).otherwise(F.concat(F.lit("Page "), F.floor(F.col("entity_id") / 10).cast("string"))).alias("to"))
+_add(
+    "j16_chain_ends", lambda s, d: joins.chain_ends(_links(s, d).withColumn("to", F.replace("to", F.lit("_"), F.lit("")))),
+    """SELECT * FROM (WITH RECURSIVE l AS (SELECT name AS a, CASE WHEN entity_id % 10 < 9 THEN 'Supplier#' || lpad((entity_id + 1)::VARCHAR, 9, '0') WHEN (entity_id // 10) % 7 = 0 THEN 'Supplier#' || lpad((entity_id - 9)::VARCHAR, 9, '0') ELSE 'Page ' || (entity_id // 10) END AS b FROM v_supplier ),
+        r(a, b, steps) AS (SELECT a, b, 1 FROM l UNION ALL SELECT r.a, l.b, steps + 1 FROM r JOIN l ON l.a = r.b WHERE steps < 50)
+        SELECT a AS "from", b AS "to" FROM r WHERE b NOT IN (SELECT a FROM l))""",
+)
 _add(
     "j16_match_wiki", lambda s, d: match.match_wiki(
-        V.orgs(s, d).withColumn("context", F.array(F.lit("lab"))).withColumn("entity_type", F.lit("高校")),
-        V.orgs(s, d).select(F.initcap("name").alias("title"), F.concat(F.lit("{{Infobox\n| website = {{URL|https://www."), "slug", F.lit("/}}\n}} a lab")).alias("wikitext")),
-        V.orgs(s, d).where("false").select(F.col("name").alias("from"), F.col("name").alias("to")),
+        V.suppliers(s, d).select("entity_id", "name", F.lit("").alias("website_url"), F.array(F.lit("lab"), F.lit("x")).alias("context"), F.when(F.col("entity_id") % 4 == 0, "人物").otherwise("高校").alias("entity_type")),
+        V.suppliers(s, d).where("entity_id % 10 = 0").select(F.concat(F.lit("Page_"), F.floor(F.col("entity_id") / 10).cast("string")).alias("title"), F.concat(F.lit("{{Infobox\n| website = {{URL|https://www.s"), F.col("entity_id").cast("string"), F.lit(".org/}}\n}} a "), F.when(F.col("entity_id") % 20 == 0, "lab").otherwise("firm")).alias("wikitext")),
+        _links(s, d).withColumn("to", F.replace("to", F.lit("r_#"), F.lit("r#"))),
     ).select("entity_id", "url", "pre_score"),
+    """SELECT entity_id, 'https://www.s' || p || '.org/' AS url, CAST(CASE WHEN p % 20 = 0 THEN 60 ELSE 55 END AS INTEGER) AS pre_score FROM (SELECT entity_id, (entity_id // 10) * 10 AS p, (entity_id // 10) AS t FROM v_supplier )
+        WHERE t % 7 <> 0 AND EXISTS (SELECT 1 FROM v_supplier z WHERE z.entity_id = t * 10 + 9) AND EXISTS (SELECT 1 FROM v_supplier z WHERE z.entity_id = p) AND (entity_id % 4 <> 0 OR p % 20 = 0)""",
 )
 _add(
     "m13_profile_page", lambda s, d: match.select_profile_page(V.events(s, d).select(F.col("organization_id").alias("entity_id"), (F.col("id") % 3).cast("int").alias("tier"), F.col("id").cast("int").alias("rank"), F.col("source_url").alias("url"), F.col("summary").alias("text")), V.orgs(s, d)),

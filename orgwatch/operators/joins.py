@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..storage import written
 
 
 def events_with_org(events: DataFrame, orgs: DataFrame, how: str = "left") -> DataFrame:
@@ -128,3 +129,21 @@ def merge_events(target: DataFrame, sources: list[DataFrame], orgs: DataFrame, p
     first = F.row_number().over(Window.partitionBy("id").orderBy("_rank", F.col("_url").asc_nulls_last()))
     added = added.withColumn("_once", first).where("_once = 1").select(*target.columns)
     return target.unionByName(added)
+
+
+def chain_ends(links: DataFrame, frm: str = "from", to: str = "to") -> DataFrame:
+    """(frm, to) with each link followed to the end of its chain. Of several links from one place the least counts. What
+    leads into a circle has no end and is left out; null ends are no links.
+
+    Each round doubles the way that every pointer has gone, so a chain of n links takes log2(n) joins over the links alone;
+    a pointer that still moves after more steps than there are links goes round in a circle.
+    """
+    once = links.where(F.col(frm).isNotNull() & F.col(to).isNotNull()).groupBy(F.col(frm).alias("_a")).agg(F.min(to).alias("_b"))
+    once = written(once)
+    total, steps = once.count(), 1
+    while True:
+        further = once.select(F.col("_a").alias("_b"), F.col("_b").alias("_c"))
+        moved = written(once.join(further, "_b", "left").select("_a", "_b", "_c"))
+        if steps > total or moved.where("_c is not null").isEmpty():
+            return moved.where("_c is null").select(F.col("_a").alias(frm), F.col("_b").alias(to))
+        once, steps = moved.select("_a", F.coalesce("_c", "_b").alias("_b")), 2 * steps

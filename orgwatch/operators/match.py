@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import urls as U
+from .joins import chain_ends
 
 #: Fixed values.
 GENERIC_TERMS = ["university", "institute", "institution", "college", "school", "academy", "center", "centre", "official", "the"]
@@ -175,9 +176,10 @@ def decide_official(orgs: DataFrame, whitelist: DataFrame, hits: DataFrame, cach
     return orgs.select("entity_id").join(best, "entity_id", "left").select("entity_id", F.col("e.domain").alias("domain"), F.coalesce("e.status", F.lit("not_found")).alias("status"))
 
 
-def match_wiki(entities: DataFrame, pages: DataFrame, redirects: DataFrame) -> DataFrame:
-    """Encyclopedia pages of entities (with ``context``, tokens) by title after redirects: (entity_id, title, url, pre_score) with
-    the website of the page's infobox. A person or a short one-word name needs a word of its context on the page."""
+def match_wiki(entities: DataFrame, pages: DataFrame, redirects: DataFrame, context_chars: int = 80_000) -> DataFrame:
+    """Encyclopedia pages of entities (with ``context``, tokens) by title after redirects (followed to the end of their chain;
+    what leads into a circle is no redirect): (entity_id, title, url, pre_score) with the website of the page's infobox. Context
+    is looked for in the first ``context_chars`` characters of a page. A person or a short one-word name needs a word of its context on the page."""
     from .predicates import is_rejected_url
 
     key = lambda c: T.collapse_ws(F.lower(F.replace(c, F.lit("_"), F.lit(" "))))
@@ -187,10 +189,10 @@ def match_wiki(entities: DataFrame, pages: DataFrame, redirects: DataFrame) -> D
     url = U.canonical_url(F.when(raw != "", raw).when(bare != "", F.concat(F.lit("https://"), bare)), force_https=True)
     sites = pages.select(key(F.col("title")).alias("_k"), "title", "wikitext", url.alias("url")).where("url is not null").where(~is_rejected_url(F.col("url")))
     sites = sites.groupBy("_k").agg(F.min(F.struct("title", "wikitext", "url")).alias("p")).select("_k", "p.*")
-    moved = redirects.groupBy(key(F.col("from")).alias("_from")).agg(F.min(key(F.col("to"))).alias("_to"))
+    moved = chain_ends(redirects.select(key(F.col("from")).alias("_from"), key(F.col("to")).alias("_to")), "_from", "_to")
     named = entity_identity(entities).withColumn("_from", key(T.canonical_name(F.col("name")))).where("length(_from) between 1 and 100")
     joined = named.join(moved, "_from", "left").withColumn("_k", F.coalesce("_to", "_from")).join(sites, "_k")
-    text = normalized(F.concat_ws(" ", "title", F.substring("wikitext", 1, 80_000)))
+    text = normalized(F.concat_ws(" ", "title", F.substring("wikitext", 1, context_chars)))
     joined = joined.withColumn("_c", F.size(F.filter("context", lambda t: _contains_token(text, t))))
     unsure = (F.col("entity_type") == "人物") | (~T.has_han(F.col("norm_name")) & (F.size("tokens") <= 1) & (F.length("norm_name") <= 8))
     return joined.where(~unsure | (F.col("_c") > 0)).select("entity_id", "title", "url", F.least(F.lit(70), 55 + 5 * F.col("_c")).alias("pre_score"))

@@ -6,6 +6,7 @@ to be written beside the old and swapped, never over what is being read.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,19 +86,26 @@ def required_missing(df: DataFrame, target: T.StructType, aliases: dict[str, lis
     return [f.name for f in target if not f.nullable and not have & {f.name, *aliases.get(f.name, [])}]
 
 
-def chunk_lines(df: DataFrame, text: str, max_bytes: int) -> DataFrame:
+def chunk_lines(df: DataFrame, text: str | Column, max_bytes: int) -> DataFrame:
     """Texts cut at line ends into pieces of at most ``max_bytes`` bytes; a longer line is a piece of its own, ``oversize``.
-    Adds ``piece_no`` (from 0), ``piece``, ``oversize``."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
-
-    def add(at, line):
-        longer = F.concat(at["open"], F.lit("\n"), line)
-        fits = at["open"].isNotNull() & (F.octet_length(longer) <= max_bytes)
-        done = F.when(at["open"].isNull() | fits, at["done"]).otherwise(F.concat(at["done"], F.array(at["open"])))
-        return F.struct(done.alias("done"), F.when(fits, longer).otherwise(line).alias("open"))
-
-    folded = F.aggregate(F.split(text, "\n"), state, add, lambda at: F.concat(at["done"], F.array(at["open"])))
-    return df.select("*", F.posexplode(folded).alias("piece_no", "piece")).withColumn("oversize", F.octet_length("piece") > max_bytes)
+    Adds ``piece_no`` (from 0), ``piece``, ``oversize``. A null text has no pieces."""
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _line_chunks(t, max_bytes))
+
+    return df.select("*", F.posexplode(cut(text)).alias("piece_no", "piece")).withColumn("oversize", F.octet_length("piece") > max_bytes)
+
+
+def _line_chunks(text: str, most: int) -> list[str]:
+    """A text's pieces, in one pass over its lines."""
+    pieces, begin, size, lines = [], 0, -1, text.split("\n")
+    for i, line in enumerate(lines):
+        n = len(line.encode("utf-8", "surrogatepass"))
+        if i > begin and size + 1 + n > most:
+            pieces.append("\n".join(lines[begin:i]))
+            begin, size = i, -1
+        size += 1 + n
+    return [*pieces, "\n".join(lines[begin:])]
 
 
 def write_report(df: DataFrame, path: str, form: str = "json") -> None:
