@@ -158,11 +158,31 @@ def body_text(page: str, least: int = 200) -> str:
     return text if len(text) >= least else _SPACE.sub(" ", "".join(every)).strip(" ")
 
 
-def page_text(page: Column, least: int = 200, most: int | None = None) -> Column:
-    """``body_text`` of each page, cut to ``most`` characters where that is given; null for a null page."""
-
+def links(page: str) -> list[tuple[str, str]]:
+    """(address, text) of each anchor with an address, in order; an anchor ends where the next one begins."""
+    found: list[tuple[str, list[str]]] = []
+    inside = False
+    for kind, value, behind in tokens(page):
+        if kind == "start" and value == "a":
+            href = attributes(behind).get("href", "")
+            inside = bool(href)
+            if inside:
+                found.append((href, []))
+        elif kind == "end" and value == "a":
+            inside = False
+        elif kind == "text" and inside:
+            found[-1][1].append(entities.unescape(value))
+    return [(href, _SPACE.sub(" ", "".join(parts)).strip(" ")) for href, parts in found]
+
+
+def body_text_udf(least: int = 200, most: int | None = None):
     @F.pandas_udf(StringType())
     def read(pages: pd.Series) -> pd.Series:
         return pages.map(lambda p: None if p is None else body_text(p, least)[:most])
 
-    return read(page)
+    return read
+
+
+def page_text(page: Column, least: int = 200, most: int | None = None) -> Column:
+    """``body_text`` of each page, cut to ``most`` characters where that is given; null for a null page."""
+    return body_text_udf(least, most)(page)

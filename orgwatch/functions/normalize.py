@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
-from .text import WIDE_HAN, drop_tags
+from .text import WIDE_HAN, up_to_last
 
 
 @F.pandas_udf(StringType())
@@ -36,7 +36,10 @@ def compact(c: Column) -> Column:
 
 def norm_letters(c: Column) -> Column:
     """Lower case without tags; letters and digits of any script; single spaces."""
-    return F.trim(F.regexp_replace(F.lower(nfkd(drop_tags(c, "<[^>]*>"))), r"[^\p{L}\p{N}]+", " "))
+    # As text.drop_tags, but without a lambda: Spark does not take a Python function out of an expression over one.
+    head = up_to_last(c, ">")
+    bare = F.concat(F.regexp_replace(head, "<[^>]*>", " "), F.substr(c, F.length(head) + 1))
+    return F.trim(F.regexp_replace(F.lower(nfkd(bare)), r"[^\p{L}\p{N}]+", " "))
 
 
 def slug(c: Column, longest: int = 72) -> Column:

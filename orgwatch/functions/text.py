@@ -105,9 +105,9 @@ def within_last(c: Column, close: str, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(c), lambda x: F.transform(F.array(up_to_last(x, close)), lambda head: F.concat(f(head), F.substr(x, F.length(head) + 1)))[0])[0]
 
 
-def drop_tags(c: Column, tag: str = "<[^>]+>") -> Column:
+def drop_tags(c: Column) -> Column:
     """Tags become spaces; a < that no > follows stays."""
-    return within_last(c, ">", lambda head: F.regexp_replace(head, tag, " "))
+    return within_last(c, ">", lambda head: F.regexp_replace(head, "<[^>]+>", " "))
 
 
 def visible_text(html: Column) -> Column:

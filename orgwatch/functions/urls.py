@@ -71,11 +71,14 @@ def site_key(c: Column) -> Column:
 
 def domain_suffix(c: Column) -> Column:
     """``.`` and the last two labels of the host, three where the second last is a common second level."""
-    h = host(with_scheme(c))
-    labels = F.split(h, r"\.")
-    last = lambda n: F.concat(F.lit("."), F.array_join(F.slice(labels, -n, n), "."))
-    second = F.try_element_at(labels, F.lit(-2))
-    return F.when(F.size(labels) < 2, F.concat(F.lit("."), h)).when(second.isin(SECOND_LEVEL) & (F.size(labels) >= 3), last(3)).otherwise(last(2))
+
+    def suffix(h: Column) -> Column:
+        labels = F.split(h, r"\.")
+        last = lambda n: F.concat(F.lit("."), F.array_join(F.slice(labels, -n, n), "."))
+        second = F.try_element_at(labels, F.lit(-2))
+        return F.when(F.size(labels) < 2, F.concat(F.lit("."), h)).when(second.isin(SECOND_LEVEL) & (F.size(labels) >= 3), last(3)).otherwise(last(2))
+
+    return F.transform(F.array(host(with_scheme(c))), suffix)[0]  # a lambda over one item: the host is found once
 
 
 def is_under(h: Column, roots: list[str]) -> Column:
