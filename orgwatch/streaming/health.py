@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..storage import written
 from .openings import admit_rows
 
 
@@ -96,23 +98,65 @@ def admit_stream(log: DataFrame, key: str, ts: str, n: int, window_s: int, delay
     return log.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(_Admission(ts, n, window_s), fields, "Append", "EventTime")
 
 
-def source_state_stream(log: DataFrame, path: str, checkpoint: str):
-    """A stream that keeps a row for each source under ``path``: its latest fetch and its counts.
+def source_state_stream(log: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """A stream that keeps a row for each source under ``path`` (see ``read_source_state``): its latest fetch and its counts.
 
-    Batch number n is merged with version n - 1 into version n, so a batch that is run again gives the same version.
+    Sources lie in buckets by a hash. A batch reads the buckets of its own sources and writes them anew under its number, so
+    what is written follows the batch, not the state; a manifest of each batch tells which number each bucket has. Batch n
+    builds on manifest n - 1, so a batch that is run again gives the same; what neither of the last two manifests names is
+    removed.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        last = F.max(F.struct("ts", "fetch_id", "status", "error_code")).alias("last")
+        spark, last = batch.sparkSession, F.max(F.struct("ts", "fetch_id", "status", "error_code")).alias("last")
+        bucket = F.pmod(F.xxhash64("source_id"), F.lit(buckets)).cast("int").alias("bucket")
         counts = batch.groupBy("source_id").agg(last, F.count("*").alias("failure_count"), F.count_if(F.col("status").between(200, 299)).alias("success_count"))
-        if number > 0:
-            counts = batch.sparkSession.read.parquet(f"{path}/v{number - 1}").unionByName(counts)
-        sums = [F.sum(c).alias(c) for c in ("failure_count", "success_count")]
-        counts.groupBy("source_id").agg(F.max("last").alias("last"), *sums).write.mode("overwrite").parquet(f"{path}/v{number}")
+        counts = written(counts.select("*", bucket))
+        touched = [r[0] for r in counts.select("bucket").distinct().collect()]
+        before = _manifest(spark, path, number - 1) if number > 0 else {}
+        old = [f"{path}/data/version={before[k]}/bucket={k}" for k in touched if k in before]
+        if old:
+            counts = counts.unionByName(spark.read.option("basePath", f"{path}/data").parquet(*old).select(*counts.columns))
+        if touched:
+            sums = [F.sum(c).alias(c) for c in ("failure_count", "success_count")]
+            counts.groupBy("bucket", "source_id").agg(F.max("last").alias("last"), *sums).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={number}")
+        now = before | dict.fromkeys(touched, number)
+        rows = spark.createDataFrame([(number, k, v) for k, v in now.items()], MANIFEST)
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v{number}")
+        earlier = _manifest(spark, path, number - 2) if number > 1 else {}
+        for k, v in earlier.items():
+            if before.get(k) != v:  # the batch before has written the bucket anew; a repeat of this one needs no more than that
+                _remove(spark, f"{path}/data/version={v}/bucket={k}")
+        _remove(spark, f"{path}/manifest/v{number - 2}")
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+MANIFEST = "number long, bucket int, version long"
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """Bucket: the number under which it lies, as batch ``number`` left it; none where that manifest is gone."""
+    try:
+        return {r["bucket"]: r["version"] for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifest/v{number}").collect()}
+    except AnalysisException:
+        return {}
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def read_source_state(spark: SparkSession, path: str) -> DataFrame:
+    """(source_id, last, failure_count, success_count) as the latest batch left it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    now = _manifest(spark, path, max(int(f.getPath().getName()[1:]) for f in found))
+    folders = [f"{path}/data/version={v}/bucket={k}" for k, v in sorted(now.items())]
+    return spark.read.option("basePath", f"{path}/data").parquet(*folders).select("source_id", "last", "failure_count", "success_count")
+
+
 def changed_pages(fetches: DataFrame, previous: DataFrame) -> DataFrame:
     """Fetches with ``outcome``: failed, unchanged (304 or the same content) or changed."""
     known = previous.select("source_id", F.col("content_hash").alias("_old"))

@@ -100,7 +100,7 @@ def test_source_state_stream_replay(spark, tmp_path):
     q = health.source_state_stream(stream, str(tmp_path / "state"), str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    got = {r.source_id: (r.last.fetch_id, r.failure_count, r.success_count) for r in spark.read.parquet(str(tmp_path / "state/v1")).collect()}
+    got = {r.source_id: (r.last.fetch_id, r.failure_count, r.success_count) for r in health.read_source_state(spark, str(tmp_path / "state")).collect()}
     want = {r.source_id: (r.failure_count, r.success_count) for r in health.source_state(spark.createDataFrame(rows, schema)).collect()}
     assert {k: v[1:] for k, v in got.items()} == want and {k: v[0] for k, v in got.items()} == {0: 9, 1: 10, 2: 11}
 
