@@ -330,6 +330,7 @@ _add(
     """SELECT conv_id, turn, role, substr(text, 1, 50) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations
         WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '') WHERE k <= 4""",
 )
+_add("t16_sort_locale", lambda s, d: topk.sort_names(V.pages(s, d).select("page_id", T.page_title(F.col("html")).alias("title")), "title", "UNICODE"), "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM v_page")
 _add("t16_sort_names", lambda s, d: topk.sort_names(V.suppliers(s, d), "name").select("name", "country"), "SELECT name, country FROM v_supplier ORDER BY lower(name), name")
 
 # Deduplication, writes. -------------------------------------------------------------------------------------------
@@ -390,7 +391,7 @@ _add("c1_plan_content_cleanup", lambda s, d: cleaning.plan_content_cleanup(V.org
 _add("c2_apply_org_cleanup", lambda s, d: cleaning.apply_org_cleanup(V.named(s, d), V.named_events(s, d))[0].select("entity_id", "name"),
     f"SELECT entity_id, name FROM v_named WHERE entity_id NOT IN (SELECT entity_id FROM ({SQL['d8_plan_org_cleanup']}))",
 )
-_add("c3_plan_deep_clean", lambda s, d: cleaning.plan_deep_clean(V.named(s, d), V.named_events(s, d)))
+_add("c3_plan_deep_clean", lambda s, d: cleaning.plan_deep_clean(V.named(s, d).withColumn("website_url", F.when(_number() % 5 == 0, F.concat(F.lit("https://p"), "slug", F.lit(".medium.com/blog/x"))).otherwise(F.col("website_url"))).withColumn("website_url", F.replace("website_url", F.lit("Brand#"), F.lit("b"))).withColumn("description", F.concat("description", F.when(_number() % 7 == 0, F.lit(" cookie 登录 and more of it")).otherwise(F.lit(" and other things")))), V.named_events(s, d)).withColumns({c: F.array_join(c, ",") for c in ("website_rules", "summary_rules")}))
 _add(
     "c4_plan_event_cleanup", lambda s, d: cleaning.plan_event_cleanup(V.events(s, d), V.events(s, d).where("id % 2 = 0").select("id", (F.col("id") % 9 + 1).alias("score"))),
     f"""SELECT id, action, CASE WHEN action = 'update' THEN n END AS score FROM (SELECT id, n, CASE WHEN {_garbage} THEN 'delete_rule' WHEN relevance_score < 6 AND n >= 6 THEN 'update' WHEN relevance_score < 6 AND n < 6 THEN 'delete_score' WHEN relevance_score < 6 THEN 'keep' END AS action
@@ -430,13 +431,68 @@ _add(
 # Extraction, matching, model exchange. ----------------------------------------------------------------------------
 
 _html = V.pages
-_add("x5_article_details", lambda s, d: extract.article_details(_html(s, d)).select("url", "title", "summary", "published"))
+_own_entities = lambda c: __import__("functools").reduce(lambda x, kv: f"replace({x}, '{kv[0]}', '{kv[1].replace(chr(39), chr(39) * 2)}')", extract.ENTITIES.items(), c)
+_tagless = lambda c: f"trim(regexp_replace({_own_entities(f"regexp_replace({c}, '<[^>]+>', ' ', 'g')")}, '\\s+', ' ', 'g'))"
+_anchor = "'(?is)<a\\b[^<>]*?\\bhref\\s*=\\s*[\"'']([^\"''<>]+)[\"''][^<>]*>(.*?)</a>'"
+_origin = f"lower({_p[1]}) || '://' || lower({_p[3]}) || CASE WHEN {_p[4]} <> '' THEN ':' || {_p[4]} ELSE '' END"
+_meta_html = """CASE WHEN page_id % 3 = 0 THEN html ELSE replace(html, '</head>', '<meta content="' || substr(host, 1, 9) || ' &amp; more" name="Description"><META property=''og:description'' content='''
+    || CASE WHEN page_id % 5 = 0 THEN '' ELSE url END || '''><meta property="og:title" content="' || host || '"></head>') END"""
+_add(
+    "x5_article_details", lambda s, d: extract.article_details(_html(s, d).withColumn("html", _with_meta())).select("url", "title", "summary", "published"),
+    f"""SELECT url, CASE WHEN page_id % 3 <> 0 THEN host WHEN h <> '' THEN h ELSE nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') END AS title,
+        CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN url ELSE list_filter(p, lambda x: length(x) BETWEEN 80 AND 1200 AND NOT regexp_matches(x, '(?i)cookie|privacy|隐私'))[1] END AS summary, CAST(NULL AS VARCHAR) AS published
+        FROM (SELECT *, {_tagless("regexp_extract(html, '(?is)<h1\\b[^<>]*>(.*?)</h1>', 1)")} AS h, list_transform(regexp_extract_all(html, '(?is)<p\\b[^<>]*>(.*?)</p>', 1), lambda x: {_tagless('x')}) AS p FROM v_page)""",
+)
+_deeper = lambda s, d: _html(s, d).select("url", F.replace("html", F.lit('href="/'), F.lit('href="/news/')).alias("html"))
+_add(
+    "x8_article_link_count", lambda s, d: extract.article_link_count(_deeper(s, d)),
+    f"""SELECT url, CAST(least(count(DISTINCT link), 20) AS BIGINT) AS n FROM (SELECT url, CASE WHEN lower({_p[1]}) = 'https' AND length(t) BETWEEN 7 AND 260 AND regexp_matches(h || ' ' || t, '{extract.ARTICLE_HINT}') THEN {_origin} || h END AS link
+        FROM (SELECT url, h, {_tagless('t')} AS t FROM (SELECT url, unnest([''] || regexp_extract_all(html, {_anchor}, 1)) AS h, unnest([''] || regexp_extract_all(html, {_anchor}, 2)) AS t FROM (SELECT url, replace(html, 'href="/', 'href="/news/') AS html FROM v_page)))) GROUP BY url""",
+)
+_add(
+    "x10_locate_news_page",
+    lambda s, d: extract.locate_news_page(
+        _html(s, d).groupBy(F.concat(F.lit("https://"), "host", F.lit("/")).alias("url"), F.col("url").alias("endpoint")).agg(F.min("page_id").alias("rank")).withColumn("source_type", F.element_at(F.array(*[F.lit(x) for x in ("html", "rss", "sitemap", "json")]), (F.col("rank") % 4 + 1).cast("int"))),
+        _html(s, d).groupBy("url").agg((F.min("page_id") % 3).alias("n"), F.when(F.min("page_id") % 2 == 0, "Latest").alias("title")).union(_html(s, d).select(F.concat(F.lit("https://"), "host", F.lit("/")).alias("url"), (F.length("host") % 4).cast("long").alias("n"), F.lit(None).cast("string").alias("title")).distinct()),
+    ),
+    f"""WITH e AS (SELECT 'https://' || host || '/' AS url, url AS endpoint, min(page_id) AS rank FROM v_page GROUP BY 1, 2),
+        c AS (SELECT url, min(page_id) % 3 AS n, CASE WHEN min(page_id) % 2 = 0 THEN 'Latest' ELSE '' END AS title FROM v_page GROUP BY 1),
+        f AS (SELECT e.url, arg_min(endpoint, rank) AS endpoint FROM e JOIN c ON c.url = e.endpoint WHERE CASE WHEN rank % 4 = 0 THEN n >= 2 OR (n >= 1 AND regexp_matches(endpoint || ' ' || title, '{extract.NEWS_HINT}')) ELSE n >= 1 END GROUP BY 1)
+        SELECT DISTINCT e.url, coalesce(f.endpoint, CASE WHEN length(e.url) % 4 >= 2 THEN e.url END) AS news_page FROM (SELECT url, url AS u FROM e) e LEFT JOIN f ON f.url = e.url""".replace("length(e.url) % 4", "(length(e.url) - 9) % 4"),
+)
+_article = f"regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article\\b[^<>]*>(.*)</article>', 1), '(?is)<(script|style)\\b.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+_add(
+    "x4_snippet_fallback", lambda s, d: extract.with_snippet_fallback(extract.extract_articles(_html(s, d)).dropDuplicates(["url"]), V.events(s, d).select(F.col("source_url").alias("url"), "title", "summary")).select("url", "title", "confidence"),
+    f"""SELECT source_url AS url, CASE WHEN n >= 120 THEN a.title ELSE e.title END AS title, CAST(CASE WHEN n >= 120 THEN 0.65 ELSE 0.2 END AS DOUBLE) AS confidence FROM v_event e
+        LEFT JOIN (SELECT url, length({_plain(_article, '')}) AS n, {_plain("regexp_extract(html, '(?is)<h1\\b[^<>]*>(.*?)</h1>', 1)", '')} AS title FROM v_page QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) a ON a.url = e.source_url""",
+)
+
+
+def _feeds(spark: SparkSession, d: str) -> DataFrame:
+    """A feed for each page: RSS, Atom, a sitemap, a list in JSON, or the page itself."""
+    site = F.concat(F.lit("https://"), "host")
+    rss = F.concat(F.lit("<rss><item><title><![CDATA[News "), "page_id", F.lit("]]></title><link>"), site, F.lit("/n/1</link></item><item><title>Two &amp; <b>three</b></title><link>/rel/"), "page_id", F.lit("</link></item><item><title>x</title><link>https://other.invalid/1</link></item></rss>"))
+    atom = F.concat(F.lit('<feed><entry><title type="text"></title><link rel="alternate" href="'), site, F.lit('/e/1#top"/></entry><entry><title>Second</title><link href="../e/2"/></entry></feed>'))
+    urls = F.concat(F.lit("<urlset><url><loc> "), site, F.lit("/s/1\n</loc></url><url><loc>"), site, F.lit("/s/2?a=1&amp;b="), "page_id", F.lit("</loc></url><url><loc>https://other.invalid/</loc></url></urlset>"))
+    listed = F.concat(F.lit('{"items":[{"url":"'), site, F.lit('/j/1","title":"One"},{"link":"/j/2","title":{"rendered":"Two"}},{"link":"mailto:x"}]}'))
+    kind = (F.col("page_id") % 5).cast("int")
+    told = F.element_at(F.array(rss, atom, urls, listed, F.col("html")), kind + 1)
+    return _html(spark, d).select(F.concat(site, F.lit("/feed/"), "page_id", F.lit(".xml")).alias("url"), F.element_at(F.array(*[F.lit(x) for x in ("rss", "rss", "sitemap", "json", "html")]), kind + 1).alias("source_type"), told.alias("text")).withColumn("url", F.when(F.col("source_type") == "html", F.regexp_replace("url", r"\.xml$", "")).otherwise(F.col("url")))
+
+
+_add(
+    "x7_feed_articles", lambda s, d: extract.feed_articles(_feeds(s, d)),
+    f"""WITH p AS (SELECT page_id, page_id % 5 AS k, 'https://' || host AS s, html FROM v_page),
+        f AS (SELECT *, s || '/feed/' || page_id || CASE WHEN k = 4 THEN '' ELSE '.xml' END AS url FROM p)
+        SELECT url, CAST(pos AS INTEGER) AS pos, link, CASE WHEN title <> '' THEN title ELSE link END AS title FROM (
+            SELECT url, 0 AS pos, s || '/n/1' AS link, 'News ' || page_id AS title FROM f WHERE k = 0 UNION ALL SELECT url, 1, s || '/rel/' || page_id, 'Two & three' FROM f WHERE k = 0
+            UNION ALL SELECT url, 0, s || '/e/1', '' FROM f WHERE k = 1 UNION ALL SELECT url, 1, s || '/e/2', 'Second' FROM f WHERE k = 1
+            UNION ALL SELECT url, 0, s || '/s/1', s || '/s/1' FROM f WHERE k = 2 UNION ALL SELECT url, 1, s || '/s/2?a=1&b=' || page_id, s || '/s/2?a=1&b=' || page_id FROM f WHERE k = 2
+            UNION ALL SELECT url, 0, s || '/j/1', 'One' FROM f WHERE k = 3 UNION ALL SELECT url, 1, s || '/j/2', 'Two' FROM f WHERE k = 3
+            UNION ALL SELECT url, i, s || h, {_tagless('t')} FROM (SELECT url, s, unnest(regexp_extract_all(html, {_anchor}, 1)) AS h, unnest(regexp_extract_all(html, {_anchor}, 2)) AS t, unnest(range(len(regexp_extract_all(html, {_anchor}, 1)))) AS i FROM f WHERE k = 4))""",
+)
 _add("x3_extract_articles", lambda s, d: extract.extract_articles(_html(s, d)).withColumn("contents", F.to_json("contents")))
-_add("x4_snippet_fallback", lambda s, d: extract.with_snippet_fallback(extract.extract_articles(_html(s, d)).dropDuplicates(["url"]), V.events(s, d).select(F.col("source_url").alias("url"), "title", "summary")).select("url", "title", "confidence"))
 _add("x6_news_endpoints", lambda s, d: extract.news_endpoints(_html(s, d).select("url", "html"), ["newsroom"]))
-_add("x7_feed_articles", lambda s, d: extract.feed_articles(_html(s, d).select("url", F.lit("html").alias("source_type"), F.col("html").alias("text"))))
-_add("x8_article_link_count", lambda s, d: extract.article_link_count(_html(s, d)))
-_add("x10_locate_news_page", lambda s, d: extract.locate_news_page(extract.news_endpoints(_html(s, d).select("url", "html")), extract.article_link_count(_html(s, d))))
 _add("x13_extract_names", lambda s, d: extract.extract_names(_docs(s, d).withColumn("text", F.regexp_replace("text", r"\.\s", " University, ")), "doc_id", "text"))
 _add(
     "x14_context_body", lambda s, d: _docs(s, d).select("doc_id", cleaning.context_body(F.col("text"), 600).alias("body")),
@@ -464,9 +520,21 @@ _add(
 )
 _fetched = lambda s, d: _html(s, d).select(F.concat(F.lit("org-"), "host").alias("entity_id"), "url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), "html")
 _add("m3_verify_homepages", lambda s, d: match.verify_homepages(_fetched(s, d), V.orgs(s, d).withColumn("aliases", F.lit(None).cast("array<string>"))))
+_decided = lambda s, d: match.decide_official(V.orgs(s, d), V.orgs(s, d).where("length(slug) % 5 = 0").select("entity_id", F.col("slug").alias("domain")), _hits(s, d).withColumn("accepted", F.col("pos") % 2 == 0), V.orgs(s, d).where("length(slug) % 7 = 0").select("entity_id", F.col("slug").alias("domain")))
+_add(
+    "m9_candidates", lambda s, d: _decided(s, d).select("entity_id", F.array_join("candidates", " ").alias("candidates")),
+    """SELECT entity_id, CASE WHEN length(slug) % 5 = 0 THEN '' ELSE coalesce(c, '') END AS candidates FROM v_org LEFT JOIN (SELECT organization_id AS o, string_agg(source_url, ' ' ORDER BY n) AS c
+        FROM (SELECT organization_id, source_url, row_number() OVER (PARTITION BY organization_id ORDER BY min(id), source_url) AS n FROM v_event WHERE source_url IS NOT NULL GROUP BY 1, 2) WHERE n <= 8 GROUP BY 1) ON o = entity_id""",
+)
+_add(
+    "m11_official_site_query",
+    lambda s, d: match.official_site_query(match.context_tokens(V.suppliers(s, d).withColumn("name", F.when(F.col("entity_id") % 3 == 0, F.concat(F.lit("测试大学"), F.col("entity_id").cast("string"))).otherwise(F.concat("name", F.lit(" （测试）")))).select("entity_id", "name", F.when(F.col("entity_id") % 4 == 0, "人物").otherwise("高校").alias("entity_type"), F.when(F.col("entity_id") % 5 == 0, "university").alias("route_kind"), F.when(F.col("entity_id") % 2 == 0, "未标注").otherwise(F.col("country")).alias("city"), "region", F.lit("alpha beta 中文词 gamma delta").alias("summary")))),
+    """SELECT entity_id, CASE WHEN entity_id % 3 = 0 THEN '测试大学' || entity_id || ' alpha beta 中文词' ELSE replace(name, '#', '#') || ' alpha beta gamma' END || ' ' || CASE WHEN entity_id % 2 = 0 THEN region ELSE country END || ' '
+        || CASE WHEN entity_id % 3 = 0 THEN '官网' WHEN entity_id % 4 = 0 THEN 'official profile' WHEN entity_id % 5 = 0 THEN 'official website research news technology transfer' ELSE 'official website news press release' END AS query FROM v_supplier""",
+)
 _add(
     "m9_decide_official",
-    lambda s, d: match.decide_official(V.orgs(s, d), V.orgs(s, d).where("length(slug) % 5 = 0").select("entity_id", F.col("slug").alias("domain")), _hits(s, d).withColumn("accepted", F.col("pos") % 2 == 0), V.orgs(s, d).where("length(slug) % 7 = 0").select("entity_id", F.col("slug").alias("domain"))),
+    lambda s, d: _decided(s, d).select("entity_id", "domain", "status"),
 )
 _requests = lambda s, d: V.events(s, d).select("organization_id", F.col("id").alias("pos"), "title", F.col("source_url").alias("url"), "summary", F.lit(None).cast("string").alias("llm_context"), F.when(F.col("id") % 2 == 0, "full-text").otherwise("snippet-fallback").alias("extraction_method"))
 _add("l1_build_requests", lambda s, d: model_io.build_event_requests(_requests(s, d)),
@@ -853,6 +921,12 @@ def _broken(c: str) -> str:
     return f"CASE WHEN {t} = '' THEN '' ELSE array_to_string(list_filter([{', '.join(words)}, CASE WHEN length({t}) < 20 THEN 'short' END, CASE WHEN {_stop(t)} >= 0.45 THEN 'stopwords' END], lambda x: x IS NOT NULL), ',') END"
 
 
+_sql(
+    "c3_plan_deep_clean",
+    f"""SELECT entity_id, n AS event_count, CASE WHEN k % 5 = 0 THEN 'platform,path' ELSE '' END AS website_rules, r AS summary_rules, CASE WHEN k % 5 = 0 AND n = 0 THEN 'delete' WHEN k % 5 = 0 THEN 'clear_site' ELSE 'clear_text' END AS action
+        FROM (SELECT entity_id, k, {_broken('description')} AS r, (SELECT count(*) FROM v_named_event e WHERE e.organization_id = entity_id) AS n FROM (SELECT entity_id, CAST(substr(entity_id, 5) AS BIGINT) AS k,
+        description || CASE WHEN CAST(substr(entity_id, 5) AS BIGINT) % 7 = 0 THEN ' cookie 登录 and more of it' ELSE ' and other things' END AS description FROM v_named )) WHERE k % 5 = 0 OR r <> ''""",
+)
 _sql("q24_summary_rules", f"SELECT doc_id, {_broken('text')} AS value FROM documents")
 _when = lambda: F.when(F.col("id") % 2 == 0, F.col("event_date")).otherwise(F.col("created_at"))
 _function("f25_display_date", lambda: D.display_date(_when()), "CASE WHEN id % 2 = 0 AND event_date = 'unknown' THEN '近期' WHEN id % 2 = 0 THEN event_date || ' 00:00' ELSE substr(created_at, 1, 16) END", V.events, "id", "v_event")
@@ -896,3 +970,26 @@ _sql(
     f"""SELECT entity_id, CAST(tier AS INTEGER) AS tier, source_url AS url FROM (SELECT e.*, {_sh} AS host, o.entity_id, o.name, e.id % 3 AS tier FROM v_event e JOIN v_org o ON o.entity_id = e.organization_id)
         WHERE length(trim(coalesce(summary, ''))) >= 20 AND (tier = 0 OR (contains(replace({_norm('summary')}, ' ', ''), replace({_norm('name')}, ' ', '')) AND NOT {_poor})) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY tier, id, source_url) = 1""",
 )
+
+_sql("f14_strip_tags", f"SELECT page_id, {_tagless('html')} AS value FROM pages")
+_found = f"SELECT page_id, url, unnest(range(len(regexp_extract_all(html, {_anchor})))) AS pos, unnest(regexp_extract_all(html, {_anchor}, 1)) AS href, unnest(regexp_extract_all(html, {_anchor}, 2)) AS t FROM v_page"
+_sql("f21_resolve_url", f"SELECT page_id, CAST(pos AS INTEGER) AS pos, href, {_origin} || href AS link FROM ({_found})")
+_sql(
+    "x12_parse_serp",
+    f"""SELECT page_id, CAST(pos AS INTEGER) AS pos, 'https://x.org' || href AS url, title, '' AS snippet, false AS badge FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM (SELECT page_id, href, min(pos) AS pos, arg_min(title, pos) AS title
+        FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, {_tagless('t')} AS title FROM (SELECT page_id, unnest(range(len(regexp_extract_all(html, '(?is)<li><a href="')))) AS pos,
+        unnest(regexp_extract_all(html, '(?is)<li><a href="([^"<>]+)"[^<>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<li><a href="([^"<>]+)"[^<>]*>(.*?)</a>', 2)) AS t FROM v_page)) WHERE title <> '' GROUP BY 1, 2)) WHERE n <= 8""",
+)
+_sql(
+    "c1_plan_content_cleanup",
+    f"""SELECT 'organization' AS kind, entity_id AS id, 'website_url' AS field, website_url AS before, CAST(NULL AS VARCHAR) AS after FROM (SELECT *, {_wh} AS host FROM v_org ) WHERE website_url IS NOT NULL AND {_official} IS NULL
+        UNION ALL SELECT 'event', CAST(id AS VARCHAR), 'title', title, CASE WHEN trim(title) = '' THEN '未命名事件' ELSE trim(title) END FROM v_event WHERE title <> trim(title) OR trim(title) = ''""",
+)
+_sql(
+    "c5_import",
+    """WITH r AS (SELECT CAST(substr(entity_id, 5) AS BIGINT) AS pos, trim(name) AS name, website_url FROM v_named WHERE trim(coalesce(name, '')) <> ''),
+        l AS (SELECT name, min(pos) AS pos, arg_max(website_url, pos) FILTER (website_url IS NOT NULL) AS site FROM r GROUP BY 1),
+        s AS (SELECT *, CASE WHEN s <> '' THEN s ELSE 'source-' || substr(sha256(name), 1, 16) END AS own FROM (SELECT *, substr(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 72) AS s FROM l)),
+        k AS (SELECT s.*, o.slug AS known, row_number() OVER (PARTITION BY own ORDER BY o.slug IS NULL, s.pos) AS n FROM s LEFT JOIN (SELECT name, min(slug) AS slug FROM v_org GROUP BY 1) o ON o.name = s.name)
+        SELECT coalesce(known, CASE WHEN n > 1 OR own IN (SELECT slug FROM v_org ) THEN own || '-' || substr(sha256(name), 1, 8) ELSE own END) AS slug, name, rtrim(site, '/') AS website_url FROM k""",
+)

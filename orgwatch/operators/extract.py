@@ -154,21 +154,32 @@ def parse_serp(pages: DataFrame, key: str, layout: str, most: int = 8) -> DataFr
     return once.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("_n") <= most).drop("_f", "_n")
 
 
+#: Words of an article's address or title, and of a page of news. Fixed values.
+ARTICLE_HINT = "(?i)news|blog|press|story|stories|update|insight|announce|award|funding|launch|partner|新闻|动态|资讯|发布|融资|合作|活动"
+NEWS_HINT = "(?i)news|newsroom|blog|press|media|updates?|insights?|stories|journal|announcements?|新闻|新闻中心|动态|资讯|媒体|公告|要闻|聚焦|最新"
+
+
 def article_link_count(pages: DataFrame, most: int = 20) -> DataFrame:
-    """(url, n): links of a page that look like articles: a text of 7 to 260 characters, the same site, two path parts or
-    more, a word of news in the address; at most ``most`` are counted."""
+    """(url, n): links of a page that look like articles: https, the same site, a text of 7 to 260 characters, two path parts
+    or more, a word of news in path or text; at most ``most`` are counted."""
     links = page_links(pages.select("url", "html"))
     path = F.regexp_extract("link", U.URL, 5)
     deep = F.size(F.filter(F.split(path, "/"), lambda x: x != "")) >= 2
-    good = F.length("text").between(7, 260) & deep & _same_site(F.col("link"), F.col("url")) & F.col("link").rlike(r"(?i)news|article|press|story|event|/20[0-9]{2}/") & ~path.rlike(r"(?i)/(index|category|tag|page)(/|$)")
+    good = F.col("link").startswith("https://") & F.length("text").between(7, 260) & deep & _same_site(F.col("link"), F.col("url")) & F.concat_ws(" ", path, "text").rlike(ARTICLE_HINT)
     counts = links.where(good).groupBy("url").agg(F.least(F.countDistinct("link"), F.lit(most)).alias("n"))
     return pages.select("url").distinct().join(counts, "url", "left").select("url", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def locate_news_page(endpoints: DataFrame, counts: DataFrame, least: int = 3) -> DataFrame:
-    """The first endpoint of each site, by rank, with enough article links; else the homepage if it has two."""
-    seen = endpoints.join(counts.select(F.col("url").alias("endpoint"), "n"), "endpoint")
-    best = seen.where(F.col("n") >= least).groupBy("url").agg(F.min_by("endpoint", "rank").alias("_found"))
+def locate_news_page(endpoints: DataFrame, counts: DataFrame) -> DataFrame:
+    """(url, news_page) of each site: its first endpoint, by rank, that has articles; else the homepage if it has two. ``counts``
+    (url, n; ``title`` if it is known) has the articles of each fetched document by its own kind: article links of pages
+    (``article_link_count``), items of feeds, sitemaps and lists (``feed_article_count``). A page needs two article links, or
+    one where its address or title speaks of news; any other endpoint needs one item."""
+    title = F.col("title") if "title" in counts.columns else F.lit("")
+    seen = endpoints.join(counts.select(F.col("url").alias("endpoint"), "n", title.alias("_title")), "endpoint")
+    told = F.concat_ws(" ", "endpoint", "_title").rlike(NEWS_HINT)
+    enough = F.when(F.col("source_type") == "html", (F.col("n") >= 2) | (told & (F.col("n") >= 1))).otherwise(F.col("n") >= 1)
+    best = seen.where(enough).groupBy("url").agg(F.min_by("endpoint", "rank").alias("_found"))
     home = counts.where("n >= 2").select("url", F.col("url").alias("_home"))
     sites = endpoints.select("url").distinct().join(best, "url", "left").join(home, "url", "left")
     return sites.select("url", F.coalesce("_found", "_home").alias("news_page"))

@@ -120,6 +120,29 @@ def search_queries(df: DataFrame) -> DataFrame:
     return df.select("entity_id", F.posexplode(F.concat(words, site)).alias("pos", "query"))
 
 
+#: What a query adds for a kind of organization. Fixed values.
+ROUTE_TERMS = {
+    "accelerator": "news incubator accelerator", "enterprise": "news press release", "university": "research news technology transfer", "research": "research news press release",
+    "public": "official news policy announcement", "generic": "news press release",
+}
+
+
+def official_site_query(df: DataFrame) -> DataFrame:
+    """(entity_id, query) to find an entity's official site with, out of ``name, entity_type, route_kind, city, region`` and
+    ``context`` (an array): its canonical name, up to three words of context, one place that is known, and what is looked for,
+    by the kind of entity. A name with a Latin word is asked for without its Chinese part."""
+    name = T.canonical_name(F.col("name"))
+    latin = name.rlike("[A-Za-z]{2,}")
+    asked = F.when(latin, F.regexp_replace(name, rf"[{T.WIDE_HAN}（）]", " ")).otherwise(name)
+    kinds = F.create_map(*[F.lit(x) for kv in ROUTE_TERMS.items() for x in kv])
+    route = F.coalesce(F.try_element_at(kinds, F.col("route_kind")), F.lit(ROUTE_TERMS["generic"]))
+    wanted = F.when(~latin & F.col("name").rlike(f"[{T.WIDE_HAN}]"), "官网").when(F.col("entity_type") == "人物", "official profile").otherwise(F.concat(F.lit("official website "), route))
+    places = F.filter(F.array("city", "region"), lambda p: F.coalesce(p, F.lit("")).rlike(".") & ~p.rlike("未标注|T[0-9]+"))
+    words = F.slice(F.filter(F.coalesce("context", F.array().cast("array<string>")), lambda t: ~latin | t.rlike("(?i)[a-z]")), 1, 3)
+    query = F.concat_ws(" ", asked, F.array_join(words, " "), F.try_element_at(places, F.lit(1)), wanted)
+    return df.select("entity_id", T.collapse_ws(query).alias("query"))
+
+
 def identity_terms(df: DataFrame) -> DataFrame:
     """Adds ``terms`` (name and aliases, normalized, of two characters or more) and ``core_terms`` (with their words that are not
     generic)."""
@@ -162,9 +185,13 @@ def verify_homepages(fetches: DataFrame, orgs: DataFrame, loose: bool = False) -
     return rows.select("entity_id", "url", reason.isin("evidence", "core_evidence", "host_and_marker").alias("accepted"), reason.alias("reason"))
 
 
-def decide_official(orgs: DataFrame, whitelist: DataFrame, hits: DataFrame, cached: DataFrame) -> DataFrame:
-    """(entity_id, domain, status): the whitelist's domain, else the first verified hit, else a cached one, else the first hit as
-    unverified. ``whitelist`` and ``cached``: entity_id, domain; ``hits``: entity_id, pos, url, accepted."""
+def decide_official(orgs: DataFrame, whitelist: DataFrame, hits: DataFrame, cached: DataFrame, most: int = 8) -> DataFrame:
+    """(entity_id, domain, status, candidates): the whitelist's domain, else the first verified hit, else a cached one, else the first hit as
+    unverified. ``whitelist`` and ``cached``: entity_id, domain; ``hits``: entity_id, pos, url, accepted.
+    ``candidates`` are the first ``most`` URLs of the hits, once each; none where the whitelist decides."""
+    seen = hits.where("url is not null").groupBy("entity_id", "url").agg(F.min("pos").alias("pos"))
+    seen = seen.withColumn("_n", F.row_number().over(Window.partitionBy("entity_id").orderBy("pos", "url"))).where(F.col("_n") <= most)
+    listed = seen.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "url"))), lambda x: x["url"]).alias("_c"))
     good = hits.withColumn("domain", U.official_domain(F.col("url"))).where("domain is not null")
     tiers = [(whitelist.select("entity_id", "domain", F.lit(0).alias("pos")), 1, "whitelist"), (good.where("accepted").select("entity_id", "domain", "pos"), 2, "verified")]
     tiers += [(cached.select("entity_id", "domain", F.lit(0).alias("pos")), 3, "cached"), (good.where("not accepted").select("entity_id", "domain", "pos"), 4, "unverified")]
@@ -173,7 +200,10 @@ def decide_official(orgs: DataFrame, whitelist: DataFrame, hits: DataFrame, cach
         df = df.where("domain is not null").select("entity_id", F.struct(F.lit(tier).alias("tier"), "pos", "domain", F.lit(status).alias("status")).alias("e"))
         every = df if every is None else every.union(df)
     best = every.groupBy("entity_id").agg(F.min("e").alias("e"))
-    return orgs.select("entity_id").join(best, "entity_id", "left").select("entity_id", F.col("e.domain").alias("domain"), F.coalesce("e.status", F.lit("not_found")).alias("status"))
+    none = F.array().cast("array<string>")
+    kept = F.when(F.col("e.status") == "whitelist", none).otherwise(F.coalesce("_c", none))
+    told = orgs.select("entity_id").join(best, "entity_id", "left").join(listed, "entity_id", "left")
+    return told.select("entity_id", F.col("e.domain").alias("domain"), F.coalesce("e.status", F.lit("not_found")).alias("status"), kept.alias("candidates"))
 
 
 def match_wiki(entities: DataFrame, pages: DataFrame, redirects: DataFrame, context_chars: int = 80_000) -> DataFrame:

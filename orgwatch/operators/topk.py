@@ -105,8 +105,12 @@ def session_list(sessions: DataFrame, k: int = 100) -> DataFrame:
     return first_per_group(sessions.where("revoked_at is null"), ["user_id"], [F.desc("updated_at"), F.col("id")], k, "rank")
 
 
-def sort_names(df: DataFrame, column: str) -> DataFrame:
-    return df.orderBy(F.lower(column), column)
+def sort_names(df: DataFrame, column: str, locale: str | None = None) -> DataFrame:
+    """Names in order: by their lower case, or as ``locale`` has it (``UNICODE``: the root locale, or a language such as ``zh``),
+    where accents and then case tell names apart only if their letters are the same; ties by the text itself."""
+    if locale is None:
+        return df.orderBy(F.lower(column), column)
+    return df.orderBy(F.collate(F.col(column), locale), column)
 
 
 def select_best_candidate(scored: DataFrame, least_pre: int = 20, k: int = 4, accept: int = 72) -> DataFrame:
