@@ -1,9 +1,11 @@
 """N-gram Jaccard self-join of documents with Bayesian pruning of candidates.
 
 Documents with the same set of word 5-grams form one node, so copies take part once. Nodes that agree on a band of
-MinHash values are candidates; the buckets of a band give a star of edges each (to their least node), never all
-pairs, and the components of the stars bring together every pair that shares a bucket. Nodes of a component are compared
-in blocks: MinHash values are compared a few at a time, a pair is dropped as soon as the posterior probability that its
+MinHash values are candidates. Inside a bucket that fits in a block they are compared by 128 short MinHash values, pairs whose
+posterior is below the tolerance drop out, and a star of edges is told for each set of nodes that the others connect; a
+larger bucket gives one star (to its least node). So a pair that may be similar lies in one component of the stars, and
+documents that only share a template, which meet in buckets by chance, do not grow into one component. Nodes of a
+component are compared in blocks: MinHash values are compared a few at a time, a pair is dropped as soon as the posterior probability that its
 similarity reaches the threshold falls below a tolerance, and what is left is verified exactly on the 5-gram sets. No
 row is made for a pair: a block gives each node its number of links and the least node it is connected to.
 
@@ -42,8 +44,9 @@ from .common import WORD, cut_lineage
 from .components import components
 
 _WORD = re.compile(WORD)
-BANDS, ROWS, SKETCH = 40, 7, 64
+BANDS, ROWS, SKETCH, BRIEF = 40, 7, 64, 128
 STAGES = (16, 32, 64)
+ROWS_A_GROUP = 50_000
 
 
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
@@ -81,9 +84,11 @@ def minhash(s: np.ndarray, count: int, seed: int, step: int = 2048) -> np.ndarra
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
-def bands_of(s: np.ndarray) -> np.ndarray:
-    values = minhash(s, BANDS * ROWS, 1).reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh3_64_intdigest(v.tobytes(), seed=i) for i, v in enumerate(values)], dtype=np.uint64).view(np.int64)
+def bands_of(s: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The buckets of a set, one for each band, and the last byte of ``BRIEF`` of its MinHash values."""
+    values = minhash(s, BANDS * ROWS, 1)
+    buckets = [xxhash.xxh3_64_intdigest(v.tobytes(), seed=i) for i, v in enumerate(values.reshape(BANDS, ROWS))]
+    return np.array(buckets, dtype=np.uint64).view(np.int64), values[: 2 * BRIEF : 2].astype(np.uint8).tobytes()
 
 
 @lru_cache(maxsize=64)
@@ -192,6 +197,30 @@ def _linked_rows(keys: list[bytes], copies: np.ndarray, m: np.ndarray) -> list[t
     return [(keys[i], int(links[i]), keys[hub[i]]) for i in np.flatnonzero(links > 0)]
 
 
+def _plausible(threshold: float, tolerance: float):
+    """Edges that join, inside each bucket, the nodes that pairs of a plausible similarity connect: a pair drops out where its
+    posterior probability of reaching the threshold is below the tolerance. Of each set of nodes so connected a star is told."""
+    least = least_matches(BRIEF, threshold, tolerance)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["bucket", "key"])
+        keys, brief = group["key"].to_numpy(), np.frombuffer(b"".join(group["brief"]), dtype=np.uint8).reshape(len(group), BRIEF)
+        _, at, size = np.unique(group["bucket"].to_numpy(), return_index=True, return_counts=True)
+        twos = at[size == 2]
+        good = twos[(brief[twos] == brief[twos + 1]).sum(axis=1) >= least]
+        a, b = list(keys[good + 1]), list(keys[good])
+        for start, n in zip(at[size > 2], size[size > 2]):
+            rows = brief[start : start + n]
+            equal = np.stack([(rows == r).sum(axis=1) for r in rows])
+            hub = _least_connected(equal >= least)
+            for i in np.flatnonzero(hub != np.arange(n)):
+                a.append(keys[start + i])
+                b.append(keys[start + hub[i]])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
 def _as_frame(rows: list, schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
@@ -297,18 +326,23 @@ def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float, n: int,
             signs = []
             for t in batch["text"]:
                 s = shingles(t, n)
-                signs.append((set_key(s), len(s), bands_of(s)) if len(s) else (None, 0, None))
-            out = pd.DataFrame(signs, columns=["key", "grams", "bands"])
+                signs.append((set_key(s), len(s), *bands_of(s)) if len(s) else (None, 0, None, None))
+            out = pd.DataFrame(signs, columns=["key", "grams", "bands", "brief"])
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "_h1": batch["_h1"], "_h2": batch["_h2"], **out})
 
-    signed = cut_lineage(base.mapInPandas(sign, "doc_id long, _h1 long, _h2 long, key binary, grams long, bands array<long>"))
+    signed = cut_lineage(base.mapInPandas(sign, "doc_id long, _h1 long, _h2 long, key binary, grams long, bands array<long>, brief binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2")).alias("first")
-    nodes = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), first, F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    nodes = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), first, *[F.first(c).alias(c) for c in ("grams", "bands", "brief")])
     nodes = cut_lineage(nodes)
     placed = nodes.select("key", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    stars = placed.join(shared, "bucket").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    near = components(stars).withColumnRenamed("node", "key").join(nodes.drop("bands"), "key")
+    shared = placed.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("_n")).where("_n > 1")
+    met = cut_lineage(placed.join(shared, "bucket"))
+    # Nodes of a bucket that fits in a block are joined where they may be similar; those of a larger one by a star to its least.
+    told = met.where(F.col("_n") <= block).select("bucket", "key").join(nodes.select("key", "brief"), "key")
+    dealt = told.withColumn("_group", F.pmod(F.xxhash64("bucket"), F.lit(max(8, -(-met.count() // ROWS_A_GROUP)))))
+    stars = dealt.groupBy("_group").applyInPandas(_plausible(threshold, tolerance), "a binary, b binary")
+    stars = stars.unionByName(met.where((F.col("_n") > block) & (F.col("key") != F.col("hub"))).select(F.col("key").alias("a"), F.col("hub").alias("b")))
+    near = components(stars).withColumnRenamed("node", "key").join(nodes.drop("bands", "brief"), "key")
     near = cut_lineage(near.select("key", "root", "copies", "grams", "first._h1", "first._h2"))
 
     sizes = near.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("grams") / block_grams)).alias("_blocks"))

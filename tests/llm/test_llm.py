@@ -511,6 +511,27 @@ def test_large_component_is_exact(spark):
     assert [got[i] for i in range(len(texts))] == list(zip(links, least))
 
 
+def template_rows(n, seed):
+    """Texts that share a third of their 5-grams: one page's frame around words of their own."""
+    draw = np.random.default_rng(seed)
+    frame = " ".join(f"frame{i}" for i in range(64))
+    return [(i, frame + " " + " ".join(f"w{x}" for x in draw.integers(0, 10**9, 120))) for i in range(n)]
+
+
+def test_templates_do_not_grow_into_one_component(spark, monkeypatch):
+    """2,000 loose documents meet in many buckets by chance, but few come to be compared; near copies among them are found."""
+    rows = template_rows(2000, 4)
+    rows += [(3000 + i, rows[i][1] + " one more word") for i in range(0, 2000, 50)]
+    seen = []
+    whole = neardup.components
+    monkeypatch.setattr(neardup, "components", lambda edges: seen.append(edges.count()) or whole(edges))
+    got = {r.doc_id: r for r in neardup.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    _, least = brute_links([t for _, t in rows[:2000:50] + rows[2000:]])
+    assert all(got[3000 + i].class_id == i and got[3000 + i].n_links == got[i].n_links == 1 for i in range(0, 2000, 50))
+    assert sum(r.n_links for r in got.values()) == 80 and len(least) == 80
+    assert seen[0] < 40 * 60  # edges: those of the near copies, a bucket each
+
+
 def test_components(spark):
     """Chains, stars and trees against union-find."""
     rng = np.random.default_rng(4)
