@@ -54,6 +54,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, Column, Column]:
     """``df`` as rows of files, and two numbers that name a row: its file's and its place in the file. They are the same in
     every scan, however the files are split; a table that does not come from files is written first."""

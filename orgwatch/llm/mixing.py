@@ -99,20 +99,21 @@ def mix_slots(sources: DataFrame, seed: int, block_words: int, shard_slots: int,
 
 def mix_plan(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 64, shard_slots: int = 1024,
-    seed: int = 17, rows_a_task: int = 20_000, keys: tuple[str, ...] = (),
+    seed: int = 17, rows_a_task: int = 20_000, keys: tuple[str, ...] = (), ties: tuple[str, ...] = (),
 ) -> DataFrame:
     """A row for each stretch of a document that lies in one block: ``doc_id, size, source_size, target, start`` (its first
     word's number in the source), ``from_word`` and ``words`` (the stretch, in the document) and ``times`` (how often the
-    mix takes it; 0 is kept). A document without words has one row, with 0 words. ``keys``: columns of ``docs`` to carry.
+    mix takes it; 0 is kept). A document without words has one row, with 0 words. ``keys`` and ``ties``: columns of ``docs`` to carry;
+    where a document comes in its source follows from its id, its size and ``keys``, and from ``ties`` only among equals.
     """
-    sized = docs.select("doc_id", "source", *keys, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select("doc_id", "source", *keys, *ties, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = cut_lineage(sized)  # texts are read once
     sources = cut_lineage(source_targets(sized, weights, share, cap))
     parts = max(8, -(-sized.count() // rows_a_task))
     same = sources.withColumnRenamed("source", "_source")
     sized = sized.join(same, F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
     sized = sized.withColumn("_part", F.pmod(F.xxhash64("doc_id", "size", *keys), F.lit(parts)))
-    placed = running_start(sized, ["_sid"], "_part", [F.col("doc_id"), F.col("size"), *[F.col(k) for k in keys]], F.col("size"), "start").drop("_part")
+    placed = running_start(sized, ["_sid"], "_part", [F.col(c) for c in ("doc_id", "size", *keys, *ties)], F.col("size"), "start").drop("_part")
     block = lambda c: F.floor(c / block_words)
     within = F.sequence(block(F.col("start")), block(F.col("start") + F.col("size") - 1))
     stretches = placed.withColumn("_block", F.explode(F.when(F.col("size") > 0, within).otherwise(F.array(F.lit(-1).cast("long")))))
@@ -122,7 +123,7 @@ def mix_plan(
     stretches = stretches.withColumn("from_word", F.when(empty, 0).otherwise(left - F.col("start"))).withColumn("words", F.when(empty, 0).otherwise(right - left))
     times = mix_slots(sources, seed, block_words, shard_slots, cap).groupBy("_sid", "_block").agg(F.count("*").alias("_times"))
     joined = stretches.join(times, ["_sid", "_block"], "left")
-    return joined.select("doc_id", *keys, "size", "source_size", "target", "_sid", "start", "from_word", "words", F.coalesce("_times", F.lit(0)).alias("times"))
+    return joined.select("doc_id", *keys, *ties, "size", "source_size", "target", "_sid", "start", "from_word", "words", F.coalesce("_times", F.lit(0)).alias("times"))
 
 
 def mix_totals(plan: DataFrame) -> DataFrame:
@@ -140,12 +141,13 @@ def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
     The white space after a word goes with the word, so that a document taken whole has its own text. What the mix does
     not take is left out; a document without words is never taken. A row is known by its file and its place in it, so each
     copy of a repeated row has its own part in the mix, and rows under one id are told apart; a table that is not read from
-    files is written once.
+    files is written once. Where a row comes in the mix follows from its content, wherever its file lies, so reruns agree.
     """
     docs, file, place = numbered(docs)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")  # so that no name of a column clashes with ours
-    keyed = docs.select(own, "doc_id", "source", "text", file.alias("_file"), place.alias("_place"))
-    plan = mix_plan(keyed, keys=("_file", "_place"), **parameters).where("times > 0")
+    content = F.xxhash64(F.concat_ws("|", F.hash("doc_id"), F.hash("source"), F.length("source"), F.length("text")), "source", "text")
+    keyed = docs.select(own, "doc_id", "source", "text", content.alias("_key"), file.alias("_file"), place.alias("_place"))
+    plan = mix_plan(keyed, keys=("_key",), ties=("_file", "_place"), **parameters).where("times > 0")
     taken = plan.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     parts = F.array_sort(F.collect_list(F.struct("from_word", "words")))
     taken = taken.groupBy("_file", "_place", "_turn").agg(parts.alias("_parts"), F.sum("words").alias("_n"), F.first("size").alias("_size"))

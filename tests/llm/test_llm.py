@@ -825,6 +825,16 @@ def test_extraction_odd(spark):
     assert extraction.extract(df.where("false"), extraction.fit_labeller(df.where("false"))).count() == 0
 
 
+def test_extraction_without_telling_markup(spark):
+    """Fitted on half of the pages; on the others class, id and role are gone and telling elements are plain ones."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    model, held = extraction.fit_labeller(pages.where("page_id % 2 = 0")), pages.where("page_id % 2 = 1")
+    bare = F.regexp_replace(F.regexp_replace("html", r"""(?i)\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", ""), r"(?i)<(/?)(nav|header|footer|aside|article|main|section|figure)\b", "<$1div")
+    told, plain = ({r.page_id: collections.Counter(r.text.split("\n")) for r in extraction.extract(df, model).collect()} for df in (held, held.withColumn("html", bare)))
+    both = sum(sum((told[k] & plain[k]).values()) for k in told)
+    assert both > 0.95 * sum(sum(x.values()) for x in told.values()) and both > 0.9 * sum(sum(x.values()) for x in plain.values())
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 

@@ -115,3 +115,14 @@ def test_small_batches_restores_the_session(spark):
             assert spark.conf.get(key) == given
     finally:
         spark.conf.set(key, before)
+
+
+def test_run_leaves_the_last_written_stage_alone(spark, stages):
+    """The whole run gives what the stages give one by one, and keeps no more than the stage that the last one reads."""
+    from pathlib import Path
+
+    before = set(Path(corpus_pipeline.shared_dir(spark).removeprefix("file:")).glob("corpus-*"))
+    rows = corpus_pipeline.run(spark, SF).collect()
+    new = set(Path(corpus_pipeline.shared_dir(spark).removeprefix("file:")).glob("corpus-*")) - before
+    assert [p.name for f in new for p in f.iterdir()] == ["mixing"]
+    assert sorted((r.doc_id, r.start, r.length) for r in rows) == sorted((r.doc_id, r.start, r.length) for r in stages["packing"][1])
