@@ -18,7 +18,7 @@ from secrets import token_hex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgwatch.llm.common import shared_dir, table
+from orgwatch.llm.common import remove, shared_dir, table
 from orgwatch.llm.mixing import mix_documents
 from orgwatch.llm.neardup import drop_similar
 from orgwatch.llm.packing import pack
@@ -74,9 +74,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has written goes once its successor is written."""
+    docs, former = table(spark, sf_dir, "documents"), None
     base = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if former:
+            remove(spark, f"{base}/{former}")
+        former = name
     return STAGES[-1][1](spark, docs, sf_dir)
