@@ -32,10 +32,12 @@ DATE = (
     r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|(?<!/)[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
     r"|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|(?<!\.)[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])"
 )
-PATTERN = "|".join((EMAIL, IPV4, CARD, SSN, PHONE, ABROAD, TRUNK, DATE))
+#: All but e-mail begin with a digit, a + or a bracket; other places are passed by after one look.
+NUMBERS = f"(?=[0-9+(])(?:{'|'.join((IPV4, CARD, SSN, PHONE, ABROAD, TRUNK, DATE))})"
+PATTERN = f"{EMAIL}|{NUMBERS}"
 #: Every finding has an @ (e-mail), a digit, a dot and a digit (addresses), a + and a digit (telephone abroad) or three digits
-#: in a row (all others), so a text without any of them has no finding.
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[1-9]"
+#: in a row (all others), so a text without any of them has no finding. What may begin one is told by its first character.
+HINT = r"[@0-9+](?:(?<=@)|(?<=[0-9])(?:[0-9]{2}|\.[0-9])|(?<=\+)[1-9])"
 
 #: 400 years of the calendar are this many days, 189 times 773; so many of them, 9 times 9,833, are later than a 12th.
 ERA, ERA_A, ERA_B = 146_097, 189, 773
@@ -238,10 +240,12 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     found, new = fresh(docs, "_found"), fresh(docs, "_new")
     body = F.col(text)
-    hit = F.when(body.rlike(HINT), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)))
+    # Without an @ no e-mail address can match, so its pattern is left out there; the findings are the same.
+    by_form = lambda read: F.when(body.contains("@"), read(PATTERN)).otherwise(read(NUMBERS))
+    hit = F.when(body.rlike(HINT), by_form(lambda p: F.regexp_extract_all(body, F.lit(p), F.lit(0))))
     some = F.size(F.coalesce(F.col(found), F.array().cast("array<string>"))) > 0
     df = docs.withColumn(found, hit).withColumn(new, F.when(some, F.transform(F.col(found), lambda t: pseudonym(t, key))))
-    gaps = F.split(body, PATTERN, -1)
+    gaps = by_form(lambda p: F.split(body, p, -1))
     whole = F.array_join(F.zip_with(gaps, F.col(new), lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
     changed = F.size(F.filter(F.zip_with(F.col(found), F.col(new), lambda x, y: x != y), lambda x: x))
     out = [F.when(some, whole).otherwise(body).alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_pii"]
