@@ -57,14 +57,17 @@ def feistel(left: Column, right: Column, a: Column, b: Column, tag: str, key: st
     """Permute the pairs (left below a, right below b): each round adds a keyed digest of one half to the other."""
 
     def step(at: Column, i: Column) -> Column:
+        a, b = at["a"], at["b"]
         odd = i % 2 == 1
         mixed = _number(_digest(key, F.lit(tag), a, b, i, F.when(odd, at["l"]).otherwise(at["r"])))
         return F.struct(
+            a.alias("a"),
+            b.alias("b"),
             F.when(odd, at["l"]).otherwise(F.pmod(at["l"] + F.pmod(mixed, a), a)).alias("l"),
             F.when(odd, F.pmod(at["r"] + F.pmod(mixed, b), b)).otherwise(at["r"]).alias("r"),
         )
 
-    start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+    start = F.struct(*[c.cast("long").alias(name) for c, name in ((a, "a"), (b, "b"), (left, "l"), (right, "r"))])
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step)
 
 
@@ -98,8 +101,7 @@ def _put(token: Column, digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(token)), start, step)["out"]
 
 
-def _card(token: Column, key: str) -> Column:
-    digits = F.regexp_replace(token, "[^0-9]", "")
+def _card(token: Column, digits: Column, key: str) -> Column:
     n = F.length(digits)
     payload = F.substr(digits, F.lit(1), n - 1)
     half = F.floor(n / 2).cast("int")
@@ -117,10 +119,9 @@ def _card(token: Column, key: str) -> Column:
     )[0]
 
 
-def _phone(token: Column, key: str) -> Column:
+def _phone(token: Column, digits: Column, key: str) -> Column:
     """Ten digits. Behind a country code or with the area in brackets any will do; bare ones are taken for a number only
     where area and exchange begin with no 0. Where one begins with 2 to 9, as issued ones do, so does its pseudonym."""
-    digits = F.regexp_replace(token, "[^0-9]", "")
     n = F.length(digits)
     area, rest = F.substr(digits, n - 9, F.lit(3)).cast("long"), F.substr(digits, n - 6, F.lit(7)).cast("long")
     issued = lambda x, least: F.when(x >= 2 * least, 2 * least).when(x >= least, least).otherwise(0)
@@ -132,9 +133,8 @@ def _phone(token: Column, key: str) -> Column:
     return F.when(token.rlike(r"[(+]") | ((area >= 100) & (rest >= 1_000_000)), _put(token, F.concat(F.substr(digits, F.lit(1), n - 10), new))).otherwise(token)
 
 
-def _numbered(token: Column, key: str, tag: str, kept: int) -> Column:
+def _numbered(token: Column, digits: Column, key: str, tag: str, kept: int) -> Column:
     """``token`` with the digits after the first ``kept`` permuted by their number, where it has 8 to 15 digits."""
-    digits = F.regexp_replace(token, "[^0-9]", "")
     n = F.length(digits)
     lsize = F.floor((n - kept) / 2).cast("int")
     rsize = n - kept - lsize
@@ -219,16 +219,21 @@ def _email(token: Column, key: str) -> Column:
 
 def pseudonym(token: Column, key: str) -> Column:
     """The pseudonym of one finding, or the finding itself where validation fails."""
-    n = F.length(F.regexp_replace(token, "[^0-9]", ""))
+    digits = F.regexp_replace(token, "[^0-9]", "")
+    return F.transform(F.array(digits), lambda d: _by_format(token, d, key))[0]  # a lambda over one item: they are found once
+
+
+def _by_format(token: Column, digits: Column, key: str) -> Column:
+    kept = F.when(token.rlike(r"^\+1[0-9]{10}$"), 0).when(token.rlike(r"^\+") & ~token.rlike(f"^{PHONE}$"), 3).when(token.rlike(f"^{TRUNK}$"), 1).otherwise(0)
     return (
         F.when(token.contains("@"), _email(token, key))
         .when(token.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), _ipv4(token, key))
         .when(token.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn(token, key))
         .when(token.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})$"), _date(token, key))
-        .when(~token.rlike(r"[(+]") & (n >= 13), _card(token, key))
-        .when(token.rlike(r"^\+") & ~token.rlike(f"^{PHONE}$"), F.when(token.rlike(r"^\+1[0-9]{10}$"), _phone(token, key)).otherwise(_numbered(token, key, "abroad", 3)))
-        .when(token.rlike(f"^{TRUNK}$"), _numbered(token, key, "trunk", 1))
-        .otherwise(_phone(token, key))
+        .when(~token.rlike(r"[(+]") & (F.length(digits) >= 13), _card(token, digits, key))
+        .when(kept == 3, _numbered(token, digits, key, "abroad", 3))
+        .when(kept == 1, _numbered(token, digits, key, "trunk", 1))
+        .otherwise(_phone(token, digits, key))
     )
 
 
