@@ -94,6 +94,13 @@ def canonical_name(c: Column) -> Column:
     return collapse_ws(F.regexp_replace(bare, r"[\s,-]*(19|20)[0-9][0-9]\s*$", ""))
 
 
+def entity_title(c: Column) -> Column:
+    """As ``canonical_name``, but digits that belong to a name stay, as in a number that ends like a year: a year is what stands
+    apart from the name before it."""
+    bare = F.regexp_replace(c, r"[(（\[【][^)）\]】]*[)）\]】]", " ")
+    return collapse_ws(F.regexp_replace(bare, r"[\s,-]+(19|20)[0-9][0-9]\s*$", ""))
+
+
 def up_to_last(c: Column, close: str) -> Column:
     """A text up to the last match of ``close``, empty without one. A pattern that ends in ``close`` finds all its matches there,
     and none of its openings is left unclosed, so that it never reads on to the end of the text in vain."""

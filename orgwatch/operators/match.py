@@ -220,7 +220,7 @@ def match_wiki(entities: DataFrame, pages: DataFrame, redirects: DataFrame, cont
     sites = pages.select(key(F.col("title")).alias("_k"), "title", "wikitext", url.alias("url")).where("url is not null").where(~is_rejected_url(F.col("url")))
     sites = sites.groupBy("_k").agg(F.min(F.struct("title", "wikitext", "url")).alias("p")).select("_k", "p.*")
     moved = chain_ends(redirects.select(key(F.col("from")).alias("_from"), key(F.col("to")).alias("_to")), "_from", "_to")
-    named = entity_identity(entities).withColumn("_from", key(T.canonical_name(F.col("name")))).where("length(_from) between 1 and 100")
+    named = entity_identity(entities).withColumn("_from", key(T.entity_title(F.col("name")))).where("length(_from) between 1 and 100")
     joined = named.join(moved, "_from", "left").withColumn("_k", F.coalesce("_to", "_from")).join(sites, "_k")
     text = normalized(F.concat_ws(" ", "title", F.substring("wikitext", 1, context_chars)))
     joined = joined.withColumn("_c", F.size(F.filter("context", lambda t: _contains_token(text, t))))

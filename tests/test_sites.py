@@ -37,6 +37,16 @@ def test_official_site_query(spark):
     assert got["3"] == "Jane Doe official profile" and got["4"] == "X1 official website news press release"
 
 
+def test_wiki_title_of_a_name_with_a_number(spark):
+    """A number at the end of a name stays part of it, even where its last four digits look like a year."""
+    schema = "entity_id int, name string, website_url string, context array<string>, entity_type string"
+    entities = spark.createDataFrame([(1, "Maker#000001900", "", ["lab"], "高校"), (2, "Some Lab (SL), 2024", "", ["lab"], "高校")], schema)
+    sites = [("Maker#000001900", "| website = https://m.org/"), ("Maker#00000", "| website = https://no.org/"), ("Some_Lab", "| website = https://s.org/")]
+    pages = spark.createDataFrame(sites, "title string, wikitext string")
+    none = spark.createDataFrame([], "from string, to string")
+    assert {r.entity_id: r.url for r in match.match_wiki(entities, pages, none).collect()} == {1: "https://m.org/", 2: "https://s.org/"}
+
+
 def test_candidates_are_kept(spark):
     orgs = spark.createDataFrame([("a",), ("b",), ("c",)], "entity_id string")
     hits = spark.createDataFrame([("a", i, f"https://s{i % 10}.org/", False) for i in range(20)] + [("b", 1, "https://b.org/", True), ("a", 99, None, False)], "entity_id string, pos int, url string, accepted boolean")
