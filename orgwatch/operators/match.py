@@ -131,7 +131,7 @@ def official_site_query(df: DataFrame) -> DataFrame:
     """(entity_id, query) to find an entity's official site with, out of ``name, entity_type, route_kind, city, region`` and
     ``context`` (an array): its canonical name, up to three words of context, one place that is known, and what is looked for,
     by the kind of entity. A name with a Latin word is asked for without its Chinese part."""
-    name = T.canonical_name(F.col("name"))
+    name = T.entity_title(F.col("name"))
     latin = name.rlike("[A-Za-z]{2,}")
     asked = F.when(latin, F.regexp_replace(name, rf"[{T.WIDE_HAN}（）]", " ")).otherwise(name)
     kinds = F.create_map(*[F.lit(x) for kv in ROUTE_TERMS.items() for x in kv])

@@ -37,6 +37,13 @@ def test_official_site_query(spark):
     assert got["3"] == "Jane Doe official profile" and got["4"] == "X1 official website news press release"
 
 
+def test_official_site_query_of_a_name_with_a_number(spark):
+    rows = [("1", "Maker#000001900 （甲）", "公司"), ("2", "测试大学2001", "高校"), ("3", "Some Lab, 2024", "公司")]
+    df = spark.createDataFrame([(*r, None, None, None, None) for r in rows], "entity_id string, name string, entity_type string, route_kind string, city string, region string, context array<string>")
+    got = {r.entity_id: r.query for r in match.official_site_query(df).collect()}
+    assert got == {"1": "Maker#000001900 official website news press release", "2": "测试大学2001 官网", "3": "Some Lab official website news press release"}
+
+
 def test_wiki_title_of_a_name_with_a_number(spark):
     """A number at the end of a name stays part of it, even where its last four digits look like a year."""
     schema = "entity_id int, name string, website_url string, context array<string>, entity_type string"
