@@ -44,6 +44,13 @@ def test_body_text(page, want):
     assert markup.body_text(page) == want
 
 
+@pytest.mark.parametrize("said", ["&amp", "&ampmore", "&copy=1", "&#38", "&nosuch;"])
+def test_references_end_in_a_semicolon(said):
+    """What is cut off or unknown stays as it stands, in texts and in addresses."""
+    assert markup.body_text(f"<p>{said}</p> &amp;amp &copy;") == f"{said} &amp ©"
+    assert markup.links(f"<a href='/x?{said}'>{said}</a>") == [(f"/x?{said}", said)]
+
+
 def test_page_text_column(spark):
     df = spark.createDataFrame([(f"<p>{LONG}</p>",), (None,), ("",)], "html string")
     assert [r[0] for r in df.select(markup.page_text(F.col("html"), most=10)).collect()] == [LONG[:10], None, ""]
