@@ -462,7 +462,7 @@ _add(
 )
 _article = f"regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article\\b[^<>]*>(.*)</article>', 1), '(?is)<(script|style)\\b.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
 _add(
-    "x4_snippet_fallback", lambda s, d: extract.with_snippet_fallback(extract.extract_articles(_html(s, d)).dropDuplicates(["url"]), V.events(s, d).select(F.col("source_url").alias("url"), "title", "summary")).select("url", "title", "confidence"),
+    "x4_snippet_fallback", lambda s, d: extract.with_snippet_fallback(extract.first_articles(_html(s, d), "page_id"), V.events(s, d).select(F.col("source_url").alias("url"), "title", "summary")).select("url", "title", "confidence"),
     f"""SELECT source_url AS url, CASE WHEN n >= 120 THEN a.title ELSE e.title END AS title, CAST(CASE WHEN n >= 120 THEN 0.65 ELSE 0.2 END AS DOUBLE) AS confidence FROM v_event e
         LEFT JOIN (SELECT url, length({_plain(_article, '')}) AS n, {_plain("regexp_extract(html, '(?is)<h1\\b[^<>]*>(.*?)</h1>', 1)", '')} AS title FROM v_page QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) a ON a.url = e.source_url""",
 )

@@ -221,19 +221,27 @@ def article_details(pages: DataFrame) -> DataFrame:
     return pages.select("url", title.alias("title"), F.coalesce(meta(["description", "og:description"]), first).alias("summary"), meta(["article:published_time", "datePublished"]).alias("published"))
 
 
-def extract_articles(pages: DataFrame, least: int = 120) -> DataFrame:
+def extract_articles(pages: DataFrame, least: int = 120, key: str | None = None) -> DataFrame:
     """(url, title, publish_time, author, author_url, contents, platform, method, confidence, warnings): structured articles.
     Title, time and author come from JSON-LD, then meta fields, then tags. The body is what the rule of the page's platform
     finds (confidence 0.95), else what one of the general rules finds, whichever scores highest by its text, paragraphs and
     links (0.65); its items are paragraphs, ``##`` headings, ``•`` list items, images and videos, once each. Pages without a
-    title or with less than ``least`` characters of body give no row."""
+    title or with less than ``least`` characters of body give no row. ``key``: a column of whole numbers to keep, last."""
+    columns = [c.split()[0] for c in A.ARTICLE.split(", ")] + ([key] if key else [])
 
     def read(batches):
         for batch in batches:
-            found = [x for x in map(A.read_article, batch["url"], batch["html"], [least] * len(batch)) if x]
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in A.ARTICLE.split(", ")])
+            told = map(A.read_article, batch["url"], batch["html"], [least] * len(batch))
+            found = [x | {key: k} if key else x for x, k in zip(told, batch[key or "url"]) if x]
+            yield pd.DataFrame(found, columns=columns)
 
-    return pages.select("url", "html").mapInPandas(read, A.ARTICLE)
+    return pages.select("url", "html", *([key] if key else [])).mapInPandas(read, A.ARTICLE + (f", {key} long" if key else ""))
+
+
+def first_articles(pages: DataFrame, pos: str, least: int = 120) -> DataFrame:
+    """The article of each URL's first page by ``pos``; none where that page has none, whatever later pages of the URL have."""
+    first = pages.groupBy("url").agg(F.min(pos).alias(pos))
+    return extract_articles(pages, least, pos).join(first, ["url", pos], "left_semi")
 
 
 def with_snippet_fallback(articles: DataFrame, snippets: DataFrame) -> DataFrame:

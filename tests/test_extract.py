@@ -103,6 +103,13 @@ def test_body_rules(spark, url, page, method, platform):
     assert [c.content for c in rows[0].contents] == [LONG[3:-4]]
 
 
+def test_first_article_of_an_address(spark):
+    """Of several pages of an address the first one counts, and a reference that is cut off in a title stays as it stands."""
+    rows = [(f"https://a.org/{u}", f"<h1>{t}</h1><article>{LONG if whole else ''}</article>", n) for u, t, whole, n in [("1", "B", True, 2), ("1", "A &amp", True, 1), ("2", "C", False, 3), ("2", "D", True, 4)]]
+    got = extract.first_articles(spark.createDataFrame(rows, "url string, html string, n long").repartition(3), "n").collect()
+    assert [(r.url, r.title, r.n) for r in got] == [("https://a.org/1", "A &amp", 1)]
+
+
 def test_article_items(spark):
     ld = json.dumps([{"@type": "Organization"}, {"headline": "T", "author": "Cy"}])
     body = f"<ul><li><p>in a list</p><li>two</ul>{LONG}<video><source src='/v.mp4'></video><iframe src='https://v.org/e#x'></iframe><img src='i.png' alt='An i'><noscript><p>off</p></noscript>{LONG}"
