@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import urls as U
+from .storage import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,23 +20,26 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An organization for each host of a page."""
-    hosts = pages(spark, sf_dir).groupBy("host").agg(F.min("page_id").alias("doc_id"))
+    # Told once, so that its size is known: only the texts that are asked for are joined, the others never move.
+    hosts = written(pages(spark, sf_dir).groupBy("host").agg(F.min("page_id").alias("doc_id")))
     n, h = F.length("host"), F.col("host")
     site = F.when(n % 4 == 0, "https://elsewhere.example.org/").when(n % 9 == 0, F.lit(None)).otherwise(F.concat(F.lit("https://"), h))
     text = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("description"))
-    return hosts.join(text, "doc_id", "left").select(
+    return hosts.join(text.join(hosts.select("doc_id"), "doc_id", "left_semi"), "doc_id", "left").select(
         F.concat(F.lit("org-"), h).alias("entity_id"), h.alias("slug"), F.try_element_at(F.split(h, r"\."), F.lit(-3)).alias("name"), site.alias("website_url"), "description"
     )
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An event for each page, told at the time of the event with its id."""
+    """An event for each page, told at the time of the event with its id. Of a page only what is read out of it is joined."""
     ts = table(spark, sf_dir, "events").select(F.col("event_id").alias("page_id"), "ts")
     p = F.col("page_id")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("news", "announcement", "research report", "media", "partnership")]), (p % 5 + 1).cast("int"))
-    return pages(spark, sf_dir).join(ts, "page_id").select(
-        p.alias("id"), F.concat(F.lit("org-"), F.col("host")).alias("organization_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
-        F.regexp_extract("html", "<p>([^<]*)</p>", 1).alias("summary"), F.lit(None).cast("string").alias("translated_title"), F.lit(None).cast("string").alias("translated_description"),
+    read = pages(spark, sf_dir).select(
+        "page_id", "url", "host", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<p>([^<]*)</p>", 1).alias("summary")
+    )
+    return read.join(ts, "page_id").select(
+        p.alias("id"), F.concat(F.lit("org-"), F.col("host")).alias("organization_id"), "title", "summary", F.lit(None).cast("string").alias("translated_title"), F.lit(None).cast("string").alias("translated_description"),
         F.when(p % 11 == 0, "unknown").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("event_date"), kind.alias("event_type"), (p % 10 + 1).cast("int").alias("relevance_score"),
         F.col("url").alias("source_url"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
     )

@@ -11,6 +11,7 @@ from ..functions import urls as U
 from ..operators import predicates as P
 from ..operators.extract import sitemap_locations
 from ..operators.patterns import find_patterns
+from ..storage import written
 from .cleaning import resolve_tags
 
 #: Fixed values.
@@ -76,14 +77,19 @@ def lookup_institutions(orgs: DataFrame, events: DataFrame, queries: DataFrame,
     institution asked for, at most ``limit``, each with at most ``per_org`` of its newest events. Of the joined rows only the
     first ``4 * limit`` count, unless ``complete``.
 
-    All questions are looked for in one pass over the organizations' texts, and only true hits become rows.
+    All questions are looked for in one pass over the organizations' texts, and only true hits become rows. What cannot be among
+    the first rows of a question goes before the join: later organizations, and older events than an organization can give.
     """
-    from ..operators.topk import newest
+    from ..operators.topk import first_per_group, newest
 
-    wanted = queries.select("query", F.lower(P.institution_query(F.col("query"))).alias("_q")).where("_q <> ''").distinct()
+    wanted = written(queries.select("query", F.lower(P.institution_query(F.col("query"))).alias("_q")).where("_q <> ''").distinct())
     text = F.lower(F.concat_ws("\n", *[F.col(c) for c in ("name", "original_name", "description", "summary") if c in orgs.columns]))
     hit = find_patterns(orgs.select("entity_id", "name", text.alias("_t")), "_t", wanted, "_q").join(wanted, "_q").select("query", "entity_id", "name")
-    rows = hit.join(events.select(F.col("organization_id").alias("entity_id"), "id", "title", "event_date", "created_at"), "entity_id", "left")
+    if not complete:
+        hit = first_per_group(hit, ["query"], [F.col("name"), F.col("entity_id")], 4 * limit, "_h").drop("_h")  # each gives a row at least
+    told = events.select(F.col("organization_id").alias("entity_id"), "id", "title", "event_date", "created_at")
+    told = first_per_group(told, ["entity_id"], newest(), per_org if complete else max(per_org, 4 * limit), "_h").drop("_h")
+    rows = hit.join(told, "entity_id", "left")
     if not complete:
         order = [F.col("name"), F.col("entity_id"), *newest()]
         rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("_r") <= 4 * limit)
