@@ -1,28 +1,23 @@
-"""Functions that need Unicode decomposition, for which Spark has no expression, and one on pairs of texts.
-
-ASCII rows never leave the JVM: the Python function is applied to the rest only, by batches.
-"""
+"""Functions that need Unicode decomposition, and one on pairs of texts, in Python by batches."""
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import IntegerType
 
 from .text import WIDE_HAN, up_to_last
 
 
-@F.pandas_udf(StringType())
-def _decomposed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+def decomposed(c: Column) -> Column:
+    """Compatibility decomposition by the Unicode library that Spark brings along: a text at a time, without Python."""
+    return F.when(c.isNotNull(), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), c, F.lit(True)))
 
 
 def nfkd(c: Column) -> Column:
     """Compatibility decomposition without combining marks."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(_decomposed(c), r"\p{M}+", "")).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(decomposed(c), r"\p{M}+", "")).otherwise(c)
 
 
 def norm_ascii_han(c: Column) -> Column:
@@ -36,7 +31,7 @@ def compact(c: Column) -> Column:
 
 def norm_letters(c: Column) -> Column:
     """Lower case without tags; letters and digits of any script; single spaces."""
-    # As text.drop_tags, but without a lambda: Spark does not take a Python function out of an expression over one.
+    # As text.drop_tags, but without a lambda, inside which nothing is compiled.
     head = up_to_last(c, ">")
     bare = F.concat(F.regexp_replace(head, "<[^>]*>", " "), F.substr(c, F.length(head) + 1))
     return F.trim(F.regexp_replace(F.lower(nfkd(bare)), r"[^\p{L}\p{N}]+", " "))

@@ -7,8 +7,7 @@ batches. ``register_tables(spark)`` adds table functions.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from . import article, dates, markup, normalize, text, urls
 FUNCTIONS: dict[str, tuple[str, Callable[..., Column]]] = {
     "collapse_ws": ("c STRING", text.collapse_ws),
     "strip_controls": ("c STRING", text.strip_controls),
+    "nfkd": ("c STRING", normalize.decomposed),
     "norm_ascii_han": ("c STRING", normalize.norm_ascii_han),
     "norm_letters": ("c STRING", normalize.norm_letters),
     "title_key": ("c STRING", text.title_key),
@@ -61,7 +61,7 @@ FUNCTIONS: dict[str, tuple[str, Callable[..., Column]]] = {
     "suggested_name": ("note STRING", lambda c: text.note_field(c, "suggested_name")),
     "structured_title": ("c STRING", lambda c: views.structured_field(c, "title", F.lit(""))),
 }
-PYTHON = {"nfkd": normalize._decomposed, "lcs_len": normalize.lcs_len, "body_text": None}
+PYTHON = {"lcs_len": normalize.lcs_len, "body_text": None}
 
 _INFIX = {"=", "<=>", "<", "<=", ">", ">=", "and", "or", "+", "-", "*", "/", "%", "rlike", "like", "ilike"}
 
@@ -99,21 +99,10 @@ def _sql(node) -> str:
     return node.sql()
 
 
-@contextmanager
-def _python_by_name() -> Iterator[None]:
-    """Inside, expressions call the Python functions by their names in SQL."""
-    own, normalize._decomposed = normalize._decomposed, lambda c: F.call_function("nfkd", c)
-    try:
-        yield
-    finally:
-        normalize._decomposed = own
-
-
 def sql_body(name: str) -> str:
     """The body of a function of ``FUNCTIONS`` as an SQL expression over its parameters."""
     parameters, form = FUNCTIONS[name]
-    with _python_by_name():
-        made = form(*[F.col(p.split()[0]) for p in parameters.split(", ")])
+    made = form(*[F.col(p.split()[0]) for p in parameters.split(", ")])
     return _sql(made._jc.node())
 
 

@@ -1,8 +1,11 @@
 """What moves between tasks, and what a task holds, on larger tables."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from orgwatch import demo as V
+from orgwatch.functions import normalize as N
 from orgwatch.plans import audit
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +39,16 @@ def test_lookup_joins_the_newest_events_alone(spark):
     assert got == {("of Things", 1): ("o0", newest), ("Lab 7", 1): ("o7", []), ("Lab 0 of", 1): ("o0", newest)}
     every = audit.lookup_institutions(orgs, events, asked, complete=True).where("query = 'of Things'").collect()
     assert sorted((r.place, r.entity_id) for r in every) == [(1, "o0"), (2, "o1"), (3, "o10")]
+
+
+def test_decomposition_without_python(spark):
+    """Whole texts never go to Python, and come out as Unicode's data has it."""
+    texts = [chr(i) for i in (*range(0x80, 0x250), *range(0x1E00, 0x2000), 0xFB01, 0xFF21, 0xAC00)] + ["Ébauche ﬁn ½ 한글 Å", "<b>Ünï</b> plain", "plain", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    made = df.select("i", N.nfkd(F.col("t")).alias("n"), N.norm_letters(F.col("t")).alias("l"))
+    assert "Python" not in _plan(made)
+    got = {r.i: r for r in made.collect()}
+    for i, t in enumerate(texts):
+        if t is not None and unicodedata.category(t[:1] or "x") != "Cn":
+            assert got[i].n == "".join(x for x in unicodedata.normalize("NFKD", t) if unicodedata.category(x)[0] != "M")
+    assert (got[len(texts) - 4].l, got[len(texts) - 1].n) == ("uni plain", None)
