@@ -45,10 +45,10 @@ def test_decomposition_without_python(spark):
     """Whole texts never go to Python, and come out as Unicode's data has it."""
     texts = [chr(i) for i in (*range(0x80, 0x250), *range(0x1E00, 0x2000), 0xFB01, 0xFF21, 0xAC00)] + ["Ébauche ﬁn ½ 한글 Å", "<b>Ünï</b> plain", "plain", "", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
-    made = df.select("i", N.nfkd(F.col("t")).alias("n"), N.norm_letters(F.col("t")).alias("l"))
+    made = df.select("i", N.nfkd(F.col("t")).alias("n"), N.norm_letters(F.col("t")).alias("l"), N.slug(F.col("t")).alias("s"))
     assert "Python" not in _plan(made)
     got = {r.i: r for r in made.collect()}
     for i, t in enumerate(texts):
         if t is not None and unicodedata.category(t[:1] or "x") != "Cn":
             assert got[i].n == "".join(x for x in unicodedata.normalize("NFKD", t) if unicodedata.category(x)[0] != "M")
-    assert (got[len(texts) - 4].l, got[len(texts) - 1].n) == ("uni plain", None)
+    assert (got[len(texts) - 4].l, got[len(texts) - 5].s, got[len(texts) - 1].n) == ("uni plain", "ebauche-fin-1-2-a", None)
