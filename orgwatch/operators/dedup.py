@@ -69,15 +69,18 @@ def _containments(keys: DataFrame, gram: int = 4) -> DataFrame:
     """(_group, _key, _other) in both directions for every two different keys of a group of which one contains the other.
 
     Keys meet by the rarest of their grams: it stands in every key that contains them. Of a key shorter than a gram it is the
-    key itself."""
-    n = F.length("_key")
+    key itself. Grams move as hashes with a number for their key; texts are looked up for what meets, and compared as a whole."""
+    told, n = written(keys.withColumn("_id", F.monotonically_increasing_id())), F.length("_key")
     overlapping = lambda size: F.array_distinct(F.regexp_extract_all("_key", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-    held = F.array_distinct(F.flatten(F.array(*[overlapping(size) for size in range(1, gram + 1)])))
-    posted = written(keys.select("_group", F.col("_key").alias("_other"), F.explode(held).alias("_gram")))
-    counts = posted.groupBy("_group", "_gram").agg(F.count("*").alias("_n"))
-    own = keys.select("_group", "_key", F.explode(F.when(n < gram, F.array("_key")).otherwise(overlapping(gram))).alias("_gram"))
-    rarest = own.join(counts, ["_group", "_gram"]).groupBy("_group", "_key").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
-    met = rarest.join(posted, ["_group", "_gram"]).where((F.col("_key") != F.col("_other")) & F.contains("_other", "_key")).select("_group", "_key", "_other")
+    hashed = lambda number, grams: told.select("_id", "_group", F.explode(grams).alias("_g")).select(F.col("_id").alias(number), F.xxhash64("_group", "_g").alias("_gram"))
+    posted = written(hashed("_to", F.array_distinct(F.flatten(F.array(*[overlapping(size) for size in range(1, gram + 1)])))))
+    counts = posted.groupBy("_gram").agg(F.count("*").alias("_n"))
+    own = hashed("_id", F.when(n < gram, F.array("_key")).otherwise(overlapping(gram)))
+    rarest = own.join(counts, "_gram").groupBy("_id").agg(F.min_by("_gram", "_n").alias("_gram"))
+    near = rarest.join(posted, "_gram").where("_id <> _to").select("_id", "_to")
+    other = told.select(F.col("_id").alias("_to"), F.col("_group").alias("_own"), F.col("_key").alias("_other"))
+    both = near.join(other, "_to").join(told, "_id").where((F.col("_group") == F.col("_own")) & F.contains("_other", "_key"))
+    met = both.select("_group", "_key", "_other")
     return met.unionByName(met.select("_group", F.col("_other").alias("_key"), F.col("_key").alias("_other")))
 
 

@@ -1,11 +1,14 @@
 """What moves between tasks, and what a task holds, on larger tables."""
 
+import json
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from orgwatch import demo as V
 from orgwatch.functions import normalize as N
+from orgwatch.operators import dedup, model_io
 from orgwatch.plans import audit
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +55,30 @@ def test_decomposition_without_python(spark):
         if t is not None and unicodedata.category(t[:1] or "x") != "Cn":
             assert got[i].n == "".join(x for x in unicodedata.normalize("NFKD", t) if unicodedata.category(x)[0] != "M")
     assert (got[len(texts) - 4].l, got[len(texts) - 5].s, got[len(texts) - 1].n) == ("uni plain", "ebauche-fin-1-2-a", None)
+
+
+def test_answers_are_read_once_and_given_on_in_parts(spark, monkeypatch):
+    """An answer that holds as a whole is parsed once, and its items leave in parts."""
+    items = [{"title": f"t{i}", "summary": "s", "url": "https://a.org/[1]", "relevance_score": 5} for i in range(2500)]
+    parts = list(model_io._item_rows(iter([pa.record_batch({"organization_id": ["a", "b", "c"], "response": [json.dumps(items), None, json.dumps(items[:1])]})])))
+    assert [p.num_rows for p in parts] == [1000, 1000, 500, 1] and parts[2].column("item_no").to_pylist() == list(range(2000, 2500))
+    answers = spark.createDataFrame([(7, "see " + json.dumps(items)), (8, "none")], "organization_id long, response string")
+    got = model_io.parse_event_responses(answers)
+    assert got.columns == ["organization_id", "level", "item_no", "title", "summary", "url", "event_date", "event_type", "relevance_score"]
+    assert sorted((r.organization_id, r.level, r.item_no, r.title) for r in got.collect()) == [(7, "cleaned", i, f"t{i}") for i in range(2500)]
+    calls, loads = [], json.loads
+    monkeypatch.setattr(model_io.json, "loads", lambda t: calls.append(t) or loads(t))
+    assert model_io._parse(json.dumps(items))["level"] == "direct" and len(calls) == 1
+
+
+def test_grams_move_without_texts(spark, monkeypatch):
+    """What is written for each gram of a key are numbers; what contains what is as by comparing all keys."""
+    seen, real = [], dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df: seen.append(df.schema) or real(df))
+    texts = ["a", "ab", "abcd", "xabcdx", "bcd", "zzz", "zz", "abcde", "Ünï"]
+    keys = spark.createDataFrame([(g, t) for g in ("o", "p") for t in texts if g == "o" or len(t) > 2], "g string, _key string").select(F.struct("g", F.lit(False).alias("none")).alias("_group"), "_key")
+    got = [(r._group.g, r._key, r._other) for r in dedup._containments(keys).collect()]
+    rows = [(r._group.g, r._key) for r in keys.collect()]
+    assert sorted(set(got)) == sorted((g, a, b) for g, a in rows for h, b in rows if g == h and a != b and (a in b or b in a))
+    posted = [s for s in seen if "_gram" in s.names]
+    assert posted and all(f.dataType.typeName() == "long" for s in posted for f in s)
