@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,12 +97,16 @@ def _parse(answer: str | None) -> dict:
         whole = load(whole) or whole
     if isinstance(whole, dict):
         whole = whole["candidates"] if isinstance(whole.get("candidates"), list) else [whole]
-    tries = [("direct", whole)]
-    fence = _FENCE.search(text)
-    tries += [("markdown", load(fence[1]))] if fence else []
-    for part in _arrays(text):
-        tries += [("cleaned", load(part)), ("repaired", load(_LOOSE_COMMA.sub(r"\1", part)))]
-    for level, items in tries:
+
+    def tries() -> Iterator[tuple[str, object]]:
+        yield "direct", whole
+        if fence := _FENCE.search(text):
+            yield "markdown", load(fence[1])
+        for part in _arrays(text):
+            yield "cleaned", load(part)
+            yield "repaired", load(_LOOSE_COMMA.sub(r"\1", part))
+
+    for level, items in tries():  # each is read only where those before it do not hold
         good = _valid(items)
         if good is not None:
             return {"items": good, "level": level}
@@ -116,9 +121,23 @@ def parse_event_response(answers: pd.Series) -> pd.DataFrame:
 
 
 def parse_event_responses(answers: DataFrame) -> DataFrame:
-    """``answers`` (organization_id, response): a row for each item, with the level at which the answer could be read."""
-    parsed = answers.withColumn("_p", parse_event_response(F.col("response")))
-    return parsed.select("organization_id", F.col("_p.level").alias("level"), F.posexplode("_p.items").alias("item_no", "_i")).select("organization_id", "level", "item_no", "_i.*")
+    """``answers`` (organization_id, response): a row for each item, with the level at which the answer could be read. A task
+    holds one parsed answer at a time and gives its items on in parts."""
+    schema = T.StructType([answers.schema["organization_id"], T.StructField("level", T.StringType()), T.StructField("item_no", T.IntegerType()), *ITEM.fields])
+    return answers.select("organization_id", "response").mapInArrow(_item_rows, schema)
+
+
+def _item_rows(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            parsed = _parse(batch.column(1)[at].as_py())
+            items = parsed["items"] or []
+            for begin in range(0, len(items), most):
+                part = items[begin : begin + most]
+                owner = batch.column(0).take(pa.array([at] * len(part), pa.int64()))
+                columns = [pa.array([x[f.name] for x in part], pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in ITEM]
+                level, number = pa.array([parsed["level"]] * len(part), pa.string()), pa.array(range(begin, begin + len(part)), pa.int32())
+                yield pa.RecordBatch.from_arrays([owner, level, number, *columns], names=[batch.schema.names[0], "level", "item_no", *ITEM.names])
 
 
 def score_filter(items: DataFrame, candidates: DataFrame, today: str, days: int = 30, least: int = 4) -> DataFrame:
