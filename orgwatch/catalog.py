@@ -556,9 +556,10 @@ _add(
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    """Answers of several shapes, made of the events themselves."""
+    """Answers of several shapes, made of the events themselves: each is about at most 1,000 events of an organization,
+    as a request has so many candidates and not all that the organization ever had."""
     item = F.struct("title", "summary", F.col("source_url").alias("url"), "relevance_score", F.when(F.col("id") % 3 == 0, F.col("event_date")).alias("event_date"), F.lit("report").alias("event_type"))
-    listed = V.events(spark, d).where("title <> '' and summary <> ''").groupBy("organization_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("j"))
+    listed = V.events(spark, d).where("title <> '' and summary <> ''").groupBy("organization_id", F.floor(F.col("id") / 1000)).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("j"))
     n, j = F.length("organization_id") % 4, F.col("j")
     return listed.select("organization_id", F.when(n == 0, j).when(n == 1, F.concat(F.lit("Here:\n```json\n"), j, F.lit("\n```"))).when(n == 2, F.concat(F.lit("I found "), j, F.lit(" in all."))).otherwise(F.concat(F.lit('{"candidates":'), j, F.lit("}"))).alias("response"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
@@ -64,55 +65,113 @@ def _arrays(text: str) -> Iterator[str]:
         yield text[at : ends[at]]
 
 
+def _item(x: object) -> dict | None:
+    """An item in our columns, if it holds to the schema."""
+    if not isinstance(x, dict) or set(x) - KEYS or ("relevanceScore" in x) == ("relevance_score" in x):
+        return None
+    if ("eventDate" in x and "event_date" in x) or ("eventType" in x and "event_type" in x):
+        return None
+    score, date, kind = (x.get(a, x.get(b)) for a, b in (("relevanceScore", "relevance_score"), ("eventDate", "event_date"), ("eventType", "event_type")))
+    told = [x.get(k) for k in ("title", "summary", "url")]
+    texts = all(isinstance(t, str) and t.strip() for t in told) and re.match(r"\s*https?://[^/\s]", told[2], re.I)
+    whole = isinstance(score, (int, float)) and not isinstance(score, bool) and 1 <= score <= 10 and score == int(score)
+    if not texts or not whole or not (date is None or isinstance(date, str)) or not (kind is None or (isinstance(kind, str) and kind.strip())):
+        return None
+    return {"title": told[0], "summary": told[1], "url": told[2], "event_date": date, "event_type": kind, "relevance_score": int(score)}
+
+
 def _valid(items: object) -> list[dict] | None:
     """The items, in our columns, of a list in which every item holds to the schema; else None."""
     if not isinstance(items, list):
         return None
     out = []
     for x in items:
-        if not isinstance(x, dict) or set(x) - KEYS or ("relevanceScore" in x) == ("relevance_score" in x):
+        if (good := _item(x)) is None:
             return None
-        if ("eventDate" in x and "event_date" in x) or ("eventType" in x and "event_type" in x):
-            return None
-        score, date, kind = (x.get(a, x.get(b)) for a, b in (("relevanceScore", "relevance_score"), ("eventDate", "event_date"), ("eventType", "event_type")))
-        told = [x.get(k) for k in ("title", "summary", "url")]
-        texts = all(isinstance(t, str) and t.strip() for t in told) and re.match(r"\s*https?://[^/\s]", told[2], re.I)
-        whole = isinstance(score, (int, float)) and not isinstance(score, bool) and score == int(score) and 1 <= score <= 10
-        if not texts or not whole or not (date is None or isinstance(date, str)) or not (kind is None or (isinstance(kind, str) and kind.strip())):
-            return None
-        out.append({"title": told[0], "summary": told[1], "url": told[2], "event_date": date, "event_type": kind, "relevance_score": int(score)})
+        out.append(good)
     return out
 
 
-def _parse(answer: str | None) -> dict:
-    def load(text: str) -> object:
-        try:
-            return json.loads(text)
-        except (ValueError, RecursionError):
-            return None
+def _load(text: str) -> object:
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None
 
-    text = (answer or "").strip()
+
+_OPENED = re.compile(r'[ \t\n\r]*(\{[ \t\n\r]*"candidates"[ \t\n\r]*:[ \t\n\r]*)?\[[ \t\n\r]*')
+_COMMA = re.compile(r"[ \t\n\r]*,[ \t\n\r]*")
+_CLOSED = re.compile(r"[ \t\n\r]*\][ \t\n\r]*(\}[ \t\n\r]*)?\Z")
+
+
+def _one_by_one(text: str) -> Iterator[dict]:
+    """The items, in our columns, of a JSON array or of an object of nothing but candidates, of which one is held at a time;
+    ValueError where the text is neither or an item does not hold to the schema."""
+    begin, decode = _OPENED.match(text), json.JSONDecoder().raw_decode
+    closed = lambda: (end := _CLOSED.match(text, at)) and bool(end[1]) == bool(begin[1])
+    at = begin.end() if begin else 0
+    if begin and closed():
+        return
+    while begin:
+        x, at = decode(text, at)
+        if (good := _item(x)) is None:
+            break
+        yield good
+        if closed():
+            return
+        if not (comma := _COMMA.match(text, at)):
+            break
+        at = comma.end()
+    raise ValueError("no list of items")
+
+
+def _unheld(text: str) -> object:
+    """As ``_load``, but where the items can be had one by one, a function that does so, after a pass that holds none of them."""
+    try:
+        for _ in _one_by_one(text):
+            pass
+        return partial(_one_by_one, text)
+    except (ValueError, RecursionError):
+        begin = _OPENED.match(text)
+        return None if begin and not begin[1] else _load(text)
+
+
+def _tries(text: str, load: Callable[[str], object]) -> Iterator[tuple[str, object]]:
+    """(level, what may be the items), each read only where those before it do not hold."""
     whole = load(text) if text else None
     if isinstance(whole, str) and whole.strip()[:1] in ("{", "["):
         whole = load(whole) or whole
     if isinstance(whole, dict):
         whole = whole["candidates"] if isinstance(whole.get("candidates"), list) else [whole]
+    yield "direct", whole
+    if fence := _FENCE.search(text):
+        yield "markdown", load(fence[1])
+    for part in _arrays(text):
+        yield "cleaned", load(part)
+        yield "repaired", load(_LOOSE_COMMA.sub(r"\1", part))
 
-    def tries() -> Iterator[tuple[str, object]]:
-        yield "direct", whole
-        if fence := _FENCE.search(text):
-            yield "markdown", load(fence[1])
-        for part in _arrays(text):
-            yield "cleaned", load(part)
-            yield "repaired", load(_LOOSE_COMMA.sub(r"\1", part))
 
-    for level, items in tries():  # each is read only where those before it do not hold
+def _parse(answer: str | None) -> dict:
+    text = (answer or "").strip()
+    for level, items in _tries(text, _load):
         good = _valid(items)
         if good is not None:
             return {"items": good, "level": level}
     return {"items": None, "level": "failed" if text else "empty"}
 
 
+def _read(answer: str | None) -> tuple[str | None, Iterator[dict]]:
+    """As ``_parse``, with the items one by one, for answers of any length."""
+    for level, items in _tries((answer or "").strip(), _unheld):
+        # An object in a fence or in brackets is no list, with or without candidates.
+        if isinstance(items, partial):
+            if level == "direct" or not _OPENED.match(items.args[0])[1]:
+                return level, items()
+        elif (good := _valid(items)) is not None:
+            return level, iter(good)
+    return None, iter(())
+
+
 @F.pandas_udf(PARSED)
 def parse_event_response(answers: pd.Series) -> pd.DataFrame:
     """(items, level) of each answer: plain JSON, JSON in a string, a wrapper or one object, a fenced block, an array inside
@@ -122,22 +181,34 @@ def parse_event_response(answers: pd.Series) -> pd.DataFrame:
 
 def parse_event_responses(answers: DataFrame) -> DataFrame:
     """``answers`` (organization_id, response): a row for each item, with the level at which the answer could be read. A task
-    holds one parsed answer at a time and gives its items on in parts."""
+    holds the text of an answer, reads its items one by one and gives them on in parts."""
     schema = T.StructType([answers.schema["organization_id"], T.StructField("level", T.StringType()), T.StructField("item_no", T.IntegerType()), *ITEM.fields])
     return answers.select("organization_id", "response").mapInArrow(_item_rows, schema)
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``most`` items. A part takes in the next answer while it is not half full, so that short ones share."""
+
+    def part(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        places, levels, numbers, items = zip(*rows)
+        owner = batch.column(0).take(pa.array(places, pa.int64()))
+        columns = [pa.array([x[f.name] for x in items], pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in ITEM]
+        return pa.RecordBatch.from_arrays([owner, pa.array(levels, pa.string()), pa.array(numbers, pa.int32()), *columns], names=[batch.schema.names[0], "level", "item_no", *ITEM.names])
+
     for batch in batches:
+        rows = []
         for at in range(batch.num_rows):
-            parsed = _parse(batch.column(1)[at].as_py())
-            items = parsed["items"] or []
-            for begin in range(0, len(items), most):
-                part = items[begin : begin + most]
-                owner = batch.column(0).take(pa.array([at] * len(part), pa.int64()))
-                columns = [pa.array([x[f.name] for x in part], pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in ITEM]
-                level, number = pa.array([parsed["level"]] * len(part), pa.string()), pa.array(range(begin, begin + len(part)), pa.int32())
-                yield pa.RecordBatch.from_arrays([owner, level, number, *columns], names=[batch.schema.names[0], "level", "item_no", *ITEM.names])
+            level, items = _read(batch.column(1)[at].as_py())
+            for number, x in enumerate(items):
+                rows.append((at, level, number, x))
+                if len(rows) == most:
+                    yield part(batch, rows)
+                    rows = []
+            if 2 * len(rows) >= most:
+                yield part(batch, rows)
+                rows = []
+        if rows:
+            yield part(batch, rows)
 
 
 def score_filter(items: DataFrame, candidates: DataFrame, today: str, days: int = 30, least: int = 4) -> DataFrame:

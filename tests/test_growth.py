@@ -1,11 +1,14 @@
 """What moves between tasks, and what a task holds, on larger tables."""
 
 import json
+import tracemalloc
 import unicodedata
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from orgwatch import catalog
 from orgwatch import demo as V
 from orgwatch.functions import normalize as N
 from orgwatch.operators import dedup, model_io
@@ -71,6 +74,48 @@ def test_answers_are_read_once_and_given_on_in_parts(spark, monkeypatch):
     assert model_io._parse(json.dumps(items))["level"] == "direct" and len(calls) == 1
 
 
+@pytest.mark.parametrize("shape", ["{}", '{{"candidates": {}}}', "so:\n```json\n{}\n```", "I found {} in all.", "repaired {}"])
+def test_long_answers_are_read_item_by_item(shape):
+    """Beside copies of an answer's text, memory does not grow with its items."""
+    items = [{"title": f"t{i} [x]", "summary": "s", "url": "https://a.org/", "relevance_score": 5, "event_date": None, "event_type": "report"} for i in range(30_000)]
+    text = shape.format(json.dumps(items))
+    if shape.startswith("repaired"):
+        text = text[:-1] + ",]"
+    batch = pa.record_batch({"organization_id": ["a"], "response": [text]})
+    tracemalloc.start()
+    n = sum(p.num_rows for p in model_io._item_rows(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(items)
+    assert peak < 4 * len(text) + 4_000_000
+    level, read = model_io._read(text)
+    whole = model_io._parse(text)
+    assert list(read) == whole["items"] and level == whole["level"]
+
+
+def test_read_as_parsed_whole():
+    """Odd answers come out one by one as they do when they are parsed as a whole; a score that is no number fails them."""
+    item = {"title": "T", "summary": "S", "url": "https://a.org/x", "relevance_score": 7}
+    j = json.dumps([item, item])
+    odd = ["[]", '"[]"', "[,]", j + "x", j[:-1] + ",]", f'{{"candidates":{j},"candidates":[]}}', f'{{"candidates":{j}', f'{{"a":1,"candidates":{j}}}', json.dumps(j), json.dumps(item), f'```{{"candidates":{j}}}```', f"[1] {j}", None, " "]
+    odd += [f'[{json.dumps(item)}, {json.dumps(item).replace("7", x)}]' for x in ("NaN", "Infinity", "1e999", "7.0", "true")]
+    for text in odd:
+        whole, (level, read) = model_io._parse(text), model_io._read(text)
+        read = list(read)
+        assert read == (whole["items"] or []) and (not read or level == whole["level"]), text
+    assert [model_io._parse(t)["level"] for t in odd[-5:-2]] == ["failed"] * 3
+
+
+def test_answers_do_not_grow_with_an_organization(spark, tmp_path):
+    """One organization with 5,000 events has several answers, with each event in one of them."""
+    ids = spark.range(5000)
+    ids.select(F.col("id").alias("page_id"), F.concat(F.lit("https://a.org/"), "id").alias("url"), F.lit("<title>t</title><p>s</p>").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    ids.select(F.col("id").alias("event_id"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    sizes = [r.n for r in catalog._answers(spark, str(tmp_path)).select((F.size(F.split("response", '"title"')) - 1).alias("n")).collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 1000
+    assert catalog.QUERIES["l2_parse_responses"](spark, str(tmp_path)).distinct().count() == 5000
+
+
 def test_grams_move_without_texts(spark, monkeypatch):
     """What is written for each gram of a key are numbers; what contains what is as by comparing all keys."""
     seen, real = [], dedup.written
