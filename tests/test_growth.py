@@ -60,6 +60,13 @@ def test_decomposition_without_python(spark):
     assert (got[len(texts) - 4].l, got[len(texts) - 5].s, got[len(texts) - 1].n) == ("uni plain", "ebauche-fin-1-2-a", None)
 
 
+@pytest.mark.parametrize("name", ["f3_norm_ascii_han", "f4_norm_letters", "f8_slug"])
+def test_queries_of_whole_texts_stay_where_they_read(spark, name):
+    """The queries that decompose whole texts read and map: nothing goes to Python, and nothing moves between tasks."""
+    plan = _plan(catalog.QUERIES[name](spark, SF))
+    assert "Python" not in plan and "Exchange" not in plan
+
+
 def test_answers_are_read_once_and_given_on_in_parts(spark, monkeypatch):
     """An answer that holds as a whole is parsed once, and its items leave in parts."""
     items = [{"title": f"t{i}", "summary": "s", "url": "https://a.org/[1]", "relevance_score": 5} for i in range(2500)]
