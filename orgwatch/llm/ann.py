@@ -217,7 +217,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, sample: int = 2000,
     if not few.isEmpty():
         everything = rows.withColumn("tbl", F.lit(0)), few.withColumn("tbl", F.lit(0))
         top = _top(hits.unionByName(_by_blocks(*everything, ["tbl"], k + 1, block)), k + 1)
-    pairs = asked.select(F.col("vec_id").alias("query_id"), "vector").join(distinct, "vector").select("query_id", "qrep").join(top.drop("rank"), "qrep").where("query_id <> vec_id")
+    pairs = asked.select(F.col("vec_id").alias("query_id"), "vector").join(distinct.hint("merge"), "vector").select("query_id", "qrep").join(top.drop("rank"), "qrep").where("query_id <> vec_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -230,13 +230,18 @@ def _top(hits: DataFrame, keep: int) -> DataFrame:
 
 
 def _by_blocks(stored: DataFrame, visits: DataFrame, keys: list[str], keep: int, block: int) -> DataFrame:
-    """Compare the queries of each region with its rows, in blocks of about ``block`` of either."""
-    sizes = stored.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_rows"))
-    asked = visits.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_queries"))
-    cuts = sizes.join(asked, keys)  # regions that hold rows and are visited
-    across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    rows = stored.join(cuts, keys).withColumn("_r", F.pmod(F.xxhash64("vec_id"), F.col("_rows"))).withColumn("_q", across("_queries"))
-    asks = visits.join(cuts, keys).withColumn("_q", F.pmod(F.xxhash64("qrep"), F.col("_queries"))).withColumn("_r", across("_rows"))
+    """Compare the queries of each region with its rows, in blocks of about ``block`` of either.
+
+    Spark takes visits for as large as the queries that they are made of, which are hundreds of times smaller, and would
+    send them to all tasks through the driver. So they and the rows stand on the left of left joins, of which only the
+    right side can be sent, and the numbers of blocks on the right, counted and written before."""
+    ones = lambda df, r, q: df.select(*keys, F.lit(r).alias("_rows"), F.lit(q).alias("_queries"))
+    cuts = ones(stored, 1, 0).union(ones(visits, 0, 1)).groupBy(*keys).agg(*[F.ceil(F.sum(c) / block).alias(c) for c in ("_rows", "_queries")])
+    cuts = cut_lineage(cuts.where("_rows > 0 and _queries > 0"))  # regions that hold rows and are visited
+    # Not explode(): with it Spark would make an inner join of the left one.
+    across = lambda n: F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = stored.join(cuts, keys, "left").withColumn("_r", F.pmod(F.xxhash64("vec_id"), F.col("_rows"))).withColumn("_q", across("_queries")).where("_q is not null")
+    asks = visits.join(cuts, keys, "left").withColumn("_q", F.pmod(F.xxhash64("qrep"), F.col("_queries"))).withColumn("_r", across("_rows")).where("_r is not null")
     by = [*keys, "_r", "_q"]
     left = asks.select(*by, "qrep", "vector", *[c for c in ("buckets",) if c in visits.columns]).groupBy(*by)
     right = rows.select(*by, "vec_id", "vector", *[c for c in ("bucket",) if c in stored.columns]).groupBy(*by)

@@ -1,9 +1,11 @@
 """What moves between tasks, and what a task holds, on larger tables."""
 
 import json
+import re
 import tracemalloc
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from orgwatch import catalog
 from orgwatch import demo as V
 from orgwatch.functions import normalize as N
+from orgwatch.llm import ann
 from orgwatch.operators import dedup, model_io
 from orgwatch.plans import audit
 
@@ -134,3 +137,30 @@ def test_grams_move_without_texts(spark, monkeypatch):
     assert sorted(set(got)) == sorted((g, a, b) for g, a in rows for h, b in rows if g == h and a != b and (a in b or b in a))
     posted = [s for s in seen if "_gram" in s.names]
     assert posted and all(f.dataType.typeName() == "long" for s in posted for f in s)
+
+
+def _sent(plan: str) -> list[str]:
+    """What a plan sends to all tasks through the driver: the lines below each broadcast."""
+    lines, found = plan.split("\n"), []
+    for i, line in enumerate(lines):
+        at = line.find("BroadcastExchange")
+        below = next((j for j in range(i + 1, len(lines)) if re.search(r"[A-Z*]", lines[j]) is None or re.search(r"[A-Z*]", lines[j]).start() <= at), len(lines))
+        found += ["\n".join(lines[i:below])] if at >= 0 else []
+    return found
+
+
+def test_vectors_are_not_broadcast(spark, monkeypatch):
+    """Visits are made of few queries, so that Spark takes them for small; each query makes hundreds of them here."""
+    x = np.random.default_rng(9).normal(size=(400, 32))
+    rows = [(i, list(map(float, v))) for i, v in enumerate(x)]
+    plans, write = [], ann.cut_lineage
+    monkeypatch.setattr(ann, "cut_lineage", lambda df: (plans.append(_plan(df)), write(df))[1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 40 = 0"), bucket_rows=len(rows) / 2**12.8)
+    sent = [below for plan in [*plans, _plan(got)] for below in _sent(plan)]
+    assert sent and not [below for below in sent if "MapInPandas" in below or "vector" in below]  # what is sent are numbers
+    unit = ann._unit(x)
+    found = {q: set() for q in range(0, 400, 40)}
+    for r in got.collect():
+        found[r.query_id].add(r.vec_id)
+    assert sum(len(found[q] & (set(np.argsort(-unit @ unit[q])[:6].tolist()) - {q})) for q in found) >= 0.9 * 5 * len(found)
